@@ -103,3 +103,37 @@ def with_fx(*names: str) -> str:
     for n in names:
         visit(n)
     return "with " + ",\n".join(f"{n} as ({FX[n][1]})" for n in order) + "\n"
+
+# fx_requests: events as chat requests; fixture limits (FIXTURES.md §2):
+# gap 6 h, flood 1 free / 3 paid per burst, free day 2, agent day 1.
+FX["fx_requests"] = ([], f"""
+        select event_id request_id, user_id tg_user_id, event_type agent_id, {E('ts')} ts,
+               case user_id % 4 when 0 then 'free_trial' when 1 then 'starter' when 2 then 'pro'
+                    else 'business' end plan
+        from events""")
+FX["fx_limits"] = ([], """
+        select * from (values ('free_trial', 1, 2, 1), ('starter', 3, null, 1), ('pro', 3, null, 1),
+                              ('business', 3, null, 1)) t(plan, flood_limit, day_limit, agent_limit)""")
+FX["fx_decisions"] = (["fx_requests", "fx_limits"], """
+        select request_id, tg_user_id, agent_id, ts, plan,
+               case when frej and plan = 'free_trial' then 'free_minute' when frej then 'flood'
+                    when drej then 'free_daily' when i > agent_limit then 'daily_quota' else 'allowed' end reason,
+               cast(case when not frej and not drej and i <= agent_limit then agent_limit - i else 0 end
+                    as bigint) remaining
+        from (select *, sum(case when not frej and not drej then 1 else 0 end) over (
+                     partition by tg_user_id, agent_id, dt order by ts, request_id rows unbounded preceding) i
+              from (select *, (plan = 'free_trial' and not frej and day_limit is not null and dc > day_limit) drej
+                    from (select *, sum(case when plan = 'free_trial' and not frej then 1 else 0 end) over (
+                                 partition by tg_user_id, dt order by ts, request_id rows unbounded preceding) dc
+                          from (select *, fc > flood_limit frej
+                                from (select *, row_number() over (partition by tg_user_id, burst
+                                                                   order by ts, request_id) fc,
+                                             strftime(to_timestamp(ts), '%Y%m%d') dt
+                                      from (select *, sum(case when prev is null or ts - prev >= 21600
+                                                               then 1 else 0 end) over (
+                                                   partition by tg_user_id order by ts, request_id
+                                                   rows unbounded preceding) burst
+                                            from (select r.*, l.flood_limit, l.day_limit, l.agent_limit,
+                                                         lag(ts) over (partition by tg_user_id
+                                                                       order by ts, request_id) prev
+                                                  from fx_requests r join fx_limits l using (plan))))))))""")

@@ -1,5 +1,45 @@
-"""Registered queries."""
+"""Registered queries: flood sessions and admission (A*)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from ..operators import admission
+from ..sources.fixtures import REQUEST_GAP_S, Fixtures
+from .oracle_fixtures import with_fx
+from .registry import query
+
+
+def decisions(spark, d):
+    fx = Fixtures(spark, d)
+    return admission.admission_decisions(fx.requests(), fx.request_limits(), gap=REQUEST_GAP_S)
+
+
+@query("a1_flood_sessions", with_fx("fx_requests") + f"""
+select tg_user_id, burst, min(ts) start_ts, max(ts) last_ts, count(*) requests
+from (select *, sum(case when prev is null or ts - prev >= {REQUEST_GAP_S} then 1 else 0 end) over (
+             partition by tg_user_id order by ts, request_id rows unbounded preceding) burst
+      from (select *, lag(ts) over (partition by tg_user_id order by ts, request_id) prev from fx_requests))
+group by tg_user_id, burst""")
+def a1(spark, d):
+    return admission.flood_sessions(Fixtures(spark, d).requests(), gap=REQUEST_GAP_S)
+
+
+@query("a2_admission_decisions", with_fx("fx_decisions") + "select * from fx_decisions")
+def a2(spark, d):
+    return decisions(spark, d)
+
+
+@query("a3_usage_quota_daily", with_fx("fx_decisions") + """
+select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date,
+       count(*) count, max(ts) last_at
+from fx_decisions where reason = 'allowed' group by 1, 2, 3""")
+def a3(spark, d):
+    return admission.usage_quota_daily(decisions(spark, d))
+
+
+@query("a6_rejection_funnel", with_fx("fx_decisions") + """
+select date, plan, reason, n, round(n / sum(n) over (partition by date, plan), 4) share
+from (select cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date, coalesce(plan, 'none') plan,
+             reason, count(*) n
+      from fx_decisions group by 1, 2, 3)""")
+def a6(spark, d):
+    return admission.rejection_funnel(decisions(spark, d))

@@ -102,3 +102,20 @@ class Fixtures:
              .when(flag == "RO", "retried_ok").otherwise("success").alias("status"),
             (epoch_s("l_shipdate") + F.col("l_partkey") % 86400).alias("created_at"),
         )
+
+    # -- fx_requests (A1–A6, T2, T3) -------------------------------------------
+    def requests(self) -> DataFrame:
+        u = F.col("user_id")
+        return self.t.events.select(
+            F.col("event_id").alias("request_id"), u.alias("tg_user_id"),
+            F.col("event_type").alias("agent_id"), epoch_s("ts").alias("ts"),
+            F.when(u % 4 == 0, "free_trial").when(u % 4 == 1, "starter").when(u % 4 == 2, "pro")
+             .otherwise("business").alias("plan"))
+
+    def request_limits(self) -> DataFrame:
+        """Fixture limits: flood 1 free / 3 paid per burst, free day 2, agent day 1."""
+        rows = [("free_trial", 1, 2, 1), ("starter", 3, None, 1), ("pro", 3, None, 1), ("business", 3, None, 1)]
+        return self.spark.createDataFrame(rows, "plan string, flood_limit int, day_limit int, agent_limit int")
+
+
+REQUEST_GAP_S = 6 * 3600
