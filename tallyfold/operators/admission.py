@@ -133,12 +133,12 @@ def remaining_quota(usage: DataFrame, subs_current: DataFrame, limits: DataFrame
                     spark: SparkSession) -> DataFrame:
     """Every user with a current plan x every agent: limit, used, remaining.
 
-    The cross join is with the fixed five-row agent list (broadcast), so the
-    output is exactly 5 rows per user."""
-    ag = F.broadcast(spark.createDataFrame([(a,) for a in AGENTS], "agent_id string"))
+    Each user row is expanded with the fixed five-agent list (``explode`` of
+    a literal array, no join), so the output is exactly 5 rows per user."""
     u = usage.where(F.col("date") == date).select("tg_user_id", "agent_id", F.col("count").alias("used"))
     base = subs_current.select("tg_user_id", "plan").join(F.broadcast(limits.select("plan", "agent_limit")), "plan")
-    return (base.crossJoin(ag).join(u, ["tg_user_id", "agent_id"], "left")
+    base = base.withColumn("agent_id", F.explode(F.array(*[F.lit(a) for a in AGENTS])))
+    return (base.join(u, ["tg_user_id", "agent_id"], "left")
             .select("tg_user_id", "agent_id", "plan", F.col("agent_limit").alias("limit"),
                     F.coalesce("used", F.lit(0).cast("long")).alias("used"),
                     F.greatest(F.lit(0).cast("long"), F.col("agent_limit") - F.coalesce("used", F.lit(0)))

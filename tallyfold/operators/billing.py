@@ -7,10 +7,11 @@ same events is idempotent and the job has no driver-side loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import DAY
+from ..functions.time import DAY, idiv
+from ..functions.windows import chunked_last_non_null, chunked_lead
 from ..sources.reference_data import RETRYABLE_STATUS
 
 PAID = "paid"
@@ -94,9 +95,12 @@ def activate_subscriptions(intervals: DataFrame, as_of: int) -> DataFrame:
             .agg(F.min_by(F.struct(*[c for c in base.columns if c != "payment_id"]), F.col("started_at")).alias("r"))
             .select("payment_id", "r.*").select(*base.columns))
     rows = once.unionByName(base.where(F.col("payment_id").isNull()))
-    w = Window.partitionBy("tg_user_id").orderBy(F.col("started_at"), F.col("payment_id").asc_nulls_first())
-    return (rows.withColumn("closed_at", F.lead("started_at").over(w))
-            .withColumn("is_active", F.col("closed_at").isNull().cast("int")))
+    # next start per user; chunked by 30-day period so a user with a huge
+    # history is still spread over many window partitions
+    rows = rows.withColumn("_chunk", idiv(F.col("started_at"), 30 * DAY)) \
+        .withColumn("_pid", F.coalesce(F.col("payment_id"), F.lit(-(2 ** 63)).cast("long")))
+    rows = chunked_lead(rows, ["tg_user_id"], ["started_at", "_pid"], "_chunk", "started_at", "closed_at")
+    return rows.drop("_chunk", "_pid").withColumn("is_active", F.col("closed_at").isNull().cast("int"))
 
 
 # B5 -------------------------------------------------------------------------
@@ -111,26 +115,33 @@ def current_subscription(subs: DataFrame) -> DataFrame:
 
 
 # B6 -------------------------------------------------------------------------
-def subscription_as_of(requests: DataFrame, subs: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """Plan in force at each request: the latest subscription started at or
-    before the request (as-of join as union + last-non-null window, one
-    shuffle by user); expired (``expires_at < t``) or none -> no_active_plan.
+def subscription_as_of(requests: DataFrame, subs: DataFrame, ts_col: str = "ts",
+                       chunk_s: int = 30 * DAY) -> DataFrame:
+    """Plan in force at each request: the latest subscription row started at
+    or before the request time; none, or ``expires_at < t`` -> no_active_plan.
+
+    As-of join without a range join: requests and subscription starts are
+    unioned and the last non-null subscription is carried forward per user
+    (chunked window, so one hot user does not become one task).  Ties on
+    start time resolve by ``payment_id`` (trial first), as B4 orders rows.
     """
     r = requests.select("*", F.lit(1).alias("_kind"), F.col(ts_col).alias("_t"),
-                        F.lit(None).cast("string").alias("_plan"), F.lit(None).cast("long").alias("_exp"))
-    s = subs.select(F.col("tg_user_id"), F.lit(0).alias("_kind"), F.col("started_at").alias("_t"),
-                    F.col("plan").alias("_plan"), F.col("expires_at").alias("_exp"))
+                        F.lit(None).cast("long").alias("_pid"),
+                        F.lit(None).cast("struct<plan:string,exp:long>").alias("_sub"))
+    s = subs.select("tg_user_id", F.lit(0).alias("_kind"), F.col("started_at").alias("_t"),
+                    F.coalesce(F.col("payment_id"), F.lit(-(2 ** 63)).cast("long")).alias("_pid"),
+                    F.struct(F.col("plan").alias("plan"), F.col("expires_at").alias("exp")).alias("_sub"))
     for c in requests.columns:
         if c not in s.columns:
             s = s.withColumn(c, F.lit(None).cast(requests.schema[c].dataType))
     u = r.unionByName(s.select(*r.columns))
-    w = Window.partitionBy("tg_user_id").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_sp", F.last(F.when(F.col("_kind") == 0, F.struct("_plan", "_exp")), ignorenulls=True).over(w))
+    u = u.withColumn("_chunk", idiv(F.col("_t"), chunk_s))
+    u = chunked_last_non_null(u, ["tg_user_id"], ["_t", "_kind", "_pid"], "_chunk", "_sub", "_sp")
     u = u.where(F.col("_kind") == 1)
-    ok = F.col("_sp").isNotNull() & (F.col("_sp._exp") >= F.col("_t"))
+    ok = F.col("_sp").isNotNull() & (F.col("_sp.exp") >= F.col("_t"))
     return u.select(*requests.columns,
-                    F.when(ok, F.col("_sp._plan")).alias("plan"),
-                    F.when(ok, F.col("_sp._exp")).alias("plan_expires_at"),
+                    F.when(ok, F.col("_sp.plan")).alias("plan"),
+                    F.when(ok, F.col("_sp.exp")).alias("plan_expires_at"),
                     F.when(~ok, F.lit("no_active_plan")).alias("plan_reason"))
 
 

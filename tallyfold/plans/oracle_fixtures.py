@@ -137,3 +137,58 @@ FX["fx_decisions"] = (["fx_requests", "fx_limits"], """
                                                          lag(ts) over (partition by tg_user_id
                                                                        order by ts, request_id) prev
                                                   from fx_requests r join fx_limits l using (plan))))))))""")
+
+_RA = "['waiting', 'finished', 'confirmed', 'failed', 'expired', 'refunded', 'partially_paid']"
+_RB = "['created', 'success', 'paid', 'fail', 'expired', 'cancel', 'pending']"
+FX["fx_callbacks"] = (["fx_payments"], f"""
+        select event_id, provider, ts, payment_id, raw_status, tx_hash,
+               case when k % 17 = 0 then 'bad_signature' when bad_json then 'bad_json'
+                    when payment_id is null then 'no_order_id' when k % 29 = 0 and e = 0 then 'unknown_order'
+                    else 'ok' end outcome
+        from (select *, case when bad_json or oid = 'abc' then null else cast(oid as bigint) end payment_id,
+                     case when bad_json then '' when provider = 'nowpayments' then {_RA}[idx + 1]
+                          else {_RB}[idx + 1] end raw_status,
+                     case when provider = 'nowpayments' then printf('0x%x', k) end tx_hash
+              from (select p.id k, e.e, p.provider, p.id * 2 + e.e event_id, p.created_at + 600 + e.e * 3600 ts,
+                           case when p.id % 23 = 0 and e.e = 1 then 'abc'
+                                when p.id % 29 = 0 and e.e = 0 then cast(p.id + 1000000000 as varchar)
+                                else cast(p.id as varchar) end oid,
+                           (p.id * (e.e + 3) + e.e) % 7 idx,
+                           (p.provider = 'cryptocloud' and p.id % 31 = 0 and e.e = 1) bad_json
+                    from fx_payments p, (values (0), (1)) e(e) where p.provider <> 'admin_manual'))""")
+FX["status_map"] = ([], """
+        select * from (values ('nowpayments', 'finished', 'paid'), ('nowpayments', 'confirmed', 'paid'),
+                              ('nowpayments', 'failed', 'failed'), ('nowpayments', 'expired', 'expired'),
+                              ('nowpayments', 'refunded', 'refunded'), ('cryptocloud', 'success', 'paid'),
+                              ('cryptocloud', 'paid', 'paid'), ('cryptocloud', 'expired', 'expired'),
+                              ('cryptocloud', 'fail', 'failed'), ('cryptocloud', 'cancel', 'failed'))
+               t(provider, raw_status, status)""")
+FX["fx_norm_events"] = (["fx_callbacks", "status_map"], """
+        select c.event_id, c.provider, c.payment_id, c.raw_status, m.status, c.ts, c.tx_hash
+        from fx_callbacks c join status_map m on m.provider = c.provider and m.raw_status = c.raw_status
+        where c.outcome = 'ok'""")
+FX["fx_payment_state"] = (["fx_payments", "fx_norm_events"], """
+        select id, tg_user_id, provider, amount_rub, plan, created_at,
+               case when take_paid then 'paid' when take_fail then fail_status else s0 end status,
+               case when take_paid then paid_ts when take_fail then fail_ts else f0 end finalized_at,
+               case when take_paid then paid_tx end tx_hash,
+               (take_paid or take_fail) changed
+        from (select *, coalesce(paid_ev is not null and s0 <> 'paid', false) take_paid,
+                     coalesce(not (paid_ev is not null and s0 <> 'paid') and fail_ev is not null
+                              and s0 not in ('paid', 'refunded'), false) take_fail
+              from (select p.id, p.tg_user_id, p.provider, p.amount_rub, p.plan, p.created_at,
+                           p.status s0, p.finalized_at f0, h.paid_ev, pe.ts paid_ts, pe.tx_hash paid_tx,
+                           l.fail_ev, fe.status fail_status, fe.ts fail_ts
+                    from fx_payments p
+                    left join (select payment_id, min(event_id) filter (where status = 'paid') paid_ev,
+                                      min(event_id) filter (where status = 'refunded') ref_ev
+                               from fx_norm_events group by 1) h on h.payment_id = p.id
+                    left join (select e.payment_id, max(e.event_id) fail_ev
+                               from fx_norm_events e
+                               join (select payment_id, min(event_id) filter (where status = 'refunded') ref_ev
+                                     from fx_norm_events group by 1) r on r.payment_id = e.payment_id
+                               where e.status in ('failed', 'expired', 'refunded')
+                                 and (r.ref_ev is null or e.event_id <= r.ref_ev)
+                               group by 1) l on l.payment_id = p.id
+                    left join fx_norm_events pe on pe.event_id = h.paid_ev
+                    left join fx_norm_events fe on fe.event_id = l.fail_ev))""")

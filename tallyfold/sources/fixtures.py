@@ -119,3 +119,92 @@ class Fixtures:
 
 
 REQUEST_GAP_S = 6 * 3600
+
+
+# ---- fixed fixture values (payment callbacks, provider snapshots, attempts) ----
+TEST_SECRET_A = "fixture-secret-provider-a"
+TEST_SECRET_B = "fixture-secret-provider-b"
+RAW_STATUS_A = ["waiting", "finished", "confirmed", "failed", "expired", "refunded", "partially_paid"]
+RAW_STATUS_B = ["created", "success", "paid", "fail", "expired", "cancel", "pending"]
+SNAPSHOT_A = ["waiting", "finished", "confirmed", "failed"]
+SNAPSHOT_B = ["created", "paid", "success", "cancel"]
+ATTEMPT_PROVIDERS = ["groq", "openrouter", "yandex"]
+ATTEMPT_FAIL_STATUS = [429, 500, 400, 503, None]  # None = aborted by timeout
+
+
+def _pick(values: list, idx) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
+
+
+def _sign_bodies(it):
+    """Sign fixture bodies with Python's hmac module (independent of the
+    Catalyst implementation the parser uses)."""
+    import hashlib
+    import hmac
+    import json
+
+    for pdf in it:
+        sigs = []
+        for prov, body, k in zip(pdf["provider"], pdf["body"], pdf["k"]):
+            if prov == "nowpayments":
+                try:
+                    canon = json.dumps(json.loads(body), sort_keys=True, separators=(",", ":"))
+                except ValueError:
+                    canon = body
+                s = hmac.new(TEST_SECRET_A.encode(), canon.encode(), hashlib.sha512).hexdigest()
+            else:
+                import base64
+                s = base64.b64encode(hmac.new(TEST_SECRET_B.encode(), body.encode(), hashlib.sha256).digest()).decode()
+            sigs.append("deadbeef" if k % 17 == 0 else s)
+        out = pdf.drop(columns=["k"])
+        out["signature"] = sigs
+        yield out
+
+
+def _callbacks(self) -> DataFrame:
+    """fx_callbacks: two provider callbacks per non-manual payment."""
+    p = self.payments().where(F.col("provider") != "admin_manual")
+    k = F.col("id")
+    x = p.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1))))  # two callbacks per payment
+    oid = (F.when((k % 23 == 0) & (F.col("e") == 1), F.lit("abc"))
+           .when((k % 29 == 0) & (F.col("e") == 0), (k + 1000000000).cast("string"))
+           .otherwise(k.cast("string")))
+    idx = k * (F.col("e") + 3) + F.col("e")
+    a_body = F.format_string('{"payment_status":"%s","order_id":"%s","payin_hash":"0x%x"}',
+                             _pick(RAW_STATUS_A, idx), oid, k)
+    b_body = F.format_string('{"status":"%s","order_id":"%s","invoice_id":"INV-%d"}',
+                             _pick(RAW_STATUS_B, idx), oid, k)
+    # every 31st second callback of provider B is truncated (malformed JSON)
+    b_body = F.when((k % 31 == 0) & (F.col("e") == 1), F.regexp_replace(b_body, r"\}$", "")).otherwise(b_body)
+    x = x.select((k * 2 + F.col("e")).alias("event_id"), "provider",
+                 F.when(F.col("provider") == "nowpayments", a_body).otherwise(b_body).alias("body"),
+                 (F.col("created_at") + 600 + F.col("e") * 3600).alias("received_at"), k.alias("k"))
+    return x.mapInPandas(_sign_bodies, "event_id long, provider string, body string, received_at long, "
+                                       "signature string")
+
+
+def _provider_snapshot(self) -> DataFrame:
+    """fx_provider_snapshot: what each provider reports for pending payments."""
+    p = self.payments().where((F.col("status") == "pending") & (F.col("provider") != "admin_manual"))
+    k = F.col("id")
+    return p.select("id", "provider",
+                    F.when(F.col("provider") == "nowpayments", _pick(SNAPSHOT_A, k))
+                    .otherwise(_pick(SNAPSHOT_B, k)).alias("remote_status"))
+
+
+def _attempts(self) -> DataFrame:
+    """fx_attempts: three provider attempts per request (event)."""
+    ev = self.t.events.select(F.col("event_id").alias("request_id"))
+    x = ev.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(2))))  # three attempts per request
+    k, rk = F.col("request_id"), F.col("rank")
+    ok = (k + rk * 3) % 5 == 0
+    st = _pick(ATTEMPT_FAIL_STATUS, k * (rk + 1))
+    return x.select("request_id", "rank", _pick(ATTEMPT_PROVIDERS, rk).alias("provider"), ok.alias("ok"),
+                    F.when(~ok, st).cast("int").alias("http_status"),
+                    F.when(ok, F.lit(None).cast("string")).when(st.isNull(), F.lit("request timeout"))
+                    .otherwise(F.format_string("http %d", st)).alias("error"))
+
+
+Fixtures.callbacks = _callbacks
+Fixtures.provider_snapshot = _provider_snapshot
+Fixtures.attempts = _attempts
