@@ -192,3 +192,66 @@ FX["fx_payment_state"] = (["fx_payments", "fx_norm_events"], """
                                group by 1) l on l.payment_id = p.id
                     left join fx_norm_events pe on pe.event_id = h.paid_ev
                     left join fx_norm_events fe on fe.event_id = l.fail_ev))""")
+
+FX["fx_updates"] = ([], f"""
+        select case when k % 97 = 0 then null else k end update_id,
+               case when k % 97 = 0 then 'quarantine' when k % 7 = 0 then 'callback'
+                    when k % 89 = 0 then 'quarantine' else 'message' end kind,
+               case when k % 97 = 0 or (k % 7 <> 0 and k % 89 = 0) then null else u end user_id,
+               case when k % 97 = 0 then null else u end chat_id,
+               case when k % 97 = 0 then null else t end ts,
+               case when k % 97 = 0 or k % 7 = 0 then null else txt end text,
+               case when k % 97 <> 0 and k % 7 = 0
+                    then 'agent:' || ['mp_card_doctor', 'mp_review_responder', 'mp_competitor_scout',
+                                      'mp_abc_xyz_analyst', 'mp_unit_economics', 'unknown_bot'][k % 6 + 1] end data,
+               case when k % 97 = 0 or (k % 7 <> 0 and k % 89 = 0) or u % 3 = 0 then null else 'u' || u end username,
+               case when k % 97 = 0 or (k % 7 <> 0 and k % 89 = 0) then null else 'User' || u end first_name,
+               null::varchar last_name,
+               case when k % 97 = 0 or (k % 7 <> 0 and k % 89 = 0) then null
+                    else ['ru', 'en'][u % 2 + 1] end language_code
+        from (select event_id k, user_id u, {E('ts')} t,
+                     case event_type when 'signup' then '/start ref_' || ((event_id * 7) % 151)
+                          when 'purchase' then '/pay' when 'view' then '/me'
+                          when 'click' then case when event_id % 2 = 0 then '/cancel' else '/menu' end
+                          else case when event_id % 5 = 0 then '/admin stats'
+                                    else 'how do I price sku ' || event_id end end txt
+              from events, (values (0), (1)) c(c) where c.c = 0 or event_id % 50 = 0)""")
+FX["fx_upd_dedup"] = (["fx_updates"], """
+        select distinct * from fx_updates where kind in ('message', 'callback')""")
+FX["fx_base_users"] = (["fx_users"], """
+        select tg_user_id, null::varchar username, first_name, null::varchar last_name,
+               null::varchar language_code, registered_at, is_banned, is_deleted,
+               last_order_at last_seen_at, null::varchar utm_source
+        from fx_users""")
+FX["fx_users_merged"] = (["fx_base_users", "fx_upd_dedup"], """
+        select coalesce(b.tg_user_id, a.user_id) tg_user_id,
+               case when a.user_id is not null then a.username else b.username end username,
+               case when a.user_id is not null then a.first_name else b.first_name end first_name,
+               case when a.user_id is not null then a.last_name else b.last_name end last_name,
+               case when a.user_id is not null then a.language_code else b.language_code end language_code,
+               coalesce(b.registered_at, a.first_ts) registered_at, coalesce(b.is_banned, 0) is_banned,
+               coalesce(b.is_deleted, 0) is_deleted,
+               case when a.user_id is not null then greatest(a.last_ts, coalesce(b.last_seen_at, a.last_ts))
+                    else b.last_seen_at end last_seen_at,
+               b.utm_source
+        from fx_base_users b
+        full join (select user_id, arg_max(username, ts * 1000000000 + update_id) username,
+                          arg_max(first_name, ts * 1000000000 + update_id) first_name,
+                          arg_max(last_name, ts * 1000000000 + update_id) last_name,
+                          arg_max(language_code, ts * 1000000000 + update_id) language_code,
+                          min(ts) first_ts, max(ts) last_ts
+                   from fx_upd_dedup where kind = 'message' group by 1) a on a.user_id = b.tg_user_id""")
+FX["fx_handled"] = (["fx_upd_dedup", "fx_users_merged"], """
+        select m.*, case when t like '/start%' then 'start' when t like '/help%' then 'help'
+                         when t like '/agents%' then 'agents' when t like '/pay%' then 'pay'
+                         when t like '/plans%' then 'pay' when t like '/me%' then 'me'
+                         when t like '/profile%' then 'me' when t like '/about%' then 'about'
+                         when t like '/cancel%' then 'cancel' when t like '/admin%' then 'admin'
+                         else 'free_text' end command
+        from (select * exclude (text), trim(text) t, trim(text) text from fx_upd_dedup where kind = 'message') m
+        where m.user_id not in (select tg_user_id from fx_users_merged where is_banned = 1)""")
+FX["fx_selections"] = (["fx_upd_dedup"], """
+        select *, substr(data, 7) agent_id from fx_upd_dedup
+        where kind = 'callback' and data like 'agent:%'
+          and substr(data, 7) in ('mp_card_doctor', 'mp_review_responder', 'mp_competitor_scout',
+                                  'mp_abc_xyz_analyst', 'mp_unit_economics')""")

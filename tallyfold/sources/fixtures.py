@@ -208,3 +208,39 @@ def _attempts(self) -> DataFrame:
 Fixtures.callbacks = _callbacks
 Fixtures.provider_snapshot = _provider_snapshot
 Fixtures.attempts = _attempts
+
+
+# ---- fixed fixture values (chat updates) --------------------------------------
+CALLBACK_AGENTS = ["mp_card_doctor", "mp_review_responder", "mp_competitor_scout", "mp_abc_xyz_analyst",
+                   "mp_unit_economics", "unknown_bot"]
+
+
+def _updates(self) -> DataFrame:
+    """fx_updates: chat updates as raw JSON strings ``(raw)``."""
+    e = self.t.events
+    k, u, t = F.col("event_id"), F.col("user_id"), epoch_s("ts")
+    typ = F.col("event_type")
+    text = (F.when(typ == "signup", F.format_string("/start ref_%d", (k * 7) % 151))
+            .when(typ == "purchase", F.lit("/pay")).when(typ == "view", F.lit("/me"))
+            .when(typ == "click", F.when(k % 2 == 0, F.lit("/cancel")).otherwise(F.lit("/menu")))
+            .otherwise(F.when(k % 5 == 0, F.lit("/admin stats"))
+                       .otherwise(F.format_string("how do I price sku %d", k))))
+    sender = F.struct(u.alias("id"), F.format_string("User%d", u).alias("first_name"),
+                      F.when(u % 3 != 0, F.format_string("u%d", u)).alias("username"),
+                      F.element_at(F.array(F.lit("ru"), F.lit("en")), (u % 2).cast("int") + 1).alias("language_code"))
+    chat = F.struct(u.alias("id"), F.lit("private").alias("type"))
+    msg = F.struct(k.alias("message_id"), F.when(k % 89 != 0, sender).alias("from"), chat.alias("chat"),
+                   t.alias("date"), text.alias("text"))
+    cbq = F.struct(F.format_string("cb%d", k).alias("id"), sender.alias("from"),
+                   F.struct(k.alias("message_id"), chat.alias("chat"), t.alias("date")).alias("message"),
+                   F.concat(F.lit("agent:"), _pick(CALLBACK_AGENTS, k)).alias("data"))
+    body = F.when(k % 7 == 0, F.to_json(F.struct(k.alias("update_id"), cbq.alias("callback_query")))) \
+        .otherwise(F.to_json(F.struct(k.alias("update_id"), msg.alias("message"))))
+    raw = F.when(k % 97 == 0, F.format_string('{"update_id": %d, "message": {', k)).otherwise(body)
+    # every 50th update is delivered twice (at-least-once webhook delivery)
+    return (e.select(raw.alias("raw"), k.alias("_k"))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.when(F.col("_k") % 50 == 0, 1).otherwise(0))))
+            .select("raw"))
+
+
+Fixtures.updates = _updates
