@@ -244,3 +244,24 @@ def _updates(self) -> DataFrame:
 
 
 Fixtures.updates = _updates
+
+
+def _sku_sales(self, grain: str = "part", period: str = "month") -> DataFrame:
+    """fx_sku_sales: line revenue in kopecks by SKU grain and period.
+
+    grain: part (l_partkey) | supplier (l_suppkey) | brand (p_brand);
+    period: month (yyyymm) | quarter (yyyyq) | year (yyyy)."""
+    li, p = self.t.lineitem, self.t.part
+    x = li.join(p, li.l_partkey == p.p_partkey)
+    sku = {"part": F.col("l_partkey").cast("string"), "supplier": F.col("l_suppkey").cast("string"),
+           "brand": F.col("p_brand")}[grain]
+    d = F.col("l_shipdate")
+    per = {"month": F.year(d) * 100 + F.month(d), "quarter": F.year(d) * 10 + F.quarter(d),
+           "year": F.year(d)}[period]
+    return x.select(sku.alias("sku"), F.col("p_type").alias("category"), per.cast("int").alias("period"),
+                    F.round(F.col("l_extendedprice") * 100).cast("long").alias("revenue"))
+
+
+Fixtures.sku_sales = _sku_sales
+YEARS = list(range(1992, 1999))
+QUARTERS = [y * 10 + q for y in YEARS for q in range(1, 5)]

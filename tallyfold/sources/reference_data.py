@@ -53,14 +53,14 @@ PAYMENT_STATUS_MAP = [
 ]
 # ABC/XYZ class -> recommendation code (short English codes, not prompt prose)
 ABC_XYZ_POLICY = [
-    ("AX", "keep_stock_always"),
-    ("AY", "keep_stock_safety_buffer"),
-    ("AZ", "watch_demand_closely"),
-    ("BX", "automate_reorder"),
-    ("BY", "reorder_regularly"),
-    ("BZ", "order_to_demand"),
-    ("CX", "review_margin"),
-    ("CY", "reduce_stock"),
+    ("AX", "protect_core"),
+    ("AY", "stock_for_peak"),
+    ("AZ", "check_volatility"),
+    ("BX", "grow_to_a"),
+    ("BY", "hold_level"),
+    ("BZ", "spot_work_no_scale"),
+    ("CX", "keep_for_width"),
+    ("CY", "optimize"),
     ("CZ", "exit_candidate"),
 ]
 DEFAULT_SYSTEM_PROMPT = "You are a helpful WB/Ozon seller assistant. Answer concisely in Russian."
