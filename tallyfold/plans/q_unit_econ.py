@@ -1,5 +1,132 @@
-"""Registered queries."""
+"""Registered queries: unit economics (E*)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import unit_econ as U
+from ..sources.fixtures import COST_FACTORS, ECON_REGIME, ECON_TURNOVER, TARIFFS, Fixtures
+from .registry import query
+
+D = "decimal(18,4)"
+M = "decimal(18,2)"
+_COST_SQL = "[" + ", ".join(f"{c}::{D}" for c in COST_FACTORS) + "]"
+_TARIFF_SQL = ", ".join(f"('{a}', '{b}', {c}, {e}, {f}, {g})" for a, b, c, e, f, g in TARIFFS)
+
+SKUS = f"""
+skus as (select cast(p_partkey as varchar) sku, p_type category,
+                round(p_retailprice::{D} * p_size * 0.02::{D}, 2)::{M} price,
+                round(round(p_retailprice::{D} * p_size * 0.02::{D}, 2)::{M} * {_COST_SQL}[p_partkey % 5 + 1], 2)::{M} cost,
+                case when p_partkey % 2 = 0 then 'WB' else 'Ozon' end mp,
+                case when p_partkey % 7 = 0 then null else 10 + p_partkey % 15 end::{D} category_commission,
+                case when p_partkey % 3 = 0 then 'FBS' else 'FBO' end delivery_model,
+                (0.5 + (p_partkey % 10) * 0.05)::{D} buyout_rate,
+                ((p_partkey % 4) * 10)::{M} ad_per_unit, (p_size / 10.0)::{D} volume_l
+         from part),
+tariffs as (select * from (values {_TARIFF_SQL})
+            t(mp, delivery_model, logistics, storage_l_day, turnover_days, return_logistics))"""
+
+
+def waterfall_sql(name: str, pf: float = 1.0, ca: float = 0.0, rf: float = 1.0) -> str:
+    price = "s.price::{D}" if pf == 1.0 else f"round(s.price::{D} * {pf}::{D}, 2)::{D}"
+    price = price.format(D=D)
+    rate_base = (f"case when s.mp = 'Ozon' and {price} <= 200 then 14 when s.mp = 'Ozon' and {price} <= 500 then 20 "
+                 f"else coalesce(s.category_commission, case when s.mp = 'Ozon' then 18 else 19 end) end::{D}")
+    rate = rate_base if ca == 0.0 else f"({rate_base} + {ca}::{D})"
+    ret_share = f"(1::{D} - s.buyout_rate::{D})" if rf == 1.0 else f"least(1::{D}, (1::{D} - s.buyout_rate::{D}) * {rf}::{D})"
+    return f"""
+{name} as (
+  select *, (price - (commission + acquiring + logistics + storage + returns + cost))::{D} cm1,
+         ((price - (commission + acquiring + logistics + storage + returns + cost))::{D} - ad_per_unit::{D})::{D} cm2
+  from (select s.sku, s.mp, s.ad_per_unit, {price} price, {rate} commission_rate,
+               case when s.mp = 'Ozon' and {price} <= 200 then 'ozon_14' when s.mp = 'Ozon' and {price} <= 500 then 'ozon_20'
+                    when s.category_commission is null then 'baseline_to_confirm' else 'category' end commission_source,
+               case when s.mp = 'Ozon' then 2.0 else 1.5 end acq_rate,
+               ({price} * ({rate} * 0.01::{D})::{D})::{D} commission,
+               ({price} * ((case when s.mp = 'Ozon' then 2.0 else 1.5 end)::{D} * 0.01::{D})::{D})::{D} acquiring,
+               t.logistics::{D} logistics,
+               (t.storage_l_day::{D} * t.turnover_days::{D} * s.volume_l::{D})::{D} storage,
+               (coalesce(t.return_logistics, t.logistics)::{D} * {ret_share})::{D} returns,
+               s.cost::{D} cost
+        from skus s left join tariffs t on t.mp = s.mp and t.delivery_model = s.delivery_model))"""
+
+
+def net_sql(src: str) -> str:
+    return f"""select *, (price * 0.06::{D})::{D} tax, (cm2 - (price * 0.06::{D})::{D})::{D} net from {src}"""
+
+
+def cm(spark, d):
+    fx = Fixtures(spark, d)
+    return U.cm_waterfall(fx.sku_economics(), fx.tariffs())
+
+
+def net(spark, d):
+    return U.tax_and_net(cm(spark, d), ECON_REGIME, ECON_TURNOVER)
+
+
+@query("e2_commission_rate", "with " + SKUS + "," + waterfall_sql("w") + """
+select mp, commission_source, count(*) skus from w group by 1, 2""")
+def e2(spark, d):
+    return cm(spark, d).groupBy("mp", "commission_source").agg(F.count(F.lit(1)).alias("skus"))
+
+
+@query("e3_cm_waterfall", "with " + SKUS + "," + waterfall_sql("w") + f"""
+select sku, price::{M} price, commission_rate, round(cm1, 2)::{M} cm1, round(cm2, 2)::{M} cm2,
+       round(cm2::double * 100 / price::double, 2) cm2_pct,
+       case when 1.0 - commission_rate::double / 100 - acq_rate::double / 100 > 0
+            then round((logistics + storage + returns + cost + ad_per_unit::{D})::{D}::double
+                       / (1.0 - commission_rate::double / 100 - acq_rate::double / 100), 2) end break_even_price
+from w""")
+def e3(spark, d):
+    c = U.money(cm(spark, d), ["cm1", "cm2"])
+    return c.select("sku", "price", "commission_rate", "cm1", "cm2", "cm2_pct", "break_even_price")
+
+
+@query("e4_tax_and_net", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + f"""
+select sku, round(tax, 2)::{M} tax, round(net, 2)::{M} net from n""")
+def e4(spark, d):
+    return U.money(net(spark, d), ["tax", "net"]).select("sku", "tax", "net")
+
+
+@query("e5_margin_flags", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + """
+select sku, case when net < 0 then 'loss' when net::double * 100 / price::double < 10 then 'low_margin'
+                 else 'ok' end flag from n""")
+def e5(spark, d):
+    return U.margin_flags(net(spark, d)).select("sku", "flag")
+
+
+@query("e6_loss_leaks")
+def e6(spark, d):
+    return U.loss_leaks(net(spark, d))
+
+
+@query("e7_top_profit", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + f"""
+select sku, round(net, 2)::{M} net from n order by net desc, sku limit 5""")
+def e7(spark, d):
+    return U.top_profit(net(spark, d))
+
+
+@query("e8_batch_summary", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + f"""
+select round(sum(net), 2)::{M} total_net, round(avg(round(cm2::double * 100 / price::double, 2)), 2) mean_cm2_pct,
+       round(count(*) filter (where net < 0) / count(*), 4) loss_share from n""")
+def e8(spark, d):
+    return U.batch_summary(net(spark, d))
+
+
+@query("e9_sensitivity", "with " + SKUS + "," + ",".join(
+    waterfall_sql(f"w_{n}", pf, ca, rf) for n, pf, ca, rf in U.SCENARIOS) + "\n" + "\nunion all\n".join(
+    f"select '{n}' scenario, round(sum(net), 2)::{M} total_net from ({net_sql(f'w_{n}')})"
+    for n, _, _, _ in U.SCENARIOS))
+def e9(spark, d):
+    fx = Fixtures(spark, d)
+    return U.sensitivity(fx.sku_economics(), fx.tariffs(), ECON_REGIME, ECON_TURNOVER)
+
+
+@query("e1_validate_skus")
+def e1(spark, d):
+    return U.validate_skus(Fixtures(spark, d).sku_economics(), ECON_REGIME, ECON_TURNOVER)
+
+
+@query("e10_regime_compare")
+def e10(spark, d):
+    return U.regime_compare(cm(spark, d), ECON_TURNOVER)

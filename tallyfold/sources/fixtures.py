@@ -265,3 +265,38 @@ def _sku_sales(self, grain: str = "part", period: str = "month") -> DataFrame:
 Fixtures.sku_sales = _sku_sales
 YEARS = list(range(1992, 1999))
 QUARTERS = [y * 10 + q for y in YEARS for q in range(1, 5)]
+
+
+# ---- fixed fixture values (unit economics) -------------------------------------
+COST_FACTORS = [0.3, 0.4, 0.5, 0.6, 1.1]
+# (mp, delivery model, logistics RUB, storage RUB per litre-day, turnover days, return logistics RUB)
+TARIFFS = [("WB", "FBO", 50.0, 0.08, 30, 50.0), ("WB", "FBS", 60.0, 0.0, 0, 60.0),
+           ("Ozon", "FBO", 45.0, 0.07, 30, 45.0), ("Ozon", "FBS", 55.0, 0.0, 0, 55.0)]
+ECON_REGIME, ECON_TURNOVER = "USN6", 18_000_000
+
+
+def _sku_economics(self) -> DataFrame:
+    p = self.t.part
+    k = F.col("p_partkey")
+    dd = "decimal(18,4)"
+    price = F.round(F.col("p_retailprice").cast(dd) * F.col("p_size") * F.lit(0.02).cast(dd), 2).cast("decimal(18,2)")
+    return p.select(
+        k.cast("string").alias("sku"), F.col("p_name").alias("name"), F.col("p_type").alias("category"),
+        price.alias("price"),
+        F.round(price * _pick(COST_FACTORS, k).cast(dd), 2).cast("decimal(18,2)").alias("cost"),
+        F.when(k % 2 == 0, "WB").otherwise("Ozon").alias("mp"),
+        F.when(k % 7 == 0, F.lit(None)).otherwise(10 + k % 15).cast("decimal(18,4)").alias("category_commission"),
+        F.when(k % 3 == 0, "FBS").otherwise("FBO").alias("delivery_model"),
+        (F.lit(0.5) + (k % 10).cast("double") * 0.05).cast("decimal(18,4)").alias("buyout_rate"),
+        ((k % 4) * 10).cast("decimal(18,2)").alias("ad_per_unit"),
+        (F.col("p_size") / 10.0).cast("decimal(18,4)").alias("volume_l"))
+
+
+def _tariffs(self) -> DataFrame:
+    return self.spark.createDataFrame(
+        TARIFFS, "mp string, delivery_model string, logistics double, storage_l_day double, "
+                 "turnover_days int, return_logistics double")
+
+
+Fixtures.sku_economics = _sku_economics
+Fixtures.tariffs = _tariffs
