@@ -1,5 +1,236 @@
-"""Registered queries."""
+"""Registered queries: competitors (C*), reviews (V*), cards (D*), routing (G*)."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import market as M
+from ..sources.reference_data import AGENTS
+from ..sources.tables import Tables
+from .registry import query
+
+AG_SQL = "[" + ", ".join(f"'{a}'" for a in AGENTS) + "]"
+
+OFFERS_SQL = """
+offers as (select cast(l_partkey as varchar) sku, l_suppkey competitor, avg(l_extendedprice / l_quantity) price
+           from lineitem group by 1, 2)"""
+
+
+def offers(spark, d):
+    li = Tables(spark, d).lineitem
+    return li.groupBy(F.col("l_partkey").cast("string").alias("sku"), F.col("l_suppkey").alias("competitor")) \
+        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+
+
+def axis_scores(spark, d):
+    """fx_axis_scores: 12 axes per offer; the lowest supplier key is 'own'."""
+    o = offers(spark, d)
+    own = o.groupBy("sku").agg(F.min("competitor").alias("_own"))
+    x = o.join(own, "sku").withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(M.N_AXES - 1))))
+    return x.select("sku", "competitor", "axis", (F.col("competitor") == F.col("_own")).alias("is_own"),
+                    ((F.col("sku").cast("long") * 7 + F.col("competitor") * 3 + F.col("axis") * 5) % 11)
+                    .cast("int").alias("score"))
+
+
+AXIS_SQL = OFFERS_SQL + """,
+own as (select sku, min(competitor) own from offers group by 1),
+scores as (select o.sku, o.competitor, a.axis, o.competitor = w.own is_own,
+                  cast((cast(o.sku as bigint) * 7 + o.competitor * 3 + a.axis * 5) % 11 as integer) score
+           from offers o join own w using (sku), (select unnest(range(12)) axis) a),
+matrix as (select o.sku, o.axis, o.score own, b.best best_competitor, o.score - b.best gap
+           from (select * from scores where is_own) o
+           join (select sku, axis, max(score) best from scores where not is_own group by 1, 2) b using (sku, axis))"""
+
+
+@query("c3_price_position", "with " + OFFERS_SQL + """
+select sku, competitor, rank() over (partition by sku order by price, competitor) price_rank,
+       round(price / avg(price) over (partition by sku), 4) vs_mean,
+       price >= 2.0 * avg(price) over (partition by sku) other_league,
+       count(*) over (partition by sku) offers
+from offers""")
+def c3(spark, d):
+    p = M.price_position(offers(spark, d))
+    return p.select("sku", "competitor", "price_rank", "vs_mean",
+                    "other_league", "offers")
+
+
+@query("c4_comparison_guard", "with " + OFFERS_SQL + """
+select sku, count(distinct competitor) competitors, count(distinct competitor) >= 3 representative
+from offers group by 1""")
+def c4(spark, d):
+    return M.comparison_guard(offers(spark, d))
+
+
+@query("c1_axis_matrix", "with " + AXIS_SQL + " select * from matrix")
+def c1(spark, d):
+    return M.axis_matrix(axis_scores(spark, d))
+
+
+@query("c2_axis_extremes", "with " + AXIS_SQL + """
+, r as (select *, row_number() over (partition by sku order by gap, axis) l,
+               row_number() over (partition by sku order by gap desc, axis) w from matrix)
+select sku, axis, gap, case when l <= 3 then 'lagging' else 'winning' end kind,
+       case when l <= 3 then l else w end rank
+from r where l <= 3 or w <= 2""")
+def c2(spark, d):
+    return M.axis_extremes(M.axis_matrix(axis_scores(spark, d)))
+
+
+@query("c5_rank_fixes")
+def c5(spark, d):
+    """Fixes proposed from the lagging axes: effect = -gap, effort by axis."""
+    lag = M.axis_extremes(M.axis_matrix(axis_scores(spark, d))).where(F.col("kind") == "lagging")
+    fixes = lag.select("sku", F.format_string("raise_axis_%d", F.col("axis")).alias("fix"),
+                       (-F.col("gap")).alias("effect"), (F.col("axis") % 3 + 1).alias("effort"))
+    return M.rank_fixes(fixes)
+
+
+# ---- reviews over documents -------------------------------------------------------
+# fixed rule table: problem category, pattern, priority (lowest wins)
+REVIEW_RULES = [("defect", "(?i)(defect|broken|cass|kaputt|брак|слома)", 1),
+                ("size", "(?i)(size|taille|größe|размер)", 2),
+                ("delivery", "(?i)(deliver|livr|liefer|доставк)", 3),
+                ("mismatch", "(?i)(differ|pas conforme|anders|не соответ)", 4),
+                ("suspected_fake", "(?i)(fake|faux|gefälscht|подделк)", 5),
+                ("question", "\\?", 6)]
+
+
+def reviews(spark, d):
+    doc = Tables(spark, d).documents
+    return doc.select(F.col("doc_id").alias("review_id"), F.col("source").alias("sku"),
+                      (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("stars"), "text")
+
+
+@query("v1_classify_reviews")
+def v1(spark, d):
+    rules = spark.createDataFrame(REVIEW_RULES, "category string, pattern string, priority int")
+    return M.classify_reviews(reviews(spark, d), rules)
+
+
+@query("v2_top_themes")
+def v2(spark, d):
+    return M.top_themes(v1(spark, d))
+
+
+@query("v3_fake_series", """
+with n as (select doc_id review_id, source sku,
+                  trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t
+           from documents),
+g as (select t, min(review_id) series_id, count(*) size, count(distinct sku) skus from n group by t having count(*) >= 2)
+select n.review_id, n.sku, g.series_id, g.size, g.skus from n join g using (t)""")
+def v3(spark, d):
+    return M.fake_series(reviews(spark, d))
+
+
+BANNED_CLICHES = ["thank you for your feedback", "we value your opinion", "merci pour votre avis"]
+
+
+@query("v4_lint_replies")
+def v4(spark, d):
+    c = Tables(spark, d).conversations.where(F.col("role") == "assistant")
+    rep = c.select(F.format_string("%d-%d", F.col("conv_id"), F.col("turn")).alias("reply_id"),
+                   (F.lit(1) + F.col("conv_id") % 5).cast("int").alias("stars"), F.col("text").alias("reply"))
+    return M.lint_replies(rep, BANNED_CLICHES)
+
+
+# ---- cards over documents x part --------------------------------------------------
+def cards(spark, d):
+    t = Tables(spark, d)
+    doc, part = t.documents, t.part
+    n = part.agg(F.max("p_partkey").alias("_n"))
+    x = doc.withColumn("_k", F.lit(1)).join(F.broadcast(n.withColumn("_k", F.lit(1))), "_k")
+    x = x.withColumn("p_partkey", F.col("doc_id") % F.col("_n") + 1).join(part.select("p_partkey", "p_name"),
+                                                                        "p_partkey")
+    k = F.col("doc_id")
+    return x.select(k.alias("card_id"), F.when(k % 2 == 0, "WB").otherwise("Ozon").alias("mp"),
+                    F.col("p_name").alias("title"), F.col("text").alias("description"),
+                    (k % 10).cast("int").alias("slides"), (k % 12).cast("int").alias("photos"),
+                    F.when(k % 3 != 0, k % 40).cast("int").alias("video_sec"),
+                    F.when(k % 4 != 0, k % 100).cast("int").alias("price_index"))
+
+
+CARDS_SQL = """
+cards as (select doc_id card_id, case when doc_id % 2 = 0 then 'WB' else 'Ozon' end mp, p_name title, text description,
+                 doc_id % 10 slides, doc_id % 12 photos, case when doc_id % 3 <> 0 then doc_id % 40 end video_sec,
+                 case when doc_id % 4 <> 0 then doc_id % 100 end price_index
+          from documents join part on p_partkey = doc_id % (select max(p_partkey) from part) + 1)"""
+
+
+@query("d1_card_checks", "with " + CARDS_SQL + """
+select card_id, block, ok, value from (
+  select card_id, 'title_length' block, length(title) <= case when mp = 'WB' then 100 else 200 end ok,
+         length(title)::bigint value from cards
+  union all select card_id, 'description_length', length(description) between 1500 and 2500,
+         length(description)::bigint from cards
+  union all select card_id, 'slides', slides between 5 and 8, slides::bigint from cards
+  union all select card_id, 'photos', photos between 6 and 10, photos::bigint from cards
+  union all select card_id, 'video', coalesce(video_sec between 15 and 30, false), video_sec::bigint from cards
+  union all select card_id, 'price_index', coalesce(price_index < 60, true), price_index::bigint from cards)""")
+def d1(spark, d):
+    return M.card_checks(cards(spark, d))
+
+
+@query("d2_keyword_stats")
+def d2(spark, d):
+    return M.keyword_stats(cards(spark, d))
+
+
+@query("d3_card_scorecard")
+def d3(spark, d):
+    return M.card_scorecard(M.card_checks(cards(spark, d)))
+
+
+# ---- router outputs over events ---------------------------------------------------
+def router_raw(spark, d):
+    """fx_router: one model output per event, a second candidate for every 4th."""
+    e = Tables(spark, d).events
+    k = F.col("event_id")
+    ag = F.element_at(F.array(*[F.lit(a) for a in AGENTS]), (k % 5).cast("int") + 1)
+    ag2 = F.element_at(F.array(*[F.lit(a) for a in AGENTS]), ((k + 2) % 5).cast("int") + 1)
+    first = (F.when(k % 6 == 0, F.format_string('{"agent":"%s","reason":"fits","confidence":0.9,"reply":""}', ag))
+             .when(k % 6 == 1, F.format_string('{"agent":"%s","reason":"unsure","confidence":0.3,"reply":""}', ag))
+             .when(k % 6 == 2, F.lit('{"agent":null,"reason":"off domain","confidence":1.0,"reply":"only WB/Ozon"}'))
+             .when(k % 6 == 3, F.lit('{"agent": '))
+             .when(k % 6 == 4, F.lit('{"agent":"mp_weather","reason":"fits","confidence":0.8,"reply":""}'))
+             .otherwise(F.lit('{"agent":null,"reason":"prompt injection attempt","confidence":1.0,"reply":"no"}')))
+    second = F.format_string('{"agent":"%s","reason":"also fits","confidence":0.8,"reply":""}', ag2)
+    arr = F.when(k % 4 == 0, F.array(first, second)).otherwise(F.array(first))
+    return e.select(k.alias("request_id"), F.explode(arr).alias("raw"))
+
+
+ROUTER_SQL = f"""
+raw as (select event_id request_id, c, event_id % 6 m,
+               {AG_SQL}[event_id % 5 + 1] ag, {AG_SQL}[(event_id + 2) % 5 + 1] ag2
+        from events, (values (0), (1)) t(c) where c = 0 or event_id % 4 = 0),
+parsed as (select request_id,
+                  case when c = 1 then ag2 when m in (0, 1) then ag when m = 4 then 'mp_weather' end agent,
+                  case when c = 1 then 'also fits' when m = 0 then 'fits' when m = 1 then 'unsure'
+                       when m = 2 then 'off domain' when m = 4 then 'fits' when m = 5 then 'prompt injection attempt' end reason,
+                  case when c = 1 then 0.8 when m = 0 then 0.9 when m = 1 then 0.3 when m in (2, 5) then 1.0
+                       when m = 4 then 0.8 end::double confidence,
+                  case when c = 1 or m in (0, 1, 4) then '' when m = 2 then 'only WB/Ozon' when m = 5 then 'no' end reply,
+                  case when c = 0 and m in (3, 4) then 'quarantine' else 'ok' end status
+           from raw)"""
+
+
+@query("g1_parse_router_outputs", "with " + ROUTER_SQL + " select * from parsed")
+def g1(spark, d):
+    return M.parse_router_outputs(router_raw(spark, d))
+
+
+@query("g2_resolve_routes", "with " + ROUTER_SQL + f"""
+, ok as (select *, coalesce(list_position(['mp_unit_economics', 'mp_competitor_scout', 'mp_card_doctor',
+                                           'mp_abc_xyz_analyst', 'mp_review_responder'], agent), 99) prio
+         from parsed where status = 'ok'),
+g as (select request_id, max(case when lower(coalesce(reason, '')) like '%injection%' then 1 else 0 end) inj,
+             max(case when agent is null then 1 else 0 end) off,
+             arg_min(agent, prio * 100 + coalesce(list_position({AG_SQL}, agent), 0)) best,
+             arg_min(confidence, prio * 100 + coalesce(list_position({AG_SQL}, agent), 0)) conf
+      from ok group by 1)
+select request_id,
+       case when inj = 1 then 'refuse_injection' when off = 1 then 'refuse_off_domain' when conf < 0.5 then 'clarify'
+            else 'route' end decision,
+       case when inj = 0 and off = 0 and conf >= 0.5 then best end agent
+from g""")
+def g2(spark, d):
+    return M.resolve_routes(M.parse_router_outputs(router_raw(spark, d)))
