@@ -25,17 +25,27 @@ def _cols(cs):
 
 
 def chunked_running(df: DataFrame, group: list[str], order: list[str], chunk: str, value: Column,
-                    out: str, how: str = "sum", exclusive: bool = False) -> DataFrame:
+                    out: str, how: str = "sum", exclusive: bool = False,
+                    group_aggs: dict[str, Column] | None = None) -> DataFrame:
     """``out`` = running ``how`` (sum/min/max) of ``value`` over ``group``
-    ordered by ``order``, including the current row unless ``exclusive``."""
+    ordered by ``order``, including the current row unless ``exclusive``.
+
+    ``group_aggs`` (name -> min/max aggregate column) are whole-group values
+    computed on the same per-chunk summary, at no extra shuffle."""
     agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     comb = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[how]
     d = df.withColumn("__w_v", value)
     wl = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(_UNB, -1 if exclusive else 0)
     d = d.withColumn("__w_loc", agg("__w_v").over(wl))
-    summ = d.groupBy(*group, chunk).agg(agg("__w_v").alias("__w_tot"))
+    extra = group_aggs or {}
+    summ = d.groupBy(*group, chunk).agg(agg("__w_v").alias("__w_tot"), *[a.alias(n) for n, a in extra.items()])
     ws = Window.partitionBy(*group).orderBy(chunk).rowsBetween(_UNB, -1)
+    wg = Window.partitionBy(*group)
     summ = summ.withColumn("__w_carry", agg("__w_tot").over(ws)).drop("__w_tot")
+    for n in extra:
+        # re-aggregate the per-chunk partials over the whole group (min of mins, max of maxes)
+        fn = F.min if n.startswith("min") else F.max
+        summ = summ.withColumn(n, fn(n).over(wg))
     d = d.join(summ, [*group, chunk], "left")
     res = F.when(F.col("__w_carry").isNull(), F.col("__w_loc")).otherwise(
         F.when(F.col("__w_loc").isNull(), F.col("__w_carry")).otherwise(comb(F.col("__w_carry"), F.col("__w_loc"))))

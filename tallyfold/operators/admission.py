@@ -77,30 +77,30 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
     d = d.withColumn("_passed", ~F.col("_flood_rej") & ~day_rej)
     g = ["tg_user_id", "agent_id", "_date"]
     L = F.col("agent_limit")
-    d = chunked_running(d, g, ORDER, "_chunk", F.col("_passed").cast("int"), "_i")
-    # used after the i-th pass = i + min(0, min over earlier passes of L_j - i_j)
-    d = chunked_running(d, g, ORDER, "_chunk", F.when(F.col("_passed"), L - F.col("_i")), "_m", how="min",
-                        exclusive=True)
-    d = chunked_running(d, g, ORDER, "_chunk", F.when(F.col("_passed"), L), "_maxL_before", how="max",
-                        exclusive=True)
-    slack = F.least(F.lit(0), F.coalesce(F.col("_m"), F.lit(0)))
-    ok = F.col("_passed") & (L - F.col("_i") >= slack)
-    used = F.col("_i") - 1 + slack + F.lit(1)
+    # i = passes so far in (user, agent, day); the group's limit range comes
+    # from the same per-chunk summary
+    d = chunked_running(d, g, ORDER, "_chunk", F.col("_passed").cast("int"), "_i",
+                        group_aggs={"min_L": F.min(F.when(F.col("_passed"), L)),
+                                    "max_L": F.max(F.when(F.col("_passed"), L))})
+    # with one limit per group the counter is min(i, L): allowed iff i <= L
+    ok = F.col("_passed") & (F.col("_i") <= L)
     reason = (F.when(flood_rej & free, "free_minute").when(flood_rej, "flood").when(day_rej, "free_daily")
               .when(~ok, "daily_quota").otherwise("allowed"))
     d = d.select("request_id", "tg_user_id", "agent_id", "ts", "plan", reason.alias("reason"),
-                 F.when(ok, (L - used).cast("long")).otherwise(F.lit(0).cast("long")).alias("remaining"),
-                 # the closed form needs limits that never fall inside a group
-                 (F.col("_maxL_before") > L).alias("_downgrade"), "_date", "_passed", "agent_limit")
-    bad_groups = d.where("_downgrade").select(*g).distinct()
-    good = d.join(bad_groups, g, "left_anti").drop("_downgrade", "_date", "_passed", "agent_limit")
-    redo = _fold_downgraded(d.join(bad_groups, g, "left_semi"))
+                 F.when(ok, (L - F.col("_i")).cast("long")).otherwise(F.lit(0).cast("long")).alias("remaining"),
+                 F.coalesce(F.col("min_L") != F.col("max_L"), F.lit(False)).alias("_varying"),
+                 "_date", "_passed", "agent_limit")
+    # a plan change inside (user, agent, day) changes the limit: those rare
+    # groups get the exact sequential counter
+    good = d.where(~F.col("_varying")).drop("_varying", "_date", "_passed", "agent_limit")
+    redo = _fold_downgraded(d.where(F.col("_varying")))
     return none.unionByName(good).unionByName(redo)
 
 
 def _fold_downgraded(d: DataFrame) -> DataFrame:
     """Exact sequential counter for the rare (user, agent, day) groups whose
-    limit drops mid-day (plan downgrade): grouped pandas fold."""
+    limit changes mid-day (plan change): grouped pandas fold over those
+    groups only (at most one user-day of one agent per group)."""
     schema = "request_id long, tg_user_id long, agent_id string, ts long, plan string, reason string, remaining long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
