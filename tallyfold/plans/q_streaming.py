@@ -1,5 +1,63 @@
-"""Registered queries."""
+"""Registered queries: stream forms (T*), run with availableNow into the shared
+checkpoint folder and read back."""
 
 from __future__ import annotations
 
-from .registry import query  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..functions.time import epoch_s
+from ..sources.fixtures import REQUEST_GAP_S
+from ..streaming import jobs
+from .oracle_fixtures import with_fx
+from .registry import query
+
+
+@query("t2_stream_flood_sessions")
+def t2(spark, d):
+    """Session windows emitted in append mode (the last open sessions per
+    user are held back until the watermark passes them)."""
+    s = jobs.stream_flood_sessions(jobs.requests_stream(spark, d), REQUEST_GAP_S)
+    return jobs.run_available_now(spark, s, "append", "t2").select(
+        "tg_user_id", "start_ts", "last_ts", "requests")
+
+
+@query("t4_stream_daily_usage", with_fx("fx_invocations") + """
+select agent_id, cast(strftime(to_timestamp(created_at), '%Y%m%d') as integer) date, count(*) invocations,
+       cast(sum(input_tokens) as bigint) total_input_tokens, cast(sum(output_tokens) as bigint) total_output_tokens,
+       count(*) filter (where status = 'success') success_count
+from fx_invocations group by 1, 2""")
+def t4(spark, d):
+    li = jobs.stream_table(spark, d, "lineitem")
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    ln, flag = F.col("l_linenumber"), F.concat("l_returnflag", "l_linestatus")
+    inv = li.join(o, li.l_orderkey == o.o_orderkey).select(  # stream-static join
+        F.col("o_custkey").alias("tg_user_id"),
+        F.when(ln % 5 == 0, "mp_card_doctor").when(ln % 5 == 1, "mp_review_responder")
+         .when(ln % 5 == 2, "mp_competitor_scout").when(ln % 5 == 3, "mp_abc_xyz_analyst")
+         .otherwise("mp_unit_economics").alias("agent_id"),
+        (F.col("l_quantity").cast("long") * 400).alias("input_tokens"),
+        (F.col("l_quantity").cast("long") * 150).alias("output_tokens"),
+        F.when(flag == "AF", "timeout").when(flag == "AO", "rate_limit").when(flag == "RF", "api_error")
+         .when(flag == "RO", "retried_ok").otherwise("success").alias("status"),
+        (epoch_s("l_shipdate") + F.col("l_partkey") % 86400).alias("created_at"))
+    out = jobs.run_available_now(spark, jobs.stream_daily_usage(inv), "complete", "t4")
+    return out.drop("unique_users")
+
+
+@query("t1_stream_updates", with_fx("fx_upd_dedup") + """
+select update_id, kind, user_id, chat_id, ts, text, data, username, first_name, last_name, language_code
+from fx_upd_dedup""")
+def t1(spark, d):
+    """Raw update JSON lands as files (written from the fixture once); the
+    stream parses them and drops redeliveries within the watermark."""
+    from ..session import ensure_checkpoint_dir
+    from ..sources.fixtures import Fixtures
+    import uuid
+
+    landing = ensure_checkpoint_dir(spark).rstrip("/") + f"/landing/updates-{uuid.uuid4().hex[:12]}"
+    Fixtures(spark, d).updates().write.mode("overwrite").parquet(landing)
+    raw = spark.readStream.schema("raw string").parquet(landing)
+    s = jobs.stream_updates(raw)
+    out = jobs.run_available_now(spark, s, "append", "t1")
+    return out.select("update_id", "kind", "user_id", "chat_id", "ts", "text", "data", "username", "first_name",
+                      "last_name", "language_code")
