@@ -43,3 +43,72 @@ from (select cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date, coalesc
       from fx_decisions group by 1, 2, 3)""")
 def a6(spark, d):
     return admission.rejection_funnel(decisions(spark, d))
+
+
+# ---- retry queue (L4), remaining quota (A4), purge (R14) ------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions.time import epoch_s  # noqa: E402
+from ..operators import cohorts, telemetry  # noqa: E402
+from ..sources.tables import Tables  # noqa: E402
+
+QUEUE_AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC, the retry queue's own as_of
+QUOTA_DATE, PURGE_CUTOFF = 20240115, 20240124
+
+
+def retry_queue(spark, d):
+    """fx_retry_queue: error events as queued retries; every 40th malformed."""
+    e = Tables(spark, d).events.where(F.col("event_type") == "error")
+    k, u = F.col("event_id"), F.col("user_id")
+    item = F.to_json(F.struct(u.alias("user_id"), u.alias("chat_id"), F.lit("mp_card_doctor").alias("agent_id"),
+                              F.array(F.struct(F.lit("user").alias("role"),
+                                               F.format_string("q%d", k).alias("content"))).alias("messages"),
+                              (F.lit(1) + k % 2).cast("int").alias("attempts"),
+                              epoch_s("ts").alias("enqueued_at")))
+    raw = F.when(k % 40 == 0, F.lit('{"user_id":')).otherwise(item)
+    return e.select(F.format_string("retry:%d:%d", u, k).alias("key"), raw.alias("raw"),
+                    (k % 3 == 0).alias("ok"))
+
+
+@query("l4_retry_step", f"""
+with q as (select format('retry:{{}}:{{}}', user_id, event_id) key, user_id, event_id % 40 = 0 bad,
+                  1 + event_id % 2 attempts, epoch_us(ts) // 1000000 enqueued_at, event_id % 3 = 0 ok
+           from events where event_type = 'error'),
+t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600 order by key limit 100)
+select key, case when bad then null else user_id end user_id,
+       case when bad then null else 'mp_card_doctor' end agent_id,
+       case when bad then null else enqueued_at end enqueued_at,
+       case when bad then 'drop_malformed' when ok then 'retried_ok' when attempts + 1 >= 3 then 'give_up'
+            else 'requeue' end action,
+       case when bad then null when not ok then attempts + 1 else attempts end attempts
+from t""")
+def l4(spark, d):
+    q = retry_queue(spark, d)
+    return telemetry.retry_step(q.select("key", "raw"), q.select("key", "ok"), QUEUE_AS_OF)
+
+
+@query("a4_remaining_quota", with_fx("fx_decisions", "fx_requests", "fx_limits") + f"""
+, u as (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date, count(*) used
+        from fx_decisions where reason = 'allowed' group by 1, 2, 3)
+select s.tg_user_id, a.agent_id, s.plan, l.agent_limit "limit", coalesce(u.used, 0) used,
+       greatest(0, l.agent_limit - coalesce(u.used, 0)) remaining
+from (select distinct tg_user_id, plan from fx_requests) s
+join fx_limits l using (plan)
+cross join (select unnest(['mp_card_doctor', 'mp_review_responder', 'mp_competitor_scout',
+                           'mp_abc_xyz_analyst', 'mp_unit_economics']) agent_id) a
+left join u on u.tg_user_id = s.tg_user_id and u.agent_id = a.agent_id and u.date = {QUOTA_DATE}""")
+def a4(spark, d):
+    fx = Fixtures(spark, d)
+    usage = admission.usage_quota_daily(decisions(spark, d))
+    current = fx.requests().select("tg_user_id", "plan").distinct()
+    return admission.remaining_quota(usage, current, fx.request_limits(), QUOTA_DATE, spark)
+
+
+@query("r14_purge_report", with_fx("fx_decisions") + f"""
+select 'usage_quota' table_name, count(*) filter (where not (date < {PURGE_CUTOFF})) kept,
+       count(*) filter (where date < {PURGE_CUTOFF}) deleted
+from (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date
+      from fx_decisions where reason = 'allowed' group by 1, 2, 3)""")
+def r14(spark, d):
+    usage = admission.usage_quota_daily(decisions(spark, d))
+    return cohorts.purge_report(usage, "usage_quota", "date", PURGE_CUTOFF)
