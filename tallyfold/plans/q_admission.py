@@ -60,7 +60,7 @@ def retry_queue(spark, d):
     """fx_retry_queue: error events as queued retries; every 40th malformed."""
     e = Tables(spark, d).events.where(F.col("event_type") == "error")
     k, u = F.col("event_id"), F.col("user_id")
-    item = F.to_json(F.struct(u.alias("user_id"), u.alias("chat_id"), F.lit("mp_card_doctor").alias("agent_id"),
+    item = F.to_json(F.struct(u.alias("user_id"), u.alias("chat_id"), F.col("event_type").alias("agent_id"),
                               F.array(F.struct(F.lit("user").alias("role"),
                                                F.format_string("q%d", k).alias("content"))).alias("messages"),
                               (F.lit(1) + k % 2).cast("int").alias("attempts"),
@@ -76,7 +76,7 @@ with q as (select format('retry:{{}}:{{}}', user_id, event_id) key, user_id, eve
            from events where event_type = 'error'),
 t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600 order by key limit 100)
 select key, case when bad then null else user_id end user_id,
-       case when bad then null else 'mp_card_doctor' end agent_id,
+       case when bad then null else 'error' end agent_id,
        case when bad then null else enqueued_at end enqueued_at,
        case when bad then 'drop_malformed' when ok then 'retried_ok' when attempts + 1 >= 3 then 'give_up'
             else 'requeue' end action,
@@ -112,3 +112,27 @@ from (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as
 def r14(spark, d):
     usage = admission.usage_quota_daily(decisions(spark, d))
     return cohorts.purge_report(usage, "usage_quota", "date", PURGE_CUTOFF)
+
+
+@query("a5_refund_quota", with_fx("fx_decisions") + f"""
+, usage as (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date,
+                   count(*) count, max(ts) last_at
+            from fx_decisions where reason = 'allowed' group by 1, 2, 3),
+q as (select user_id, event_id % 40 = 0 bad, 1 + event_id % 2 attempts, epoch_us(ts) // 1000000 enqueued_at,
+             event_id % 3 = 0 ok, format('retry:{{}}:{{}}', user_id, event_id) key
+      from events where event_type = 'error'),
+t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600 order by key limit 100),
+g as (select user_id tg_user_id, 'error' agent_id,
+             cast(strftime(to_timestamp(enqueued_at), '%Y%m%d') as integer) date, count(*) n
+      from t where not bad and not ok and attempts + 1 >= 3 group by 1, 2, 3)
+select u.tg_user_id, u.agent_id, u.date, greatest(0, u.count - coalesce(g.n, 0)) count, u.last_at
+from usage u left join g using (tg_user_id, agent_id, date)""")
+def a5(spark, d):
+    """Given-up retries hand their quota back on the request's own date."""
+    from ..functions.time import yyyymmdd
+    q = retry_queue(spark, d)
+    step = telemetry.retry_step(q.select("key", "raw"), q.select("key", "ok"), QUEUE_AS_OF)
+    give = step.where(F.col("action") == "give_up").select(
+        F.col("user_id").alias("tg_user_id"), "agent_id", yyyymmdd(F.col("enqueued_at")).alias("date"))
+    usage = admission.usage_quota_daily(decisions(spark, d))
+    return admission.refund_quota(usage, give)
