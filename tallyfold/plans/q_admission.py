@@ -15,8 +15,8 @@ def decisions(spark, d):
 
 @query("a1_flood_sessions", with_fx("fx_requests") + f"""
 select tg_user_id, burst, min(ts) start_ts, max(ts) last_ts, count(*) requests
-from (select *, sum(case when prev is null or ts - prev >= {REQUEST_GAP_S} then 1 else 0 end) over (
-             partition by tg_user_id order by ts, request_id rows unbounded preceding) burst
+from (select *, cast(sum(case when prev is null or ts - prev >= {REQUEST_GAP_S} then 1 else 0 end) over (
+             partition by tg_user_id order by ts, request_id rows unbounded preceding) as bigint) burst
       from (select *, lag(ts) over (partition by tg_user_id order by ts, request_id) prev from fx_requests))
 group by tg_user_id, burst""")
 def a1(spark, d):
@@ -80,7 +80,7 @@ select key, case when bad then null else user_id end user_id,
        case when bad then null else enqueued_at end enqueued_at,
        case when bad then 'drop_malformed' when ok then 'retried_ok' when attempts + 1 >= 3 then 'give_up'
             else 'requeue' end action,
-       case when bad then null when not ok then attempts + 1 else attempts end attempts
+       cast(case when bad then null when not ok then attempts + 1 else attempts end as integer) attempts
 from t""")
 def l4(spark, d):
     q = retry_queue(spark, d)

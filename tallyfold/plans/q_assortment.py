@@ -95,7 +95,7 @@ def x4(spark, d):
 
 
 @query("x5_abc_xyz_shortlists", _SUPP + """
-select abc_xyz, rank, sku, revenue from (
+select abc_xyz, cast(rank as integer) rank, sku, revenue from (
   select *, row_number() over (partition by abc_xyz order by case when abc_xyz = 'AX' then -revenue else revenue end,
                                sku) rank
   from cls where abc_xyz in ('AX', 'CZ')) where rank <= 10""")
@@ -108,7 +108,8 @@ def x5(spark, d):
         join (select sku, min(category) category from sales_part group by 1) cat using (sku))
 select category, skus, a_skus, revenue, a_revenue, round(a_skus / skus, 4) a_sku_share,
        round(a_revenue / revenue, 4) a_revenue_share,
-       rank() over (order by round(a_revenue / revenue, 4) desc, round(a_skus / skus, 4) desc, category) growth_rank
+       cast(rank() over (order by round(a_revenue / revenue, 4) desc, round(a_skus / skus, 4) desc, category)
+            as integer) growth_rank
 from (select category, count(*) skus, count(*) filter (where abc = 'A') a_skus, cast(sum(revenue) as bigint) revenue,
              cast(sum(case when abc = 'A' then revenue else 0 end) as bigint) a_revenue
       from c group by 1)""")

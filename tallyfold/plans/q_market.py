@@ -36,14 +36,14 @@ AXIS_SQL = OFFERS_SQL + """,
 own as (select sku, min(competitor) own from offers group by 1),
 scores as (select o.sku, o.competitor, a.axis, o.competitor = w.own is_own,
                   cast((cast(o.sku as bigint) * 7 + o.competitor * 3 + a.axis * 5) % 11 as integer) score
-           from offers o join own w using (sku), (select unnest(range(12)) axis) a),
+           from offers o join own w using (sku), (select cast(unnest(range(12)) as integer) axis) a),
 matrix as (select o.sku, o.axis, o.score own, b.best best_competitor, o.score - b.best gap
            from (select * from scores where is_own) o
            join (select sku, axis, max(score) best from scores where not is_own group by 1, 2) b using (sku, axis))"""
 
 
 @query("c3_price_position", "with " + OFFERS_SQL + """
-select sku, competitor, rank() over (partition by sku order by price, competitor) price_rank,
+select sku, competitor, cast(rank() over (partition by sku order by price, competitor) as integer) price_rank,
        round(price / avg(price) over (partition by sku), 4) vs_mean,
        price >= 2.0 * avg(price) over (partition by sku) other_league,
        count(*) over (partition by sku) offers
@@ -70,7 +70,7 @@ def c1(spark, d):
 , r as (select *, row_number() over (partition by sku order by gap, axis) l,
                row_number() over (partition by sku order by gap desc, axis) w from matrix)
 select sku, axis, gap, case when l <= 3 then 'lagging' else 'winning' end kind,
-       case when l <= 3 then l else w end rank
+       cast(case when l <= 3 then l else w end as integer) rank
 from r where l <= 3 or w <= 2""")
 def c2(spark, d):
     return M.axis_extremes(M.axis_matrix(axis_scores(spark, d)))

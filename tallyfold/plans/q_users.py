@@ -104,7 +104,7 @@ def conv_messages(spark, d):
 
 @query("u6_context_window", """
 select session_id, turn, pos, role, content from (
-  select c.conv_id session_id, c.turn, h.turn - (c.turn - 3) pos, h.role, h.text content
+  select c.conv_id session_id, c.turn, cast(h.turn - (c.turn - 3) as integer) pos, h.role, h.text content
   from conversations c join conversations h on h.conv_id = c.conv_id and h.turn between c.turn - 3 and c.turn)""")
 def u6(spark, d):
     w = users.context_window(conv_messages(spark, d), n=4)
@@ -124,6 +124,7 @@ with c as (select conv_id session_id, turn, role, text content,
 p as (select session_id, turn, agent_id, content from c where role = 'user'),
 h as (select p.session_id, p.turn, c.turn hturn, c.role, c.content from p
       join c on c.session_id = p.session_id and c.turn between p.turn - 8 and p.turn - 1)
+select session_id, turn, cast(pos as integer) pos, role, content from (
 select session_id, turn, 0 pos, 'system' role,
        case when agent_id = 'mp_unit_economics' then 'You are a helpful WB/Ozon seller assistant. Answer concisely in Russian.'
             else 'system prompt for ' || agent_id end content from p
@@ -131,7 +132,7 @@ union all
 select session_id, turn, row_number() over (partition by session_id, turn order by hturn) pos, role, content from h
 union all
 select p.session_id, p.turn, (select count(*) from h where h.session_id = p.session_id and h.turn = p.turn) + 1,
-       'user', p.content from p""")
+       'user', p.content from p)""")
 def u7(spark, d):
     prompts = spark.createDataFrame(PROMPTS_FIXTURE, "agent_id string, system_prompt string")
     pr = users.assemble_prompts(conv_messages(spark, d), prompts, n=8)

@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import TABLES, digest  # noqa: E402
+from oracle_check import TABLES, digest, spark_type  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
@@ -32,6 +32,9 @@ def test_matches_oracle(spark, duck, name):
     dcols = [c[0] for c in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: spark_type(f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = {c[0]: str(c[1]).upper().replace(" ", "") for c in cur.description}
+    assert stypes == dtypes
     assert len(rows) == len(drows)
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
 
