@@ -95,3 +95,31 @@ def chunked_last_non_null(df: DataFrame, group: list[str], order: list[str], chu
     allk = allk.withColumn("__w_carry", F.last("__w_lastv", ignorenulls=True).over(ws)).drop("__w_lastv")
     d = d.join(allk, [*group, chunk], "left")
     return d.withColumn(out, F.coalesce("__w_loc", "__w_carry")).drop("__w_loc", "__w_carry")
+
+
+def chunked_frame_list(df: DataFrame, group: list[str], order: str, chunk: str, fields: list[str], n: int,
+                       out: str, include_current: bool = True) -> DataFrame:
+    """``out`` = the last ``n`` ``struct(fields)`` of the group up to the row
+    (including it, or only the rows before it), like ``collect_list`` over a
+    ``rows between n-1 preceding and current row`` frame, but with partitions
+    per (group, chunk).  The entries a chunk needs from before its start are
+    the tails (<= n entries) of up to n earlier chunks, carried by a window
+    over the per-chunk summary, so sparse or empty chunks are exact too."""
+    m = n if include_current else n + 1
+    item = F.struct(F.col(order).alias("__o"), *[F.col(f) for f in fields])
+    wl = Window.partitionBy(*group, chunk).orderBy(order).rowsBetween(-(m - 1), 0)
+    d = df.withColumn("__w_loc", F.collect_list(item).over(wl))
+    # tail of every chunk: its last m - 1 items (bounded)
+    rk = Window.partitionBy(*group, chunk).orderBy(F.col(order).desc())
+    tails = (df.withColumn("__w_rk", F.row_number().over(rk)).where(F.col("__w_rk") <= m - 1)
+             .groupBy(*group, chunk).agg(F.array_sort(F.collect_list(item)).alias("__w_tail")))
+    ws = Window.partitionBy(*group).orderBy(chunk).rowsBetween(-(m - 1), -1)
+    tails = tails.withColumn("__w_prev", F.flatten(F.collect_list("__w_tail").over(ws))).drop("__w_tail")
+    d = d.join(tails, [*group, chunk], "left")
+    full = F.concat(F.coalesce("__w_prev", F.array().cast(d.schema["__w_loc"].dataType)), F.col("__w_loc"))
+    last = F.slice(full, F.greatest(F.lit(1), F.size(full) - m + 1), m)
+    if not include_current:
+        last = F.slice(last, 1, F.size(last) - 1)
+        last = F.slice(last, F.greatest(F.lit(1), F.size(last) - n + 1), n)
+    strip = F.transform(last, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return d.withColumn(out, strip).drop("__w_loc", "__w_prev")

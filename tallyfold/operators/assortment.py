@@ -90,11 +90,17 @@ def abc_xyz_matrix(classes: DataFrame, spark) -> DataFrame:
 
 # X5 -------------------------------------------------------------------------
 def abc_xyz_shortlists(classes: DataFrame, k: int = 10) -> DataFrame:
-    """Top-k AX by revenue and top-k CZ exit candidates (lowest revenue)."""
-    c = classes.withColumn("abc_xyz", F.concat("abc", "xyz")).where(F.col("abc_xyz").isin("AX", "CZ"))
+    """Top-k AX by revenue and top-k CZ exit candidates (lowest revenue).
+
+    Each list is a distributed top-k (``orderBy().limit()`` plans as
+    TakeOrderedAndProject: k rows per partition, then a k-row merge), not a
+    window over a whole class."""
+    c = classes.withColumn("abc_xyz", F.concat("abc", "xyz"))
+    ax = c.where(F.col("abc_xyz") == "AX").orderBy(F.desc("revenue"), "sku").limit(k)
+    cz = c.where(F.col("abc_xyz") == "CZ").orderBy(F.asc("revenue"), "sku").limit(k)
     order = F.when(F.col("abc_xyz") == "AX", -F.col("revenue")).otherwise(F.col("revenue"))
-    w = Window.partitionBy("abc_xyz").orderBy(order, F.col("sku"))
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+    w = Window.partitionBy("abc_xyz").orderBy(order, F.col("sku"))  # over at most 2k rows
+    return ax.unionByName(cz).withColumn("rank", F.row_number().over(w)) \
         .select("abc_xyz", "rank", "sku", "revenue")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_int_prefix
 from ..functions.time import DAY, idiv, yyyymmdd
-from ..functions.windows import chunked_last_non_null
+from ..functions.windows import chunked_frame_list, chunked_last_non_null
 from ..sources.reference_data import AGENTS, DEFAULT_SYSTEM_PROMPT
 
 
@@ -123,27 +123,27 @@ def agent_as_of(handled: DataFrame, updates: DataFrame, chunk_s: int = DAY) -> D
 
 
 # U6 / U7 --------------------------------------------------------------------
-def context_window(messages: DataFrame, n: int = 8, key: str = "session_id", order: str = "turn") -> DataFrame:
+def context_window(messages: DataFrame, n: int = 8, key: str = "session_id", order: str = "turn",
+                   chunk_turns: int = 256) -> DataFrame:
     """History after each message: the last ``n`` (role, content) entries of
-    the session.  A bounded frame (``n`` rows), never a whole-group list."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
-    return messages.withColumn("context", F.collect_list(F.struct("role", "content")).over(w))
+    the session.  A bounded frame per (session, turn chunk), so a very long
+    session is spread over many tasks (``functions.windows``)."""
+    d = messages.withColumn("_chunk", idiv(F.col(order), chunk_turns))
+    return chunked_frame_list(d, [key], order, "_chunk", ["role", "content"], n, "context").drop("_chunk")
 
 
 def assemble_prompts(messages: DataFrame, agent_prompts: DataFrame, n: int = 8, key: str = "session_id",
-                     order: str = "turn") -> DataFrame:
+                     order: str = "turn", chunk_turns: int = 256) -> DataFrame:
     """Batch-inference input for each user turn: ``[system] + last n of the
     history before it + [user]``.  Missing prompt -> default text.
     ``agent_prompts`` has one row per agent (five), so it is broadcast."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-n, -1)
-    hist = messages.withColumn("_hist", F.collect_list(F.struct("role", "content")).over(w))
+    d = messages.withColumn("_chunk", idiv(F.col(order), chunk_turns))
+    hist = chunked_frame_list(d, [key], order, "_chunk", ["role", "content"], n, "_hist", include_current=False)
     u = hist.where(F.col("role") == "user").join(F.broadcast(agent_prompts), "agent_id", "left")
     system = F.struct(F.lit("system").alias("role"),
                       F.coalesce("system_prompt", F.lit(DEFAULT_SYSTEM_PROMPT)).alias("content"))
     user = F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))
-    return u.select(key, order, "agent_id",
-                    F.concat(F.array(system), F.slice("_hist", F.greatest(F.lit(1), F.size("_hist") - n + 1), n),
-                             F.array(user)).alias("prompt"))
+    return u.select(key, order, "agent_id", F.concat(F.array(system), F.col("_hist"), F.array(user)).alias("prompt"))
 
 
 # U8 -------------------------------------------------------------------------
