@@ -300,3 +300,45 @@ def _tariffs(self) -> DataFrame:
 
 Fixtures.sku_economics = _sku_economics
 Fixtures.tariffs = _tariffs
+
+
+# ---- fixture logs and provider responses ------------------------------------------
+def _logs(self) -> DataFrame:
+    """fx_logs: events as JSON log lines carrying personal keys to strip."""
+    e = self.t.events
+    k, u = F.col("event_id"), F.col("user_id")
+    level = (F.when(k % 4 == 1, F.lit("warn")).when(k % 4 == 2, F.lit("error"))
+             .when(k % 4 == 3, F.lit("info")))
+    line = F.to_json(F.struct(
+        (epoch_s("ts") * 1000).alias("ts"), level.alias("level"), F.col("event_type").alias("event"),
+        u.alias("user_id"), F.lit("mp_card_doctor").alias("agent_id"), (k % 1000).alias("latency_ms"),
+        F.format_string("u%d", u).alias("username"), F.format_string("User%d", u).alias("first_name"),
+        F.format_string("private text %d", k).alias("text")))
+    return e.select(F.when(k % 50 == 7, F.lit("not a json line")).otherwise(line).alias("line"))
+
+
+def _responses(self) -> DataFrame:
+    """fx_responses: events.props wrapped in the three provider response shapes."""
+    e = self.t.events
+    k = F.col("event_id")
+    n = F.regexp_extract("props", r"(\d+)", 1).cast("long")
+    content = F.format_string("answer %d", n)
+    choices = F.when(k % 13 == 0, F.array().cast("array<struct<message:struct<content:string>>>")) \
+        .otherwise(F.array(F.struct(F.struct(content.alias("content")).alias("message"))))
+    usage = F.when(k % 11 != 0, F.struct((n * 10).alias("prompt_tokens"), (n * 3).alias("completion_tokens")))
+    groq = F.to_json(F.struct(choices.alias("choices"), usage.alias("usage")))
+    orr = F.to_json(F.struct(F.when(k % 2 == 0, F.lit("qwen/qwen-2.5-72b-instruct")).alias("model"),
+                             choices.alias("choices"), usage.alias("usage")))
+    alts = F.when(k % 13 == 0, F.array().cast("array<struct<message:struct<role:string,text:string>>>")) \
+        .otherwise(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), content.alias("text")).alias("message"))))
+    yusage = F.struct(F.when(k % 11 == 0, F.lit("abc")).otherwise((n * 10).cast("string")).alias("inputTextTokens"),
+                      (n * 3).cast("string").alias("completionTokens"))
+    yandex = F.to_json(F.struct(F.struct(alts.alias("alternatives"), yusage.alias("usage")).alias("result")))
+    prov = F.when(k % 3 == 0, "groq").when(k % 3 == 1, "openrouter").otherwise("yandex")
+    body = F.when(k % 17 == 0, F.lit("<html>upstream error</html>")) \
+        .otherwise(F.when(k % 3 == 0, groq).when(k % 3 == 1, orr).otherwise(yandex))
+    return e.select(k.alias("request_id"), prov.alias("provider"), body.alias("body"))
+
+
+Fixtures.logs = _logs
+Fixtures.responses = _responses
