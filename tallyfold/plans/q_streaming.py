@@ -61,3 +61,45 @@ def t1(spark, d):
     out = jobs.run_available_now(spark, s, "append", "t1")
     return out.select("update_id", "kind", "user_id", "chat_id", "ts", "text", "data", "username", "first_name",
                       "last_name", "language_code")
+
+
+@query("t3_stream_admission", with_fx("fx_decisions") + "select * from fx_decisions")
+def t3(spark, d):
+    """Admission as a keyed-state stream over the request events; equals A2."""
+    from ..sources.fixtures import REQUEST_LIMITS
+
+    lim = {p: (f, dl, a) for p, f, dl, a in REQUEST_LIMITS}
+    u = F.col("user_id")
+    req = jobs.stream_table(spark, d, "events").select(
+        F.col("event_id").alias("request_id"), u.alias("tg_user_id"), F.col("event_type").alias("agent_id"),
+        epoch_s("ts").alias("ts"),
+        F.when(u % 4 == 0, "free_trial").when(u % 4 == 1, "starter").when(u % 4 == 2, "pro")
+         .otherwise("business").alias("plan"))
+    out = jobs.run_available_now(spark, jobs.stream_admission(req, lim, REQUEST_GAP_S), "append", "t3")
+    return out
+
+
+@query("t5_stream_payment_state", with_fx("fx_payment_state") + """
+select id, tg_user_id, provider, amount_rub, plan, created_at, status, finalized_at from fx_payment_state""")
+def t5(spark, d):
+    """Callbacks land as two files (first and second callback of every
+    payment); the stream folds them batch by batch into the payments table."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.fixtures import TEST_SECRET_A, TEST_SECRET_B, Fixtures
+    from ..sources.reference_data import payment_status_map
+
+    fx = Fixtures(spark, d)
+    cols = ["id", "tg_user_id", "provider", "amount_rub", "plan", "created_at", "status", "finalized_at"]
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t5-{uuid.uuid4().hex[:12]}"
+    fx.payments().select(*cols).withColumn("_v", F.lit(0)).write.partitionBy("provider").parquet(root + "/payments")
+    cb = fx.callbacks()
+    for e in (0, 1):  # arrival order: all first callbacks, then all second ones
+        cb.where(F.col("event_id") % 2 == e).coalesce(1).write.parquet(f"{root}/landing/part={e}")
+    stream = (spark.readStream.schema("event_id long, provider string, body string, received_at long, "
+                                      "signature string, part int")
+              .option("maxFilesPerTrigger", 1).parquet(root + "/landing"))
+    jobs.stream_payment_state(spark, stream.drop("part"), root + "/payments", fx.payments().select("id"),
+                              TEST_SECRET_A, TEST_SECRET_B, payment_status_map(spark))
+    return spark.read.parquet(root + "/payments").select(*cols)

@@ -114,11 +114,13 @@ class Fixtures:
 
     def request_limits(self) -> DataFrame:
         """Fixture limits: flood 1 free / 3 paid per burst, free day 2, agent day 1."""
-        rows = [("free_trial", 1, 2, 1), ("starter", 3, None, 1), ("pro", 3, None, 1), ("business", 3, None, 1)]
-        return self.spark.createDataFrame(rows, "plan string, flood_limit int, day_limit int, agent_limit int")
+        return self.spark.createDataFrame(REQUEST_LIMITS,
+                                          "plan string, flood_limit int, day_limit int, agent_limit int")
 
 
 REQUEST_GAP_S = 6 * 3600
+# fixture limits per plan: (plan, flood per burst, free day cap, per-agent daily quota)
+REQUEST_LIMITS = [("free_trial", 1, 2, 1), ("starter", 3, None, 1), ("pro", 3, None, 1), ("business", 3, None, 1)]
 
 
 # ---- fixed fixture values (payment callbacks, provider snapshots, attempts) ----

@@ -93,3 +93,93 @@ def stream_daily_revenue(payments: DataFrame) -> DataFrame:
                  F.approx_count_distinct("tg_user_id").alias("unique_payers"))
             .select(yyyymmdd(F.unix_seconds(F.col("w.start"))).alias("date"), "payments_count", "revenue_rub",
                     "unique_payers"))
+
+
+# T5 -------------------------------------------------------------------------
+def stream_payment_state(spark: SparkSession, callbacks: DataFrame, table_path: str, payments_key: DataFrame,
+                         secret_a: str, secret_b: str, status_map: DataFrame, name: str = "t5") -> None:
+    """B3 on a stream: every micro-batch of raw callbacks is verified,
+    normalised and folded into the payment table at ``table_path`` (upsert
+    of the changed rows, partitioned by provider).  The closed-form fold is
+    correct from any starting status, so folding batch by batch in arrival
+    order equals folding the whole history."""
+    from ..operators.billing import apply_payment_events, normalize_payment_status
+    from ..sources.callbacks import parse_payment_callbacks
+    from ..sources.logs import upsert_parquet
+
+    cols = ["id", "tg_user_id", "provider", "amount_rub", "plan", "created_at", "status", "finalized_at"]
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        ev = parse_payment_callbacks(batch, payments_key, secret_a, secret_b).where(F.col("outcome") == "ok")
+        ev = normalize_payment_status(ev, status_map)
+        current = spark.read.parquet(table_path).join(
+            ev.select(F.col("payment_id").alias("id")).distinct(), "id", "left_semi")
+        new = apply_payment_events(current.select(*cols), ev).where(F.col("changed"))
+        upsert_parquet(spark, new.select(*cols).withColumn("_v", F.lit(epoch + 1)), table_path, ["id"], ["_v"],
+                       ["provider"])
+
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
+    q = (callbacks.writeStream.option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True)
+         .foreachBatch(fold).start())
+    q.awaitTermination()
+
+
+# T3 -------------------------------------------------------------------------
+ADMISSION_OUT = ("request_id long, tg_user_id long, agent_id string, ts long, plan string, reason string, "
+                 "remaining long")
+ADMISSION_STATE = ("last_ts long, burst long, day int, day_count long, quota_day int, quota string")
+
+
+def stream_admission(requests: DataFrame, limits: dict[str, tuple[int, int | None, int]], gap_s: int) -> DataFrame:
+    """A2 with keyed state per user (``applyInPandasWithState``): the flood
+    burst (last request time and count), the free-plan day counter and the
+    per-agent counters of the current UTC day.  State stays bounded: the
+    agent counters are reset when the day changes.  Requests of a user are
+    applied in (ts, request_id) order; a later micro-batch continues from the
+    stored state."""
+    import json
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, pdfs, state):
+        if state.exists:
+            last_ts, burst, day, day_count, quota_day, quota = state.get
+            quota = json.loads(quota)
+        else:
+            last_ts, burst, day, day_count, quota_day, quota = None, 0, None, 0, None, {}
+        out = []
+        pdf = pd.concat(list(pdfs)).sort_values(["ts", "request_id"])
+        for r in pdf.itertuples(index=False):
+            if r.plan is None or r.plan != r.plan:
+                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, None, "no_active_plan", 0))
+                continue
+            flood, day_lim, agent_lim = limits[r.plan]
+            burst = burst + 1 if last_ts is not None and r.ts - last_ts < gap_s else 1
+            last_ts = int(r.ts)
+            free = r.plan == "free_trial"
+            if burst > flood:
+                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan,
+                            "free_minute" if free else "flood", 0))
+                continue
+            d = int(pd.Timestamp(int(r.ts), unit="s").strftime("%Y%m%d"))
+            if free:
+                day_count = day_count + 1 if day == d else 1
+                day = d
+                if day_lim is not None and day_count > day_lim:
+                    out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "free_daily", 0))
+                    continue
+            if quota_day != d:
+                quota_day, quota = d, {}
+            used = quota.get(r.agent_id, 0) + 1
+            if used > agent_lim:
+                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "daily_quota", 0))
+            else:
+                quota[r.agent_id] = used
+                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "allowed", agent_lim - used))
+        state.update((last_ts, burst, day, day_count, quota_day, json.dumps(quota)))
+        yield pd.DataFrame(out, columns=["request_id", "tg_user_id", "agent_id", "ts", "plan", "reason",
+                                         "remaining"])
+
+    return requests.groupBy("tg_user_id").applyInPandasWithState(
+        step, ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.NoTimeout)
