@@ -76,7 +76,12 @@ def c2(spark, d):
     return M.axis_extremes(M.axis_matrix(axis_scores(spark, d)))
 
 
-@query("c5_rank_fixes")
+@query("c5_rank_fixes", "with " + AXIS_SQL + """
+, r as (select *, row_number() over (partition by sku order by gap, axis) l from matrix),
+f as (select sku, 'raise_axis_' || axis fix, -gap effect, axis % 3 + 1 effort from r where l <= 3)
+select sku, fix, effect, effort, ratio, cast(rank as integer) rank from (
+  select *, round(effect / effort, 4) ratio, row_number() over (partition by sku order by round(effect / effort, 4) desc, fix) rank
+  from f) where rank <= 5""")
 def c5(spark, d):
     """Fixes proposed from the lagging axes: effect = -gap, effort by axis."""
     lag = M.axis_extremes(M.axis_matrix(axis_scores(spark, d))).where(F.col("kind") == "lagging")
@@ -95,19 +100,36 @@ REVIEW_RULES = [("defect", "(?i)(defect|broken|cass|kaputt|брак|слома)"
                 ("question", "\\?", 6)]
 
 
+
+REVIEWS_SQL = """
+rv as (select doc_id review_id, source sku, cast(1 + doc_id % 5 as integer) stars, text from documents),
+rules as (select * from (values """ + ", ".join(
+    "('%s', '%s', %d)" % (c, p.replace("'", "''"), pr) for c, p, pr in REVIEW_RULES) + """) t(category, pattern, priority)),
+cls as (select rv.review_id, rv.sku, rv.stars,
+               case when rv.stars <= 2 then 'negative' when rv.stars = 3 then 'neutral' else 'positive' end tone,
+               case when rv.stars <= 2 then 3 when rv.stars = 3 then 2 else 1 end min_sentences,
+               case when rv.stars <= 2 then 5 when rv.stars = 3 then 3 else 2 end max_sentences,
+               coalesce(h.problem, 'none') problem
+        from rv left join (select review_id, arg_min(category, priority * 100 + 0) problem
+                           from rv join rules on regexp_matches(rv.text, rules.pattern) group by 1) h using (review_id))"""
+
+
 def reviews(spark, d):
     doc = Tables(spark, d).documents
     return doc.select(F.col("doc_id").alias("review_id"), F.col("source").alias("sku"),
                       (F.lit(1) + F.col("doc_id") % 5).cast("int").alias("stars"), "text")
 
 
-@query("v1_classify_reviews")
+@query("v1_classify_reviews", "with " + REVIEWS_SQL + " select * from cls")
 def v1(spark, d):
     rules = spark.createDataFrame(REVIEW_RULES, "category string, pattern string, priority int")
     return M.classify_reviews(reviews(spark, d), rules)
 
 
-@query("v2_top_themes")
+@query("v2_top_themes", "with " + REVIEWS_SQL + """
+select sku, problem, n, cast(rank as integer) rank, n >= 3 systemic from (
+  select *, row_number() over (partition by sku order by n desc, problem) rank
+  from (select sku, problem, count(*) n from cls where problem <> 'none' group by 1, 2)) where rank <= 3""")
 def v2(spark, d):
     return M.top_themes(v1(spark, d))
 
@@ -125,12 +147,27 @@ def v3(spark, d):
 BANNED_CLICHES = ["thank you for your feedback", "we value your opinion", "merci pour votre avis"]
 
 
-@query("v4_lint_replies")
+@query("v4_lint_replies", """
+with rep as (select format('{}-{}', conv_id, turn) reply_id, cast(1 + conv_id % 5 as integer) stars, text reply
+             from conversations where role = 'assistant'),
+x as (select *, cast(len(list_filter(regexp_split_to_array(trim(reply), '[.!?]+'), lambda s: length(trim(s)) > 0))
+                     as integer) sentences,
+             case when stars <= 2 then 3 when stars = 3 then 2 else 1 end lo,
+             case when stars <= 2 then 5 when stars = 3 then 3 else 2 end hi
+      from rep)
+select reply_id, stars, sentences,
+       array_to_string(list_filter([case when stars <= 2 and contains(reply, '!') then 'exclamation_in_negative' end,
+                                    case when """ + " or ".join(f"contains(lower(reply), '{b}')" for b in BANNED_CLICHES)
+       + """ then 'banned_cliche' end,
+                                    case when sentences < lo or sentences > hi then 'sentence_count' end],
+                                   lambda v: v is not null), ',') violations
+from x""")
 def v4(spark, d):
     c = Tables(spark, d).conversations.where(F.col("role") == "assistant")
     rep = c.select(F.format_string("%d-%d", F.col("conv_id"), F.col("turn")).alias("reply_id"),
                    (F.lit(1) + F.col("conv_id") % 5).cast("int").alias("stars"), F.col("text").alias("reply"))
-    return M.lint_replies(rep, BANNED_CLICHES)
+    out = M.lint_replies(rep, BANNED_CLICHES)
+    return out.withColumn("violations", F.array_join("violations", ","))
 
 
 # ---- cards over documents x part --------------------------------------------------
@@ -170,12 +207,34 @@ def d1(spark, d):
     return M.card_checks(cards(spark, d))
 
 
-@query("d2_keyword_stats")
+@query("d2_keyword_stats", "with " + CARDS_SQL + """
+, w as (select card_id,
+               list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) words,
+               list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'),
+                                         lambda x: length(x) >= 4)) ks
+        from cards)
+select card_id, cast(len(words) as integer) words, cast(len(ks) as integer) keys,
+       cast(len(list_filter(words, lambda x: list_contains(ks, x))) as integer) key_hits,
+       case when len(words) > 0 then round(len(list_filter(words, lambda x: list_contains(ks, x))) / len(words), 4) end density,
+       coalesce(len(words) > 0 and len(list_filter(words, lambda x: list_contains(ks, x))) / len(words) > 0.03, false) spam
+from w""")
 def d2(spark, d):
     return M.keyword_stats(cards(spark, d))
 
 
-@query("d3_card_scorecard")
+@query("d3_card_scorecard", "with " + CARDS_SQL + """
+, chk as (select card_id, 'title_length' block, length(title) <= case when mp = 'WB' then 100 else 200 end ok from cards
+  union all select card_id, 'description_length', length(description) between 1500 and 2500 from cards
+  union all select card_id, 'slides', slides between 5 and 8 from cards
+  union all select card_id, 'photos', photos between 6 and 10 from cards
+  union all select card_id, 'video', coalesce(video_sec between 15 and 30, false) from cards
+  union all select card_id, 'price_index', coalesce(price_index < 60, true) from cards),
+wt as (select * from (values """ + ", ".join(f"('{b}', {w})" for b, w in M.BLOCK_WEIGHTS) + """) t(block, weight))
+select card_id, block, priority, weight, cast(rank as integer) rank from (
+  select c.card_id, c.block, w.weight,
+         case when w.weight >= 3 then 'critical' when w.weight = 2 then 'medium' else 'cosmetic' end priority,
+         row_number() over (partition by c.card_id order by w.weight * 10 desc, c.block) rank
+  from chk c join wt w using (block) where not c.ok) where rank <= 5""")
 def d3(spark, d):
     return M.card_scorecard(M.card_checks(cards(spark, d)))
 

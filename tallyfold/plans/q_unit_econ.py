@@ -95,7 +95,14 @@ def e5(spark, d):
     return U.margin_flags(net(spark, d)).select("sku", "flag")
 
 
-@query("e6_loss_leaks")
+@query("e6_loss_leaks", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + f"""
+, l as (select sku, item, amount from n
+        unpivot (amount for item in (commission, acquiring, logistics, storage, returns, cost,
+                                     ad_per_unit, tax))
+        where net < 0)
+select sku, item, round(amount::{D}, 2)::{M} amount,
+       cast(row_number() over (partition by sku order by amount::{D} desc, item) as integer) rank
+from l""")
 def e6(spark, d):
     return U.loss_leaks(net(spark, d))
 
@@ -122,11 +129,35 @@ def e9(spark, d):
     return U.sensitivity(fx.sku_economics(), fx.tariffs(), ECON_REGIME, ECON_TURNOVER)
 
 
-@query("e1_validate_skus")
+@query("e1_validate_skus", "with " + SKUS + f"""
+select sku, array_to_string(list_filter([case when price < cost then 'price_below_cost' end,
+                                         case when cost < 0 then 'negative_cost' end,
+                                         {"'usn_over_limit'" if ECON_REGIME.startswith("USN") and ECON_TURNOVER > U.USN_LIMIT
+                                          else "null::varchar"},
+                                         case when category_commission is null then 'missing_commission' end,
+                                         case when buyout_rate is null then 'missing_buyout' end], lambda x: x is not null),
+                            ',') issues,
+       (select count(*) from skus) > 100 segment_by_category
+from skus""")
 def e1(spark, d):
-    return U.validate_skus(Fixtures(spark, d).sku_economics(), ECON_REGIME, ECON_TURNOVER)
+    v = U.validate_skus(Fixtures(spark, d).sku_economics(), ECON_REGIME, ECON_TURNOVER)
+    return v.select("sku", F.array_join("issues", ",").alias("issues"), "segment_by_category")
 
 
-@query("e10_regime_compare")
+def _tax_sql(reg: str) -> str:
+    vat_in = f"((price - (commission + acquiring + logistics + storage + returns)::{D}) * 0.18032787::decimal(18,8))::{D}"
+    vat_extra = f"(price * {'0.05' if ECON_TURNOVER <= U.VAT_5_MAX else '0.07'}::{D})"
+    return {"USN6": f"(price * 0.06::{D})::{D}",
+            "USN15": f"(greatest(0::{D}, cm2) * 0.15::{D})::{D}",
+            "USN_VAT": f"((price * 0.06::{D}) + {vat_extra})::{D}",
+            "OSNO": f"(greatest(0::{D}, {vat_in}) + greatest(0::{D}, cm2 - greatest(0::{D}, {vat_in})) * 0.25::{D})::{D}",
+            "AUSN": f"(price * 0.08::{D})::{D}"}[reg]
+
+
+@query("e10_regime_compare", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + f"""
+, top as (select sku from n order by net desc, sku limit 5)
+select sku, """ + ", ".join(f"round((cm2 - {_tax_sql(r)})::{D}, 2)::{M} \"{r}\"" for r in U.REGIMES) + f""",
+       {str(ECON_TURNOVER >= 0.8 * U.USN_LIMIT).lower()} usn_limit_risk
+from w where sku in (select sku from top)""")
 def e10(spark, d):
     return U.regime_compare(cm(spark, d), ECON_TURNOVER)
