@@ -208,7 +208,61 @@ def r12_raw(spark, d):
     return cohorts.silent_payers(users, fx.subscriptions_as_of(A), inv, A)
 
 
-@query("r13_nudge_plan")
+def _segments_sql(a: int, subs: str, inv: str) -> str:
+    """The six cohorts at ``a`` as (tg_user_id, event, params), DuckDB text."""
+    def coh(k):
+        return (f"u.is_banned = 0 and u.is_deleted = 0 and u.registered_at between {a} - {k + 1} * 86400 "
+                f"and {a} - {k} * 86400")
+    return f"""
+select tg_user_id, 'd1_no_first_request' event, '' params from (
+  select u.tg_user_id from fx_users_active u left join {inv} a on a.tg_user_id = u.tg_user_id
+  where {coh(1)} group by u.tg_user_id having count(a.l_orderkey) = 0 order by 1 limit 200)
+union all
+select tg_user_id, 'd2_no_first_request', '' from (
+  select u.tg_user_id from fx_users_active u left join {inv} a on a.tg_user_id = u.tg_user_id
+  where {coh(2)} group by u.tg_user_id having count(a.l_orderkey) = 0 order by 1 limit 200)
+union all
+select tg_user_id, 'd4_one_agent', '' from (
+  select u.tg_user_id, count(distinct a.agent_id) ua from fx_users_active u
+  left join {inv} a on a.tg_user_id = u.tg_user_id where {coh(4)} group by u.tg_user_id
+  having count(distinct a.agent_id) <= 1 order by 1 limit 200) where ua <> 0
+union all
+select tg_user_id, case when ua >= 3 then 'd7_trial_activated' else 'd7_trial_not_activated' end,
+       case when ua >= 3 then format('calls={{}};agents={{}}', tc, ua) else '' end from (
+  select u.tg_user_id, count(distinct a.agent_id) ua, count(a.agent_id) tc from fx_users_active u
+  join {subs} s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan = 'free_trial'
+  left join {inv} a on a.tg_user_id = u.tg_user_id where {coh(6)} group by u.tg_user_id order by 1 limit 200)
+union all
+select tg_user_id, 'sub_expiring_' || expires_at,
+       format('plan={{}};date={{}}', plan, strftime(to_timestamp(expires_at), '%Y-%m-%d')) from (
+  select * from {subs} where is_active = 1 and plan <> 'free_trial'
+    and expires_at between {a} + 2 * 86400 and {a} + 3 * 86400 order by tg_user_id, expires_at limit 500)
+union all
+select tg_user_id, 'silence_7d_{a // (7 * DAY)}', '' from (
+  select u.tg_user_id from fx_users_active u
+  join {subs} s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan <> 'free_trial'
+  left join {inv} a on a.tg_user_id = u.tg_user_id where u.is_banned = 0 and u.is_deleted = 0
+  group by u.tg_user_id having max(a.created_at) is not null and max(a.created_at) < {a} - 7 * 86400
+  order by 1 limit 200)"""
+
+
+_PREV = A - DAY
+_STATE_PREV = f"""
+, subs_prev as (select *, case when closed_at is null and expires_at >= {_PREV} then 1 else 0 end is_active2
+                from (select *, lead(started_at) over (partition by tg_user_id
+                                                       order by started_at, payment_id nulls first) closed_at
+                      from fx_subscriptions where started_at <= {_PREV})),
+subs_prev2 as (select * exclude (is_active, is_active2), is_active2 is_active from subs_prev),
+inv_prev as (select * from fx_inv_asof where created_at <= {_PREV}),
+ledger as (select tg_user_id, event, min(params) params from ({_segments_sql(_PREV, "subs_prev2", "inv_prev")})
+           group by 1, 2),
+today as ({_segments_sql(A, "fx_subs_state", "fx_inv_asof")})
+select t.tg_user_id, t.event, min(t.params) params, {A}::bigint sent_at
+from today t where not exists (select 1 from ledger l where l.tg_user_id = t.tg_user_id and l.event = t.event)
+group by 1, 2"""
+
+
+@query("r13_nudge_plan", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state", "fx_subscriptions") + _STATE_PREV)
 def r13(spark, d):
     """Today's six cohorts minus what yesterday's run already sent."""
     fx, users, subs_all, inv_all = _ctx(spark, d)
