@@ -110,3 +110,30 @@ def t5(spark, d):
     jobs.stream_payment_state(spark, stream.drop("part"), root + "/payments", fx.payments().select("id"),
                               TEST_SECRET_A, TEST_SECRET_B, payment_status_map(spark))
     return spark.read.parquet(root + "/payments").select(*cols)
+
+
+@query("t6_cron_cycle", with_fx("fx_decisions") + """
+, usage as (select cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date
+            from fx_decisions where reason = 'allowed' group by tg_user_id, agent_id, 1),
+runs as (select distinct cast(strftime(ts, '%Y%m%d') as integer) date from events
+         where hour(ts) = 0 and minute(ts) < 10),
+r as (select date, cast(strftime(strptime(date::varchar, '%Y%m%d') - interval 7 day, '%Y%m%d') as integer) cutoff
+      from runs)
+select r.date, r.cutoff, (select count(*) from usage u where u.date < r.cutoff) deleted_total,
+       (select count(*) from usage u where u.date >= r.cutoff and u.date < r.date) kept
+from r""")
+def t6(spark, d):
+    """Cron firings arrive with the event stream (one tick per event, floored
+    to the 5-minute cron slot); the daily block reports the quota purge."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from .q_admission import decisions
+    from ..operators import admission
+
+    usage = admission.usage_quota_daily(decisions(spark, d))
+    ticks = jobs.stream_table(spark, d, "events").select(
+        (jobs.F.floor(epoch_s("ts") / 300) * 300).cast("long").alias("ts"))
+    ledger = ensure_checkpoint_dir(spark).rstrip("/") + f"/ledgers/cron-{uuid.uuid4().hex[:12]}"
+    jobs.cron_cycle(spark, ticks, usage, ledger)
+    return spark.read.parquet(ledger).select("date", "cutoff", "deleted_total", "kept")
