@@ -14,12 +14,23 @@ leading order column.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _UNB = Window.unboundedPreceding
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Each helper reads its windowed input twice (rows, and the per-chunk
+    summary joined back); column pruning makes the two branches differ, so
+    Spark would not reuse the shuffle and stacked helpers would recompute
+    their inputs 2^k times.  Materialise the intermediate once (spills to
+    disk; lost blocks are recomputed from lineage; the context cleaner drops
+    it when the DataFrame is no longer referenced)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _cols(cs):
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -36,7 +47,7 @@ def chunked_running(df: DataFrame, group: list[str], order: list[str], chunk: st
     comb = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[how]
     d = df.withColumn("__w_v", value)
     wl = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(_UNB, -1 if exclusive else 0)
-    d = d.withColumn("__w_loc", agg("__w_v").over(wl))
+    d = _once(d.withColumn("__w_loc", agg("__w_v").over(wl)))
     extra = group_aggs or {}
     summ = d.groupBy(*group, chunk).agg(agg("__w_v").alias("__w_tot"), *[a.alias(n) for n, a in extra.items()])
     ws = Window.partitionBy(*group).orderBy(chunk).rowsBetween(_UNB, -1)
@@ -56,8 +67,8 @@ def chunked_lag(df: DataFrame, group: list[str], order: list[str], chunk: str, v
                 out: str) -> DataFrame:
     """``out`` = ``value`` of the previous row in the group (null for the first)."""
     wl = Window.partitionBy(*group, chunk).orderBy(*order)
-    d = df.withColumn("__w_loc", F.lag(value).over(wl))
-    summ = df.groupBy(*group, chunk).agg(F.max_by(F.col(value), F.struct(*order)).alias("__w_last"))
+    d = _once(df.withColumn("__w_loc", F.lag(value).over(wl)))
+    summ = d.groupBy(*group, chunk).agg(F.max_by(F.col(value), F.struct(*order)).alias("__w_last"))
     ws = Window.partitionBy(*group).orderBy(chunk)
     summ = summ.withColumn("__w_prev", F.lag("__w_last").over(ws)).drop("__w_last")
     d = d.join(summ, [*group, chunk], "left")
@@ -68,8 +79,8 @@ def chunked_lead(df: DataFrame, group: list[str], order: list[str], chunk: str,
                  out: str) -> DataFrame:
     """``out`` = ``value`` of the next row in the group (null for the last)."""
     wl = Window.partitionBy(*group, chunk).orderBy(*order)
-    d = df.withColumn("__w_loc", F.lead(value).over(wl))
-    summ = df.groupBy(*group, chunk).agg(F.min_by(F.col(value), F.struct(*order)).alias("__w_first"))
+    d = _once(df.withColumn("__w_loc", F.lead(value).over(wl)))
+    summ = d.groupBy(*group, chunk).agg(F.min_by(F.col(value), F.struct(*order)).alias("__w_first"))
     ws = Window.partitionBy(*group).orderBy(chunk)
     summ = summ.withColumn("__w_next", F.lead("__w_first").over(ws)).drop("__w_first")
     d = d.join(summ, [*group, chunk], "left")
@@ -84,12 +95,12 @@ def chunked_last_non_null(df: DataFrame, group: list[str], order: list[str], chu
                           out: str) -> DataFrame:
     """``out`` = last non-null ``value`` at or before the row (as-of lookup)."""
     wl = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(_UNB, 0)
-    d = df.withColumn("__w_loc", F.last(value, ignorenulls=True).over(wl))
-    summ = (df.where(F.col(value).isNotNull()).groupBy(*group, chunk)
+    d = _once(df.withColumn("__w_loc", F.last(value, ignorenulls=True).over(wl)))
+    summ = (d.where(F.col(value).isNotNull()).groupBy(*group, chunk)
             .agg(F.max_by(F.col(value), F.struct(*order)).alias("__w_lastv")))
     # carry = last non-null of all earlier chunks; chunks without values are
     # absent from the summary, so look them up with an as-of on the chunk key
-    keys = df.select(*group, chunk).distinct()
+    keys = d.select(*group, chunk).distinct()
     allk = keys.join(summ, [*group, chunk], "left")
     ws = Window.partitionBy(*group).orderBy(chunk).rowsBetween(_UNB, -1)
     allk = allk.withColumn("__w_carry", F.last("__w_lastv", ignorenulls=True).over(ws)).drop("__w_lastv")
@@ -108,10 +119,10 @@ def chunked_frame_list(df: DataFrame, group: list[str], order: str, chunk: str,
     m = n if include_current else n + 1
     item = F.struct(F.col(order).alias("__o"), *[F.col(f) for f in fields])
     wl = Window.partitionBy(*group, chunk).orderBy(order).rowsBetween(-(m - 1), 0)
-    d = df.withColumn("__w_loc", F.collect_list(item).over(wl))
+    d = _once(df.withColumn("__w_loc", F.collect_list(item).over(wl)))
     # tail of every chunk: its last m - 1 items (bounded)
     rk = Window.partitionBy(*group, chunk).orderBy(F.col(order).desc())
-    tails = (df.withColumn("__w_rk", F.row_number().over(rk)).where(F.col("__w_rk") <= m - 1)
+    tails = (d.withColumn("__w_rk", F.row_number().over(rk)).where(F.col("__w_rk") <= m - 1)
              .groupBy(*group, chunk).agg(F.array_sort(F.collect_list(item)).alias("__w_tail")))
     ws = Window.partitionBy(*group).orderBy(chunk).rowsBetween(-(m - 1), -1)
     tails = tails.withColumn("__w_prev", F.flatten(F.collect_list("__w_tail").over(ws))).drop("__w_tail")

@@ -10,11 +10,11 @@ one user never need a second shuffle key, and a hot user is split by hour.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import idiv, yyyymmdd
-from ..functions.windows import chunked_lag, chunked_running
+from ..functions.windows import _once, chunked_lag, chunked_running
 from ..sources.reference_data import (AGENTS, FLOOD_GAP_S, FREE_PER_DAY, FREE_PER_MIN, PAID_FLOOD_PER_MIN,
                                       PLAN_CONFIG)
 
@@ -59,39 +59,87 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
     UTC day > cap -> ``free_daily``; per-agent daily counter > quota ->
     ``daily_quota`` (that increment is rolled back); else ``allowed`` with
     ``remaining``.  Flood and day increments are never rolled back.
+
+    Plan: one hash shuffle of the requests by (user, hour chunk).  Every
+    counter group (user; user+burst; user+day; user+agent+day) is evaluated
+    inside those partitions with local windows; what a chunk needs from the
+    user's earlier chunks comes from small per-chunk summaries (one row per
+    user-hour) joined back on the same keys, so the request rows are never
+    shuffled again and a hot user is spread over its hours.
     """
     lim = F.broadcast(limits)  # one row per plan
     r = requests.join(lim, "plan", "left")
     none = r.where(F.col("plan").isNull()).select(
         "request_id", "tg_user_id", "agent_id", "ts", "plan",
         F.lit("no_active_plan").alias("reason"), F.lit(0).cast("long").alias("remaining"))
-    d = mark_bursts(r.where(F.col("plan").isNotNull()), gap, chunk_s)
-    d = d.withColumn("_date", yyyymmdd(F.col("ts")))
-    d = chunked_running(d, ["tg_user_id", "_burst"], ORDER, "_chunk", F.lit(1), "_fc")
+    U, C = "tg_user_id", "_chunk"
+    K = [U, C]
+    d = (r.where(F.col("plan").isNotNull())
+         .withColumn(C, idiv(F.col("ts"), chunk_s)).withColumn("_date", yyyymmdd(F.col("ts")))
+         .repartition(U, C))
+    w = Window.partitionBy(*K).orderBy(*ORDER)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    # pass 1: bursts (a gap >= ``gap`` starts one) and the flood count
+    lagged = F.lag("ts").over(w)
+    d = (d.withColumn("_rn", F.row_number().over(w))
+         .withColumn("_new", F.when(lagged.isNotNull(), (F.col("ts") - lagged >= gap).cast("int"))))
+    d = _once(d.withColumn("_start_loc", F.max(F.when(F.col("_new") == 1, F.col("_rn"))).over(run)))
+    ws = Window.partitionBy(U).orderBy(C)
+    before = ws.rowsBetween(Window.unboundedPreceding, -1)
+    s1 = (d.groupBy(*K).agg(F.min("ts").alias("_first_ts"), F.max("ts").alias("_last_ts"),
+                            F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_new") == 1, F.col("_rn"))).alias("_sl"))
+          .withColumn("_first_new", (F.lag("_last_ts").over(ws).isNull() |
+                                     (F.col("_first_ts") - F.lag("_last_ts").over(ws) >= gap)))
+          .withColumn("_cnt_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    s1 = (s1.withColumn("_chunk_start", F.when(F.col("_sl").isNotNull(), F.col("_cnt_before") + F.col("_sl"))
+                        .when(F.col("_first_new"), F.col("_cnt_before") + 1))
+          .withColumn("_start_before", F.max("_chunk_start").over(before))
+          .select(*K, "_first_new", "_cnt_before", "_start_before"))
+    d = d.join(s1, K)
+    start = F.coalesce(F.col("_cnt_before") + F.col("_start_loc"),
+                       F.when(F.col("_first_new"), F.col("_cnt_before") + 1), F.col("_start_before"))
+    fc = F.col("_cnt_before") + F.col("_rn") - start + 1
     free = F.col("plan") == "free_trial"
-    flood_rej = F.col("_fc") > F.col("flood_limit")
-    d = d.withColumn("_flood_rej", flood_rej)
-    d = chunked_running(d, ["tg_user_id", "_date"], ORDER, "_chunk",
-                        (free & ~F.col("_flood_rej")).cast("int"), "_dc")
-    day_rej = free & ~F.col("_flood_rej") & F.col("day_limit").isNotNull() & (F.col("_dc") > F.col("day_limit"))
-    d = d.withColumn("_passed", ~F.col("_flood_rej") & ~day_rej)
-    g = ["tg_user_id", "agent_id", "_date"]
+    d = d.withColumn("_flood_rej", fc > F.col("flood_limit"))
+
+    # pass 2: free-day counter per (user, UTC day); a chunk lies inside one day
+    d = _once(d.withColumn("_dv", (free & ~F.col("_flood_rej")).cast("int"))
+              .withColumn("_dc_loc", F.sum("_dv").over(run)))
+    wd = Window.partitionBy(U, "_date").orderBy(C).rowsBetween(Window.unboundedPreceding, -1)
+    s2 = (d.groupBy(*K, "_date").agg(F.sum("_dv").alias("_dt"))
+          .withColumn("_dc_before", F.coalesce(F.sum("_dt").over(wd), F.lit(0))).select(*K, "_dc_before"))
+    d = d.join(s2, K)
+    dc = F.col("_dc_before") + F.col("_dc_loc")
+    day_rej = free & ~F.col("_flood_rej") & F.col("day_limit").isNotNull() & (dc > F.col("day_limit"))
+    d = d.withColumn("_passed", ~F.col("_flood_rej") & ~day_rej).withColumn("_day_rej", day_rej)
+
+    # pass 3: per-agent counter per (user, agent, day) and the group's limit range
+    wa = Window.partitionBy(*K, "agent_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     L = F.col("agent_limit")
-    # i = passes so far in (user, agent, day); the group's limit range comes
-    # from the same per-chunk summary
-    d = chunked_running(d, g, ORDER, "_chunk", F.col("_passed").cast("int"), "_i",
-                        group_aggs={"min_L": F.min(F.when(F.col("_passed"), L)),
-                                    "max_L": F.max(F.when(F.col("_passed"), L))})
-    # with one limit per group the counter is min(i, L): allowed iff i <= L
-    ok = F.col("_passed") & (F.col("_i") <= L)
-    reason = (F.when(flood_rej & free, "free_minute").when(flood_rej, "flood").when(day_rej, "free_daily")
-              .when(~ok, "daily_quota").otherwise("allowed"))
-    d = d.select("request_id", "tg_user_id", "agent_id", "ts", "plan", reason.alias("reason"),
-                 F.when(ok, (L - F.col("_i")).cast("long")).otherwise(F.lit(0).cast("long")).alias("remaining"),
-                 F.coalesce(F.col("min_L") != F.col("max_L"), F.lit(False)).alias("_varying"),
-                 "_date", "_passed", "agent_limit")
-    # a plan change inside (user, agent, day) changes the limit: those rare
-    # groups get the exact sequential counter
+    d = _once(d.withColumn("_i_loc", F.sum(F.col("_passed").cast("int")).over(wa)))
+    wg = Window.partitionBy(U, "agent_id", "_date")
+    s3 = (d.groupBy(*K, "agent_id", "_date").agg(
+            F.sum(F.col("_passed").cast("int")).alias("_it"),
+            F.min(F.when(F.col("_passed"), L)).alias("_mn"), F.max(F.when(F.col("_passed"), L)).alias("_mx"))
+          .withColumn("_i_before", F.coalesce(F.sum("_it").over(wg.orderBy(C).rowsBetween(Window.unboundedPreceding, -1)),
+                                              F.lit(0)))
+          .withColumn("_varying", F.coalesce(F.min("_mn").over(wg) != F.max("_mx").over(wg), F.lit(False)))
+          # at most one entry per agent: collapse to one row per (user, chunk)
+          .groupBy(*K).agg(F.collect_list(F.struct("agent_id", "_i_before", "_varying")).alias("_agents")))
+    d = d.join(s3, K)
+    me = F.filter("_agents", lambda x: x["agent_id"] == F.col("agent_id"))[0]
+    i = me["_i_before"] + F.col("_i_loc")
+    ok = F.col("_passed") & (i <= L)
+    reason = (F.when(F.col("_flood_rej") & free, "free_minute").when(F.col("_flood_rej"), "flood")
+              .when(F.col("_day_rej"), "free_daily").when(~ok, "daily_quota").otherwise("allowed"))
+    d = d.select("request_id", U, "agent_id", "ts", "plan", reason.alias("reason"),
+                 F.when(ok, (L - i).cast("long")).otherwise(F.lit(0).cast("long")).alias("remaining"),
+                 me["_varying"].alias("_varying"), "_date", "_passed", "agent_limit")
+    # with one limit per group the counter is min(i, L); a plan change inside
+    # (user, agent, day) changes the limit: those rare groups get the exact
+    # sequential counter
+    d = _once(d)
     good = d.where(~F.col("_varying")).drop("_varying", "_date", "_passed", "agent_limit")
     redo = _fold_downgraded(d.where(F.col("_varying")))
     return none.unionByName(good).unionByName(redo)

@@ -21,9 +21,9 @@ def _limits(spark, rows=LIMITS):
     return spark.createDataFrame(rows, "plan string, flood_limit int, day_limit int, agent_limit int")
 
 
-def _decide(spark, reqs, gap=60, rows=LIMITS):
+def _decide(spark, reqs, gap=60, rows=LIMITS, chunk_s=3600):
     df = spark.createDataFrame(reqs, "request_id long, tg_user_id long, agent_id string, ts long, plan string")
-    out = admission.admission_decisions(df, _limits(spark, rows), gap=gap)
+    out = admission.admission_decisions(df, _limits(spark, rows), gap=gap, chunk_s=chunk_s)
     return {r.request_id: (r.reason, r.remaining) for r in out.collect()}
 
 
@@ -89,6 +89,8 @@ def test_admission_matches_naive_fold_with_plan_changes(spark):
         reqs.append((i, u, rnd.choice("abc"), 1_700_000_000 + rnd.randrange(3 * 86400),
                      rnd.choice(["free_trial", "starter", "pro", None])))
     assert _decide(spark, reqs, gap=3600, rows=rows) == _naive(reqs, rows, 3600)
+    # small chunks: bursts span several chunks, some chunks are empty
+    assert _decide(spark, reqs, gap=3600, rows=rows, chunk_s=600) == _naive(reqs, rows, 3600)
 
 
 def test_payment_fold_golden(spark):
