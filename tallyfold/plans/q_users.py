@@ -8,6 +8,7 @@ from ..operators import billing, users
 from ..sources import updates as upd
 from ..sources.fixtures import AS_OF, Fixtures
 from ..sources.reference_data import AGENTS
+from ..functions.windows import _once
 from ..sources.tables import Tables
 from .oracle_fixtures import with_fx
 from .registry import query
@@ -21,8 +22,9 @@ def parsed(spark, d):
 
 
 def deduped(spark, d):
-    p = parsed(spark, d)
-    return upd.dedupe_updates(p.where(F.col("kind").isin("message", "callback")))
+    """Parsed, routed and de-duplicated updates, materialised once per query:
+    the user, command and session jobs all read them."""
+    return _once(upd.routed_updates(parsed(spark, d)))
 
 
 def base_users(spark, d):
@@ -34,12 +36,13 @@ def base_users(spark, d):
         F.lit(None).cast("string").alias("utm_source"))
 
 
-def merged_users(spark, d):
-    return users.upsert_users(base_users(spark, d), deduped(spark, d))
+def merged_users(spark, d, dd=None):
+    return users.upsert_users(base_users(spark, d), deduped(spark, d) if dd is None else dd)
 
 
-def handled(spark, d):
-    return users.handled_messages(deduped(spark, d), merged_users(spark, d))
+def handled(spark, d, dd=None):
+    dd = deduped(spark, d) if dd is None else dd
+    return users.handled_messages(dd, merged_users(spark, d, dd))
 
 
 @query("s3_parse_updates", with_fx("fx_updates") + "select * from fx_updates")
@@ -64,7 +67,8 @@ join (select user_id, arg_min('ref_' || n, ts * 1000000000 + update_id) ref
             from fx_handled where command = 'start')
       where n is not null and n <> 0 and n <> user_id group by 1) r on r.user_id = u.tg_user_id""")
 def u2(spark, d):
-    u = users.first_touch_attribution(merged_users(spark, d), handled(spark, d))
+    dd = deduped(spark, d)
+    u = users.first_touch_attribution(merged_users(spark, d, dd), handled(spark, d, dd))
     return u.where(F.col("utm_source").isNotNull()).select("tg_user_id", "utm_source")
 
 
@@ -92,7 +96,8 @@ from (select *, last_value(sel ignore nulls) over (partition by user_id order by
             select update_id, user_id, ts, null, 0, agent_id from fx_selections))
 where kind2 = 1""")
 def u5(spark, d):
-    return users.agent_as_of(handled(spark, d), deduped(spark, d))
+    dd = deduped(spark, d)
+    return users.agent_as_of(handled(spark, d, dd), dd)
 
 
 def conv_messages(spark, d):
@@ -152,7 +157,8 @@ select user_id, agent_id, ts, 'user' role, text content from x where update_id %
 union all
 select user_id, agent_id, ts, 'assistant', 'reply to ' || update_id from x""")
 def u8(spark, d):
-    ex = users.agent_as_of(handled(spark, d), deduped(spark, d)).where(F.col("agent_id") != "no_agent")
+    dd = deduped(spark, d)
+    ex = users.agent_as_of(handled(spark, d, dd), dd).where(F.col("agent_id") != "no_agent")
     ex = ex.select("user_id", "agent_id", "ts", "text", F.format_string("reply to %d", F.col("update_id")).alias("reply"),
                    (F.col("update_id") % 3 == 0).alias("retried"), F.lit("groq").alias("provider"),
                    F.lit("llama-3.3-70b-versatile").alias("model"), F.lit(0).cast("long").alias("input_tokens"),
@@ -171,8 +177,9 @@ def b8(spark, d):
     fx = Fixtures(spark, d)
     subs = billing.subscription_state(fx.subscriptions(), AS_OF).withColumn(
         "auto_renew", F.when(F.col("payment_id") % 2 == 0, 1).otherwise(0))
-    cmds = handled(spark, d).where(F.col("command") == "cancel").select(
+    dd = deduped(spark, d)
+    cmds = handled(spark, d, dd).where(F.col("command") == "cancel").select(
         F.col("user_id").alias("tg_user_id"), "ts", F.col("update_id").alias("cmd_id"),
         F.lit("cancel").alias("action"))
-    s, _ = billing.account_commands(subs, merged_users(spark, d), cmds)
+    s, _ = billing.account_commands(subs, merged_users(spark, d, dd), cmds)
     return s.select("payment_id", "tg_user_id", "plan", "is_active", "auto_renew", "cancelled_now")

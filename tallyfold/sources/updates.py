@@ -21,10 +21,12 @@ UPDATE_SCHEMA = (
 def parse_updates(raw: DataFrame, col: str = "raw") -> DataFrame:
     """``raw (raw string)`` -> ``(update_id, kind, user_id, chat_id, ts, text,
     data, username, first_name, last_name, language_code)``."""
-    p = raw.select(F.from_json(F.col(col), UPDATE_SCHEMA).alias("u"), F.try_parse_json(F.col(col)).alias("_v"))
+    # one parse per update: a malformed body yields all-null fields, so a
+    # missing update_id marks it for quarantine
+    p = raw.select(F.from_json(F.col(col), UPDATE_SCHEMA).alias("u"))
     m, c = F.col("u.message"), F.col("u.callback_query")
     has_text = m.isNotNull() & F.coalesce(F.length(m["text"]) > 0, F.lit(False))
-    kind = (F.when(F.col("_v").isNull() | F.col("u.update_id").isNull(), "quarantine")
+    kind = (F.when(F.col("u.update_id").isNull(), "quarantine")
             .when(has_text & m["from"].isNull(), "quarantine")
             .when(has_text, "message")
             .when(c.isNotNull(), "callback").otherwise("ignored"))
@@ -43,3 +45,11 @@ def parse_updates(raw: DataFrame, col: str = "raw") -> DataFrame:
 def dedupe_updates(parsed: DataFrame) -> DataFrame:
     """Drop redelivered updates (same ``update_id``); batch twin of T1."""
     return parsed.dropDuplicates(["update_id"])
+
+
+def routed_updates(parsed: DataFrame) -> DataFrame:
+    """Messages and callbacks, once each.  De-duplicating before the routing
+    filter keeps the filter above the aggregate, so the JSON parse is not
+    inlined into it (and redelivered copies are identical anyway; quarantined
+    rows, which may share a null id, are dropped by the filter)."""
+    return dedupe_updates(parsed).where(F.col("kind").isin("message", "callback"))
