@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import DAY, idiv
-from ..functions.windows import chunked_last_non_null, chunked_lead
+from ..functions.windows import _once, chunked_last_non_null, chunked_lead
 from ..sources.reference_data import RETRYABLE_STATUS
 
 PAID = "paid"
@@ -49,6 +49,7 @@ def apply_payment_events(payments: DataFrame, events: DataFrame) -> DataFrame:
     before the first *refunded* one; a payment already paid is untouched, a
     payment already refunded only accepts *paid*.
     """
+    events = _once(events)  # read by both passes below
     order = F.struct("ts", "event_id")
     is_paid = F.col("status") == PAID
     ev = F.struct("status", "ts", "tx_hash", "payload")

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import _once
 from ..sources.reference_data import AGENTS
 
 # ---- fixed values -------------------------------------------------------------
@@ -36,8 +37,9 @@ TONE = [(1, "negative", 3, 5), (2, "negative", 3, 5), (3, "neutral", 2, 3), (4,
 # C3 / C4 -----------------------------------------------------------------------
 def price_position(offers: DataFrame) -> DataFrame:
     """Per offer: price vs the SKU mean, rank, and the other-league mark
-    (competitor at >= 2x the mean).  Grouped aggregate + join back, so a
-    SKU with many offers is combined map-side rather than held in a window."""
+    (competitor at >= 2x the mean).  The mean is a partial aggregate joined
+    back; the rank window holds one SKU's offers, i.e. one row per
+    competitor of that SKU (offers are already aggregated per pair)."""
     st = offers.groupBy("sku").agg(F.avg("price").alias("mean_price"), F.count(F.lit(1)).alias("offers"))
     w = Window.partitionBy("sku").orderBy("price", "competitor")
     return (offers.join(st, "sku")
@@ -110,7 +112,7 @@ def fake_series(reviews: DataFrame, min_size: int = 2) -> DataFrame:
     """Series of reviews with identical normalised vocabulary: one shuffle
     keyed by the hash of the whole normalised text (no pairwise join, so a
     very frequent text is just a large group, combined map-side)."""
-    k = reviews.withColumn("_h", F.sha2(normalized_text(F.col("text")), 256))
+    k = _once(reviews.withColumn("_h", F.sha2(normalized_text(F.col("text")), 256)))  # grouped and joined back
     g = k.groupBy("_h").agg(F.min("review_id").alias("series_id"), F.count(F.lit(1)).alias("size"),
                             F.count_distinct("sku").alias("skus"))
     g = g.where(F.col("size") >= min_size)
