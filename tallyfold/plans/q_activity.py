@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import billing, cohorts, telemetry
 from ..sources.fixtures import AS_OF, Fixtures
 from ..sources.reference_data import llm_rates
+from ..functions.windows import _once
 from .oracle_fixtures import with_fx
 from .registry import query
 
@@ -15,9 +16,13 @@ DAY = 86400
 
 
 def _ctx(spark, d):
+    """Users, folded subscriptions and invocations at ``A``, each derived
+    once per query and shared by all cohorts that read it."""
     fx = Fixtures(spark, d)
-    inv = fx.invocations().where(F.col("created_at") <= A)
-    return fx, fx.users_active(A), billing.subscription_state(fx.subscriptions(), A), inv
+    inv = _once(fx.invocations().where(F.col("created_at") <= A))
+    users = _once(fx.users().join(inv.groupBy("tg_user_id").agg(F.max("created_at").alias("last_seen_at")),
+                                  "tg_user_id", "left"))
+    return fx, users, _once(billing.subscription_state(fx.subscriptions(), A)), inv
 
 
 @query("r1_active_users", with_fx("fx_users_active", "fx_subs_state") + f"""
@@ -267,7 +272,7 @@ def r13(spark, d):
     """Today's six cohorts minus what yesterday's run already sent."""
     fx, users, subs_all, inv_all = _ctx(spark, d)
     ledger = cohorts.nudge_plan(
-        cohorts.nudge_segments(users, billing.subscription_state(fx.subscriptions(), A - DAY),
+        cohorts.nudge_segments(users, _once(billing.subscription_state(fx.subscriptions(), A - DAY)),
                                inv_all.where(F.col("created_at") <= A - DAY), A - DAY),
         users.limit(0).select("tg_user_id", F.lit("").alias("event"), F.lit(0).cast("long").alias("sent_at")),
         A - DAY)
