@@ -147,3 +147,16 @@ def test_parse_int_prefix(spark):
     vals = [" 42abc", "-7", "abc", "0", "+3x", None]
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     assert [r[0] for r in df.select(parse_int_prefix(F.col("s"))).collect()] == [42, -7, None, 0, 3, None]
+
+
+def test_admission_with_one_hot_user(spark):
+    """A user holding about a third of all requests (the skew case) is still
+    decided exactly like the naive sequential fold."""
+    rnd = random.Random(11)
+    rows = [("free_trial", 2, 30, 3), ("starter", 5, None, 8)]
+    reqs = []
+    for i in range(900):
+        u = 0 if i % 3 == 0 else rnd.randrange(1, 40)
+        plan = "starter" if u % 2 == 0 else "free_trial"
+        reqs.append((i, u, rnd.choice("abcd"), 1_700_000_000 + rnd.randrange(2 * 86400), plan))
+    assert _decide(spark, reqs, gap=600, rows=rows, chunk_s=900) == _naive(reqs, rows, 600)
