@@ -211,3 +211,70 @@ def resolve_routes(parsed: DataFrame) -> DataFrame:
                     .when(F.col("_conf") < CONFIDENCE_MIN, "clarify").otherwise("route").alias("decision"),
                     F.when((F.col("_inj") == 0) & (F.col("_off") == 0) & (F.col("_conf") >= CONFIDENCE_MIN),
                            F.col("_best")).alias("agent"))
+
+
+# V3 near copies -----------------------------------------------------------------
+def vocabulary(text: Column) -> Column:
+    """Distinct words of the normalised text."""
+    return F.array_distinct(F.filter(F.split(normalized_text(text), " "), lambda w: F.length(w) > 0))
+
+
+def near_copy_series(reviews: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4,
+                     max_rounds: int = 50) -> DataFrame:
+    """Series of reviews whose vocabularies are near-identical (Jaccard >=
+    ``threshold``), found without comparing all pairs:
+
+    1. identical vocabularies collapse to one representative (hash group);
+    2. MinHash signatures (``bands * rows`` JVM hash minima per text) are cut
+       into LSH bands; every member of a band bucket is linked to the
+       bucket's smallest member only (a star: O(n) edges even for a bucket
+       holding a third of all texts);
+    3. each edge is verified with the exact Jaccard of the two vocabularies;
+    4. series are the connected components of verified edges (iterated
+       min-label propagation; lineage cut with ``checkpoint()`` per round).
+    """
+    spark = reviews.sparkSession
+    v = reviews.select("review_id", "sku", vocabulary(F.col("text")).alias("_voc"))
+    v = v.withColumn("_vh", F.sha2(F.array_join(F.array_sort("_voc"), " "), 256))
+    v = _once(v)
+    # 1. one representative per identical vocabulary
+    reps = (v.where(F.size("_voc") > 0).groupBy("_vh")
+            .agg(F.min("review_id").alias("rid"), F.first("_voc").alias("voc")))
+    reps = _once(reps)
+    # 2. MinHash + banding, star edges to each bucket's minimum
+    def seeded(i: int):
+        # one-argument lambda: a two-argument one would receive the element index
+        return lambda w: F.xxhash64(w, F.lit(i))
+
+    sig = [F.array_min(F.transform("voc", seeded(i))) for i in range(bands * rows)]
+    keyed = reps.select("rid", F.array(*[
+        F.struct(F.lit(b).alias("band"), F.xxhash64(*sig[b * rows:(b + 1) * rows]).alias("key"))
+        for b in range(bands)]).alias("_bk"))
+    buckets = keyed.select("rid", F.explode("_bk").alias("bk")).select("rid", "bk.band", "bk.key")
+    heads = buckets.groupBy("band", "key").agg(F.min("rid").alias("rep"))
+    edges = (buckets.join(heads, ["band", "key"]).where(F.col("rid") != F.col("rep"))
+             .select("rid", "rep").distinct())
+    # 3. exact verification of each edge
+    a = reps.select(F.col("rid"), F.col("voc").alias("va"))
+    b = reps.select(F.col("rid").alias("rep"), F.col("voc").alias("vb"))
+    j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
+    edges = edges.join(a, "rid").join(b, "rep").where(j >= threshold).select("rid", "rep")
+    und = edges.unionByName(edges.select(F.col("rep").alias("rid"), F.col("rid").alias("rep")))
+    und = und.checkpoint()
+    # 4. connected components: label = smallest id reachable
+    labels = reps.select("rid", F.col("rid").alias("label")).checkpoint()
+    for _ in range(max_rounds):
+        nb = labels.select(F.col("rid").alias("rep"), F.col("label").alias("cand"))
+        prop = und.join(nb, "rep").select("rid", "cand")
+        new = (labels.join(prop.groupBy("rid").agg(F.min("cand").alias("cand")), "rid", "left")
+               .select("rid", F.least("label", F.coalesce("cand", "label")).alias("label"))).checkpoint()
+        changed = new.join(labels.withColumnRenamed("label", "old"), "rid").where(F.col("label") != F.col("old"))
+        labels = new
+        if changed.isEmpty():
+            break
+    # expand representatives back to every review with that vocabulary
+    lab = reps.join(labels, "rid").select("_vh", F.col("label").alias("series_id"))
+    m = v.join(lab, "_vh")
+    g = m.groupBy("series_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("sku").alias("skus"))
+    return (m.join(g.where(F.col("size") >= 2), "series_id")
+            .select("review_id", "sku", "series_id", "size", "skus"))

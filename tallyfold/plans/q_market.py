@@ -293,3 +293,10 @@ select request_id,
 from g""")
 def g2(spark, d):
     return M.resolve_routes(M.parse_router_outputs(router_raw(spark, d)))
+
+
+@query("v3_near_copy_series")
+def v3n(spark, d):
+    """Near-identical vocabulary (Jaccard >= 0.8) via MinHash bands, star
+    edges and connected components; checked against brute force in tests."""
+    return M.near_copy_series(reviews(spark, d))
