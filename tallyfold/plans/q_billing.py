@@ -175,3 +175,33 @@ from customer where c_custkey not in (select tg_user_id from fx_subscriptions)""
 def b1(spark, d):
     users = Tables(spark, d).customer.select(F.col("c_custkey").alias("tg_user_id"))
     return billing.ensure_free_trial(users, Fixtures(spark, d).subscriptions(), A)
+
+
+@query("b13_invoice_fallback", with_fx("fx_payments") + """
+, a as (select id request_id, r.rank, case r.rank when 0 then 'nowpayments' else 'cryptocloud' end provider,
+               case r.rank when 0 then id % 5 <> 0 else id % 7 <> 0 end ok,
+               case when r.rank = 0 and id % 5 = 0 then 'http 503' when r.rank = 1 and id % 7 = 0 then 'http 400' end error
+        from fx_payments, (values (0), (1)) r(rank) where provider <> 'admin_manual'),
+s as (select request_id, min(rank) filter (where ok) stop_rank from a group by 1),
+t as (select a.* from a join s using (request_id) where s.stop_rank is null or a.rank <= s.stop_rank)
+select request_id, case when bool_or(ok) then 'ok' else 'failed' end result,
+       max(case when ok then provider end) provider_used, count(*)::integer attempts,
+       coalesce(string_agg(case when not ok then provider || ': ' || error end, ' | ' order by rank), '') errors,
+       max(case when ok then (case provider when 'nowpayments' then 'np-' else 'cc-' end) || request_id end)
+         provider_payment_id
+from t group by 1""")
+def b13i(spark, d):
+    """Invoice creation: provider A, then B; every failure is retryable; both
+    failing marks the payment failed; the id carries the provider prefix."""
+    p = Fixtures(spark, d).payments().where(F.col("provider") != "admin_manual").select(F.col("id").alias("request_id"))
+    att = p.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    k, rk = F.col("request_id"), F.col("rank")
+    ok = F.when(rk == 0, k % 5 != 0).otherwise(k % 7 != 0)
+    att = att.select("request_id", "rank",
+                     F.when(rk == 0, "nowpayments").otherwise("cryptocloud").alias("provider"), ok.alias("ok"),
+                     F.lit(None).cast("int").alias("http_status"),
+                     F.when(~ok, F.when(rk == 0, "http 503").otherwise("http 400")).alias("error"))
+    out = billing.resolve_fallback_chain(att, all_retryable=True)
+    prefix = F.when(F.col("provider_used") == "nowpayments", "np-").otherwise("cc-")
+    return out.withColumn("provider_payment_id",
+                          F.when(F.col("result") == "ok", F.concat(prefix, F.col("request_id").cast("string"))))

@@ -12,14 +12,16 @@ from .registry import query
 AG_SQL = "[" + ", ".join(f"'{a}'" for a in AGENTS) + "]"
 
 OFFERS_SQL = """
-offers as (select cast(l_partkey as varchar) sku, l_suppkey competitor, avg(l_extendedprice / l_quantity) price
+offers as (select cast(l_partkey as varchar) sku, l_suppkey competitor, avg(l_extendedprice / l_quantity) price,
+                  round(avg(case when l_discount > 0 then 1.0 else 0.0 end), 4) discount_freq
            from lineitem group by 1, 2)"""
 
 
 def offers(spark, d):
     li = Tables(spark, d).lineitem
     return li.groupBy(F.col("l_partkey").cast("string").alias("sku"), F.col("l_suppkey").alias("competitor")) \
-        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+             F.round(F.avg(F.when(F.col("l_discount") > 0, 1.0).otherwise(0.0)), 4).alias("discount_freq"))
 
 
 def axis_scores(spark, d):
@@ -43,14 +45,15 @@ matrix as (select o.sku, o.axis, o.score own, b.best best_competitor, o.score -
 
 
 @query("c3_price_position", "with " + OFFERS_SQL + """
-select sku, competitor, cast(rank() over (partition by sku order by price, competitor) as integer) price_rank,
+select sku, competitor, discount_freq,
+       cast(rank() over (partition by sku order by price, competitor) as integer) price_rank,
        round(price / avg(price) over (partition by sku), 4) vs_mean,
        price >= 2.0 * avg(price) over (partition by sku) other_league,
        count(*) over (partition by sku) offers
 from offers""")
 def c3(spark, d):
     p = M.price_position(offers(spark, d))
-    return p.select("sku", "competitor", "price_rank", "vs_mean",
+    return p.select("sku", "competitor", "discount_freq", "price_rank", "vs_mean",
                     "other_league", "offers")
 
 
@@ -300,3 +303,29 @@ def v3n(spark, d):
     """Near-identical vocabulary (Jaccard >= 0.8) via MinHash bands, star
     edges and connected components; checked against brute force in tests."""
     return M.near_copy_series(reviews(spark, d))
+
+
+@query("g2_routing_mix", "with " + ROUTER_SQL + f"""
+, ok as (select *, coalesce(list_position(['mp_unit_economics', 'mp_competitor_scout', 'mp_card_doctor',
+                                           'mp_abc_xyz_analyst', 'mp_review_responder'], agent), 99) prio
+         from parsed where status = 'ok'),
+g as (select request_id, max(case when lower(coalesce(reason, '')) like '%injection%' then 1 else 0 end) inj,
+             max(case when agent is null then 1 else 0 end) off,
+             arg_min(agent, prio * 100 + coalesce(list_position({AG_SQL}, agent), 0)) best,
+             arg_min(confidence, prio * 100 + coalesce(list_position({AG_SQL}, agent), 0)) conf
+      from ok group by 1),
+dec as (select request_id,
+               case when inj = 1 then 'refuse_injection' when off = 1 then 'refuse_off_domain'
+                    when conf < 0.5 then 'clarify' else 'route' end decision,
+               case when inj = 0 and off = 0 and conf >= 0.5 then best end agent from g)
+select cast(strftime(e.ts, '%Y%m%d') as integer) date, decision, coalesce(agent, 'none') agent, count(*) n
+from dec join events e on e.event_id = dec.request_id group by 1, 2, 3""")
+def g2m(spark, d):
+    """Routing mix by UTC day (decision and agent counts)."""
+    from ..functions.time import epoch_s, yyyymmdd
+
+    dec = M.resolve_routes(M.parse_router_outputs(router_raw(spark, d)))
+    ev = Tables(spark, d).events.select(F.col("event_id").alias("request_id"), epoch_s("ts").alias("_t"))
+    return (dec.join(ev, "request_id").groupBy(yyyymmdd(F.col("_t")).alias("date"), "decision",
+                                                F.coalesce("agent", F.lit("none")).alias("agent"))
+            .agg(F.count(F.lit(1)).alias("n")))
