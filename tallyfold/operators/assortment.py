@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import _once
 from ..sources.reference_data import ABC_XYZ_POLICY
 
 _UNB = Window.unboundedPreceding
@@ -126,3 +127,25 @@ def assortment_guards(sku_rev: DataFrame, n_periods: int, min_skus: int = 30, mi
                     (F.col("skus") <= min_skus).alias("refuse"),
                     F.lit(n_periods < min_periods).alias("abc_only"),
                     (F.col("skus") >= per_category_at).alias("per_category"))
+
+
+def abc_classes_by(sku_rev: DataFrame, group: str, a: int = 80, b: int = 95, nparts: int = 64) -> DataFrame:
+    """ABC inside each ``group`` (e.g. category, for assortments of 1000+
+    SKUs): the same distributed prefix sum, range-partitioned on (group,
+    revenue desc, sku); the carry table has one row per (partition, group)
+    that spans it, and its join is left to Catalyst/AQE (its size depends on
+    the number of groups, so it is not forced into a broadcast)."""
+    order = [F.col(group).asc(), F.col("revenue").desc(), F.col("sku").asc()]
+    r = sku_rev.repartitionByRange(nparts, *order).withColumn("_pid", F.spark_partition_id())
+    wl = Window.partitionBy("_pid", group).orderBy(F.col("revenue").desc(), F.col("sku").asc()) \
+        .rowsBetween(_UNB, -1)
+    r = _once(r.withColumn("_loc", F.coalesce(F.sum("revenue").over(wl), F.lit(0))))
+    summ = r.groupBy("_pid", group).agg(F.sum("revenue").alias("_pt"))
+    ws = Window.partitionBy(group).orderBy("_pid")
+    summ = summ.select("_pid", group,
+                       F.coalesce(F.sum("_pt").over(ws.rowsBetween(_UNB, -1)), F.lit(0)).alias("_off"),
+                       F.sum("_pt").over(Window.partitionBy(group)).alias("_total"))
+    r = r.join(summ, ["_pid", group]).withColumn("cum_before", (F.col("_loc") + F.col("_off")).cast("long"))
+    cls = (F.when(F.col("cum_before") * 100 < F.col("_total") * a, "A")
+           .when(F.col("cum_before") * 100 < F.col("_total") * b, "B").otherwise("C"))
+    return r.withColumn("abc", cls).drop("_pid", "_loc", "_off", "_total")

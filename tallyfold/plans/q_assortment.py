@@ -124,3 +124,17 @@ select count(*) skus, 12 periods, count(*) <= 30 refuse, false abc_only, count(*
 from (select distinct sku from sales_part)""")
 def x7(spark, d):
     return X.assortment_guards(sku_rev(Fixtures(spark, d).sku_sales("part", "month")), 12)
+
+
+@query("x7_abc_by_category", "with " + sales_sql("part", "month") + """
+, r as (select sku, min(category) category, cast(sum(revenue) as bigint) revenue from sales_part group by 1)
+select sku, category, revenue, cum_before,
+       case when cum_before * 100 < total * 80 then 'A' when cum_before * 100 < total * 95 then 'B' else 'C' end abc
+from (select *, cast(coalesce(sum(revenue) over (partition by category order by revenue desc, sku
+                              rows between unbounded preceding and 1 preceding), 0) as bigint) cum_before,
+             sum(revenue) over (partition by category) total from r)""")
+def x7c(spark, d):
+    """Per-category ABC (the guard's recommendation for 1000+ SKUs)."""
+    s = Fixtures(spark, d).sku_sales("part", "month")
+    rev = s.groupBy("sku").agg(F.min("category").alias("category"), F.sum("revenue").alias("revenue"))
+    return X.abc_classes_by(rev, "category").select("sku", "category", "revenue", "cum_before", "abc")
