@@ -28,6 +28,9 @@ VIDEO = (15, 30)
 PRICE_INDEX_MAX = 60
 KEY_COUNT = (8, 12)
 KEY_DENSITY_SPAM = 0.03
+TITLE_STOP_WORDS = ["лучший", "№1", "уникальный"]
+REQUIRED_ATTRIBUTES = ["brand", "type", "size", "color"]
+TITLE_HEAD = 50
 # review tone bands: stars -> (tone, min sentences, max sentences)
 TONE = [(1, "negative", 3, 5), (2, "negative", 3, 5), (3, "neutral", 2, 3), (4, "positive", 1, 2),
         (5, "positive", 1, 2)]
@@ -139,6 +142,13 @@ def lint_replies(replies: DataFrame, banned: list[str]) -> DataFrame:
 # D1–D3 ------------------------------------------------------------------------
 def card_checks(cards: DataFrame) -> DataFrame:
     """One row per (card, block): ok flag and measured value."""
+    low = F.lower("title")
+    stop = F.lit(False)
+    for w in TITLE_STOP_WORDS:
+        stop = stop | low.contains(w)
+    names = F.transform("attributes", lambda a: a["name"])
+    missing = F.size(F.array_except(F.array(*[F.lit(n) for n in REQUIRED_ATTRIBUTES]), names))
+    dup = F.size(names) - F.size(F.array_distinct(names))
     title_max = F.when(F.col("mp") == "WB", F.lit(TITLE_MAX["WB"])).otherwise(F.lit(TITLE_MAX["Ozon"]))
     checks = [
         ("title_length", F.length("title") <= title_max, F.length("title")),
@@ -147,6 +157,11 @@ def card_checks(cards: DataFrame) -> DataFrame:
         ("photos", F.col("photos").between(*PHOTOS), F.col("photos")),
         ("video", F.coalesce(F.col("video_sec").between(*VIDEO), F.lit(False)), F.col("video_sec")),
         ("price_index", F.coalesce(F.col("price_index") < PRICE_INDEX_MAX, F.lit(True)), F.col("price_index")),
+        ("title_stop_words", ~stop, stop.cast("int")),
+        ("attributes_complete", missing == 0, missing),
+        ("attributes_unique", dup == 0, dup),
+        ("unanswered_negatives", F.coalesce(F.col("unanswered_negatives") == 0, F.lit(True)),
+         F.col("unanswered_negatives")),
     ]
     arr = F.array(*[F.struct(F.lit(n).alias("block"), ok.alias("ok"), v.cast("long").alias("value"))
                     for n, ok, v in checks])
@@ -158,15 +173,24 @@ def keyword_stats(cards: DataFrame) -> DataFrame:
     words = F.split(F.lower("description"), r"[^\p{L}\p{N}]+")
     words = F.filter(words, lambda w: F.length(w) > 0)
     keys = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
-    x = cards.select("card_id", words.alias("_w"), keys.alias("_k"))
+    x = cards.select("card_id", "title", words.alias("_w"), keys.alias("_k"))
     hits = F.size(F.filter("_w", lambda w: F.array_contains(F.col("_k"), w)))
-    x = x.select("card_id", F.size("_w").alias("words"), F.size("_k").alias("keys"), hits.alias("key_hits"))
+    # top-3 keys: the title keys most frequent in the description (ties by key)
+    freq = F.transform("_k", lambda k: F.struct(F.size(F.filter("_w", lambda w: w == k)).alias("n"), k.alias("k")))
+    top3 = F.slice(F.transform(F.sort_array(F.transform(freq, lambda x: F.struct((-x["n"]).alias("m"), x["k"].alias("k")))),
+                               lambda x: x["k"]), 1, 3)
+    head = F.lower(F.substring("title", 1, TITLE_HEAD))
+    x = x.withColumn("_top3", top3).withColumn("_head", head)
+    top_in_head = F.forall("_top3", lambda k: F.col("_head").contains(k))
+    x = x.select("card_id", F.size("_w").alias("words"), F.size("_k").alias("keys"), hits.alias("key_hits"),
+                 top_in_head.alias("top3_in_head"))
     dens = F.when(F.col("words") > 0, F.col("key_hits") / F.col("words"))
     return x.withColumn("density", F.round(dens, 4)).withColumn("spam", F.coalesce(dens > KEY_DENSITY_SPAM, F.lit(False)))
 
 
 BLOCK_WEIGHTS = [("title_length", 3), ("description_length", 2), ("slides", 2), ("photos", 3), ("video", 1),
-                 ("price_index", 3)]
+                 ("price_index", 3), ("title_stop_words", 2), ("attributes_complete", 3), ("attributes_unique", 1),
+                 ("unanswered_negatives", 2)]
 
 
 def card_scorecard(checks: DataFrame, k: int = 5) -> DataFrame:

@@ -182,8 +182,16 @@ def cards(spark, d):
     x = x.withColumn("p_partkey", F.col("doc_id") % F.col("_n") + 1).join(part.select("p_partkey", "p_name"),
                                                                         "p_partkey")
     k = F.col("doc_id")
+    attr = F.struct
+    attrs = F.array_compact(F.array(
+        attr(F.lit("brand").alias("name"), F.lit("b").alias("value")),
+        attr(F.lit("type").alias("name"), F.lit("t").alias("value")),
+        F.when(k % 5 != 0, attr(F.lit("size").alias("name"), F.lit("s").alias("value"))),
+        attr(F.lit("color").alias("name"), F.lit("c").alias("value")),
+        F.when(k % 6 == 0, attr(F.lit("color").alias("name"), F.lit("c2").alias("value")))))
     return x.select(k.alias("card_id"), F.when(k % 2 == 0, "WB").otherwise("Ozon").alias("mp"),
-                    F.col("p_name").alias("title"), F.col("text").alias("description"),
+                    F.col("p_name").alias("title"), F.col("text").alias("description"), attrs.alias("attributes"),
+                    F.when(k % 4 == 0, k % 3).otherwise(0).cast("int").alias("unanswered_negatives"),
                     (k % 10).cast("int").alias("slides"), (k % 12).cast("int").alias("photos"),
                     F.when(k % 3 != 0, k % 40).cast("int").alias("video_sec"),
                     F.when(k % 4 != 0, k % 100).cast("int").alias("price_index"))
@@ -192,7 +200,10 @@ def cards(spark, d):
 CARDS_SQL = """
 cards as (select doc_id card_id, case when doc_id % 2 = 0 then 'WB' else 'Ozon' end mp, p_name title, text description,
                  doc_id % 10 slides, doc_id % 12 photos, case when doc_id % 3 <> 0 then doc_id % 40 end video_sec,
-                 case when doc_id % 4 <> 0 then doc_id % 100 end price_index
+                 case when doc_id % 4 <> 0 then doc_id % 100 end price_index,
+                 case when doc_id % 4 = 0 then doc_id % 3 else 0 end unanswered_negatives,
+                 case when doc_id % 5 <> 0 then 0 else 1 end attrs_missing,
+                 case when doc_id % 6 = 0 then 1 else 0 end attrs_dup
           from documents join part on p_partkey = doc_id % (select max(p_partkey) from part) + 1)"""
 
 
@@ -205,7 +216,14 @@ select card_id, block, ok, value from (
   union all select card_id, 'slides', slides between 5 and 8, slides::bigint from cards
   union all select card_id, 'photos', photos between 6 and 10, photos::bigint from cards
   union all select card_id, 'video', coalesce(video_sec between 15 and 30, false), video_sec::bigint from cards
-  union all select card_id, 'price_index', coalesce(price_index < 60, true), price_index::bigint from cards)""")
+  union all select card_id, 'price_index', coalesce(price_index < 60, true), price_index::bigint from cards
+  union all select card_id, 'title_stop_words', not (contains(lower(title), 'лучший') or contains(lower(title), '№1')
+                   or contains(lower(title), 'уникальный')),
+         cast(contains(lower(title), 'лучший') or contains(lower(title), '№1') or contains(lower(title), 'уникальный')
+              as integer)::bigint from cards
+  union all select card_id, 'attributes_complete', attrs_missing = 0, attrs_missing::bigint from cards
+  union all select card_id, 'attributes_unique', attrs_dup = 0, attrs_dup::bigint from cards
+  union all select card_id, 'unanswered_negatives', unanswered_negatives = 0, unanswered_negatives::bigint from cards)""")
 def d1(spark, d):
     return M.card_checks(cards(spark, d))
 
@@ -214,9 +232,13 @@ def d1(spark, d):
 , w as (select card_id,
                list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) words,
                list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'),
-                                         lambda x: length(x) >= 4)) ks
+                                         lambda x: length(x) >= 4)) ks, title
         from cards)
 select card_id, cast(len(words) as integer) words, cast(len(ks) as integer) keys,
+       coalesce(list_bool_and(list_transform(
+           list_slice(list_transform(list_sort(list_transform(ks, lambda k: {'m': -len(list_filter(words, lambda w: w = k)), 'k': k})),
+                                     lambda x: x.k), 1, 3),
+           lambda k: contains(lower(left(title, 50)), k))), true) top3_in_head,
        cast(len(list_filter(words, lambda x: list_contains(ks, x))) as integer) key_hits,
        case when len(words) > 0 then round(len(list_filter(words, lambda x: list_contains(ks, x))) / len(words), 4) end density,
        coalesce(len(words) > 0 and len(list_filter(words, lambda x: list_contains(ks, x))) / len(words) > 0.03, false) spam
@@ -231,7 +253,12 @@ def d2(spark, d):
   union all select card_id, 'slides', slides between 5 and 8 from cards
   union all select card_id, 'photos', photos between 6 and 10 from cards
   union all select card_id, 'video', coalesce(video_sec between 15 and 30, false) from cards
-  union all select card_id, 'price_index', coalesce(price_index < 60, true) from cards),
+  union all select card_id, 'price_index', coalesce(price_index < 60, true) from cards
+  union all select card_id, 'title_stop_words', not (contains(lower(title), 'лучший') or contains(lower(title), '№1')
+                   or contains(lower(title), 'уникальный')) from cards
+  union all select card_id, 'attributes_complete', attrs_missing = 0 from cards
+  union all select card_id, 'attributes_unique', attrs_dup = 0 from cards
+  union all select card_id, 'unanswered_negatives', unanswered_negatives = 0 from cards),
 wt as (select * from (values """ + ", ".join(f"('{b}', {w})" for b, w in M.BLOCK_WEIGHTS) + """) t(block, weight))
 select card_id, block, priority, weight, cast(rank as integer) rank from (
   select c.card_id, c.block, w.weight,
