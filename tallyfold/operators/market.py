@@ -31,6 +31,11 @@ KEY_DENSITY_SPAM = 0.03
 TITLE_STOP_WORDS = ["лучший", "№1", "уникальный"]
 REQUIRED_ATTRIBUTES = ["brand", "type", "size", "color"]
 TITLE_HEAD = 50
+# review triage: phrases a reply must not use, and markers of replies / reviews
+BANNED_REPLY_PHRASES = ["спасибо за ваш отзыв", "в связи с вышеизложенным", "уважаемый покупатель"]
+COMPETITOR_PATTERN = r"(?i)(конкурент|competitor|concurrent|konkurrent|другой продавец|other seller)"
+PRIVATE_PROMISE_PATTERN = r"(?i)(скидк|подар|discount|gift).{0,40}(личк|личн|private|direct message)"
+OFF_PRODUCT_PATTERN = r"(?i)(мошенн|обман|scam|fraud|arnaque|betrug)"
 # review tone bands: stars -> (tone, min sentences, max sentences)
 TONE = [(1, "negative", 3, 5), (2, "negative", 3, 5), (3, "neutral", 2, 3), (4, "positive", 1, 2),
         (5, "positive", 1, 2)]
@@ -122,8 +127,22 @@ def fake_series(reviews: DataFrame, min_size: int = 2) -> DataFrame:
     return k.join(g, "_h").select("review_id", "sku", "series_id", "size", "skus")
 
 
-def lint_replies(replies: DataFrame, banned: list[str]) -> DataFrame:
-    """Violations per reply ``(reply_id, stars, reply, client_name?)``."""
+def suspect_reviews(reviews: DataFrame, series: DataFrame) -> DataFrame:
+    """Complaint candidates: a review in a same-vocabulary series, or one
+    that mentions a competitor, or accuses beyond the product."""
+    inser = series.select("review_id", F.lit(True).alias("in_series")).distinct()
+    r = reviews.join(inser, "review_id", "left").select(
+        "review_id", "sku", F.coalesce("in_series", F.lit(False)).alias("in_series"),
+        F.col("text").rlike(COMPETITOR_PATTERN).alias("competitor_mention"),
+        F.col("text").rlike(OFF_PRODUCT_PATTERN).alias("off_product"))
+    return r.withColumn("complaint_candidate", F.col("in_series") | F.col("competitor_mention") | F.col("off_product"))
+
+
+def lint_replies(replies: DataFrame, banned: list[str] | None = None) -> DataFrame:
+    """Violations per reply ``(reply_id, stars, reply, author?)``: client name
+    used, exclamation in a negative, banned phrases, competitor mention,
+    private discount/gift promise, sentence count outside the star band."""
+    banned = BANNED_REPLY_PHRASES if banned is None else banned
     sentences = F.size(F.filter(F.split(F.trim("reply"), r"[.!?]+"), lambda s: F.length(F.trim(s)) > 0))
     band = F.array(*[F.struct(F.lit(s).alias("stars"), F.lit(a).alias("lo"), F.lit(b).alias("hi"))
                      for s, _, a, b in TONE])
@@ -132,9 +151,14 @@ def lint_replies(replies: DataFrame, banned: list[str]) -> DataFrame:
     banned_hit = F.lit(False)
     for w in banned:
         banned_hit = banned_hit | low.contains(w)
+    name_used = (F.coalesce(F.length("author") > 0, F.lit(False)) & F.col("reply").contains(F.col("author"))
+                 if "author" in replies.columns else F.lit(False))
     reasons = F.array_compact(F.array(
+        F.when(F.coalesce(name_used, F.lit(False)), F.lit("client_name")),
         F.when((F.col("stars") <= 2) & F.col("reply").contains("!"), F.lit("exclamation_in_negative")),
         F.when(banned_hit, F.lit("banned_cliche")),
+        F.when(F.col("reply").rlike(COMPETITOR_PATTERN), F.lit("competitor_mention")),
+        F.when(F.col("reply").rlike(PRIVATE_PROMISE_PATTERN), F.lit("private_promise")),
         F.when((sentences < b["lo"]) | (sentences > b["hi"]), F.lit("sentence_count"))))
     return replies.select("reply_id", "stars", sentences.alias("sentences"), reasons.alias("violations"))
 

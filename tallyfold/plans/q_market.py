@@ -147,7 +147,7 @@ def v3(spark, d):
     return M.fake_series(reviews(spark, d))
 
 
-BANNED_CLICHES = ["thank you for your feedback", "we value your opinion", "merci pour votre avis"]
+BANNED_CLICHES = M.BANNED_REPLY_PHRASES
 
 
 @query("v4_lint_replies", """
@@ -162,6 +162,10 @@ select reply_id, stars, sentences,
        array_to_string(list_filter([case when stars <= 2 and contains(reply, '!') then 'exclamation_in_negative' end,
                                     case when """ + " or ".join(f"contains(lower(reply), '{b}')" for b in BANNED_CLICHES)
        + """ then 'banned_cliche' end,
+                                    case when regexp_matches(reply, '""" + M.COMPETITOR_PATTERN + """')
+                                         then 'competitor_mention' end,
+                                    case when regexp_matches(reply, '""" + M.PRIVATE_PROMISE_PATTERN + """')
+                                         then 'private_promise' end,
                                     case when sentences < lo or sentences > hi then 'sentence_count' end],
                                    lambda v: v is not null), ',') violations
 from x""")
@@ -356,3 +360,21 @@ def g2m(spark, d):
     return (dec.join(ev, "request_id").groupBy(yyyymmdd(F.col("_t")).alias("date"), "decision",
                                                 F.coalesce("agent", F.lit("none")).alias("agent"))
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("v3_suspect_reviews", """
+with rv as (select doc_id review_id, source sku, text,
+                   trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t
+            from documents),
+ser as (select t from rv group by t having count(*) >= 2)
+select review_id, sku, t in (select t from ser) in_series,
+       regexp_matches(text, '""" + M.COMPETITOR_PATTERN + """') competitor_mention,
+       regexp_matches(text, '""" + M.OFF_PRODUCT_PATTERN + """') off_product,
+       (t in (select t from ser)) or regexp_matches(text, '""" + M.COMPETITOR_PATTERN + """')
+         or regexp_matches(text, '""" + M.OFF_PRODUCT_PATTERN + """') complaint_candidate
+from rv""")
+def v3s(spark, d):
+    """Complaint candidates: same-vocabulary series (exact copies),
+    competitor mentions, accusations beyond the product."""
+    r = reviews(spark, d)
+    return M.suspect_reviews(r, M.fake_series(r))

@@ -137,3 +137,20 @@ def t6(spark, d):
     ledger = ensure_checkpoint_dir(spark).rstrip("/") + f"/ledgers/cron-{uuid.uuid4().hex[:12]}"
     jobs.cron_cycle(spark, ticks, usage, ledger)
     return spark.read.parquet(ledger).select("date", "cutoff", "deleted_total", "kept")
+
+
+@query("t4_stream_daily_revenue", with_fx("fx_payments") + """
+select cast(strftime(to_timestamp(finalized_at), '%Y%m%d') as integer) date, count(*) payments_count,
+       cast(sum(amount_rub) as bigint) revenue_rub
+from fx_payments where status = 'paid' and finalized_at is not null group by 1""")
+def t4r(spark, d):
+    """R2 on tumbling UTC days over the order stream (unique payers are
+    approximate in the stream and left out of the comparison)."""
+    o = jobs.stream_table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    created = epoch_s("o_orderdate")
+    pay = o.select(F.col("o_custkey").alias("tg_user_id"), F.floor("o_totalprice").cast("long").alias("amount_rub"),
+                   F.when(F.col("o_orderstatus") == "F", "paid").otherwise("other").alias("status"),
+                   F.when(F.col("o_orderstatus") != "O", created + (k % 48) * 3600).alias("finalized_at"))
+    out = jobs.run_available_now(spark, jobs.stream_daily_revenue(pay), "complete", "t4r")
+    return out.drop("unique_payers")
