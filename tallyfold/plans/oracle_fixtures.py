@@ -128,7 +128,7 @@ FX["fx_decisions"] = (["fx_requests", "fx_limits"], """
                           from (select *, fc > flood_limit frej
                                 from (select *, row_number() over (partition by tg_user_id, burst
                                                                    order by ts, request_id) fc,
-                                             strftime(to_timestamp(ts), '%Y%m%d') dt
+                                             strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') dt
                                       from (select *, sum(case when prev is null or ts - prev >= 21600
                                                                then 1 else 0 end) over (
                                                    partition by tg_user_id order by ts, request_id

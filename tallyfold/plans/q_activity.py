@@ -37,7 +37,7 @@ def r1(spark, d):
 
 
 @query("r2_revenue_daily", with_fx("fx_payments") + """
-select cast(strftime(to_timestamp(finalized_at), '%Y%m%d') as integer) date,
+select cast(strftime(make_timestamp(cast(finalized_at as bigint) * 1000000), '%Y%m%d') as integer) date,
        count(*) payments_count, cast(sum(amount_rub) as bigint) revenue_rub,
        count(distinct tg_user_id) unique_payers
 from fx_payments where status = 'paid' and finalized_at is not null group by 1""")
@@ -163,7 +163,7 @@ def r10(spark, d):
 
 @query("r11_sub_expiring", with_fx("fx_subs_state") + f"""
 select tg_user_id, plan, expires_at, 'sub_expiring_' || expires_at event,
-       strftime(to_timestamp(expires_at), '%Y-%m-%d') expires_date
+       strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d') expires_date
 from (select * from fx_subs_state where is_active = 1 and plan <> 'free_trial'
         and expires_at between {A} + 2 * 86400 and {A} + 3 * 86400
       order by tg_user_id, expires_at limit 500)""")
@@ -174,7 +174,7 @@ def r11(spark, d):
 
 @query("r11_sub_expiring_raw", with_fx("fx_subscriptions") + f"""
 select tg_user_id, plan, expires_at, 'sub_expiring_' || expires_at event,
-       strftime(to_timestamp(expires_at), '%Y-%m-%d') expires_date
+       strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d') expires_date
 from (select * from fx_subscriptions where is_active = 1 and plan <> 'free_trial'
         and started_at <= {A} and expires_at between {A} + 2 * 86400 and {A} + 3 * 86400
       order by tg_user_id, expires_at limit 500)""")
@@ -239,7 +239,7 @@ select tg_user_id, case when ua >= 3 then 'd7_trial_activated' else 'd7_trial_no
   left join {inv} a on a.tg_user_id = u.tg_user_id where {coh(6)} group by u.tg_user_id order by 1 limit 200)
 union all
 select tg_user_id, 'sub_expiring_' || expires_at,
-       format('plan={{}};date={{}}', plan, strftime(to_timestamp(expires_at), '%Y-%m-%d')) from (
+       format('plan={{}};date={{}}', plan, strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d')) from (
   select * from {subs} where is_active = 1 and plan <> 'free_trial'
     and expires_at between {a} + 2 * 86400 and {a} + 3 * 86400 order by tg_user_id, expires_at limit 500)
 union all
@@ -290,7 +290,7 @@ def l1(spark, d):
 
 
 @query("l2_agent_usage_daily", with_fx("fx_inv_cost") + f"""
-select agent_id, cast(strftime(to_timestamp(created_at), '%Y%m%d') as integer) date,
+select agent_id, cast(strftime(make_timestamp(cast(created_at as bigint) * 1000000), '%Y%m%d') as integer) date,
        count(*) invocations, count(distinct tg_user_id) unique_users,
        cast(sum(input_tokens) as bigint) total_input_tokens,
        cast(sum(output_tokens) as bigint) total_output_tokens,

@@ -29,7 +29,7 @@ def a2(spark, d):
 
 
 @query("a3_usage_quota_daily", with_fx("fx_decisions") + """
-select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date,
+select tg_user_id, agent_id, cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date,
        count(*) count, max(ts) last_at
 from fx_decisions where reason = 'allowed' group by 1, 2, 3""")
 def a3(spark, d):
@@ -38,7 +38,7 @@ def a3(spark, d):
 
 @query("a6_rejection_funnel", with_fx("fx_decisions") + """
 select date, plan, reason, n, round(n / sum(n) over (partition by date, plan), 4) share
-from (select cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date, coalesce(plan, 'none') plan,
+from (select cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date, coalesce(plan, 'none') plan,
              reason, count(*) n
       from fx_decisions group by 1, 2, 3)""")
 def a6(spark, d):
@@ -88,7 +88,7 @@ def l4(spark, d):
 
 
 @query("a4_remaining_quota", with_fx("fx_decisions", "fx_requests", "fx_limits") + f"""
-, u as (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date, count(*) used
+, u as (select tg_user_id, agent_id, cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) used
         from fx_decisions where reason = 'allowed' group by 1, 2, 3)
 select s.tg_user_id, a.agent_id, s.plan, l.agent_limit "limit", coalesce(u.used, 0) used,
        greatest(0, l.agent_limit - coalesce(u.used, 0)) remaining
@@ -107,7 +107,7 @@ def a4(spark, d):
 @query("r14_purge_report", with_fx("fx_decisions") + f"""
 select 'usage_quota' table_name, count(*) filter (where not (date < {PURGE_CUTOFF})) kept,
        count(*) filter (where date < {PURGE_CUTOFF}) deleted
-from (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date
+from (select tg_user_id, agent_id, cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date
       from fx_decisions where reason = 'allowed' group by 1, 2, 3)""")
 def r14(spark, d):
     usage = admission.usage_quota_daily(decisions(spark, d))
@@ -115,7 +115,7 @@ def r14(spark, d):
 
 
 @query("a5_refund_quota", with_fx("fx_decisions") + f"""
-, usage as (select tg_user_id, agent_id, cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date,
+, usage as (select tg_user_id, agent_id, cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date,
                    count(*) count, max(ts) last_at
             from fx_decisions where reason = 'allowed' group by 1, 2, 3),
 q as (select user_id, event_id % 40 = 0 bad, 1 + event_id % 2 attempts, epoch_us(ts) // 1000000 enqueued_at,
@@ -123,7 +123,7 @@ q as (select user_id, event_id % 40 = 0 bad, 1 + event_id % 2 attempts, epoch_us
       from events where event_type = 'error'),
 t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600 order by key limit 100),
 g as (select user_id tg_user_id, 'error' agent_id,
-             cast(strftime(to_timestamp(enqueued_at), '%Y%m%d') as integer) date, count(*) n
+             cast(strftime(make_timestamp(cast(enqueued_at as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) n
       from t where not bad and not ok and attempts + 1 >= 3 group by 1, 2, 3)
 select u.tg_user_id, u.agent_id, u.date, greatest(0, u.count - coalesce(g.n, 0)) count, u.last_at
 from usage u left join g using (tg_user_id, agent_id, date)""")

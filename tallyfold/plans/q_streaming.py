@@ -29,7 +29,7 @@ def t2(spark, d):
 
 
 @query("t4_stream_daily_usage", with_fx("fx_invocations") + """
-select agent_id, cast(strftime(to_timestamp(created_at), '%Y%m%d') as integer) date, count(*) invocations,
+select agent_id, cast(strftime(make_timestamp(cast(created_at as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) invocations,
        cast(sum(input_tokens) as bigint) total_input_tokens, cast(sum(output_tokens) as bigint) total_output_tokens,
        count(*) filter (where status = 'success') success_count
 from fx_invocations group by 1, 2""")
@@ -113,7 +113,7 @@ def t5(spark, d):
 
 
 @query("t6_cron_cycle", with_fx("fx_decisions") + """
-, usage as (select cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date
+, usage as (select cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date
             from fx_decisions where reason = 'allowed' group by tg_user_id, agent_id, 1),
 runs as (select distinct cast(strftime(ts, '%Y%m%d') as integer) date from events
          where hour(ts) = 0 and minute(ts) < 10),
@@ -140,7 +140,7 @@ def t6(spark, d):
 
 
 @query("t4_stream_daily_revenue", with_fx("fx_payments") + """
-select cast(strftime(to_timestamp(finalized_at), '%Y%m%d') as integer) date, count(*) payments_count,
+select cast(strftime(make_timestamp(cast(finalized_at as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) payments_count,
        cast(sum(amount_rub) as bigint) revenue_rub
 from fx_payments where status = 'paid' and finalized_at is not null group by 1""")
 def t4r(spark, d):

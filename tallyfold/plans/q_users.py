@@ -73,7 +73,7 @@ def u2(spark, d):
 
 
 @query("u3_command_mix", with_fx("fx_handled") + """
-select cast(strftime(to_timestamp(ts), '%Y%m%d') as integer) date, command, count(*) n
+select cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date, command, count(*) n
 from fx_handled group by 1, 2""")
 def u3(spark, d):
     return users.command_mix(handled(spark, d))
