@@ -151,7 +151,8 @@ def _tax_sql(reg: str) -> str:
             "USN15": f"(greatest(0::{D}, cm2) * 0.15::{D})::{D}",
             "USN_VAT": f"((price * 0.06::{D}) + {vat_extra})::{D}",
             "OSNO": f"(greatest(0::{D}, {vat_in}) + greatest(0::{D}, cm2 - greatest(0::{D}, {vat_in})) * 0.25::{D})::{D}",
-            "AUSN": f"(price * 0.08::{D})::{D}"}[reg]
+            "AUSN": f"(price * 0.08::{D})::{D}",
+            "AUSN20": f"(greatest(0::{D}, cm2) * 0.20::{D})::{D}"}[reg]
 
 
 @query("e10_regime_compare", "with " + SKUS + "," + waterfall_sql("w") + f", n as ({net_sql('w')})" + f"""
@@ -161,3 +162,17 @@ select sku, """ + ", ".join(f"round((cm2 - {_tax_sql(r)})::{D}, 2)::{M} \"{r}\""
 from w where sku in (select sku from top)""")
 def e10(spark, d):
     return U.regime_compare(cm(spark, d), ECON_TURNOVER)
+
+
+@query("e4_tax_by_regime", "with " + SKUS + "," + waterfall_sql("w") + f"""
+, r as (select unnest({U.REGIMES}) regime)
+select w.sku, r.regime, round(case r.regime """ + " ".join(
+    f"when '{g}' then {_tax_sql(g)}" for g in U.REGIMES) + f""" end, 2)::{M} tax,
+       round((w.cm2 - case r.regime """ + " ".join(f"when '{g}' then {_tax_sql(g)}" for g in U.REGIMES) + f""" end)::{D},
+             2)::{M} net
+from w, r""")
+def e4r(spark, d):
+    """Tax and net profit per SKU under every regime."""
+    x = cm(spark, d).withColumn("regime", F.explode(F.array(*[F.lit(r) for r in U.REGIMES])))
+    n = U.tax_and_net(x, F.col("regime"), ECON_TURNOVER)
+    return U.money(n, ["tax", "net"]).select("sku", "regime", "tax", "net")
