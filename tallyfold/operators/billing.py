@@ -254,3 +254,50 @@ def resolve_fallback_chain(attempts: DataFrame, all_retryable: bool = False) ->
         F.array_join(F.transform(F.filter("_t", lambda x: ~x["ok"]),
                                  lambda x: F.concat(x["provider"], F.lit(": "), F.coalesce(x["error"], F.lit("")))),
                      " | ").alias("errors"))
+
+
+# B4 (manual variant) and B8 (ban/unban) ------------------------------------------
+def admin_commands(handled: DataFrame, admin_ids: list[int]) -> DataFrame:
+    """``/admin <sub> ...`` messages of administrators, parsed:
+    ``activate <user> <plan> [days=30]`` and ``ban|unban <user>``; a command
+    is valid when the user id is a non-zero integer and (for activate) the
+    plan exists.  Messages from other users are refused (no rows)."""
+    from ..functions.text import parse_int_prefix
+    from ..sources.reference_data import PLAN_CONFIG
+
+    a = handled.where((F.col("command") == "admin") & F.col("user_id").isin(*admin_ids))
+    parts = F.split(F.trim("text"), r"\s+")
+    sub = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("help"))
+    target = parse_int_prefix(F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")))
+    plan = F.try_element_at(parts, F.lit(4))
+    days_raw = F.try_element_at(parts, F.lit(5))
+    days = F.when(days_raw.isNull(), F.lit(30).cast("long")).otherwise(parse_int_prefix(days_raw))
+    ok_user = target.isNotNull() & (target != 0)
+    valid = (((sub == "activate") & ok_user & plan.isin(*[p for p, *_ in PLAN_CONFIG]) & days.isNotNull())
+             | (sub.isin("ban", "unban") & ok_user))
+    return a.select(F.col("update_id").alias("cmd_id"), F.col("user_id").alias("admin_id"), "ts",
+                    sub.alias("sub"), target.alias("target"), F.when(sub == "activate", plan).alias("plan"),
+                    F.when(sub == "activate", days).alias("days"), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def manual_activations(cmds: DataFrame) -> DataFrame:
+    """Valid ``activate`` commands -> subscription intervals with custom days
+    (source ``admin_manual``); paid plans also create a zero-amount paid
+    ``admin_manual`` payment, trials create none.  The intervals then go
+    through the same fold as webhook activations (B4)."""
+    c = cmds.where(F.col("valid") & (F.col("sub") == "activate"))
+    return c.select("cmd_id", F.col("target").alias("tg_user_id"), "plan", "days",
+                    F.col("ts").alias("started_at"), (F.col("ts") + F.col("days") * DAY).alias("expires_at"),
+                    (F.col("plan") != "free_trial").alias("creates_payment"),
+                    F.lit("admin_manual").alias("source"))
+
+
+def ban_fold(users: DataFrame, cmds: DataFrame) -> DataFrame:
+    """Last valid ban/unban per user wins."""
+    b = cmds.where(F.col("valid") & F.col("sub").isin("ban", "unban")).select(
+        F.col("target").alias("tg_user_id"), "ts", "cmd_id", F.col("sub").alias("action"))
+    last = b.groupBy("tg_user_id").agg(F.max_by("action", F.struct("ts", "cmd_id")).alias("_last"))
+    return (users.join(last, "tg_user_id", "left")
+            .withColumn("is_banned", F.when(F.col("_last") == "ban", 1).when(F.col("_last") == "unban", 0)
+                        .otherwise(F.col("is_banned")))
+            .withColumn("ban_changed", F.col("_last").isNotNull()).drop("_last"))

@@ -214,6 +214,11 @@ FX["fx_updates"] = ([], f"""
                           when 'purchase' then '/pay' when 'view' then '/me'
                           when 'click' then case when event_id % 2 = 0 then '/cancel' else '/menu' end
                           else case when event_id % 5 = 0 then '/admin stats'
+                                    when event_id % 10 = 1 then concat_ws(' ', '/admin activate', ((event_id * 3) % 150)::varchar,
+                                         ['starter', 'pro', 'business', 'free_trial', 'gold'][event_id % 5 + 1],
+                                         case when event_id % 3 <> 0 then (7 * (event_id % 5 + 1))::varchar end)
+                                    when event_id % 10 = 6 then '/admin ' || case when event_id % 20 = 6 then 'ban' else 'unban' end
+                                         || ' ' || ((event_id * 11) % 150)
                                     else 'how do I price sku ' || event_id end end txt
               from events, (values (0), (1)) c(c) where c.c = 0 or event_id % 50 = 0)""")
 FX["fx_upd_dedup"] = (["fx_updates"], """

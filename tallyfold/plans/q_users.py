@@ -183,3 +183,46 @@ def b8(spark, d):
         F.lit("cancel").alias("action"))
     s, _ = billing.account_commands(subs, merged_users(spark, d, dd), cmds)
     return s.select("payment_id", "tg_user_id", "plan", "is_active", "auto_renew", "cancelled_now")
+
+
+from ..sources.fixtures import ADMIN_IDS as _ADMINS  # noqa: E402
+
+ADMIN_SQL = """
+adm as (select update_id cmd_id, user_id admin_id, ts, string_split_regex(trim(text), '\\s+') parts
+        from fx_handled where command = 'admin' and user_id in (""" + ", ".join(map(str, _ADMINS)) + """)),
+cmd as (select cmd_id, admin_id, ts, coalesce(parts[2], 'help') sub,
+               try_cast(nullif(regexp_extract(coalesce(parts[3], ''), '^\\s*([+-]?[0-9]+)', 1), '') as bigint) target,
+               case when coalesce(parts[2], 'help') = 'activate' then parts[4] end plan,
+               case when coalesce(parts[2], 'help') = 'activate' then
+                    case when parts[5] is null then 30
+                         else try_cast(nullif(regexp_extract(parts[5], '^\\s*([+-]?[0-9]+)', 1), '') as bigint) end end "days"
+        from adm),
+cmdv as (select *, coalesce((sub = 'activate' and target is not null and target <> 0
+                             and plan in ('free_trial', 'starter', 'pro', 'business') and "days" is not null)
+                            or (sub in ('ban', 'unban') and target is not null and target <> 0), false) valid
+         from cmd)"""
+
+
+def admin_cmds(spark, d, dd=None):
+    from ..sources.fixtures import ADMIN_IDS
+    return billing.admin_commands(handled(spark, d, dd), ADMIN_IDS)
+
+
+@query("b4_manual_activations", with_fx("fx_handled") + ", " + ADMIN_SQL + """
+select cmd_id, target tg_user_id, plan, "days", ts started_at, ts + "days" * 86400 expires_at,
+       plan <> 'free_trial' creates_payment, 'admin_manual' source
+from cmdv where valid and sub = 'activate'""")
+def b4m(spark, d):
+    return billing.manual_activations(admin_cmds(spark, d))
+
+
+@query("b8_ban_fold", with_fx("fx_handled", "fx_users_merged") + ", " + ADMIN_SQL + """
+, last as (select target tg_user_id, arg_max(sub, ts * 1000000000 + cmd_id) last_action
+           from cmdv where valid and sub in ('ban', 'unban') group by 1)
+select u.tg_user_id, case when l.last_action = 'ban' then 1 when l.last_action = 'unban' then 0 else u.is_banned end
+       is_banned, l.last_action is not null ban_changed
+from fx_users_merged u left join last l using (tg_user_id)""")
+def b8b(spark, d):
+    dd = deduped(spark, d)
+    return billing.ban_fold(merged_users(spark, d, dd), admin_cmds(spark, d, dd)).select(
+        "tg_user_id", "is_banned", "ban_changed")

@@ -213,6 +213,8 @@ Fixtures.attempts = _attempts
 
 
 # ---- fixed fixture values (chat updates) --------------------------------------
+ADMIN_IDS = list(range(0, 150, 10))  # fixture administrators: user ids divisible by 10
+ADMIN_PLANS = ["starter", "pro", "business", "free_trial", "gold"]  # "gold" is not a plan: rejected
 CALLBACK_AGENTS = ["mp_card_doctor", "mp_review_responder", "mp_competitor_scout", "mp_abc_xyz_analyst",
                    "mp_unit_economics", "unknown_bot"]
 
@@ -226,6 +228,10 @@ def _updates(self) -> DataFrame:
             .when(typ == "purchase", F.lit("/pay")).when(typ == "view", F.lit("/me"))
             .when(typ == "click", F.when(k % 2 == 0, F.lit("/cancel")).otherwise(F.lit("/menu")))
             .otherwise(F.when(k % 5 == 0, F.lit("/admin stats"))
+                       .when(k % 10 == 1, F.concat_ws(" ", F.lit("/admin activate"), ((k * 3) % 150).cast("string"),
+                                                      _pick(ADMIN_PLANS, k), F.when(k % 3 != 0, (7 * (k % 5 + 1)).cast("string"))))
+                       .when(k % 10 == 6, F.format_string("/admin %s %d", F.when(k % 20 == 6, F.lit("ban")).otherwise(F.lit("unban")),
+                                                          (k * 11) % 150))
                        .otherwise(F.format_string("how do I price sku %d", k))))
     sender = F.struct(u.alias("id"), F.format_string("User%d", u).alias("first_name"),
                       F.when(u % 3 != 0, F.format_string("u%d", u)).alias("username"),
