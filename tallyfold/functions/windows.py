@@ -31,10 +31,6 @@ def _once(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _cols(cs):
-    return [F.col(c) if isinstance(c, str) else c for c in cs]
-
-
 def chunked_running(df: DataFrame, group: list[str], order: list[str], chunk: str, value: Column,
                     out: str, how: str = "sum", exclusive: bool = False,
                     group_aggs: dict[str, Column] | None = None) -> DataFrame:

@@ -28,8 +28,7 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
-def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append", name: str = "stream",
-                      keys_overwrite: bool = False) -> DataFrame:
+def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Run ``df`` to completion (``availableNow``) into a parquet folder in the
     shared checkpoint dir and return the folder read back as a DataFrame.
 
