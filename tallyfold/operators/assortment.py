@@ -34,11 +34,17 @@ def revenue_pivot(matrix: DataFrame, periods: list[int]) -> DataFrame:
 
 
 # X2 -------------------------------------------------------------------------
-def cumulative_before(df: DataFrame, value: str, order: list[Column], nparts: int = 64) -> DataFrame:
+def _parts(df: DataFrame, nparts: int | None) -> int:
+    """Range partitions for a prefix sum: the session's shuffle partition
+    count unless given (so it grows with the cluster)."""
+    return nparts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def cumulative_before(df: DataFrame, value: str, order: list[Column], nparts: int | None = None) -> DataFrame:
     """Add ``cum_before`` (sum of ``value`` over all earlier rows in ``order``)
-    and ``total``.  The offsets table has ``nparts`` rows, so its broadcast is
-    bounded by the chosen partition count."""
-    r = df.repartitionByRange(nparts, *order).withColumn("_pid", F.spark_partition_id())
+    and ``total``.  The offsets table has one row per range partition, so its
+    broadcast is bounded by the partition count."""
+    r = df.repartitionByRange(_parts(df, nparts), *order).withColumn("_pid", F.spark_partition_id())
     wl = Window.partitionBy("_pid").orderBy(*order).rowsBetween(_UNB, -1)
     r = r.withColumn("_loc", F.coalesce(F.sum(value).over(wl), F.lit(0)))
     summ = r.groupBy("_pid").agg(F.sum(value).alias("_pt"))
@@ -50,7 +56,7 @@ def cumulative_before(df: DataFrame, value: str, order: list[Column], nparts: in
     return r.withColumn("cum_before", (F.col("_loc") + F.col("_off")).cast("long")).drop("_pid", "_loc", "_off")
 
 
-def abc_classes(sku_rev: DataFrame, a: int = 80, b: int = 95, nparts: int = 64) -> DataFrame:
+def abc_classes(sku_rev: DataFrame, a: int = 80, b: int = 95, nparts: int | None = None) -> DataFrame:
     """A while the share before the SKU is < a %, B while < b %, else C
     (the SKU crossing a boundary stays in the upper class); ties by sku."""
     c = cumulative_before(sku_rev, "revenue", [F.col("revenue").desc(), F.col("sku").asc()], nparts)
@@ -129,14 +135,14 @@ def assortment_guards(sku_rev: DataFrame, n_periods: int, min_skus: int = 30, mi
                     (F.col("skus") >= per_category_at).alias("per_category"))
 
 
-def abc_classes_by(sku_rev: DataFrame, group: str, a: int = 80, b: int = 95, nparts: int = 64) -> DataFrame:
+def abc_classes_by(sku_rev: DataFrame, group: str, a: int = 80, b: int = 95, nparts: int | None = None) -> DataFrame:
     """ABC inside each ``group`` (e.g. category, for assortments of 1000+
     SKUs): the same distributed prefix sum, range-partitioned on (group,
     revenue desc, sku); the carry table has one row per (partition, group)
     that spans it, and its join is left to Catalyst/AQE (its size depends on
     the number of groups, so it is not forced into a broadcast)."""
     order = [F.col(group).asc(), F.col("revenue").desc(), F.col("sku").asc()]
-    r = sku_rev.repartitionByRange(nparts, *order).withColumn("_pid", F.spark_partition_id())
+    r = sku_rev.repartitionByRange(_parts(sku_rev, nparts), *order).withColumn("_pid", F.spark_partition_id())
     wl = Window.partitionBy("_pid", group).orderBy(F.col("revenue").desc(), F.col("sku").asc()) \
         .rowsBetween(_UNB, -1)
     r = _once(r.withColumn("_loc", F.coalesce(F.sum("revenue").over(wl), F.lit(0))))

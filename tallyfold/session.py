@@ -20,9 +20,11 @@ CORE_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "tallyfold") -> SparkSession:
+                app: str = "tallyfold", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local/test session builder. On a cluster, use the session you are given."""
     b = SparkSession.builder.appName(app)
+    for k, v in (extra_conf or {}).items():
+        b = b.config(k, v)
     if master:
         b = b.master(master)
     for k, v in CORE_CONF.items():
