@@ -139,7 +139,7 @@ def v2(spark, d):
 
 @query("v3_fake_series", """
 with n as (select doc_id review_id, source sku,
-                  trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t
+                  trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'), '\\s+', ' ', 'g')) t
            from documents),
 g as (select t, min(review_id) series_id, count(*) size, count(distinct sku) skus from n group by t having count(*) >= 2)
 select n.review_id, n.sku, g.series_id, g.size, g.skus from n join g using (t)""")
@@ -329,10 +329,31 @@ def g2(spark, d):
     return M.resolve_routes(M.parse_router_outputs(router_raw(spark, d)))
 
 
-@query("v3_near_copy_series")
+# brute force for the oracle: all pairs within the size bound, exact Jaccard,
+# components by a recursive closure (fine at test scale, quadratic in general)
+NEAR_SQL = r"""
+with recursive v as (
+  select doc_id rid, source sku,
+         list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'),
+                                                                    '\s+', ' ', 'g')), ' '), lambda w: length(w) > 0)) voc
+  from documents),
+n as (select *, len(voc) k from v where len(voc) > 0),
+e as (select a.rid a, b.rid b from n a join n b
+        on a.rid < b.rid and least(a.k, b.k) >= 0.8 * greatest(a.k, b.k)
+      where len(list_intersect(a.voc, b.voc)) >= 0.8 * (a.k + b.k - len(list_intersect(a.voc, b.voc)))),
+u as (select a, b from e union select b, a from e),
+r(node, label) as (select a, a from u union select u.b, r.label from r join u on u.a = r.node),
+comp as (select node rid, min(label) series_id from r group by node),
+m as (select n.rid review_id, n.sku, c.series_id from n join comp c using (rid))
+select review_id, sku, series_id, count(*) over (partition by series_id) size,
+       count(distinct sku) over (partition by series_id) skus
+from m"""
+
+
+@query("v3_near_copy_series", NEAR_SQL.replace("\\\\", "\\"))
 def v3n(spark, d):
     """Near-identical vocabulary (Jaccard >= 0.8) via MinHash bands, star
-    edges and connected components; checked against brute force in tests."""
+    edges and connected components; the oracle is brute force."""
     return M.near_copy_series(reviews(spark, d))
 
 
@@ -364,7 +385,7 @@ def g2m(spark, d):
 
 @query("v3_suspect_reviews", """
 with rv as (select doc_id review_id, source sku, text,
-                   trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t
+                   trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'), '\\s+', ' ', 'g')) t
             from documents),
 ser as (select t from rv group by t having count(*) >= 2)
 select review_id, sku, t in (select t from ser) in_series,
