@@ -289,15 +289,16 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, bands: int = 16
     reps = (v.where(F.size("_voc") > 0).groupBy("_vh")
             .agg(F.min("review_id").alias("rid"), F.first("_voc").alias("voc")))
     reps = _once(reps)
-    # 2. MinHash + banding, star edges to each bucket's minimum
-    def seeded(i: int):
-        # one-argument lambda: a two-argument one would receive the element index
-        return lambda w: F.xxhash64(w, F.lit(i))
-
-    sig = [F.array_min(F.transform("voc", seeded(i))) for i in range(bands * rows)]
-    keyed = reps.select("rid", F.array(*[
-        F.struct(F.lit(b).alias("band"), F.xxhash64(*sig[b * rows:(b + 1) * rows]).alias("key"))
-        for b in range(bands)]).alias("_bk"))
+    # 2. MinHash + banding, star edges to each bucket's minimum.  Words are
+    # exploded once and hashed to a long; the bands*rows minima per text are
+    # plain aggregates (code-generated, combined before the shuffle) rather
+    # than per-element lambdas over the arrays.
+    n_h = bands * rows
+    words = reps.select("rid", F.explode("voc").alias("_w")).select("rid", F.xxhash64("_w").alias("_hw"))
+    sig = words.groupBy("rid").agg(*[F.min(F.xxhash64("_hw", F.lit(i))).alias(f"_h{i}") for i in range(n_h)])
+    keyed = sig.select("rid", F.array(*[
+        F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"_h{i}") for i in range(b * rows, (b + 1) * rows)])
+                 .alias("key")) for b in range(bands)]).alias("_bk"))
     buckets = keyed.select("rid", F.explode("_bk").alias("bk")).select("rid", "bk.band", "bk.key")
     heads = buckets.groupBy("band", "key").agg(F.min("rid").alias("rep"))
     edges = (buckets.join(heads, ["band", "key"]).where(F.col("rid") != F.col("rep"))
