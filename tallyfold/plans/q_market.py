@@ -139,7 +139,7 @@ def v2(spark, d):
 
 @query("v3_fake_series", """
 with n as (select doc_id review_id, source sku,
-                  trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'), '\\s+', ' ', 'g')) t
+                  trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t
            from documents),
 g as (select t, min(review_id) series_id, count(*) size, count(distinct sku) skus from n group by t having count(*) >= 2)
 select n.review_id, n.sku, g.series_id, g.size, g.skus from n join g using (t)""")
@@ -331,11 +331,11 @@ def g2(spark, d):
 
 # brute force for the oracle: all pairs within the size bound, exact Jaccard,
 # components by a recursive closure (fine at test scale, quadratic in general)
-NEAR_SQL = r"""
+NEAR_SQL = """
 with recursive v as (
   select doc_id rid, source sku,
-         list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'),
-                                                                    '\s+', ' ', 'g')), ' '), lambda w: length(w) > 0)) voc
+         list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'),
+                                                                    '\\s+', ' ', 'g')), ' '), lambda w: length(w) > 0)) voc
   from documents),
 n as (select *, len(voc) k from v where len(voc) > 0),
 e as (select a.rid a, b.rid b from n a join n b
@@ -385,7 +385,7 @@ def g2m(spark, d):
 
 @query("v3_suspect_reviews", """
 with rv as (select doc_id review_id, source sku, text,
-                   trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\s]', '', 'g'), '\\s+', ' ', 'g')) t
+                   trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t
             from documents),
 ser as (select t from rv group by t having count(*) >= 2)
 select review_id, sku, t in (select t from ser) in_series,
