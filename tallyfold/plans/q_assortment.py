@@ -138,3 +138,30 @@ def x7c(spark, d):
     s = Fixtures(spark, d).sku_sales("part", "month")
     rev = s.groupBy("sku").agg(F.min("category").alias("category"), F.sum("revenue").alias("revenue"))
     return X.abc_classes_by(rev, "category").select("sku", "category", "revenue", "cum_before", "abc")
+
+
+@query("x1_revenue_pivot", "with " + sales_sql("brand", "quarter") + f"""
+, b as (select sku, period, cast(sum(revenue) as bigint) revenue from sales_brand group by 1, 2)
+select sku, """ + ", ".join(f'cast(coalesce(sum(revenue) filter (where period = {q}), 0) as bigint) "{q}"' for q in QUARTERS) + """
+from b group by sku""")
+def x1p(spark, d):
+    """The SKU x period matrix in wide form (one column per period; the
+    period list is a parameter, so the pivot needs no extra pass)."""
+    m = X.revenue_matrix(Fixtures(spark, d).sku_sales("brand", "quarter"), QUARTERS)
+    p = X.revenue_pivot(m, QUARTERS)
+    return p.select("sku", *[F.col(str(q)).cast("long").alias(str(q)) for q in QUARTERS])
+
+
+@query("x3_xyz_brand_quarter", "with " + sales_sql("brand", "quarter") + "," + xyz_sql("brand", len(QUARTERS)) + """
+select sku, cv, xyz from xyz_brand""")
+def x3b(spark, d):
+    return X.xyz_classes(Fixtures(spark, d).sku_sales("brand", "quarter"), len(QUARTERS))
+
+
+MONTHS = [y * 100 + m for y in YEARS for m in range(1, 13)]
+
+
+@query("x3_xyz_part_month", "with " + sales_sql("part", "month") + "," + xyz_sql("part", len(MONTHS)) + """
+select sku, cv, xyz from xyz_part""")
+def x3p(spark, d):
+    return X.xyz_classes(Fixtures(spark, d).sku_sales("part", "month"), len(MONTHS))
