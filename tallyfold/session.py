@@ -51,3 +51,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def size_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 256 << 20,
+                   min_partitions: int = 16, max_partitions: int = 200_000) -> int:
+    """Size shuffles to the data: about one shuffle partition per
+    ``target_bytes`` of input (read from file-system metadata, no data is
+    read), with AQE's advisory size and the scan split size set to match, so
+    tasks neither spill from oversized partitions nor drown in tiny ones.
+    AQE still coalesces partitions that turn out small after filters."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    n = max(min_partitions, min(max_partitions, -(-total // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return n

@@ -230,3 +230,15 @@ def test_abc_boundary_sku(spark):
     df = spark.createDataFrame([("a", 70), ("b", 20), ("c", 5), ("d", 5)], "sku string, revenue long")
     got = {r.sku: r.abc for r in abc_classes(df, nparts=3).collect()}
     assert got == {"a": "A", "b": "A", "c": "B", "d": "C"}
+
+
+def test_size_for_input(spark):
+    from tallyfold.session import size_for_input
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        n = size_for_input(spark, ["/root/testdata/sf0.1/lineitem.parquet"], target_bytes=1 << 20)
+        assert n >= 10  # ~10 MB of lineitem at 1 MB per partition
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
