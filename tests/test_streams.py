@@ -36,3 +36,25 @@ def test_admission_stream_over_three_batches_equals_batch(spark):
     want = admission.admission_decisions(fx.requests(), fx.request_limits(), gap=REQUEST_GAP_S)
     cols = ["request_id", "reason", "remaining"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+
+
+def test_flood_session_stream_over_three_batches(spark):
+    """Session windows across micro-batches equal the batch bursts that have
+    closed before the final watermark (max event time - 1 day)."""
+    fx = Fixtures(spark, SF)
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/test-t2-{uuid.uuid4().hex[:8]}"
+    ev = fx.t.events
+    cuts = ev.select(F.percentile_approx(epoch_s("ts"), [1 / 3, 2 / 3]).alias("q")).first()["q"]
+    t = epoch_s("ts")
+    for i, cond in enumerate([t < cuts[0], (t >= cuts[0]) & (t < cuts[1]), t >= cuts[1]]):
+        ev.where(cond).coalesce(1).write.parquet(f"{root}/landing/part={i}")
+    stream = (spark.readStream.schema(ev.schema.add("part", "integer")).option("maxFilesPerTrigger", 1)
+              .parquet(f"{root}/landing"))
+    req = stream.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("tg_user_id"),
+                        F.col("event_type").alias("agent_id"), epoch_s("ts").alias("ts"))
+    got = jobs.run_available_now(spark, jobs.stream_flood_sessions(req, REQUEST_GAP_S), "append", "t2test")
+    batch = admission.flood_sessions(fx.requests(), gap=REQUEST_GAP_S)
+    max_ts = fx.requests().agg(F.max("ts")).first()[0]
+    want = batch.where(F.col("last_ts") + REQUEST_GAP_S <= max_ts - 86400)
+    cols = ["tg_user_id", "start_ts", "last_ts", "requests"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
