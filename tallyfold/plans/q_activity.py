@@ -15,14 +15,16 @@ A = AS_OF
 DAY = 86400
 
 
-def _ctx(spark, d):
-    """Users, folded subscriptions and invocations at ``A``, each derived
-    once per query and shared by all cohorts that read it."""
+def _ctx(spark, d, shared: bool = False):
+    """Users, folded subscriptions and invocations at ``A``.  With ``shared``
+    (queries that read them several times) each is materialised once;
+    single-use queries stream them straight into their one consumer."""
+    keep = _once if shared else (lambda df: df)
     fx = Fixtures(spark, d)
-    inv = _once(fx.invocations().where(F.col("created_at") <= A))
-    users = _once(fx.users().join(inv.groupBy("tg_user_id").agg(F.max("created_at").alias("last_seen_at")),
-                                  "tg_user_id", "left"))
-    return fx, users, _once(billing.subscription_state(fx.subscriptions(), A)), inv
+    inv = keep(fx.invocations().where(F.col("created_at") <= A))
+    users = keep(fx.users().join(inv.groupBy("tg_user_id").agg(F.max("created_at").alias("last_seen_at")),
+                                 "tg_user_id", "left"))
+    return fx, users, keep(billing.subscription_state(fx.subscriptions(), A)), inv
 
 
 @query("r1_active_users", with_fx("fx_users_active", "fx_subs_state") + f"""
@@ -113,7 +115,7 @@ from ({_R6_SQL}) h,
      (select count(*) filter (where status not in ('success', 'retried_ok')) errors, count(*) total_calls
       from fx_inv_asof where created_at > {A} - 86400) e""")
 def r7(spark, d):
-    fx, users, subs, inv = _ctx(spark, d)
+    fx, users, subs, inv = _ctx(spark, d, shared=True)
     return cohorts.stats_dashboard(users, subs, fx.payments(), inv, A)
 
 
@@ -132,7 +134,7 @@ select * from (
   left join fx_inv_asof a on a.tg_user_id = u.tg_user_id where {_cohort_sql(2)}
   group by u.tg_user_id, u.registered_at having count(a.l_orderkey) = 0 order by 1 limit 200)""")
 def r8(spark, d):
-    fx, users, subs, inv = _ctx(spark, d)
+    fx, users, subs, inv = _ctx(spark, d, shared=True)
     return cohorts.no_first_request(users, inv, A, 1).unionByName(cohorts.no_first_request(users, inv, A, 2))
 
 
@@ -270,7 +272,7 @@ group by 1, 2"""
 @query("r13_nudge_plan", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state", "fx_subscriptions") + _STATE_PREV)
 def r13(spark, d):
     """Today's six cohorts minus what yesterday's run already sent."""
-    fx, users, subs_all, inv_all = _ctx(spark, d)
+    fx, users, subs_all, inv_all = _ctx(spark, d, shared=True)
     ledger = cohorts.nudge_plan(
         cohorts.nudge_segments(users, _once(billing.subscription_state(fx.subscriptions(), A - DAY)),
                                inv_all.where(F.col("created_at") <= A - DAY), A - DAY),
