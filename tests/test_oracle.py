@@ -39,10 +39,8 @@ def test_matches_oracle(spark, duck, name):
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs_without_oracle(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
