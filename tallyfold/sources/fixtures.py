@@ -181,6 +181,8 @@ def _callbacks(self) -> DataFrame:
     x = x.select((k * 2 + F.col("e")).alias("event_id"), "provider",
                  F.when(F.col("provider") == "nowpayments", a_body).otherwise(b_body).alias("body"),
                  (F.col("created_at") + 600 + F.col("e") * 3600).alias("received_at"), k.alias("k"))
+    # the signer is Python: spread it over all cores even when the source is one small file
+    x = x.repartition(self.spark.sparkContext.defaultParallelism)
     return x.mapInPandas(_sign_bodies, "event_id long, provider string, body string, received_at long, "
                                        "signature string")
 
