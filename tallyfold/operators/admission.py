@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import idiv, yyyymmdd
-from ..functions.windows import _once, chunked_lag, chunked_running
+from ..functions.time import yyyymmdd
+from ..functions.windows import _once, adaptive_chunk, chunked_lag, chunked_running
 from ..sources.reference_data import (AGENTS, FLOOD_GAP_S, FREE_PER_DAY, FREE_PER_MIN, PAID_FLOOD_PER_MIN,
                                       PLAN_CONFIG)
 
@@ -36,7 +36,7 @@ def mark_bursts(requests: DataFrame, gap: int = FLOOD_GAP_S, chunk_s: int = 3600
     the previous request of the user is ``gap`` seconds or more in the past
     (the flood key's TTL is refreshed on every attempt)."""
     g = list(group)
-    d = requests.withColumn("_chunk", idiv(F.col("ts"), chunk_s))
+    d = adaptive_chunk(requests, g, "ts", "_chunk", base_s=chunk_s)
     d = chunked_lag(d, g, ORDER, "_chunk", "ts", "_prev")
     new = (F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") >= gap)).cast("int")
     return chunked_running(d, g, ORDER, "_chunk", new, "_burst")
@@ -50,7 +50,7 @@ def flood_sessions(requests: DataFrame, gap: int = FLOOD_GAP_S, chunk_s: int = 3
 
 # A2 -------------------------------------------------------------------------
 def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD_GAP_S,
-                        chunk_s: int = 3600) -> DataFrame:
+                        chunk_s: int = 3600, max_chunk_rows: int = 1_000_000) -> DataFrame:
     """Decide every request ``(request_id, tg_user_id, agent_id, ts, plan)``.
 
     Order of checks per request: no plan -> ``no_active_plan`` (touches no
@@ -65,7 +65,9 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
     inside those partitions with local windows; what a chunk needs from the
     user's earlier chunks comes from small per-chunk summaries (one row per
     user-hour) joined back on the same keys, so the request rows are never
-    shuffled again and a hot user is spread over its hours.
+    shuffled again and a hot user is spread over its hours; an hour in
+    which one user has more than ``max_chunk_rows`` requests is cut into
+    minutes (``functions.windows.adaptive_chunk``).
     """
     lim = F.broadcast(limits)  # one row per plan
     r = requests.join(lim, "plan", "left")
@@ -74,9 +76,9 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
         F.lit("no_active_plan").alias("reason"), F.lit(0).cast("long").alias("remaining"))
     U, C = "tg_user_id", "_chunk"
     K = [U, C]
-    d = (r.where(F.col("plan").isNotNull())
-         .withColumn(C, idiv(F.col("ts"), chunk_s)).withColumn("_date", yyyymmdd(F.col("ts")))
-         .repartition(U, C))
+    d = adaptive_chunk(r.where(F.col("plan").isNotNull()), [U], "ts", C, base_s=chunk_s,
+                       max_rows=max_chunk_rows)
+    d = d.withColumn("_date", yyyymmdd(F.col("ts"))).repartition(U, C)
     w = Window.partitionBy(*K).orderBy(*ORDER)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
 

@@ -21,9 +21,10 @@ def _limits(spark, rows=LIMITS):
     return spark.createDataFrame(rows, "plan string, flood_limit int, day_limit int, agent_limit int")
 
 
-def _decide(spark, reqs, gap=60, rows=LIMITS, chunk_s=3600):
+def _decide(spark, reqs, gap=60, rows=LIMITS, chunk_s=3600, max_chunk_rows=1_000_000):
     df = spark.createDataFrame(reqs, "request_id long, tg_user_id long, agent_id string, ts long, plan string")
-    out = admission.admission_decisions(df, _limits(spark, rows), gap=gap, chunk_s=chunk_s)
+    out = admission.admission_decisions(df, _limits(spark, rows), gap=gap, chunk_s=chunk_s,
+                                        max_chunk_rows=max_chunk_rows)
     return {r.request_id: (r.reason, r.remaining) for r in out.collect()}
 
 
@@ -160,6 +161,8 @@ def test_admission_with_one_hot_user(spark):
         plan = "starter" if u % 2 == 0 else "free_trial"
         reqs.append((i, u, rnd.choice("abcd"), 1_700_000_000 + rnd.randrange(2 * 86400), plan))
     assert _decide(spark, reqs, gap=600, rows=rows, chunk_s=900) == _naive(reqs, rows, 600)
+    # hours where the hot user has more than 5 requests are cut into minutes
+    assert _decide(spark, reqs, gap=600, rows=rows, chunk_s=3600, max_chunk_rows=5) == _naive(reqs, rows, 600)
 
 
 def _naive_payment(s0, events):
