@@ -241,3 +241,18 @@ def cron_cycle(spark: SparkSession, ticks: DataFrame, usage: DataFrame, ledger_p
     q = (ticks.writeStream.option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True)
          .foreachBatch(run).start())
     q.awaitTermination()
+
+
+# Production sources ----------------------------------------------------------
+def kafka_raw(spark: SparkSession, bootstrap: str, topic: str, column: str = "raw",
+              starting_offsets: str = "latest") -> DataFrame:
+    """Webhook payloads from a Kafka topic as ``(column string, received_at
+    long)``, ready for ``parse_updates`` / the callback parser.  Needs the
+    spark-sql-kafka connector on the classpath (not bundled here)."""
+    try:
+        src = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
+               .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
+    except Exception as e:  # noqa: BLE001
+        raise RuntimeError("the Kafka source needs the spark-sql-kafka connector package") from e
+    return src.select(F.col("value").cast("string").alias(column),
+                      F.unix_seconds(F.col("timestamp")).alias("received_at"))
