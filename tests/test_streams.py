@@ -72,3 +72,10 @@ def test_cron_daily_block_runs_once_per_date(spark):
     first = spark.read.parquet(ledger).count()
     jobs.cron_cycle(spark, ticks(), usage, ledger, name="t6b")  # new checkpoint: replays every tick
     assert first > 0 and spark.read.parquet(ledger).count() == first
+
+
+def test_kafka_source_is_gated(spark):
+    import pytest
+
+    with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+        jobs.kafka_raw(spark, "localhost:1", "updates")
