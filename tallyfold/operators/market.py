@@ -234,8 +234,10 @@ ROUTER_SCHEMA = "agent string, reason string, confidence double, reply string"
 def parse_router_outputs(raw: DataFrame) -> DataFrame:
     """Strict one-line JSON; unknown agent, confidence outside [0, 1] or
     non-JSON -> ``quarantine``."""
-    v = F.try_parse_json(F.col("raw"))
-    p = raw.withColumn("o", F.from_json("raw", ROUTER_SCHEMA)).withColumn("_ok_json", v.isNotNull())
+    # one parse: malformed text yields all-null fields, which is never a valid output
+    p = raw.withColumn("o", F.from_json("raw", ROUTER_SCHEMA))
+    p = p.withColumn("_ok_json", F.coalesce(F.col("o.agent"), F.col("o.reason"), F.col("o.confidence").cast("string"),
+                                            F.col("o.reply")).isNotNull())
     agent_ok = F.col("o.agent").isNull() | F.col("o.agent").isin(*AGENTS)
     conf_ok = F.col("o.confidence").between(0.0, 1.0)
     good = F.col("_ok_json") & agent_ok & F.coalesce(conf_ok, F.lit(False))
