@@ -32,12 +32,16 @@ def active_users(users: DataFrame, subs: DataFrame, as_of: int, days: int = 7) -
 
 
 # R2 -------------------------------------------------------------------------
-def revenue_daily(payments: DataFrame) -> DataFrame:
+def revenue_daily(payments: DataFrame, approx: bool = False) -> DataFrame:
+    """Paid and finalised payments per UTC day.  The exact distinct payer
+    count is planned as expand + two-phase aggregate; ``approx`` switches to
+    ``approx_count_distinct`` (HyperLogLog) for very large days."""
     p = payments.where((F.col("status") == "paid") & F.col("finalized_at").isNotNull())
+    payers = F.approx_count_distinct("tg_user_id") if approx else F.count_distinct("tg_user_id")
     return p.groupBy(yyyymmdd("finalized_at").alias("date")).agg(
         F.count(F.lit(1)).alias("payments_count"),
         F.sum("amount_rub").alias("revenue_rub"),
-        F.count_distinct("tg_user_id").alias("unique_payers"))
+        payers.alias("unique_payers"))
 
 
 # R3 -------------------------------------------------------------------------
