@@ -165,3 +165,31 @@ MONTHS = [y * 100 + m for y in YEARS for m in range(1, 13)]
 select sku, cv, xyz from xyz_part""")
 def x3p(spark, d):
     return X.xyz_classes(Fixtures(spark, d).sku_sales("part", "month"), len(MONTHS))
+
+
+from .q_unit_econ import SKUS as _ECON_SKUS, waterfall_sql as _waterfall_sql  # noqa: E402
+
+
+@query("x4_abc_xyz_matrix_part", "with " + sales_sql("part", "quarter") + "," + abc_sql("part") + ","
+       + xyz_sql("part", len(QUARTERS)) + "," + _ECON_SKUS + "," + _waterfall_sql("w") + """
+, cls as (select a.sku, a.revenue, a.abc || x.xyz abc_xyz, w.cm2 unit_margin
+          from abc_part a join xyz_part x using (sku) left join w using (sku)),
+pol as (select * from (values ('AX', 'protect_core'), ('AY', 'stock_for_peak'), ('AZ', 'check_volatility'),
+                               ('BX', 'grow_to_a'), ('BY', 'hold_level'), ('BZ', 'spot_work_no_scale'),
+                               ('CX', 'keep_for_width'), ('CY', 'optimize'), ('CZ', 'exit_candidate'))
+               t(abc_xyz, recommendation))
+select p.abc_xyz, coalesce(g.skus, 0)::bigint skus,
+       round(coalesce(g.rev / (select sum(revenue) from cls), 0.0), 4) revenue_share,
+       round(g.mm::double, 4) mean_margin, p.recommendation
+from pol p left join (select abc_xyz, count(*) skus, sum(revenue) rev, avg(unit_margin) mm from cls group by 1) g
+  using (abc_xyz)""")
+def x4p(spark, d):
+    """Part-level matrix; the unit margin comes from unit economics (E3 CM2),
+    as the assortment spec prescribes when the sales data has none."""
+    from . import q_unit_econ
+
+    s = Fixtures(spark, d).sku_sales("part", "quarter")
+    cls = X.abc_classes(sku_rev(s)).join(X.xyz_classes(s, len(QUARTERS)), "sku")
+    margin = q_unit_econ.cm(spark, d).select("sku", F.col("cm2").alias("unit_margin"))
+    out = X.abc_xyz_matrix(cls.join(margin, "sku", "left"), spark)
+    return out.withColumn("mean_margin", F.round(F.col("mean_margin").cast("double"), 4))
