@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, quality, secret_scan
+from . import langid, packing, quality, secret_scan, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -24,3 +24,18 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Base measures and cascade verdict of every document."""
     return quality.quality_report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    """Pieces of every document, packed into windows of 1024 ids."""
+    return packing.pack_documents(documents(spark, sf_dir), scratch(spark, "op4-tokens"))
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    """Toxicity score of every document; labels of fold != 0 only."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(5) != 0).select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), model)
