@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, secret_scan, toxicity
+from . import decontam, langid, packing, quality, secret_scan, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -39,3 +39,9 @@ def op5(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(5) != 0).select("doc_id", "toxic")
     model = toxicity.train(docs, labels)
     return toxicity.score(docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text"), model)
+
+
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    """Every (document, benchmark item) with similarity 0.8 or more."""
+    return decontam.find_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
