@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, packing, quality, secret_scan, toxicity
+from . import decontam, langid, neardup, packing, quality, secret_scan, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -45,3 +45,9 @@ def op5(spark, sf_dir):
 def op2(spark, sf_dir):
     """Every (document, benchmark item) with similarity 0.8 or more."""
     return decontam.find_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op6_near_duplicates")
+def op6(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return neardup.near_duplicates(documents(spark, sf_dir), scratch(spark, "op6-classes"))
