@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, packing, quality, secret_scan, toxicity
+from . import decontam, langid, lmscore, neardup, packing, quality, secret_scan, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -51,3 +51,11 @@ def op2(spark, sf_dir):
 def op6(spark, sf_dir):
     """Near-duplicate class of every document."""
     return neardup.near_duplicates(documents(spark, sf_dir), scratch(spark, "op6-classes"))
+
+
+@query("op8_lm_score")
+def op8(spark, sf_dir):
+    """Class-based language-model score of every document."""
+    docs, folder = documents(spark, sf_dir), scratch(spark, "op8-counts")
+    model = lmscore.train(docs.where(fold(5) != 1), folder)
+    return lmscore.score(docs.select("doc_id", (fold(5) == 1).alias("held_out"), "text"), model, folder)
