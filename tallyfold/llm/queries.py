@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lmscore, neardup, packing, quality, secret_scan, toxicity
+from . import decontam, langid, lmscore, neardup, packing, quality, secret_scan, substring, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -59,3 +59,9 @@ def op8(spark, sf_dir):
     docs, folder = documents(spark, sf_dir), scratch(spark, "op8-counts")
     model = lmscore.train(docs.where(fold(5) != 1), folder)
     return lmscore.score(docs.select("doc_id", (fold(5) == 1).alias("held_out"), "text"), model, folder)
+
+
+@query("op7_substring_dedup")
+def op7(spark, sf_dir):
+    """Words left in every document without repeated 50-word passages."""
+    return substring.remove_repeats(documents(spark, sf_dir), scratch(spark, "op7-spans"))
