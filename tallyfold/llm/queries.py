@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lmscore, neardup, packing, quality, secret_scan, substring, toxicity
+from . import decontam, langid, linededup, lmscore, neardup, packing, quality, secret_scan, substring, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -65,3 +65,9 @@ def op8(spark, sf_dir):
 def op7(spark, sf_dir):
     """Words left in every document without repeated 50-word passages."""
     return substring.remove_repeats(documents(spark, sf_dir), scratch(spark, "op7-spans"))
+
+
+@query("op3_line_dedup", linededup.ORACLE)
+def op3(spark, sf_dir):
+    """Lines left in every document without repeated multi-line chunks."""
+    return linededup.report(documents(spark, sf_dir))
