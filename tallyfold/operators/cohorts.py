@@ -118,31 +118,31 @@ def _registered_between(users: DataFrame, as_of: int, k: int) -> DataFrame:
     return _live(users).where(F.col("registered_at").between(lo, hi)).select("tg_user_id", "registered_at")
 
 
-def _bounded_limit(df: DataFrame, limit: int | None, order: list[str]) -> DataFrame:
-    # The reference caps each cohort batch; the order makes the cap deterministic.
+def _capped(df: DataFrame, limit: int | None, order: list[str]) -> DataFrame:
+    """An optional batch size for callers that send in batches; ``order`` makes
+    it deterministic.  Every default is the whole cohort."""
     return df.orderBy(*order).limit(limit) if limit is not None else df
 
 
 def no_first_request(users: DataFrame, inv: DataFrame, as_of: int, day: int,
-                     limit: int | None = 200) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     cohort = _registered_between(users, as_of, day)
     out = cohort.join(inv.select("tg_user_id"), "tg_user_id", "left_anti")
-    return _bounded_limit(out, limit, ["tg_user_id"]).withColumn("day", F.lit(day))
+    return _capped(out, limit, ["tg_user_id"]).withColumn("day", F.lit(day))
 
 
 def one_agent_only(users: DataFrame, inv: DataFrame, as_of: int, day: int = 4,
-                   limit: int | None = 200) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     cohort = _registered_between(users, as_of, day)
     per = (cohort.join(inv.select("tg_user_id", "agent_id"), "tg_user_id", "left")
            .groupBy("tg_user_id", "registered_at")
            .agg(F.count_distinct("agent_id").alias("unique_agents"))
-           .where(F.col("unique_agents") <= 1))
-    # the zero-agent rows are dropped only after the cap, as in the reference
-    return _bounded_limit(per, limit, ["tg_user_id"]).where(F.col("unique_agents") != 0)
+           .where(F.col("unique_agents") == 1))
+    return _capped(per, limit, ["tg_user_id"])
 
 
 def trial_ending(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int, day: int = 6,
-                 limit: int | None = 200, activated_at: int = 3) -> DataFrame:
+                 limit: int | None = None, activated_at: int = 3) -> DataFrame:
     cohort = _registered_between(users, as_of, day)
     trial = subs.where((F.col("is_active") == 1) & (F.col("plan") == "free_trial")).select("tg_user_id")
     # the join with subscriptions may fan out; the group-by collapses it and
@@ -152,30 +152,31 @@ def trial_ending(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int,
            .groupBy("tg_user_id", "registered_at")
            .agg(F.count_distinct("agent_id").alias("unique_agents"),
                 F.count("agent_id").alias("total_calls")))
-    out = _bounded_limit(per, limit, ["tg_user_id"])
+    out = _capped(per, limit, ["tg_user_id"])
     return out.withColumn("activated", (F.col("unique_agents") >= activated_at).cast("int"))
 
 
 # R11 / R12 -----------------------------------------------------------------
-def sub_expiring(subs: DataFrame, as_of: int, days: int = 3, limit: int | None = 500) -> DataFrame:
+def sub_expiring(subs: DataFrame, as_of: int, days: int = 3, limit: int | None = None) -> DataFrame:
     lo, hi = as_of + days * DAY - DAY, as_of + days * DAY
     s = subs.where((F.col("is_active") == 1) & (F.col("plan") != "free_trial") &
                    F.col("expires_at").between(lo, hi)).select("tg_user_id", "plan", "expires_at")
-    s = _bounded_limit(s, limit, ["tg_user_id", "expires_at"])
+    s = _capped(s, limit, ["tg_user_id", "expires_at"])
     return s.select("tg_user_id", "plan", "expires_at",
                     F.format_string("sub_expiring_%d", F.col("expires_at")).alias("event"),
                     iso_date("expires_at").alias("expires_date"))
 
 
 def silent_payers(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int, days: int = 7,
-                  limit: int | None = 200) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     paid = subs.where((F.col("is_active") == 1) & (F.col("plan") != "free_trial")).select("tg_user_id")
     u = _live(users).select("tg_user_id", "registered_at").join(paid, "tg_user_id")
-    last = inv.groupBy("tg_user_id").agg(F.max("created_at").alias("last_call"))
-    per = (u.join(last, "tg_user_id", "left")
-           .groupBy("tg_user_id", "registered_at").agg(F.max("last_call").alias("last_call"))
-           .where(F.col("last_call").isNotNull() & (F.col("last_call") < as_of - days * DAY)))
-    per = _bounded_limit(per, limit, ["tg_user_id"])
+    # one row per payer first, then only the payers' invocations are aggregated
+    payers = u.groupBy("tg_user_id", "registered_at").agg(F.lit(1).alias("_one")).drop("_one")
+    last = (inv.select("tg_user_id", "created_at").join(payers.select("tg_user_id"), "tg_user_id", "left_semi")
+            .groupBy("tg_user_id").agg(F.max("created_at").alias("last_call")))
+    per = payers.join(last, "tg_user_id").where(F.col("last_call") < as_of - days * DAY)
+    per = _capped(per, limit, ["tg_user_id"])
     week = as_of // WEEK
     return per.withColumn("event", F.lit(f"silence_7d_{week}"))
 

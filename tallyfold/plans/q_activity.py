@@ -119,138 +119,108 @@ def r7(spark, d):
     return cohorts.stats_dashboard(users, subs, fx.payments(), inv, A)
 
 
-def _cohort_sql(k: int) -> str:
-    return f"u.is_banned = 0 and u.is_deleted = 0 and u.registered_at between {A} - {k + 1} * 86400 and {A} - {k} * 86400"
+def _cohort_sql(k: int, a: int = A) -> str:
+    return f"is_banned = 0 and is_deleted = 0 and registered_at between {a} - {k + 1} * 86400 and {a} - {k} * 86400"
+
+
+def _use_sql(inv: str, name: str = "per_user") -> str:
+    """One row per user with invocations."""
+    return (f", {name} as (select tg_user_id, count(agent_id) calls, count(distinct agent_id) agents, "
+            f"max(created_at) last_call from {inv} group by tg_user_id)")
 
 
 @query("r8_no_first_request", with_fx("fx_users_active", "fx_inv_asof") + f"""
-select * from (
-  select u.tg_user_id, u.registered_at, 1 "day" from fx_users_active u
-  left join fx_inv_asof a on a.tg_user_id = u.tg_user_id where {_cohort_sql(1)}
-  group by u.tg_user_id, u.registered_at having count(a.l_orderkey) = 0 order by 1 limit 200)
+select tg_user_id, registered_at, 1 "day" from fx_users_active u
+where {_cohort_sql(1)} and not exists (from fx_inv_asof i where i.tg_user_id = u.tg_user_id)
 union all
-select * from (
-  select u.tg_user_id, u.registered_at, 2 "day" from fx_users_active u
-  left join fx_inv_asof a on a.tg_user_id = u.tg_user_id where {_cohort_sql(2)}
-  group by u.tg_user_id, u.registered_at having count(a.l_orderkey) = 0 order by 1 limit 200)""")
+select tg_user_id, registered_at, 2 from fx_users_active u
+where {_cohort_sql(2)} and not exists (from fx_inv_asof i where i.tg_user_id = u.tg_user_id)""")
 def r8(spark, d):
     fx, users, subs, inv = _ctx(spark, d, shared=True)
     return cohorts.no_first_request(users, inv, A, 1).unionByName(cohorts.no_first_request(users, inv, A, 2))
 
 
-@query("r9_one_agent_only", with_fx("fx_users_active", "fx_inv_asof") + f"""
-select * from (
-  select u.tg_user_id, u.registered_at, count(distinct a.agent_id) unique_agents
-  from fx_users_active u left join fx_inv_asof a on a.tg_user_id = u.tg_user_id
-  where {_cohort_sql(4)} group by u.tg_user_id, u.registered_at
-  having count(distinct a.agent_id) <= 1 order by 1 limit 200)
-where unique_agents <> 0""")
+@query("r9_one_agent_only", with_fx("fx_users_active", "fx_inv_asof") + _use_sql("fx_inv_asof") + f"""
+select tg_user_id, registered_at, agents unique_agents
+from per_user join (select * from fx_users_active where {_cohort_sql(4)}) using (tg_user_id) where agents = 1""")
 def r9(spark, d):
     fx, users, subs, inv = _ctx(spark, d)
     return cohorts.one_agent_only(users, inv, A)
 
 
-@query("r10_trial_ending", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state") + f"""
-select *, cast(unique_agents >= 3 as integer) activated from (
-  select u.tg_user_id, u.registered_at, count(distinct a.agent_id) unique_agents,
-         count(a.agent_id) total_calls
-  from fx_users_active u
-  join fx_subs_state s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan = 'free_trial'
-  left join fx_inv_asof a on a.tg_user_id = u.tg_user_id
-  where {_cohort_sql(6)} group by u.tg_user_id, u.registered_at order by 1 limit 200)""")
+@query("r10_trial_ending", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state") + _use_sql("fx_inv_asof") + f"""
+, trials as (select tg_user_id, count(*) n from fx_subs_state where plan = 'free_trial' and is_active = 1 group by 1)
+select tg_user_id, registered_at, coalesce(agents, 0) unique_agents, cast(coalesce(calls, 0) * n as bigint) total_calls,
+       cast(coalesce(agents, 0) >= 3 as integer) activated
+from trials join (select * from fx_users_active where {_cohort_sql(6)}) using (tg_user_id)
+     left join per_user using (tg_user_id)""")
 def r10(spark, d):
     fx, users, subs, inv = _ctx(spark, d)
     return cohorts.trial_ending(users, subs, inv, A)
 
 
-@query("r11_sub_expiring", with_fx("fx_subs_state") + f"""
-select tg_user_id, plan, expires_at, 'sub_expiring_' || expires_at event,
-       strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d') expires_date
-from (select * from fx_subs_state where is_active = 1 and plan <> 'free_trial'
-        and expires_at between {A} + 2 * 86400 and {A} + 3 * 86400
-      order by tg_user_id, expires_at limit 500)""")
+def _expiring_sql(subs: str, a: int = A) -> str:
+    return (f"(select tg_user_id, plan, expires_at, 'sub_expiring_' || expires_at event, "
+            f"strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d') expires_date from {subs} "
+            f"where plan <> 'free_trial' and is_active = 1 and expires_at - {a} between 2 * 86400 and 3 * 86400)")
+
+
+@query("r11_sub_expiring", with_fx("fx_subs_state") + f"select * from {_expiring_sql('fx_subs_state')}")
 def r11(spark, d):
     fx, users, subs, inv = _ctx(spark, d)
     return cohorts.sub_expiring(subs, A)
 
 
-@query("r11_sub_expiring_raw", with_fx("fx_subscriptions") + f"""
-select tg_user_id, plan, expires_at, 'sub_expiring_' || expires_at event,
-       strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d') expires_date
-from (select * from fx_subscriptions where is_active = 1 and plan <> 'free_trial'
-        and started_at <= {A} and expires_at between {A} + 2 * 86400 and {A} + 3 * 86400
-      order by tg_user_id, expires_at limit 500)""")
+_RAW_SUBS = f"(select * from fx_subscriptions where started_at <= {A})"
+
+
+@query("r11_sub_expiring_raw", with_fx("fx_subscriptions") + f"select * from {_expiring_sql(_RAW_SUBS)}")
 def r11_raw(spark, d):
     return cohorts.sub_expiring(Fixtures(spark, d).subscriptions_as_of(A), A)
 
 
-@query("r12_silent_payers", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state") + f"""
-select *, 'silence_7d_{A // (7 * DAY)}' event from (
-  select u.tg_user_id, u.registered_at, max(a.created_at) last_call
-  from fx_users_active u
-  join fx_subs_state s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan <> 'free_trial'
-  left join fx_inv_asof a on a.tg_user_id = u.tg_user_id
-  where u.is_banned = 0 and u.is_deleted = 0
-  group by u.tg_user_id, u.registered_at
-  having max(a.created_at) is not null and max(a.created_at) < {A} - 7 * 86400
-  order by 1 limit 200)""")
+def _silent_sql(subs: str, a: int = A, use: str = "per_user") -> str:
+    return (f"(select tg_user_id, registered_at, last_call, 'silence_7d_{a // (7 * DAY)}' event "
+            f"from {use} join fx_users_active using (tg_user_id) "
+            f"where {a} - last_call > 7 * 86400 and is_banned = 0 and is_deleted = 0 and tg_user_id in "
+            f"(select tg_user_id from {subs} where is_active = 1 and plan <> 'free_trial'))")
+
+
+@query("r12_silent_payers", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state") + _use_sql("fx_inv_asof")
+       + f"select * from {_silent_sql('fx_subs_state')}")
 def r12(spark, d):
     fx, users, subs, inv = _ctx(spark, d)
     return cohorts.silent_payers(users, subs, inv, A)
 
 
-@query("r12_silent_payers_raw", with_fx("fx_users_active", "fx_inv_asof", "fx_subscriptions") + f"""
-select *, 'silence_7d_{A // (7 * DAY)}' event from (
-  select u.tg_user_id, u.registered_at, max(a.created_at) last_call
-  from fx_users_active u
-  join fx_subscriptions s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan <> 'free_trial'
-       and s.started_at <= {A}
-  left join fx_inv_asof a on a.tg_user_id = u.tg_user_id
-  where u.is_banned = 0 and u.is_deleted = 0
-  group by u.tg_user_id, u.registered_at
-  having max(a.created_at) is not null and max(a.created_at) < {A} - 7 * 86400
-  order by 1 limit 200)""")
+@query("r12_silent_payers_raw", with_fx("fx_users_active", "fx_inv_asof", "fx_subscriptions") + _use_sql("fx_inv_asof")
+       + f"select * from {_silent_sql(_RAW_SUBS)}")
 def r12_raw(spark, d):
     fx, users, subs, inv = _ctx(spark, d)
     return cohorts.silent_payers(users, fx.subscriptions_as_of(A), inv, A)
 
 
-def _segments_sql(a: int, subs: str, inv: str) -> str:
-    """The six cohorts at ``a`` as (tg_user_id, event, params), DuckDB text."""
-    def coh(k):
-        return (f"u.is_banned = 0 and u.is_deleted = 0 and u.registered_at between {a} - {k + 1} * 86400 "
-                f"and {a} - {k} * 86400")
+def _segments_sql(a: int, subs: str, use: str) -> str:
+    """The six cohorts at ``a`` as (tg_user_id, event, params): one pass over
+    the users with their use and subscription flags, then one row per event."""
     return f"""
-select tg_user_id, 'd1_no_first_request' event, '' params from (
-  select u.tg_user_id from fx_users_active u left join {inv} a on a.tg_user_id = u.tg_user_id
-  where {coh(1)} group by u.tg_user_id having count(a.l_orderkey) = 0 order by 1 limit 200)
-union all
-select tg_user_id, 'd2_no_first_request', '' from (
-  select u.tg_user_id from fx_users_active u left join {inv} a on a.tg_user_id = u.tg_user_id
-  where {coh(2)} group by u.tg_user_id having count(a.l_orderkey) = 0 order by 1 limit 200)
-union all
-select tg_user_id, 'd4_one_agent', '' from (
-  select u.tg_user_id, count(distinct a.agent_id) ua from fx_users_active u
-  left join {inv} a on a.tg_user_id = u.tg_user_id where {coh(4)} group by u.tg_user_id
-  having count(distinct a.agent_id) <= 1 order by 1 limit 200) where ua <> 0
-union all
-select tg_user_id, case when ua >= 3 then 'd7_trial_activated' else 'd7_trial_not_activated' end,
-       case when ua >= 3 then format('calls={{}};agents={{}}', tc, ua) else '' end from (
-  select u.tg_user_id, count(distinct a.agent_id) ua, count(a.agent_id) tc from fx_users_active u
-  join {subs} s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan = 'free_trial'
-  left join {inv} a on a.tg_user_id = u.tg_user_id where {coh(6)} group by u.tg_user_id order by 1 limit 200)
+select tg_user_id, unnest(list_filter([
+         case when {_cohort_sql(1, a)} and agents is null then 'd1_no_first_request' end,
+         case when {_cohort_sql(2, a)} and agents is null then 'd2_no_first_request' end,
+         case when {_cohort_sql(4, a)} and agents = 1 then 'd4_one_agent' end,
+         case when {_cohort_sql(6, a)} and trials > 0 and coalesce(agents, 0) < 3 then 'd7_trial_not_activated' end,
+         case when is_banned = 0 and is_deleted = 0 and paid > 0 and {a} - last_call > 7 * 86400
+              then 'silence_7d_{a // (7 * DAY)}' end], lambda x: x is not null)) as event, '' params
+from fx_users_active left join {use} using (tg_user_id) left join (
+  select tg_user_id, count(*) filter (where plan = 'free_trial') trials, count(*) filter (where plan <> 'free_trial') paid
+  from {subs} where is_active = 1 group by 1) using (tg_user_id)
 union all
-select tg_user_id, 'sub_expiring_' || expires_at,
-       format('plan={{}};date={{}}', plan, strftime(make_timestamp(cast(expires_at as bigint) * 1000000), '%Y-%m-%d')) from (
-  select * from {subs} where is_active = 1 and plan <> 'free_trial'
-    and expires_at between {a} + 2 * 86400 and {a} + 3 * 86400 order by tg_user_id, expires_at limit 500)
+select tg_user_id, 'd7_trial_activated', format('calls={{}};agents={{}}', calls * n, agents)
+from (select * from fx_users_active where {_cohort_sql(6, a)}) join {use} using (tg_user_id) join (
+  select tg_user_id, count(*) n from {subs} where is_active = 1 and plan = 'free_trial' group by 1) using (tg_user_id)
+where agents >= 3
 union all
-select tg_user_id, 'silence_7d_{a // (7 * DAY)}', '' from (
-  select u.tg_user_id from fx_users_active u
-  join {subs} s on s.tg_user_id = u.tg_user_id and s.is_active = 1 and s.plan <> 'free_trial'
-  left join {inv} a on a.tg_user_id = u.tg_user_id where u.is_banned = 0 and u.is_deleted = 0
-  group by u.tg_user_id having max(a.created_at) is not null and max(a.created_at) < {a} - 7 * 86400
-  order by 1 limit 200)"""
+select tg_user_id, event, format('plan={{}};date={{}}', plan, expires_date) from {_expiring_sql(subs, a)}"""
 
 
 _PREV = A - DAY
@@ -261,9 +231,13 @@ _STATE_PREV = f"""
                       from fx_subscriptions where started_at <= {_PREV})),
 subs_prev2 as (select * exclude (is_active, is_active2), is_active2 is_active from subs_prev),
 inv_prev as (select * from fx_inv_asof where created_at <= {_PREV}),
-ledger as (select tg_user_id, event, min(params) params from ({_segments_sql(_PREV, "subs_prev2", "inv_prev")})
+per_user_prev as (select tg_user_id, count(agent_id) calls, count(distinct agent_id) agents, max(created_at) last_call
+                  from inv_prev group by 1),
+per_user as (select tg_user_id, count(agent_id) calls, count(distinct agent_id) agents, max(created_at) last_call
+             from fx_inv_asof group by 1),
+ledger as (select tg_user_id, event, min(params) params from ({_segments_sql(_PREV, "subs_prev2", "per_user_prev")})
            group by 1, 2),
-today as ({_segments_sql(A, "fx_subs_state", "fx_inv_asof")})
+today as ({_segments_sql(A, "fx_subs_state", "per_user")})
 select t.tg_user_id, t.event, min(t.params) params, {A}::bigint sent_at
 from today t where not exists (select 1 from ledger l where l.tg_user_id = t.tg_user_id and l.event = t.event)
 group by 1, 2"""
