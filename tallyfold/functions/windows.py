@@ -128,12 +128,13 @@ def adaptive_chunk(df: DataFrame, group: list[str], ts: str, out: str = "_chunk"
     period, or of its ``fine_s`` period inside periods where one group has
     more than ``max_rows`` rows (a burst concentrated in one hour).  Keys are
     in seconds, so they stay monotone in ``ts`` within a group.  The heavy
-    (group, period) list has at most ``rows / max_rows`` entries: its
-    broadcast is bounded by construction."""
+    (group, period) list has at most ``rows / max_rows`` entries; it grows
+    with the data, so the join is a plain one and AQE broadcasts it only after
+    measuring its size."""
     base = F.col(ts) - F.pmod(F.col(ts), F.lit(base_s))
     heavy = (df.groupBy(*group, base.alias("__w_base")).agg(F.count(F.lit(1)).alias("__w_n"))
              .where(F.col("__w_n") > max_rows).select(*group, "__w_base", F.lit(True).alias("__w_heavy")))
-    d = df.withColumn("__w_base", base).join(F.broadcast(heavy), [*group, "__w_base"], "left")
+    d = df.withColumn("__w_base", base).join(heavy, [*group, "__w_base"], "left")
     fine = F.col(ts) - F.pmod(F.col(ts), F.lit(fine_s))
     return (d.withColumn(out, F.when(F.col("__w_heavy"), fine).otherwise(F.col("__w_base")).cast("long"))
             .drop("__w_base", "__w_heavy"))

@@ -9,7 +9,6 @@ one user never need a second shuffle key, and a hot user is split by hour.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +52,9 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
                         chunk_s: int = 3600, max_chunk_rows: int = 1_000_000) -> DataFrame:
     """Decide every request ``(request_id, tg_user_id, agent_id, ts, plan)``.
 
-    Order of checks per request: no plan -> ``no_active_plan`` (touches no
-    counter); flood count in the current burst > limit -> ``free_minute`` /
+    Order of checks per request: no plan -> ``no_active_plan``; a plan that
+    ``limits`` does not know -> ``unknown_plan``; no agent -> ``no_agent``
+    (these three touch no counter and are never allowed); flood count in the current burst > limit -> ``free_minute`` /
     ``flood``; free plan: running count of flood-passed free requests per
     UTC day > cap -> ``free_daily``; per-agent daily counter > quota ->
     ``daily_quota`` (that increment is rolled back); else ``allowed`` with
@@ -69,14 +69,17 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
     which one user has more than ``max_chunk_rows`` requests is cut into
     minutes (``functions.windows.adaptive_chunk``).
     """
-    lim = F.broadcast(limits)  # one row per plan
+    lim = F.broadcast(limits.withColumn("_known", F.lit(True)))  # one row per plan
     r = requests.join(lim, "plan", "left")
-    none = r.where(F.col("plan").isNull()).select(
+    bad = (F.when(F.col("plan").isNull(), "no_active_plan").when(F.col("_known").isNull(), "unknown_plan")
+           .when(F.col("agent_id").isNull(), "no_agent"))
+    r = r.withColumn("_bad", bad).drop("_known")
+    none = r.where(F.col("_bad").isNotNull()).select(
         "request_id", "tg_user_id", "agent_id", "ts", "plan",
-        F.lit("no_active_plan").alias("reason"), F.lit(0).cast("long").alias("remaining"))
+        F.col("_bad").alias("reason"), F.lit(0).cast("long").alias("remaining"))
     U, C = "tg_user_id", "_chunk"
     K = [U, C]
-    d = adaptive_chunk(r.where(F.col("plan").isNotNull()), [U], "ts", C, base_s=chunk_s,
+    d = adaptive_chunk(r.where(F.col("_bad").isNull()).drop("_bad"), [U], "ts", C, base_s=chunk_s,
                        max_rows=max_chunk_rows)
     d = d.withColumn("_date", yyyymmdd(F.col("ts"))).repartition(U, C)
     w = Window.partitionBy(*K).orderBy(*ORDER)
@@ -130,11 +133,11 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
           # at most one entry per agent: collapse to one row per (user, chunk)
           .groupBy(*K).agg(F.collect_list(F.struct("agent_id", "_i_before", "_varying")).alias("_agents")))
     d = d.join(s3, K)
-    me = F.filter("_agents", lambda x: x["agent_id"] == F.col("agent_id"))[0]
+    me = F.get(F.filter("_agents", lambda x: x["agent_id"] == F.col("agent_id")), F.lit(0))
     i = me["_i_before"] + F.col("_i_loc")
-    ok = F.col("_passed") & (i <= L)
+    ok = F.coalesce(F.col("_passed") & (i <= L), F.lit(False))  # allowed only on proof
     reason = (F.when(F.col("_flood_rej") & free, "free_minute").when(F.col("_flood_rej"), "flood")
-              .when(F.col("_day_rej"), "free_daily").when(~ok, "daily_quota").otherwise("allowed"))
+              .when(F.col("_day_rej"), "free_daily").when(ok, "allowed").otherwise("daily_quota"))
     d = d.select("request_id", U, "agent_id", "ts", "plan", reason.alias("reason"),
                  F.when(ok, (L - i).cast("long")).otherwise(F.lit(0).cast("long")).alias("remaining"),
                  me["_varying"].alias("_varying"), "_date", "_passed", "agent_limit")
@@ -148,27 +151,31 @@ def admission_decisions(requests: DataFrame, limits: DataFrame, gap: int = FLOOD
 
 
 def _fold_downgraded(d: DataFrame) -> DataFrame:
-    """Exact sequential counter for the rare (user, agent, day) groups whose
-    limit changes mid-day (plan change): grouped pandas fold over those
-    groups only (at most one user-day of one agent per group)."""
-    schema = "request_id long, tg_user_id long, agent_id string, ts long, plan string, reason string, remaining long"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        c, reasons, rem = 0, [], []
-        for passed, lim, reason in zip(pdf["_passed"], pdf["agent_limit"], pdf["reason"]):
-            if not passed:
-                reasons.append(reason), rem.append(0)
-            elif c + 1 <= lim:
-                c += 1
-                reasons.append("allowed"), rem.append(int(lim - c))
-            else:
-                reasons.append("daily_quota"), rem.append(0)
-        out = pdf[["request_id", "tg_user_id", "agent_id", "ts", "plan"]].copy()
-        out["reason"], out["remaining"] = reasons, rem
-        return out
-
-    return d.groupBy("tg_user_id", "agent_id", "_date").applyInPandas(fold, schema)
+    """Exact counter for the rare (user, agent, day) groups whose limit changes
+    mid-day (plan change), in closed form: inside a run of equal limit L that
+    starts at count c, the i-th passed request is allowed iff c + i <= L, and
+    the run of n leaves the count at min(c + n, max(c, L)).  Runs (one per plan
+    change) are folded in order; rows only look their run's start up."""
+    G = ["tg_user_id", "agent_id", "_date"]
+    w = Window.partitionBy(*G).orderBy(*ORDER)
+    p = d.where("_passed").withColumn(
+        "_new", F.coalesce((F.lag("agent_limit").over(w) != F.col("agent_limit")).cast("int"), F.lit(0)))
+    p = p.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("_i", F.row_number().over(Window.partitionBy(*G, "_run").orderBy(*ORDER)).cast("long"))
+    runs = p.groupBy(*G, "_run").agg(F.first("agent_limit").cast("long").alias("l"), F.count(F.lit(1)).alias("n"))
+    runs = runs.groupBy(*G).agg(F.sort_array(F.collect_list(F.struct("_run", "l", "n"))).alias("_rs"))
+    zero = F.struct(F.lit(0).cast("long").alias("c"),
+                    F.array().cast("array<struct<_run:bigint,c:bigint>>").alias("starts"))
+    fold = F.aggregate("_rs", zero, lambda s, r: F.struct(
+        F.least(s["c"] + r["n"], F.greatest(s["c"], r["l"])).alias("c"),
+        F.concat(s["starts"], F.array(F.struct(r["_run"].cast("long").alias("_run"), s["c"].alias("c")))).alias("starts")))
+    starts = runs.select(*G, F.explode(fold["starts"]).alias("_s")).select(*G, "_s._run", F.col("_s.c").alias("_c"))
+    done = p.join(starts, [*G, "_run"])
+    ok = F.col("_c") + F.col("_i") <= F.col("agent_limit")
+    cols = ["request_id", "tg_user_id", "agent_id", "ts", "plan"]
+    passed = done.select(*cols, F.when(ok, "allowed").otherwise("daily_quota").alias("reason"),
+                         F.when(ok, F.col("agent_limit") - F.col("_c") - F.col("_i")).otherwise(0).cast("long").alias("remaining"))
+    return passed.unionByName(d.where("not _passed").select(*cols, "reason", F.lit(0).cast("long").alias("remaining")))
 
 
 # A3 -------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import _once
+from ..session import ensure_checkpoint_dir
 from ..sources.reference_data import ABC_XYZ_POLICY
 
 _UNB = Window.unboundedPreceding
@@ -43,8 +44,14 @@ def _parts(df: DataFrame, nparts: int | None) -> int:
 def cumulative_before(df: DataFrame, value: str, order: list[Column], nparts: int | None = None) -> DataFrame:
     """Add ``cum_before`` (sum of ``value`` over all earlier rows in ``order``)
     and ``total``.  The offsets table has one row per range partition, so its
-    broadcast is bounded by the partition count."""
-    r = df.repartitionByRange(_parts(df, nparts), *order).withColumn("_pid", F.spark_partition_id())
+    broadcast is bounded by the partition count.
+
+    The rows are read twice (local sums and offsets).  Range bounds come from
+    a sample, and two shuffles of different columns may sample differently, so
+    the partitioned rows are written once to the shared checkpoint folder and
+    both readers see the same partition numbers, whatever columns follow."""
+    ensure_checkpoint_dir(df.sparkSession)
+    r = df.repartitionByRange(_parts(df, nparts), *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
     wl = Window.partitionBy("_pid").orderBy(*order).rowsBetween(_UNB, -1)
     r = r.withColumn("_loc", F.coalesce(F.sum(value).over(wl), F.lit(0)))
     summ = r.groupBy("_pid").agg(F.sum(value).alias("_pt"))
@@ -126,12 +133,13 @@ def category_growth(classes: DataFrame) -> DataFrame:
 
 
 # X7 -------------------------------------------------------------------------
-def assortment_guards(sku_rev: DataFrame, n_periods: int, min_skus: int = 30, min_periods: int = 6,
+def assortment_guards(sales: DataFrame, min_skus: int = 30, min_periods: int = 6,
                       per_category_at: int = 1000) -> DataFrame:
-    n = sku_rev.agg(F.count(F.lit(1)).alias("skus"))
-    return n.select("skus", F.lit(n_periods).alias("periods"),
+    """Guards over ``sales (sku, period, ...)``; both counts come from the data."""
+    n = sales.agg(F.count_distinct("sku").alias("skus"), F.count_distinct("period").cast("int").alias("periods"))
+    return n.select("skus", "periods",
                     (F.col("skus") <= min_skus).alias("refuse"),
-                    F.lit(n_periods < min_periods).alias("abc_only"),
+                    (F.col("periods") < min_periods).alias("abc_only"),
                     (F.col("skus") >= per_category_at).alias("per_category"))
 
 

@@ -202,12 +202,14 @@ def profile_cards(users: DataFrame, subs: DataFrame, plan_cfg: DataFrame, as_of:
 
 
 # B11 ------------------------------------------------------------------------
-def pending_recheck(payments: DataFrame, as_of: int, limit: int | None = 50) -> DataFrame:
+def pending_recheck(payments: DataFrame, as_of: int, limit: int | None = None) -> DataFrame:
+    """Online payments pending for over an hour; ``limit`` is an optional batch
+    size (oldest first), the default is all of them."""
     p = payments.where((F.col("status") == "pending") & (F.col("created_at") < as_of - 3600) &
                        (F.col("created_at") <= as_of))
+    p = p.where(F.col("provider").isin("nowpayments", "cryptocloud"))
     if limit is not None:
         p = p.orderBy("created_at", "id").limit(limit)
-    p = p.where(F.col("provider").isin("nowpayments", "cryptocloud"))
     return p.select("id", "tg_user_id", "provider", "plan", "created_at")
 
 

@@ -86,19 +86,21 @@ def rank_fixes(fixes: DataFrame, k: int = 5) -> DataFrame:
 
 
 # V1–V4 ------------------------------------------------------------------------
-def classify_reviews(reviews: DataFrame, rules: DataFrame) -> DataFrame:
+def classify_reviews(reviews: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
     """Tone band by stars; problem category by the matching rule with the
-    lowest priority number.  ``rules (category, pattern, priority)`` is a
-    handful of rows: broadcast, matched with ``rlike``."""
+    lowest priority number (ties by name).  ``rules`` are (category, pattern,
+    priority) and fold into one ``when`` chain: no join and no shuffle.  Null
+    stars or stars outside 1-5 have tone ``quarantine`` and no sentence band."""
     tone = F.array(*[F.struct(F.lit(s).alias("stars"), F.lit(t).alias("tone"), F.lit(a).alias("min_sent"),
                               F.lit(b).alias("max_sent")) for s, t, a, b in TONE])
-    r = reviews.withColumn("_b", F.filter(tone, lambda x: x["stars"] == F.col("stars"))[0])
-    hits = (reviews.select("review_id", "text").join(F.broadcast(rules), F.expr("text rlike pattern"))
-            .groupBy("review_id").agg(F.min_by("category", F.struct("priority", "category")).alias("problem")))
-    return (r.join(hits, "review_id", "left")
-            .select("review_id", "sku", "stars", F.col("_b.tone").alias("tone"),
+    r = reviews.withColumn("_b", F.filter(tone, lambda x: x["stars"] == F.col("stars")))
+    r = r.withColumn("_b", F.get("_b", F.lit(0)))
+    problem = F.lit("none")
+    for category, pattern, _ in sorted(rules, key=lambda x: (x[2], x[0]), reverse=True):
+        problem = F.when(F.col("text").rlike(pattern), category).otherwise(problem)
+    return r.select("review_id", "sku", "stars", F.coalesce("_b.tone", F.lit("quarantine")).alias("tone"),
                     F.col("_b.min_sent").alias("min_sentences"), F.col("_b.max_sent").alias("max_sentences"),
-                    F.coalesce("problem", F.lit("none")).alias("problem")))
+                    problem.alias("problem"))
 
 
 def top_themes(classified: DataFrame, k: int = 3, systemic_at: int = 3) -> DataFrame:
@@ -146,7 +148,8 @@ def lint_replies(replies: DataFrame, banned: list[str] | None = None) -> DataFra
     sentences = F.size(F.filter(F.split(F.trim("reply"), r"[.!?]+"), lambda s: F.length(F.trim(s)) > 0))
     band = F.array(*[F.struct(F.lit(s).alias("stars"), F.lit(a).alias("lo"), F.lit(b).alias("hi"))
                      for s, _, a, b in TONE])
-    b = F.filter(band, lambda x: x["stars"] == F.col("stars"))[0]
+    b = F.get(F.filter(band, lambda x: x["stars"] == F.col("stars")), F.lit(0))  # null outside 1-5
+    no_band = ~F.coalesce(F.col("stars").between(1, 5), F.lit(False))
     low = F.lower(F.col("reply"))
     banned_hit = F.lit(False)
     for w in banned:
@@ -159,7 +162,8 @@ def lint_replies(replies: DataFrame, banned: list[str] | None = None) -> DataFra
         F.when(banned_hit, F.lit("banned_cliche")),
         F.when(F.col("reply").rlike(COMPETITOR_PATTERN), F.lit("competitor_mention")),
         F.when(F.col("reply").rlike(PRIVATE_PROMISE_PATTERN), F.lit("private_promise")),
-        F.when((sentences < b["lo"]) | (sentences > b["hi"]), F.lit("sentence_count"))))
+        F.when((sentences < b["lo"]) | (sentences > b["hi"]), F.lit("sentence_count")),
+        F.when(no_band, F.lit("quarantine_stars"))))
     return replies.select("reply_id", "stars", sentences.alias("sentences"), reasons.alias("violations"))
 
 
@@ -232,12 +236,16 @@ ROUTER_SCHEMA = "agent string, reason string, confidence double, reply string"
 
 
 def parse_router_outputs(raw: DataFrame) -> DataFrame:
-    """Strict one-line JSON; unknown agent, confidence outside [0, 1] or
-    non-JSON -> ``quarantine``."""
-    # one parse: malformed text yields all-null fields, which is never a valid output
-    p = raw.withColumn("o", F.from_json("raw", ROUTER_SCHEMA))
-    p = p.withColumn("_ok_json", F.coalesce(F.col("o.agent"), F.col("o.reason"), F.col("o.confidence").cast("string"),
-                                            F.col("o.reply")).isNotNull())
+    """Strict JSON: the whole text is one object on one line with all four
+    keys (a null ``agent`` or ``reply`` is a value, a missing key is not);
+    anything else, an unknown agent or a confidence outside [0, 1] ->
+    ``quarantine``, with null fields if the text is not such an object."""
+    keys = F.array(*[F.lit(f.split()[0]) for f in ROUTER_SCHEMA.split(", ")])
+    line = ~F.coalesce(F.col("raw").rlike(r"[\r\n]"), F.lit(True))
+    whole = F.try_parse_json("raw").isNotNull()
+    has = F.size(F.array_except(keys, F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")))) == 0
+    p = raw.withColumn("_ok_json", line & whole & has)
+    p = p.withColumn("o", F.when(F.col("_ok_json"), F.from_json("raw", ROUTER_SCHEMA)))
     agent_ok = F.col("o.agent").isNull() | F.col("o.agent").isin(*AGENTS)
     conf_ok = F.col("o.confidence").between(0.0, 1.0)
     good = F.col("_ok_json") & agent_ok & F.coalesce(conf_ok, F.lit(False))

@@ -50,13 +50,13 @@ MAX_ATTEMPTS = 3
 QUEUE_TTL_S = 3600
 
 
-def retry_step(queue: DataFrame, outcomes: DataFrame, as_of: int, batch: int | None = 100) -> DataFrame:
+def retry_step(queue: DataFrame, outcomes: DataFrame, as_of: int, batch: int | None = None) -> DataFrame:
     """One drain cycle of the retry queue.
 
     ``queue (key, raw)`` holds JSON items; ``outcomes (key, ok)`` the result
     of the retried call.  Items older than the TTL since their last enqueue
-    have expired; malformed JSON is deleted.  At most ``batch`` items are
-    taken in key order.  Output: one row per taken item with ``action`` in
+    have expired; malformed JSON is deleted.  ``batch`` optionally bounds a
+    cycle (key order); the default drains every item.  Output: one row per taken item with ``action`` in
     ``retried_ok / requeue / give_up / drop_malformed`` and the new attempts.
     """
     schema = ("user_id long, chat_id long, agent_id string, "

@@ -175,9 +175,10 @@ def sensitivity(skus: DataFrame, tariffs: DataFrame, regime: str, turnover: int)
 def regime_compare(cm: DataFrame, turnover: int, k: int = 5, near: float = 0.8) -> DataFrame:
     """Net profit of the top-k SKUs (by USN6 net) under every regime, side by
     side, with the risk mark when turnover approaches the USN limit."""
-    x = cm.withColumn("regime", F.explode(F.array(*[F.lit(r) for r in REGIMES])))
-    net = tax_and_net(x, F.col("regime"), turnover)
     top = tax_and_net(cm, "USN6", turnover).orderBy(F.desc("net"), "sku").limit(k).select("sku")
-    p = (net.join(top, "sku", "left_semi").groupBy("sku").pivot("regime", REGIMES)
+    x = cm.join(top, "sku", "left_semi")  # k SKUs only meet the six regimes
+    x = x.withColumn("regime", F.explode(F.array(*[F.lit(r) for r in REGIMES])))
+    net = tax_and_net(x, F.col("regime"), turnover)
+    p = (net.groupBy("sku").pivot("regime", REGIMES)
          .agg(F.first(F.round("net", 2).cast(M))))
     return p.withColumn("usn_limit_risk", F.lit(turnover >= near * USN_LIMIT))

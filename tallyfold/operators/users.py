@@ -78,7 +78,7 @@ def first_touch_attribution(users: DataFrame, handled: DataFrame) -> DataFrame:
     """``/start ref_<n>``: first valid referral (n non-zero, not self) sets
     ``utm_source`` when it is empty."""
     s = handled.where(F.col("command") == "start")
-    arg = F.coalesce(F.element_at(F.split("text", r"\s+"), 2), F.lit(""))
+    arg = F.coalesce(F.try_element_at(F.split("text", r"\s+"), F.lit(2)), F.lit(""))
     n = parse_int_prefix(F.substring(arg, 5, 1 << 20))
     ref = (s.withColumn("_n", F.when(arg.startswith("ref_"), n))
            .where(F.col("_n").isNotNull() & (F.col("_n") != 0) & (F.col("_n") != F.col("user_id")))

@@ -77,12 +77,12 @@ FX: dict[str, tuple[list[str], str]] = {
                               ('openrouter', 'qwen/qwen3.6-plus', 90, 180),
                               ('openrouter', 'qwen/qwen-2.5-72b-instruct', 80, 120),
                               ('yandex', 'yandexgpt/latest', 40, 120)) t(provider, model, r_in, r_out)"""),
-    "fx_inv_cost": (["fx_inv_asof", "llm_rates"], """
+    "fx_inv_cost": (["fx_invocations", "llm_rates"], """
         select i.*, cast(case when coalesce(r1.r_in, r2.r_in) is null then 0
                     else (i.input_tokens * coalesce(r1.r_in, r2.r_in)
                           + i.output_tokens * coalesce(r1.r_out, r2.r_out) + 5000) // 10000 end as bigint)
                cost_usd_e4
-        from fx_inv_asof i
+        from fx_invocations i
         left join llm_rates r1 on r1.provider = i.provider and r1.model = i.model
         left join llm_rates r2 on r2.provider = i.provider
               and r2.model = string_split(i.model, '/')[-1]"""),

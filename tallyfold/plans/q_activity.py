@@ -260,7 +260,7 @@ select provider, count(*) calls, cast(sum(cost_usd_e4) as bigint) cost_usd_e4
 from fx_inv_cost group by provider""")
 def l1(spark, d):
     fx = Fixtures(spark, d)
-    inv = telemetry.invocation_cost(fx.invocations().where(F.col("created_at") <= A), llm_rates(spark))
+    inv = telemetry.invocation_cost(fx.invocations(), llm_rates(spark))
     return inv.groupBy("provider").agg(F.count(F.lit(1)).alias("calls"),
                                        F.sum("cost_usd_e4").alias("cost_usd_e4"))
 
@@ -273,7 +273,7 @@ select agent_id, cast(strftime(make_timestamp(cast(created_at as bigint) * 10000
        round(avg(latency_ms), 4) avg_latency_ms, sum(cost_usd_e4) / 10000.0 total_cost_usd,
        count(*) filter (where status = 'success') success_count,
        count(*) filter (where status <> 'success' and status <> 'retried_ok') error_count
-from fx_inv_cost where created_at > {A} - 30 * 86400 group by 1, 2""")
+from fx_inv_cost where created_at > {A} - 30 * 86400 and created_at <= {A} group by 1, 2""")
 def l2(spark, d):
     fx = Fixtures(spark, d)
     inv = telemetry.invocation_cost(fx.invocations().where(F.col("created_at") <= A), llm_rates(spark))

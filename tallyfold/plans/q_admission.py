@@ -74,7 +74,7 @@ def retry_queue(spark, d):
 with q as (select format('retry:{{}}:{{}}', user_id, event_id) key, user_id, event_id % 40 = 0 bad,
                   1 + event_id % 2 attempts, epoch_us(ts) // 1000000 enqueued_at, event_id % 3 = 0 ok
            from events where event_type = 'error'),
-t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600 order by key limit 100)
+t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600)
 select key, case when bad then null else user_id end user_id,
        case when bad then null else 'error' end agent_id,
        case when bad then null else enqueued_at end enqueued_at,
@@ -121,7 +121,7 @@ def r14(spark, d):
 q as (select user_id, event_id % 40 = 0 bad, 1 + event_id % 2 attempts, epoch_us(ts) // 1000000 enqueued_at,
              event_id % 3 = 0 ok, format('retry:{{}}:{{}}', user_id, event_id) key
       from events where event_type = 'error'),
-t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600 order by key limit 100),
+t as (select * from q where bad or enqueued_at > {QUEUE_AS_OF} - 3600),
 g as (select user_id tg_user_id, 'error' agent_id,
              cast(strftime(make_timestamp(cast(enqueued_at as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) n
       from t where not bad and not ok and attempts + 1 >= 3 group by 1, 2, 3)

@@ -125,8 +125,7 @@ def reviews(spark, d):
 
 @query("v1_classify_reviews", "with " + REVIEWS_SQL + " select * from cls")
 def v1(spark, d):
-    rules = spark.createDataFrame(REVIEW_RULES, "category string, pattern string, priority int")
-    return M.classify_reviews(reviews(spark, d), rules)
+    return M.classify_reviews(reviews(spark, d), REVIEW_RULES)
 
 
 @query("v2_top_themes", "with " + REVIEWS_SQL + """

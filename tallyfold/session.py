@@ -31,7 +31,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("TALLYFOLD_DRIVER_MEM", "16g"))
+    if os.environ.get("TALLYFOLD_DRIVER_MEM"):
+        b = b.config("spark.driver.memory", os.environ["TALLYFOLD_DRIVER_MEM"])
+    elif master and master.startswith("local["):
+        b = b.config("spark.driver.memory", "8g")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -42,17 +45,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there; it is read from
-    the session and never replaced.  Only when it is unset (local tests) a
-    scratch folder is created.
+    the session and never replaced.  Only when it is unset on a local master
+    (tests) a scratch folder is created; elsewhere that is an error, because
+    executors could not read it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tallyfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def size_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 256 << 20,
                    min_partitions: int = 16, max_partitions: int = 200_000) -> int:
     """Size shuffles to the data: about one shuffle partition per

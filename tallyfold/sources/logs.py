@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_int_prefix
+from ..session import path_exists
 
 # ---- S5 -----------------------------------------------------------------------
 # allow-list: the only log keys that leave the parser (names, usernames and
@@ -83,26 +83,52 @@ def normalize_provider_responses(raw: DataFrame) -> DataFrame:
 
 
 # ---- S7 -----------------------------------------------------------------------
+def _drop_partitions(spark: SparkSession, path: str, parts: DataFrame, partition_by: list[str]) -> None:
+    """Remove the folders of partitions that hold no row any more (a handful:
+    only those that an update emptied)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    esc = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in parts.toLocalIterator():
+        name = "/".join(esc.getPartitionPathString(c, None if row[c] is None else str(row[c])) for c in partition_by)
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(conf).delete(at, True)
+
+
 def upsert_parquet(spark: SparkSession, updates: DataFrame, path: str, keys: list[str], version: list[str],
                    partition_by: list[str]) -> None:
     """Idempotent latest-state sink (no table format assumed).
 
-    Only the partitions that receive updates are rewritten: their current
-    rows are unioned with the updates, the latest version per key survives,
+    Only the partitions that receive updates, and those that hold an older row
+    of an updated key, are rewritten: their current rows are unioned with the updates, the latest version per key survives,
     lineage is cut with a reliable ``checkpoint()`` (the rows are read from
     the same folder they are written to), and the partitions are replaced
     with dynamic partition overwrite.  Replaying the same updates yields the
     same table."""
-    touched = updates.select(*partition_by).distinct()
-    try:
-        current = spark.read.parquet(path).join(touched, partition_by, "left_semi")
-    except AnalysisException:  # first write: nothing to merge
-        current = None
-    merged = updates if current is None else current.unionByName(updates.select(*current.columns))
+    if not set(partition_by) <= set(keys):
+        # a key could move: the partition that holds its old row is rewritten too
+        moved = updates.select(*keys).distinct()
+    else:
+        moved = None
+    exists = path_exists(spark, path)
+    if exists:  # any error while reading it surfaces; nothing is overwritten then
+        table = spark.read.parquet(path)
+        touched = updates.select(*partition_by)
+        if moved is not None:
+            touched = touched.unionByName(table.join(moved, keys, "left_semi").select(*partition_by))
+        current = table.join(touched.distinct(), partition_by, "left_semi")
+        merged = current.unionByName(updates.select(*current.columns))
+    else:
+        merged = updates
     # latest version per key as a partial aggregate (a hot key is combined map-side)
     cols = merged.columns
     latest = (merged.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*version)).alias("_r"))
               .select("_r.*").select(*cols))
     latest = latest.checkpoint(eager=True)
+    emptied = None
+    if exists and moved is not None:  # known before the write, removed after it
+        emptied = (touched.distinct().join(latest.select(*partition_by).distinct(), partition_by, "left_anti")
+                   .checkpoint(eager=True))
     (latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
+    if emptied is not None:  # a replay after a crash here finds and drops them again
+        _drop_partitions(spark, path, emptied, partition_by)

@@ -12,12 +12,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import epoch_s, yyyymmdd
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, path_exists
 from ..sources.tables import TEST_SCHEMAS
 from ..sources.updates import parse_updates
 
@@ -160,6 +159,10 @@ def stream_admission(requests: DataFrame, limits: dict[str, tuple[int, int | Non
             if r.plan is None or r.plan != r.plan:
                 out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, None, "no_active_plan", 0))
                 continue
+            if r.plan not in limits or r.agent_id is None or r.agent_id != r.agent_id:
+                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan,
+                            "unknown_plan" if r.plan not in limits else "no_agent", 0))
+                continue
             flood, day_lim, agent_lim = limits[r.plan]
             burst = burst + 1 if last_ts is not None and r.ts - last_ts < gap_s else 1
             last_ts = int(r.ts)
@@ -183,8 +186,8 @@ def stream_admission(requests: DataFrame, limits: dict[str, tuple[int, int | Non
             else:
                 quota[r.agent_id] = used
                 out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "allowed", agent_lim - used))
-        state.update((last_ts, burst, day, day_count, quota_day, json.dumps(quota)))
-        if last_ts is not None:
+        if last_ts is not None:  # a user without a decided request keeps no state
+            state.update((last_ts, burst, day, day_count, quota_day, json.dumps(quota)))
             state.setTimeoutTimestamp((last_ts + idle_s) * 1000)
         yield pd.DataFrame(out, columns=["request_id", "tg_user_id", "agent_id", "ts", "plan", "reason",
                                          "remaining"])
@@ -230,11 +233,8 @@ def cron_cycle(spark: SparkSession, ticks: DataFrame, usage: DataFrame, ledger_p
     def run(batch: DataFrame, epoch: int) -> None:
         daily = (batch.where((F.hour(hm) == 0) & (F.minute(hm) < 10))
                  .select(F.date_format(hm, "yyyyMMdd").cast("int").alias("date")).distinct())
-        try:
-            done = spark.read.parquet(ledger_path).select("date")
-            daily = daily.join(done, "date", "left_anti")
-        except AnalysisException:
-            pass
+        if path_exists(spark, ledger_path):  # a read error must not rerun the block
+            daily = daily.join(spark.read.parquet(ledger_path).select("date"), "date", "left_anti")
         purge_ledger(daily, counts).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(ledger_path)
 
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
