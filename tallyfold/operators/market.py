@@ -4,10 +4,14 @@ as deterministic table jobs."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.components import connected, relabel
 from ..functions.windows import _once
+from ..session import ensure_checkpoint_dir
 from ..sources.reference_data import AGENTS
 
 # ---- fixed values -------------------------------------------------------------
@@ -242,7 +246,8 @@ def parse_router_outputs(raw: DataFrame) -> DataFrame:
     ``quarantine``, with null fields if the text is not such an object."""
     keys = F.array(*[F.lit(f.split()[0]) for f in ROUTER_SCHEMA.split(", ")])
     line = ~F.coalesce(F.col("raw").rlike(r"[\r\n]"), F.lit(True))
-    whole = F.try_parse_json("raw").isNotNull()
+    # as the only element of an array the text may have nothing after the object
+    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), "raw", F.lit("]"))) == 1, F.lit(False))
     has = F.size(F.array_except(keys, F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")))) == 0
     p = raw.withColumn("_ok_json", line & whole & has)
     p = p.withColumn("o", F.when(F.col("_ok_json"), F.from_json("raw", ROUTER_SCHEMA)))
@@ -278,61 +283,78 @@ def vocabulary(text: Column) -> Column:
 
 
 def near_copy_series(reviews: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4,
-                     max_rounds: int = 50) -> DataFrame:
+                     growth: int = 8) -> DataFrame:
     """Series of reviews whose vocabularies are near-identical (Jaccard >=
     ``threshold``), found without comparing all pairs:
 
     1. identical vocabularies collapse to one representative (hash group);
     2. MinHash signatures (``bands * rows`` JVM hash minima per text) are cut
-       into LSH bands; every member of a band bucket is linked to the
-       bucket's smallest member only (a star: O(n) edges even for a bucket
-       holding a third of all texts);
-    3. each edge is verified with the exact Jaccard of the two vocabularies;
-    4. series are the connected components of verified edges (iterated
-       min-label propagation; lineage cut with ``checkpoint()`` per round).
-    """
+       into LSH bands;
+    3. buckets are worked off in rounds.  A round names leaders in every
+       bucket (those that share most buckets first) and verifies each against
+       the members of other series by the exact Jaccard of the vocabularies.
+       The leaders per bucket grow ``growth``-fold a round, and a bucket is
+       done when its members are one series or all have led, so no verified
+       pair of a bucket is lost; a bucket of near copies is done after one
+       leader, without all pairs;
+    4. series are merged after each round by connected components, which
+       raise if they do not converge.
+
+    Intermediate tables go to the shared checkpoint folder."""
     spark = reviews.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/near-copies-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     v = reviews.select("review_id", "sku", vocabulary(F.col("text")).alias("_voc"))
-    v = v.withColumn("_vh", F.sha2(F.array_join(F.array_sort("_voc"), " "), 256))
-    v = _once(v)
+    v = stored(v.withColumn("_vh", F.sha2(F.array_join(F.array_sort("_voc"), " "), 256)), "vocabularies")
     # 1. one representative per identical vocabulary
-    reps = (v.where(F.size("_voc") > 0).groupBy("_vh")
-            .agg(F.min("review_id").alias("rid"), F.first("_voc").alias("voc")))
-    reps = _once(reps)
-    # 2. MinHash + banding, star edges to each bucket's minimum.  Words are
-    # exploded once and hashed to a long; the bands*rows minima per text are
-    # plain aggregates (code-generated, combined before the shuffle) rather
-    # than per-element lambdas over the arrays.
+    reps = stored(v.where(F.size("_voc") > 0).groupBy("_vh")
+                  .agg(F.min("review_id").alias("rid"), F.first("_voc").alias("voc")), "reps")
+    # 2. MinHash + banding.  Words are exploded once and hashed to a long; the
+    # bands*rows minima per text are plain aggregates (code-generated, combined
+    # before the shuffle) rather than per-element lambdas over the arrays.
     n_h = bands * rows
     words = reps.select("rid", F.explode("voc").alias("_w")).select("rid", F.xxhash64("_w").alias("_hw"))
     sig = words.groupBy("rid").agg(*[F.min(F.xxhash64("_hw", F.lit(i))).alias(f"_h{i}") for i in range(n_h)])
     keyed = sig.select("rid", F.array(*[
-        F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"_h{i}") for i in range(b * rows, (b + 1) * rows)])
-                 .alias("key")) for b in range(bands)]).alias("_bk"))
-    buckets = keyed.select("rid", F.explode("_bk").alias("bk")).select("rid", "bk.band", "bk.key")
-    heads = buckets.groupBy("band", "key").agg(F.min("rid").alias("rep"))
-    edges = (buckets.join(heads, ["band", "key"]).where(F.col("rid") != F.col("rep"))
-             .select("rid", "rep").distinct())
-    # 3. exact verification of each edge
-    a = reps.select(F.col("rid"), F.col("voc").alias("va"))
-    b = reps.select(F.col("rid").alias("rep"), F.col("voc").alias("vb"))
-    j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
-    edges = edges.join(a, "rid").join(b, "rep").where(j >= threshold).select("rid", "rep")
-    und = edges.unionByName(edges.select(F.col("rep").alias("rid"), F.col("rid").alias("rep")))
-    und = und.checkpoint()
-    # 4. connected components: label = smallest id reachable
-    labels = reps.select("rid", F.col("rid").alias("label")).checkpoint()
-    for _ in range(max_rounds):
-        nb = labels.select(F.col("rid").alias("rep"), F.col("label").alias("cand"))
-        prop = und.join(nb, "rep").select("rid", "cand")
-        new = (labels.join(prop.groupBy("rid").agg(F.min("cand").alias("cand")), "rid", "left")
-               .select("rid", F.least("label", F.coalesce("cand", "label")).alias("label"))).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "rid").where(F.col("label") != F.col("old"))
-        labels = new
-        if changed.isEmpty():
+        F.xxhash64(F.lit(b), *[F.col(f"_h{i}") for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)]).alias("_bk"))
+    entry = keyed.select("rid", F.explode("_bk").alias("key"))
+    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = entry.join(shared, "key")
+    members = stored(members.join(members.groupBy("rid").agg(F.sum("size").alias("weight")), "rid"), "members")
+    labels = stored(members.select("rid").distinct().select("rid", F.col("rid").alias("label")), "labels-0")
+    # 3. leaders meet members of other series
+    done, upto, step = 0, 1, 0
+    while True:
+        step += 1
+        now = members.join(labels, "rid")
+        unsettled = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                           F.count(F.lit(1)).alias("c"))
+        unsettled = unsettled.where((F.col("lo") != F.col("hi")) & (F.col("c") > done)).select("key")
+        now = stored(now.join(unsettled, "key"), f"open-{step}")
+        if now.isEmpty():
             break
-    # expand representatives back to every review with that vocabulary
-    lab = reps.join(labels, "rid").select("_vh", F.col("label").alias("series_id"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rid"))
+        lead = now.withColumn("_r", rank).where(F.col("_r") <= upto).where(F.col("_r") > done)
+        lead = lead.select("key", F.col("rid").alias("a"), F.col("label").alias("la"))
+        pairs = (now.select("key", F.col("rid").alias("b"), F.col("label").alias("lb")).join(lead, "key")
+                 .where("la != lb").select("a", "b", "la", "lb").distinct())
+        va = reps.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
+        vb = reps.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
+        j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
+        links = stored(pairs.join(va, "a").join(vb, "b").where(j >= threshold)
+                       .select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), f"links-{step}")
+        done, upto = upto, upto * growth
+        if links.isEmpty():
+            continue
+        groups = connected(links, f"{folder}/merge-{step}")
+        labels = stored(relabel(labels.select(F.col("rid").alias("id"), F.col("label").alias("class")), groups)
+                        .select(F.col("id").alias("rid"), F.col("class").alias("label")), f"labels-{step}")
+    # 4. expand representatives back to every review with that vocabulary
+    lab = reps.join(labels, "rid", "left").select("_vh", F.coalesce("label", "rid").alias("series_id"))
     m = v.join(lab, "_vh")
     g = m.groupBy("series_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("sku").alias("skus"))
     return (m.join(g.where(F.col("size") >= 2), "series_id")
