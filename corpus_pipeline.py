@@ -27,8 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every row; repeated multi-line chunks leave the text, and
     ``n_chars`` follows it."""
-    return (linededup.dedup(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
-                                             .otherwise(F.col("n_chars"))).select(*docs.columns))
+    return linededup.dedup(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

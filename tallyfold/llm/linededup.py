@@ -74,11 +74,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text rebuilt, plus ``n_lines`` and
-    ``n_removed`` (lines)."""
-    rest = [c for c in docs.columns if c != text_col and c not in ("n_lines", "n_removed")]
-    base = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"),
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """All columns of ``docs`` with the text rebuilt; with ``counts`` the id and
+    text alone, plus ``n_lines`` and ``n_removed`` (lines)."""
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]  # renamed, so that no name clashes
+    base = docs.select(*own, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"),
                        F.xxhash64(F.col(text_col)).alias("_t"))
     gone = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     gone = gone.select(F.col("doc_id").alias("_gid"), F.col("t").alias("_gt"), F.col("gone").alias("_gone"))
@@ -87,17 +87,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(F.col("_chunks"), i)), "\n"))
+    if not counts:
+        return df.select(*((text if c == text_col else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)))
     lines = F.length("_text") - F.length(F.regexp_replace("_text", "\n", "")) + 1
     removed = F.when(F.col("_gone").isNull(), 0).otherwise(
         F.aggregate("_gone", F.lit(0), lambda a, i: a + F.get(F.col("_spans"), i)["n"]))
-    named = {text_col: text}
-    return df.select(*(named[c].alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
+    return df.select(F.col(f"_c{docs.columns.index(id_col)}").alias(id_col), text.alias(text_col),
                      F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_md5) of every row."""
-    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+    return dedup(docs.select("doc_id", "text"), counts=True).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
 ORACLE = rf"""
