@@ -49,21 +49,17 @@ def apply_payment_events(payments: DataFrame, events: DataFrame) -> DataFrame:
     before the first *refunded* one; a payment already paid is untouched, a
     payment already refunded only accepts *paid*.
     """
-    events = _once(events)  # read by both passes below
     order = F.struct("ts", "event_id")
-    is_paid = F.col("status") == PAID
     ev = F.struct("status", "ts", "tx_hash", "payload")
-    # pass 1: first paid event and first refunded event per payment (partial
-    # aggregates, so a hot payment id is combined map-side)
-    head = events.groupBy("payment_id").agg(
+    is_paid, is_ref = F.col("status") == PAID, F.col("status") == "refunded"
+    # One grouped aggregate, combined map-side even for a hot payment id.  The
+    # last failure not after the first refund is that refund if there is one,
+    # else the last failure.
+    agg = events.groupBy("payment_id").agg(
         F.min_by(F.when(is_paid, ev), F.when(is_paid, order)).alias("_paid"),
-        F.min(F.when(F.col("status") == "refunded", order)).alias("_first_ref"))
-    # pass 2: last failure event not after the first refunded one
-    fails = (events.where(F.col("status").isin(*FAILURES))
-             .join(head.select("payment_id", "_first_ref"), "payment_id")
-             .where(F.col("_first_ref").isNull() | (order <= F.col("_first_ref")))
-             .groupBy("payment_id").agg(F.max_by(ev, order).alias("_fail")))
-    agg = head.join(fails, "payment_id", "full")
+        F.coalesce(F.min_by(F.when(is_ref, ev), F.when(is_ref, order)),
+                   F.max_by(F.when(F.col("status").isin(*FAILURES), ev),
+                            F.when(F.col("status").isin(*FAILURES), order))).alias("_fail"))
     p = payments.alias("p").join(agg.alias("e"), F.col("p.id") == F.col("e.payment_id"), "left")
     s0 = F.col("p.status")
     take_paid = F.col("_paid").isNotNull() & (s0 != PAID)
@@ -228,6 +224,15 @@ def reconcile_payments(pending: DataFrame, snapshot: DataFrame, as_of: int) -> D
                     F.lit(as_of).cast("long").alias("finalized_at")))
 
 
+def activation_intervals(paid: DataFrame, plans: DataFrame) -> DataFrame:
+    """Subscription intervals that paid payments open at ``finalized_at`` for
+    the plan's own ``duration_days`` (input of B4); ``plans`` is the plan table."""
+    days = F.broadcast(plans.select("plan", "duration_days"))  # one row per plan
+    return paid.join(days, "plan").select(
+        F.col("id").alias("payment_id"), "tg_user_id", "plan", F.col("finalized_at").alias("started_at"),
+        (F.col("finalized_at") + F.col("duration_days") * DAY).cast("long").alias("expires_at"))
+
+
 # B13 ------------------------------------------------------------------------
 def retryable(http_status: Column, error: Column) -> Column:
     """A failed attempt is retryable by status set, or when it aborted/timed out."""

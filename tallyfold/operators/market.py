@@ -67,10 +67,24 @@ def comparison_guard(offers: DataFrame, min_competitors: int = MIN_COMPETITORS)
 
 # C1 / C2 / C5 ------------------------------------------------------------------
 def axis_matrix(scores: DataFrame) -> DataFrame:
-    """Per (sku, axis): own score, best competitor score, gap = own - best."""
+    """Per (sku, axis): own score, best competitor score, gap = own - best.  A
+    SKU without competitors stays, with null best and gap."""
     own = scores.where(F.col("is_own")).select("sku", "axis", F.col("score").alias("own"))
     best = scores.where(~F.col("is_own")).groupBy("sku", "axis").agg(F.max("score").alias("best_competitor"))
-    return own.join(best, ["sku", "axis"]).withColumn("gap", F.col("own") - F.col("best_competitor"))
+    return own.join(best, ["sku", "axis"], "left").withColumn("gap", F.col("own") - F.col("best_competitor"))
+
+
+def competitor_columns(scores: DataFrame, k: int = 5) -> DataFrame:
+    """Per (sku, axis): own score and one column per competitor, numbered by
+    competitor id; ``k`` columns and the count say whether there are more."""
+    rivals = scores.where(~F.col("is_own"))
+    place = rivals.select("sku", "competitor").distinct().withColumn(
+        "place", F.row_number().over(Window.partitionBy("sku").orderBy("competitor")))
+    g = rivals.join(place, ["sku", "competitor"]).groupBy("sku", "axis").agg(
+        F.count(F.lit(1)).alias("competitors"),
+        *[F.max(F.when(F.col("place") == i, F.col("score"))).alias(f"competitor_{i}") for i in range(1, k + 1)])
+    own = scores.where(F.col("is_own")).select("sku", "axis", F.col("score").alias("own"))
+    return own.join(g, ["sku", "axis"], "left").withColumn("competitors", F.coalesce("competitors", F.lit(0).cast("long")))
 
 
 def axis_extremes(matrix: DataFrame, k_lag: int = 3, k_win: int = 2) -> DataFrame:
@@ -115,6 +129,16 @@ def top_themes(classified: DataFrame, k: int = 3, systemic_at: int = 3) -> DataF
             .withColumn("systemic", F.col("n") >= systemic_at))
 
 
+def batch_themes(classified: DataFrame, k: int = 3) -> DataFrame:
+    """The batch summary: the ``k`` most frequent problems over all SKUs, with
+    their share of the reviews that name a problem and the SKUs they touch."""
+    g = (classified.where(F.col("problem") != "none").groupBy("problem")
+         .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sku").alias("skus")))  # a handful of rows
+    w = Window.partitionBy(F.lit(1))
+    return (g.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 4))
+            .withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "problem"))).where(F.col("rank") <= k))
+
+
 def normalized_text(text: Column) -> Column:
     """Lower-case letters and single spaces only: copies that differ by
     punctuation, digits, case or spacing normalise to the same string."""

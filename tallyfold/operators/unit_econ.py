@@ -23,7 +23,7 @@ VAT_SHARE = "0.18032787"                       # 22/122: VAT inside a VAT-inclus
 
 D = "decimal(18,4)"
 M = "decimal(18,2)"
-REGIMES = ["USN6", "USN15", "USN_VAT", "OSNO", "AUSN", "AUSN20"]
+REGIMES = ["USN6", "USN15", "USN_VAT", "USN15_VAT", "OSNO", "AUSN", "AUSN20"]
 
 
 def _d(x) -> Column:
@@ -85,12 +85,16 @@ def cm_waterfall(skus: DataFrame, tariffs: DataFrame, price_factor: Column | Non
 # E4 -------------------------------------------------------------------------
 def tax(regime: Column, price: Column, cm2: Column, vat_costs: Column, turnover: Column) -> Column:
     """Tax per unit under ``regime``; negative bases are floored at 0.
-    AUSN is 8 % of income; AUSN20 is its 20 % of (income - expenses) variant."""
+    AUSN is 8 % of income; AUSN20 is its 20 % of (income - expenses) variant.
+    USN_VAT and USN15_VAT add 5 % VAT (turnover to 250M) or 7 % (to 450M) to
+    either variant of the simplified tax; beyond 450M they have no tax (null)."""
     usn6 = price * _d(0.06)
     vat_in = _d((price - vat_costs) * F.lit(VAT_SHARE).cast("decimal(18,8)"))
     vat_extra = F.when(turnover <= VAT_5_MAX, price * _d(0.05)).otherwise(price * _d(0.07))
     osno = F.greatest(_d(0), vat_in) + F.greatest(_d(0), cm2 - F.greatest(_d(0), vat_in)) * _d(0.25)
-    t = (F.when(regime == "USN6", usn6).when(regime == "USN15", F.greatest(_d(0), cm2) * _d(0.15))
+    vat_extra = F.when(turnover <= VAT_7_MAX, vat_extra)  # above it the special rates end: no such regime
+    t = (F.when(regime == "USN15_VAT", F.greatest(_d(0), cm2) * _d(0.15) + vat_extra)
+         .when(regime == "USN6", usn6).when(regime == "USN15", F.greatest(_d(0), cm2) * _d(0.15))
          .when(regime == "USN_VAT", usn6 + vat_extra).when(regime == "OSNO", osno)
          .when(regime == "AUSN", price * _d(0.08))
          .when(regime == "AUSN20", F.greatest(_d(0), cm2) * _d(0.20)))

@@ -50,6 +50,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions.time import epoch_s  # noqa: E402
 from ..operators import cohorts, telemetry  # noqa: E402
+from ..sources.reference_data import AGENTS  # noqa: E402
 from ..sources.tables import Tables  # noqa: E402
 
 QUEUE_AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC, the retry queue's own as_of
@@ -88,7 +89,10 @@ def l4(spark, d):
 
 
 @query("a4_remaining_quota", with_fx("fx_decisions", "fx_requests", "fx_limits") + f"""
-, u as (select tg_user_id, agent_id, cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) used
+, u as (select tg_user_id, case agent_id when 'view' then 'mp_card_doctor' when 'signup' then 'mp_review_responder'
+                   when 'click' then 'mp_competitor_scout' when 'error' then 'mp_abc_xyz_analyst'
+                   else 'mp_unit_economics' end agent_id,
+               cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) used
         from fx_decisions where reason = 'allowed' group by 1, 2, 3)
 select s.tg_user_id, a.agent_id, s.plan, l.agent_limit "limit", coalesce(u.used, 0) used,
        greatest(0, l.agent_limit - coalesce(u.used, 0)) remaining
@@ -99,7 +103,10 @@ cross join (select unnest(['mp_card_doctor', 'mp_review_responder', 'mp_competit
 left join u on u.tg_user_id = s.tg_user_id and u.agent_id = a.agent_id and u.date = {QUOTA_DATE}""")
 def a4(spark, d):
     fx = Fixtures(spark, d)
-    usage = admission.usage_quota_daily(decisions(spark, d))
+    agent = F.col("agent_id")  # the fixture's event types stand for the five agents
+    for kind, name in zip(("view", "signup", "click", "error", "purchase"), AGENTS):
+        agent = F.when(F.col("agent_id") == kind, name).otherwise(agent)
+    usage = admission.usage_quota_daily(decisions(spark, d).withColumn("agent_id", agent))
     current = fx.requests().select("tg_user_id", "plan").distinct()
     return admission.remaining_quota(usage, current, fx.request_limits(), QUOTA_DATE, spark)
 

@@ -146,6 +146,17 @@ def b12(spark, d):
     return billing.reconcile_payments(billing.pending_recheck(fx.payments(), A), fx.provider_snapshot(), A)
 
 
+@query("b12_activate_reconciled", with_fx("fx_payments") + f"""
+, done as (select *, {A}::bigint paid_at from ({_B11}) p
+           where id % 4 in (1, 2))
+select id payment_id, tg_user_id, plan, paid_at started_at,
+       paid_at + 86400 * case plan when 'free_trial' then 7 else 30 end expires_at
+from done""")
+def b12a(spark, d):
+    """Activation after reconciliation, with the plan's own duration."""
+    return billing.activation_intervals(b12(spark, d), plan_config(spark))
+
+
 @query("b13_fallback_chain", """
 with a as (select event_id request_id, r.rank,
                   ['groq', 'openrouter', 'yandex'][r.rank + 1] provider,
@@ -170,10 +181,11 @@ def b13(spark, d):
 @query("b1_ensure_free_trial", with_fx("fx_subscriptions") + f"""
 select c_custkey tg_user_id, 'free_trial' plan, 1 is_active, {A}::bigint started_at,
        {A + 7 * 86400}::bigint expires_at, 'trial_auto' source
-from customer where c_custkey not in (select tg_user_id from fx_subscriptions)""")
+from customer where c_custkey not in (select tg_user_id from fx_subscriptions where payment_id is not null)""")
 def b1(spark, d):
     users = Tables(spark, d).customer.select(F.col("c_custkey").alias("tg_user_id"))
-    return billing.ensure_free_trial(users, Fixtures(spark, d).subscriptions(), A)
+    paid = Fixtures(spark, d).subscriptions().where(F.col("payment_id").isNotNull())  # users without a payment have none
+    return billing.ensure_free_trial(users, paid, A)
 
 
 @query("b13_invoice_fallback", with_fx("fx_payments") + """

@@ -41,7 +41,7 @@ scores as (select o.sku, o.competitor, a.axis, o.competitor = w.own is_own,
            from offers o join own w using (sku), (select cast(unnest(range(12)) as integer) axis) a),
 matrix as (select o.sku, o.axis, o.score own, b.best best_competitor, o.score - b.best gap
            from (select * from scores where is_own) o
-           join (select sku, axis, max(score) best from scores where not is_own group by 1, 2) b using (sku, axis))"""
+           left join (select sku, axis, max(score) best from scores where not is_own group by 1, 2) b using (sku, axis))"""
 
 
 @query("c3_price_position", "with " + OFFERS_SQL + """
@@ -69,6 +69,19 @@ def c1(spark, d):
     return M.axis_matrix(axis_scores(spark, d))
 
 
+@query("c1_competitor_columns", "with " + AXIS_SQL + """
+, n as (select *, dense_rank() over (partition by sku order by competitor) place from scores where not is_own),
+g as (select sku, axis, count(*) competitors, max(score) filter (where place = 1) competitor_1,
+             max(score) filter (where place = 2) competitor_2, max(score) filter (where place = 3) competitor_3,
+             max(score) filter (where place = 4) competitor_4, max(score) filter (where place = 5) competitor_5
+      from n group by 1, 2)
+select o.sku, o.axis, o.score own, coalesce(competitors, 0) competitors, competitor_1, competitor_2, competitor_3,
+       competitor_4, competitor_5
+from (select * from scores where is_own) o left join g using (sku, axis)""")
+def c1c(spark, d):
+    return M.competitor_columns(axis_scores(spark, d))
+
+
 @query("c2_axis_extremes", "with " + AXIS_SQL + """
 , r as (select *, row_number() over (partition by sku order by gap, axis) l,
                row_number() over (partition by sku order by gap desc, axis) w from matrix)
@@ -136,6 +149,14 @@ def v2(spark, d):
     return M.top_themes(v1(spark, d))
 
 
+@query("v2_batch_themes", "with " + REVIEWS_SQL + """
+, p as (select problem, count(*) n, count(distinct sku) skus from cls where problem <> 'none' group by 1)
+select problem, n, skus, round(n / (select sum(n) from p), 4) share, cast(rank as integer) rank
+from (select *, row_number() over (order by n desc, problem) rank from p) where rank <= 3""")
+def v2b(spark, d):
+    return M.batch_themes(v1(spark, d))
+
+
 @query("v3_fake_series", """
 with n as (select doc_id review_id, source sku,
                   trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\s]', '', 'g'), '\\s+', ' ', 'g')) t

@@ -149,6 +149,7 @@ def _tax_sql(reg: str) -> str:
     vat_extra = f"(price * {'0.05' if ECON_TURNOVER <= U.VAT_5_MAX else '0.07'}::{D})"
     return {"USN6": f"(price * 0.06::{D})::{D}",
             "USN15": f"(greatest(0::{D}, cm2) * 0.15::{D})::{D}",
+            "USN15_VAT": f"((greatest(0::{D}, cm2) * 0.15::{D}) + {vat_extra})::{D}",
             "USN_VAT": f"((price * 0.06::{D}) + {vat_extra})::{D}",
             "OSNO": f"(greatest(0::{D}, {vat_in}) + greatest(0::{D}, cm2 - greatest(0::{D}, {vat_in})) * 0.25::{D})::{D}",
             "AUSN": f"(price * 0.08::{D})::{D}",

@@ -157,14 +157,47 @@ select user_id, agent_id, ts, 'user' role, text content from x where update_id %
 union all
 select user_id, agent_id, ts, 'assistant', 'reply to ' || update_id from x""")
 def u8(spark, d):
+    return exchanges(spark, d)[1]
+
+
+def exchanges(spark, d):
+    """(invocation rows, message rows) of the handled free-text messages."""
     dd = deduped(spark, d)
     ex = users.agent_as_of(handled(spark, d, dd), dd).where(F.col("agent_id") != "no_agent")
     ex = ex.select("user_id", "agent_id", "ts", "text", F.format_string("reply to %d", F.col("update_id")).alias("reply"),
                    (F.col("update_id") % 3 == 0).alias("retried"), F.lit("groq").alias("provider"),
                    F.lit("llama-3.3-70b-versatile").alias("model"), F.lit(0).cast("long").alias("input_tokens"),
                    F.lit(0).cast("long").alias("output_tokens"))
-    inv, msgs = users.explode_exchanges(ex)
-    return msgs
+    return users.explode_exchanges(ex)
+
+
+_X_SQL = with_fx("fx_handled", "fx_selections") + """
+, x as (select update_id, user_id, ts, text, a agent_id
+        from (select *, last_value(sel ignore nulls) over (partition by user_id order by ts, kind2, update_id
+                                                           rows between unbounded preceding and current row) a
+              from (select update_id, user_id, ts, text, 1 kind2, null sel from fx_handled
+                    where command = 'free_text'
+                    union all select update_id, user_id, ts, null, 0, agent_id from fx_selections))
+        where kind2 = 1 and a is not null)"""
+
+
+@query("u8_invocation_rows", _X_SQL + """
+select user_id, agent_id, ts, 'groq' provider, 'llama-3.3-70b-versatile' model, 0::bigint input_tokens,
+       0::bigint output_tokens, case when update_id % 3 = 0 then 'retried_ok' else 'success' end status from x""")
+def u8i(spark, d):
+    return exchanges(spark, d)[0]
+
+
+MESSAGE_CUTOFF = 1706659200 - 20 * 86400  # inside the fixture's month; a job passes now minus the 30-day message TTL
+
+
+@query("r14_message_purge", _X_SQL + f"""
+, m as (select ts from x where update_id % 3 <> 0 union all select ts from x)
+select 'messages' table_name, count(*) filter (where ts >= {MESSAGE_CUTOFF}) kept,
+       count(*) filter (where ts < {MESSAGE_CUTOFF}) deleted from m""")
+def r14m(spark, d):
+    from ..operators import cohorts
+    return cohorts.purge_report(exchanges(spark, d)[1], "messages", "ts", MESSAGE_CUTOFF)
 
 
 @query("b8_account_commands", with_fx("fx_subs_state", "fx_handled") + """
