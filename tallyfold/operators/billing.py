@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import DAY, idiv
-from ..functions.windows import _once, chunked_last_non_null, chunked_lead
+from ..functions.time import DAY
+from ..functions.windows import adaptive_chunk, chunked_last_non_null, chunked_lead
 from ..sources.reference_data import RETRYABLE_STATUS
 
 PAID = "paid"
@@ -94,7 +94,7 @@ def activate_subscriptions(intervals: DataFrame, as_of: int) -> DataFrame:
     rows = once.unionByName(base.where(F.col("payment_id").isNull()))
     # next start per user; chunked by 30-day period so a user with a huge
     # history is still spread over many window partitions
-    rows = rows.withColumn("_chunk", idiv(F.col("started_at"), 30 * DAY)) \
+    rows = adaptive_chunk(rows, ["tg_user_id"], "started_at", "_chunk", base_s=30 * DAY, fine_s=DAY) \
         .withColumn("_pid", F.coalesce(F.col("payment_id"), F.lit(-(2 ** 63)).cast("long")))
     rows = chunked_lead(rows, ["tg_user_id"], ["started_at", "_pid"], "_chunk", "started_at", "closed_at")
     return rows.drop("_chunk", "_pid").withColumn("is_active", F.col("closed_at").isNull().cast("int"))
@@ -132,7 +132,7 @@ def subscription_as_of(requests: DataFrame, subs: DataFrame, ts_col: str = "ts",
         if c not in s.columns:
             s = s.withColumn(c, F.lit(None).cast(requests.schema[c].dataType))
     u = r.unionByName(s.select(*r.columns))
-    u = u.withColumn("_chunk", idiv(F.col("_t"), chunk_s))
+    u = adaptive_chunk(u, ["tg_user_id"], "_t", "_chunk", base_s=chunk_s, fine_s=DAY)
     u = chunked_last_non_null(u, ["tg_user_id"], ["_t", "_kind", "_pid"], "_chunk", "_sub", "_sp")
     u = u.where(F.col("_kind") == 1)
     ok = F.col("_sp").isNotNull() & (F.col("_sp.exp") >= F.col("_t"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_int_prefix
 from ..functions.time import DAY, idiv, yyyymmdd
-from ..functions.windows import chunked_frame_list, chunked_last_non_null
+from ..functions.windows import adaptive_chunk, chunked_frame_list, chunked_last_non_null
 from ..sources.reference_data import AGENTS, DEFAULT_SYSTEM_PROMPT
 
 
@@ -116,7 +116,7 @@ def agent_as_of(handled: DataFrame, updates: DataFrame, chunk_s: int = DAY) -> D
     sel = agent_selections(updates).select(
         "update_id", "user_id", "ts", F.lit(None).cast("string").alias("text"), F.lit(0).alias("_kind"),
         F.col("agent_id").alias("_agent"))
-    u = msgs.unionByName(sel).withColumn("_chunk", idiv(F.col("ts"), chunk_s))
+    u = adaptive_chunk(msgs.unionByName(sel), ["user_id"], "ts", "_chunk", base_s=chunk_s, fine_s=3600)
     u = chunked_last_non_null(u, ["user_id"], ["ts", "_kind", "update_id"], "_chunk", "_agent", "agent_id")
     return u.where(F.col("_kind") == 1).select(
         "update_id", "user_id", "ts", "text", F.coalesce("agent_id", F.lit("no_agent")).alias("agent_id"))
