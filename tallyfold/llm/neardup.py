@@ -15,12 +15,16 @@ that a similarity of 0.8 allows, and similarity is matched over (a + b -
 matched).  0.8 or more is a link; classes are connected components.
 
 Equal word sequences collapse first (grouped by a 128-bit digest), so a large
-group of copies is one row from there on.  Buckets are worked off in rounds.
-In each round every bucket names leaders, the members that share most buckets
-first, and each leader meets the members of other classes only.  The number of
-leaders grows eightfold per round, and a bucket is done when all its members
-are in one class or each has led.  So no link between different texts of one
-bucket is lost, and a bucket of near copies costs one leader, not all pairs.
+group of copies is one row from there on.  Buckets are then worked off in two
+steps.  First each bucket's ``LEADERS`` members that share most buckets meet
+the bucket, which joins a group of near copies at a cost linear in its size.
+Then every pair of a bucket that is still in different classes is tested by
+two exact bounds: the lengths, and the number of common 16-bit marks of the
+labelled k-mers, which is never less than the number of common k-mers.
+Pairs that pass are verified; a pair with several common buckets is tested in
+the least one only.  So no link between texts that share a bucket is lost, and
+dissimilar texts of one bucket never become rows.  Buckets are cut into blocks
+of ``BLOCK`` members, and pairs of blocks are tested by different tasks.
 
 Null or empty texts have no word: each stays alone.  Repeated doc_ids keep one
 row each; if their texts differ, the id takes part with the text of the least
@@ -44,8 +48,8 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 28
 PICK = 4
-LEADERS = 8
-BROADCAST_ROWS = 200_000
+LEADERS = 3
+BLOCK = 1000
 
 
 def kmers(words: np.ndarray) -> np.ndarray:
@@ -161,16 +165,22 @@ def _digest(words: np.ndarray) -> bytes | None:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the wanted (id, digest): one row per id."""
+    """(id, text, marks) of the wanted (id, digest): one row per id; ``marks``
+    holds 16 bits of every labelled k-mer."""
     def run(batches):
         for batch in batches:
-            digests = [_digest(b.hashes[b.word_offsets[i]: b.word_offsets[i + 1]])
-                       for _, _, b in blobs(batch.column(2), lower=True) for i in range(b.n)]
-            same = [x == y for x, y in zip(digests, batch.column(1).to_pylist())]
-            yield batch.select([0, 2]).filter(pa.array(same, pa.bool_()))
+            digests, marks = [], []
+            for _, _, b in blobs(batch.column(2), lower=True):
+                for i in range(b.n):
+                    w = b.hashes[b.word_offsets[i]: b.word_offsets[i + 1]]
+                    digests.append(_digest(w))
+                    marks.append((labelled(kmers(w)) >> U(48)).astype("<u2").tobytes())
+            same = pa.array([x == y for x, y in zip(digests, batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, pa.binary())],
+                                             names=["id", "text", "marks"]).filter(same)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
-    return picked.select("id", "digest", "text").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+    return picked.select("id", "digest", "text").mapInArrow(run, "id long, text string, marks binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -189,11 +199,62 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _open_pairs(batches):
+    """Rows (key, p, q, block, id, class, n, keys, marks) sorted by (key, p, q)
+    -> pairs of different classes that pass both bounds."""
+    held: list[pa.Table] = []
+
+    def finish() -> pa.RecordBatch:
+        t = pa.concat_tables(held).combine_chunks()
+        held.clear()
+        n = t["n"].to_numpy()
+        t = t.take(pa.array(np.argsort(n, kind="stable")))
+        key, two = t["key"][0].as_py(), t["p"][0].as_py() != t["q"][0].as_py()
+        ids, cls, n, block = (t[c].to_numpy() for c in ("id", "class", "n", "block"))
+        keys = t["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        marks = np.frombuffer(b"".join(t["marks"].to_pylist()), "<u2")
+        at = np.concatenate([[0], np.cumsum(n)])
+        seen = np.zeros(1 << 16, bool)
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            z = int(np.searchsorted(n, n[i] * 5 // 4, "right"))  # the length bound
+            meet = cls[i + 1: z] != cls[i]
+            if two:
+                meet &= block[i + 1: z] != block[i]
+            if not meet.any():
+                continue
+            seen[marks[at[i]: at[i + 1]]] = True
+            most = np.add.reduceat(seen[marks[at[i + 1]: at[z]]], at[i + 1: z] - at[i + 1], dtype=np.int64)
+            seen[marks[at[i]: at[i + 1]]] = False
+            j = i + 1 + np.flatnonzero(meet & (9 * most >= 4 * (n[i + 1: z] + n[i])))
+            smaller = keys[i][keys[i] < key]
+            if len(j) and len(smaller):
+                j = j[~np.isin(keys[j], smaller).any(axis=1)]
+            a += [ids[i]] * len(j)
+            b += ids[j].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+        cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+        for a, z in zip([0, *cuts], [*cuts, batch.num_rows]):
+            now = tuple(group[a])
+            if held and now != last:
+                yield finish()
+            held.append(pa.Table.from_batches([batch.slice(a, z - a)]))
+            last = now
+    if held:
+        yield finish()
+
+
 def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_copies): one row per input row.
 
-    ``folder`` is a fresh place in shared storage; fingerprints,
-    candidate texts, links and classes are written there, so no step depends on
+    ``folder`` is a fresh place in shared storage; fingerprints, candidate
+    texts, links and classes are written there, so no step depends on
     executor-local data."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -206,50 +267,47 @@ def near_duplicates(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     words = prints.where("digest is not null and doc_id is not null")
     copies = stored(words.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies")), "copies")
     chosen = copies.groupBy("id").agg(F.min("digest").alias("digest"))
-    reps = (words.join(chosen, "digest").where("doc_id = id")
-            .dropDuplicates(["id"]).select("id", "digest", "n", "keys"))
-    reps = stored(reps, "reps")
+    reps = stored(words.join(chosen, "digest").where("doc_id = id").dropDuplicates(["id"])
+                  .select("id", "digest", "n", "keys"), "reps")
     entry = reps.select("id", "n", F.explode("keys").alias("key"))
     # Keys that two texts share; everything else is settled.
     shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = entry.join(shared, "key")
+    members = stored(entry.join(shared, "key"), "members")
     central = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    members = stored(members.join(central, "id"), "members")
-    wanted = reps.select("id", "digest").join(members.select("id").distinct(), "id")
+    wanted = reps.select("id", "digest").join(central.select("id"), "id")
     texts = stored(_texts_of(docs, wanted), "texts")
 
-    classes = stored(members.select("id").distinct().select("id", F.col("id").alias("class")), "classes-0")
-    done, upto, step = 0, 1, 0
-    while True:
-        step += 1
-        now = members.join(classes, "id")
-        # Buckets that still hold two classes and members that have not led.
-        open_keys = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c")) \
-            .where((F.col("lo") != F.col("hi")) & (F.col("c") > done)).select("key")
-        now = stored(now.join(open_keys, "key"), f"open-{step}")
-        if now.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
-        leaders = now.withColumn("r", rank).where(F.col("r") <= upto).where(F.col("r") > done).select(
-            "key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("class").alias("ca"))
-        pairs = (leaders.join(now.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("class").alias("cb")), "key")
-                 .where((F.col("ca") != F.col("cb")) & (9 * F.least("na", "nb") >= 4 * (F.col("na") + F.col("nb"))))
-                 .select("a", "b").distinct())
-        pairs = stored(pairs, f"pairs-{step}")
-        few = pairs.count() <= BROADCAST_ROWS
-        small = F.broadcast if few else lambda x: x
-        with_b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(small(pairs), "b")
+    def merged(classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """Verify the pairs and join the classes that they link."""
+        with_b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(pairs, "b")
         both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        links = stored(_verified(both.select("a", "b", "ta", "tb")), f"links-{step}")
-        done, upto = upto, upto * LEADERS
-        if links.isEmpty():
-            continue
-        groups = connected(links.join(classes.select(F.col("id").alias("a"), F.col("class").alias("x")), "a")
-                           .join(classes.select(F.col("id").alias("b"), F.col("class").alias("y")), "b").select("x", "y"),
-                           f"{folder}/merge-{step}")
-        classes = stored(relabel(classes, groups), f"classes-{step}")
-
-    known = copies.join(classes.select("id", "class"), "id", "left").select(
-        "digest", F.coalesce("class", "id").alias("class_id"), "n_copies")
+        links = stored(_verified(both.select("a", "b", "ta", "tb")), f"links-{name}")
+        linked = (links.join(classes.select(F.col("id").alias("a"), F.col("class").alias("x")), "a")
+                  .join(classes.select(F.col("id").alias("b"), F.col("class").alias("y")), "b").select("x", "y"))
+        return stored(relabel(classes, connected(linked, f"{folder}/merge-{name}")), f"classes-{name}")
+
+    classes = central.select("id", F.col("id").alias("class"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
+    leaders = (members.join(central, "id").withColumn("r", rank).where(F.col("r") <= LEADERS)
+               .select("key", F.col("id").alias("a"), F.col("n").alias("na")))
+    stars = (leaders.join(members.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key")
+             .where((F.col("a") != F.col("b")) & (9 * F.least("na", "nb") >= 4 * (F.col("na") + F.col("nb"))))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    classes = merged(classes, stars, "stars")
+
+    now = members.join(classes, "id")
+    mixed = (now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+             .where("lo != hi").select("key"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = (now.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "class", "n"))
+    rows = rows.join(reps.select("id", "keys"), "id").join(texts.select("id", "marks"), "id")
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = (rows.select("key", "p", "q", "block", "id", "class", "n", "keys", "marks").repartition(shards, "key", "p", "q")
+             .sortWithinPartitions("key", "p", "q").mapInArrow(_open_pairs, "a long, b long"))
+    classes = merged(classes, stored(pairs, "open-pairs"), "pairs")
+
+    known = copies.join(classes, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"), "n_copies")
     return prints.select("doc_id", "digest").join(known, "digest", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
