@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import billing
 from ..operators import integrity as I
 from ..sources.fixtures import AS_OF, Fixtures
+from ..sources.tables import Tables
 from .oracle_fixtures import with_fx
 from .registry import query
 
@@ -15,6 +16,10 @@ def _enum_sql(col: str, vals: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in vals) + ")"
 
 
+# a state per conversation; one in five is none of the schema's states
+_STATE_SQL = "case conv_id % 5 when 0 then 'idle' when 1 then 'awaiting_input' when 2 then 'processing' when 3 then 'error' else 'closed' end"
+
+
 @query("s2_constraint_report", with_fx("fx_payments", "fx_users", "fx_subs_state", "fx_invocations") + f"""
 select table_name, rule, cast(violations as bigint) violations from (
 select 'payments' table_name, 'not_null:tg_user_id' rule, count(*) filter (where tg_user_id is null) violations
@@ -60,6 +65,43 @@ def s2(spark, d):
     ])
 
 
+@query("s2_chat_constraints", with_fx("fx_payments") + f"""
+, sessions as (select conv_id tg_user_id, {_STATE_SQL} state from conversations),
+quota as (select user_id tg_user_id, event_type agent_id,
+                 cast(strftime(ts, '%Y%m%d') as integer) date from events),
+pay as (select provider, case when provider <> 'admin_manual' then id // 2 end pid from fx_payments)
+select table_name, rule, cast(violations as bigint) violations from (
+select 'sessions' table_name, 'not_null:state' rule, count(*) filter (where state is null) violations from sessions
+union all select 'sessions', 'check:state', count(*) filter (where state not in {_enum_sql('s', I.SESSION_STATE)}) from sessions
+union all select 'sessions', 'unique:tg_user_id', count(*) - count(distinct tg_user_id) from sessions
+union all select 'messages', 'not_null:content', count(*) filter (where text is null) from conversations
+union all select 'messages', 'check:role', count(*) filter (where role not in {_enum_sql('r', I.MESSAGE_ROLE)}) from conversations
+union all select 'messages', 'fk:conv_id', count(*) from conversations c
+  where not exists (select 1 from customer u where u.c_custkey = c.conv_id)
+union all select 'usage_quota', 'not_null:agent_id', count(*) filter (where agent_id is null) from quota
+union all select 'usage_quota', 'unique:tg_user_id,agent_id,date', count(*) - (select count(*) from (select distinct * from quota))
+from quota
+union all select 'payments', 'unique:provider,provider_payment_id',
+  count(*) - (select count(*) from (select distinct * from pay where pid is not null)) from pay where pid is not null)""")
+def s2_chat(spark, d):
+    """Rules of sessions, messages and usage_quota, and the partial unique
+    provider key, over views that break some of them."""
+    t = Tables(spark, d)
+    conv = t.conversations
+    sessions = conv.select(F.col("conv_id").alias("tg_user_id"), F.expr(_STATE_SQL).alias("state"))
+    quota = t.events.select(F.col("user_id").alias("tg_user_id"), F.col("event_type").alias("agent_id"),
+                            F.date_format("ts", "yyyyMMdd").cast("int").alias("date"))
+    pay = Fixtures(spark, d).payments().select("provider", F.when(
+        F.col("provider") != "admin_manual", F.floor(F.col("id") / 2)).alias("provider_payment_id"))
+    return I.constraint_report([
+        I.TableRules("sessions", sessions, not_null=["state"], enums={"state": I.SESSION_STATE}, keys=[["tg_user_id"]]),
+        I.TableRules("messages", conv.select("conv_id", "role", F.col("text").alias("content")), not_null=["content"],
+                     enums={"role": I.MESSAGE_ROLE}, fks=[("conv_id", t.customer, "c_custkey")]),
+        I.TableRules("usage_quota", quota, not_null=["agent_id"], keys=[["tg_user_id", "agent_id", "date"]]),
+        I.TableRules("payments", pay, unique_not_null=[["provider", "provider_payment_id"]]),
+    ])
+
+
 # ---- S5 logs -------------------------------------------------------------------
 from ..operators.telemetry import invocation_cost  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402

@@ -52,6 +52,8 @@ NATIVE_SCHEMAS: dict[str, T.StructType] = {
                     ("amount_rub", _L), ("crypto_amount", _S), ("crypto_currency", _S), ("plan", _S),
                     ("status", _S), ("tx_hash", _S), ("raw_payload", _S), ("created_at", _L),
                     ("finalized_at", _L)),
+    "sessions": _st(("tg_user_id", _L), ("active_agent_id", _S), ("state", _S), ("context_window", _S),
+                    ("updated_at", _L)),
     "messages": _st(("id", _L), ("tg_user_id", _L), ("agent_id", _S), ("role", _S), ("content", _S),
                     ("tg_message_id", _L), ("invocation_id", _L), ("created_at", _L)),
     "agent_invocations": _st(("id", _L), ("tg_user_id", _L), ("agent_id", _S), ("model", _S),
