@@ -298,3 +298,15 @@ def test_pipeline_stages(spark):
     left = {r.doc_id for r in by["decontamination"](spark, df, SMALL).collect()}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert left == set(near) - {d for d, _ in brute.leaks(near.items(), bench)}
+
+
+def test_lm_head_size_does_not_change_the_counts(spark, tmp_path):
+    from tallyfold.llm import lmscore
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    q, out = df.select("doc_id", F.lit(False).alias("held_out"), "text"), []
+    for head in (lmscore.HEAD, 2000, 0):
+        folder = str(tmp_path / str(head))
+        m = lmscore.train(df, folder, clustered=200, head=head)
+        assert len(m["w"]) <= head + 1
+        out.append({r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lmscore.score(q, m, folder).collect()})
+    assert out[0] == out[1] == out[2]
