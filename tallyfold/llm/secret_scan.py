@@ -1,13 +1,18 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Base spans follow three fixed patterns.  The method adds wider candidates
-(private-key headers, bearer-like and mixed random strings) and judges every
+(private keys, bearer-like and mixed random strings) and judges every
 candidate value by its owners over the whole corpus: a hash of each value is
 aggregated by distinct owner and distinct document.  A value seen under more
 than ``max_owners`` owners is a widely copied example; an owner-specific value
 that looks random is reported as ``live``.  Base spans are always reported;
 added spans only if they are owner-specific.
 
+The value of a private key is what stands between its header and its END line
+(without one: the key lines after the header), without white space, quotes and
+escapes, so that every key is judged on its own.  Its span is the whole key.  A
+header with nothing after it has itself as value.
+
 Null text is empty and has no span; a null owner counts as one owner of its
 own; repeated rows of one document add documents, never owners.  Only hashes
 of values and counts are shuffled, pre-aggregated per task, so a value held by
@@ -30,7 +35,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 # Added kinds, judged by ownership.
-PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PRIVATE = r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+KEY_LINES = r"""(?:(?:[\s"'`#>*|,;]|\\[nrt])*(?:[A-Za-z0-9+/=]{24,}|(?:Proc-Type|DEK-Info):[^\n\\]*))*"""
+KEY_WRAP = r"""\\[nrt]|[\s"'`#>*|,;]+"""
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "private", "random")
 MAX_OWNERS = 2
@@ -49,6 +56,18 @@ def scanner():
     assign = re.compile(ASSIGN, re.I | re.A)
     access, hexa = re.compile(ACCESS), re.compile(r"[0-9a-f]{%d,}" % HEX_CHARS)
     private, rand = re.compile(PRIVATE), re.compile(RANDOM)
+    key_lines, key_wrap = re.compile(KEY_LINES), re.compile(KEY_WRAP)
+
+    def keys(t: str) -> list[tuple[str, int, int, str]]:
+        out, marks = [], list(private.finditer(t))
+        for m, after in zip(marks, [*marks[1:], None]):
+            if m.group(1) == "BEGIN":
+                closed = after is not None and after.group(1) == "END"
+                end = after.start() if closed else key_lines.match(t, m.end()).end()
+                value = key_wrap.sub("", t[m.end():end])
+                stop = after.end() if closed else end if value else m.end()
+                out.append(("private", m.start(), stop, value or m.group()))
+        return out
 
     def scan(t: str) -> list[tuple[str, int, int, str]]:
         out = []
@@ -59,8 +78,9 @@ def scanner():
             out += [("access", *m.span(), m.group()) for m in access.finditer(t) if len(m.group()) >= ACCESS_CHARS]
         out += [("hex", *m.span(), m.group()) for m in hexa.finditer(t)]
         if "PRIVATE KEY-----" in t:
-            out += [("private", *m.span(), m.group()) for m in private.finditer(t)]
-        taken = [(s, e) for _, s, e, _ in out]
+            out += keys(t)
+        # A key too uniform to be judged live hides nothing that stands in it.
+        taken = [(s, e) for k, s, e, v in out if k != "private" or entropy(v) >= MIN_BITS]
         for m in rand.finditer(t):
             v = m.group()
             if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= MIN_BITS \

@@ -258,6 +258,28 @@ def test_ownership_separates_examples(spark, tmp_path):
     assert got[10].spans == got[11].spans == "random:3:23" and got[10].n_live == 1
 
 
+def test_private_keys_are_judged_by_their_body(spark, tmp_path):
+    from tallyfold.llm import secret_scan
+    rnd = random.Random(3)
+    body = lambda: ["".join(rnd.choice("ABCDEFGHJKLMabcdefghjk0123456789+/") for _ in range(64)) for _ in range(4)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pem = lambda b, sep="\n": sep.join([begin, *b, end])
+    shared = body()
+    text = {i: f"key of {i}\n{pem(body())}\n" for i in range(3)}  # three owners, three keys
+    text |= {10 + i: f"copy {i}\n" + pem(shared, "\n" if i % 2 else "\\n") for i in range(4)}  # one key, many owners, two wrappings
+    text |= {20: begin + "\n" + "\n".join(body()) + "\nthe rest is lost", 21: f"a {begin} without key", 22: pem(body()) + "\n" + pem(body())}
+    rows = [(d, f"s{d}", t) for d, t in text.items()]
+    got = {r.doc_id: r for r in secret_scan.secret_report(
+        spark.createDataFrame(rows, "doc_id long, source string, text string"), str(tmp_path / "p")).collect()}
+    for d in range(3):
+        assert got[d].spans == f"private:9:{len(text[d]) - 1}" and (got[d].n_live, got[d].n_copied) == (1, 0)
+    for d in range(10, 14):
+        assert got[d].spans == "" and (got[d].n_live, got[d].n_copied) == (0, 1)
+    assert got[20].spans == f"private:0:{text[20].index(chr(10) + 'the rest')}" and got[20].n_live == 1
+    assert got[21].spans == "private:2:33"
+    assert got[22].n_live == 2 and got[22].spans.count("private") == 2
+
+
 def test_quality(spark, docs):
     for r in Q["op10_quality_rules"](spark, SF).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.quality(docs[r.doc_id])
