@@ -3,10 +3,11 @@
 Base spans follow three fixed patterns.  The method adds wider candidates
 (private keys, bearer-like and mixed random strings) and judges every
 candidate value by its owners over the whole corpus: a hash of each value is
-aggregated by distinct owner and distinct document.  A value seen under more
-than ``max_owners`` owners is a widely copied example; an owner-specific value
-that looks random is reported as ``live``.  Base spans are always reported;
-added spans only if they are owner-specific.
+aggregated by distinct owner, distinct document and distinct text.  A value
+seen under more than ``max_owners`` owners, or in more than ``max_repos``
+documents with as many different texts, is a widely copied example; a value
+within both bounds that looks random is reported as ``live``.  Base spans are always reported;
+added spans only if they are live.
 
 The value of a private key is what stands between its header and its END line
 (without one: the key lines after the header), without white space, quotes and
@@ -14,7 +15,8 @@ escapes, so that every key is judged on its own.  Its span is the whole key.  A
 header with nothing after it has itself as value.
 
 Null text is empty and has no span; a null owner counts as one owner of its
-own; repeated rows of one document add documents, never owners.  Only hashes
+own and a null document as one document.  Repeated rows of one document, and
+copies of one whole text under many documents, count as one.  Only hashes
 of values and counts are shuffled, pre-aggregated per task, so a value held by
 a third of all rows is combined before the shuffle.
 """
@@ -41,6 +43,7 @@ KEY_WRAP = r"""\\[nrt]|[\s"'`#>*|,;]+"""
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "private", "random")
 MAX_OWNERS = 2
+MAX_REPOS = 10  # documents of different text in which an owner may repeat a value of its own
 MIN_BITS = 3.0
 SPAN = "array<struct<kind:string,start:long,stop:long,value:string,digest:string,bits:double>>"
 
@@ -112,22 +115,20 @@ def scan_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(*rest, text_col).mapInArrow(run, f"{schema}, spans {SPAN}")
 
 
-def ownership(scanned: DataFrame, owner_col: str = "source", repo_col: str = "doc_id",
-              max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Per value digest: distinct owners and repositories, and the verdict.
+def ownership(scanned: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", text_col: str = "text_hash",
+              max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """Per value digest: distinct owners, repositories and texts, and the verdict.
 
-    Both counts are distinct counts over pre-aggregated (digest, owner) and
-    (digest, repository) pairs, so one hot value is spread over its owners and
-    repositories before it meets in one row."""
-    one = scanned.select(F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), F.explode("spans").alias("s"))
-    one = one.select("owner", "repo", F.col("s.digest").alias("digest"), F.col("s.bits").alias("bits"))
-    by_owner = (one.groupBy("digest", "owner").agg(F.max("bits").alias("bits"))
-                .groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.max("bits").alias("bits")))
-    by_repo = (one.groupBy("digest", "repo").agg(F.lit(1).alias("x"))
-               .groupBy("digest").agg(F.count(F.lit(1)).alias("n_repos")))
-    return (by_owner.join(by_repo, "digest")
-            .select("digest", "n_owners", "n_repos",
-                    ((F.col("n_owners") <= max_owners) & (F.col("bits") >= MIN_BITS)).alias("live")))
+    Spark groups by (digest, owner), (digest, repository) and (digest, text)
+    first, so one hot value is spread over them before it meets in one row."""
+    one = scanned.select(F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo"), F.col(text_col).alias("text"),
+                         F.explode("spans").alias("s"))
+    count = lambda c: F.count_distinct(F.struct(c))  # noqa: E731  # null is a value of its own
+    own = one.groupBy(F.col("s.digest").alias("digest")).agg(
+        count("owner").alias("n_owners"), count("repo").alias("n_repos"), count("text").alias("n_texts"),
+        F.max("s.bits").alias("bits"))
+    copied = (F.col("n_owners") > max_owners) | (F.least("n_repos", "n_texts") > max_repos)
+    return own.select("digest", "n_owners", "n_repos", "n_texts", (~copied & (F.col("bits") >= MIN_BITS)).alias("live"))
 
 
 def secret_report(docs: DataFrame, checkpoint: str, owner_col: str = "source") -> DataFrame:
@@ -136,7 +137,8 @@ def secret_report(docs: DataFrame, checkpoint: str, owner_col: str = "source") -
     the shared checkpoint dir: the scan (spans, no text) is written there once,
     because both the ownership counts and the report read it."""
     spark = docs.sparkSession
-    picked = docs.select(F.col("doc_id").cast("long"), F.col(owner_col).alias("source"), "text")
+    picked = docs.select(F.col("doc_id").cast("long"), F.col(owner_col).alias("source"),
+                         F.xxhash64("text").alias("text_hash"), "text")
     scan_documents(picked).withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(checkpoint)
     scanned = spark.read.parquet(checkpoint)
     own = ownership(scanned, "source")

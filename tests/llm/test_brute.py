@@ -280,6 +280,23 @@ def test_private_keys_are_judged_by_their_body(spark, tmp_path):
     assert got[22].n_live == 2 and got[22].spans.count("private") == 2
 
 
+def test_value_in_many_documents_of_one_owner_is_copied(spark, tmp_path):
+    from tallyfold.llm import secret_scan
+    example, mirrored, revised, few = "Ex4mpl3Ex4mpl3K3yAbCd", "Qw81kQ0pLw73mNb5Ty6u", "Rv72hR5sKt90vBc3Xz1w", "Fe63jS8dMu41cZx9Yp2q"
+    rows = [(i, "hot", f"text {i} has {example} in it") for i in range(50)]  # one owner, many different texts
+    rows += [(100 + i, "hot", f"one text has {mirrored}") for i in range(50)]  # one text under many ids
+    rows += [(200, "hot", f"version {i} has {revised}") for i in range(50)]  # one document in many versions
+    rows += [(300 + i, "hot", f"own text {i} has {few}") for i in range(secret_scan.MAX_REPOS)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    n = collections.Counter()
+    for r in secret_scan.secret_report(df, str(tmp_path / "r")).collect():
+        n[r.doc_id // 100, r.n_live, r.n_copied, r.spans != ""] += 1
+    assert n == {(0, 0, 1, False): 50, (1, 1, 0, True): 50, (2, 1, 0, True): 50, (3, 1, 0, True): secret_scan.MAX_REPOS}
+    scanned = secret_scan.scan_documents(df.withColumn("text_hash", F.xxhash64("text")))
+    assert sorted((r.n_owners, r.n_repos, r.n_texts, r.live) for r in secret_scan.ownership(scanned).collect()) == \
+        [(1, 1, 50, True), (1, 10, 10, True), (1, 50, 1, True), (1, 50, 50, False)]
+
+
 def test_quality(spark, docs):
     for r in Q["op10_quality_rules"](spark, SF).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.quality(docs[r.doc_id])
