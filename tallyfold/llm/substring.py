@@ -12,15 +12,18 @@ covers it whose word sequence also starts in a document of smaller doc_id.
    window around it can reach.  Equal contexts of one anchor collapse to one
    with the least doc_id.  The contexts of an anchor are the reference shard
    of all documents that hold the anchor.
-4. A suffix automaton is built per shard (``SHARD`` contexts at most; a larger
-   group is several shards, each streamed by the whole group).  Its states
-   carry the least doc_id among their occurrences.  Streaming a context gives
-   the matching statistics, and wherever they reach 50 words the state of that
-   window tells the least document that holds it.
+4. A suffix automaton is built per shard (``SHARD`` contexts at most).  Its
+   states carry the least doc_id among their occurrences.  Streaming a context
+   gives the matching statistics, and wherever they reach 50 words the state of
+   that window tells the least document that holds it.  An anchor with more
+   contexts (a passage shared by very many documents) is split by a second key:
+   the 128-bit digest of each window of its contexts, whose grouped minimum is
+   the least document.  That is linear in the contexts and no single task.
 5. Windows whose least document is smaller are covered, and the words left are
    joined.
 
-The automata compare whole words, not hashes.  An automaton goes only to the
+The automata compare whole words, not hashes; only the windows of split anchors
+are told apart by their digests.  An automaton goes only to the
 documents that hold its anchor, by a shuffle on the anchor, rather than to
 every executor: what would be broadcast grows with the corpus.
 
@@ -256,6 +259,24 @@ def _matched(batches):
         yield finish()
 
 
+def _windows(batches):
+    """(anchor, c1, c2, context, lo, hi) -> every window of the context with its digest."""
+    names = ["anchor", "c1", "c2", "lo", "hi", "i", "k1", "k2"]
+    for batch in batches:
+        take, at, digests = [], [], []
+        for j, context in enumerate(batch.column(3).to_pylist()):
+            words = context.encode().split(b" ")
+            for i in range(len(words) - WINDOW + 1):
+                take.append(j)
+                at.append(i)
+                digests.append(hashlib.sha256(b" ".join(words[i: i + WINDOW])).digest()[:16])
+        k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        rows = pa.array(take, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(rows) for c in (0, 1, 2, 4, 5)), pa.array(at, pa.int64()),
+             pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=names)
+
+
 def strike(covered: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_removed, kept_sha256, kept) of (key, text, starts): the words
     that no window at ``starts`` covers, joined by one space."""
@@ -307,12 +328,20 @@ def covered_windows(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     texts = stored(_keyed(docs).join(wanted, key).select(*key, "text", "at", "anchor").dropDuplicates(key), "candidates")
     contexts = stored(cut_contexts(texts), "contexts")
     distinct = contexts.groupBy("anchor", "c1", "c2", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    distinct = distinct.select("anchor", "c1", "c2", "context", "lo", "hi")
+    # At most one anchor per SHARD contexts is hot; broadcast, so that no hot anchor is dealt to one task.
+    hot = stored(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("anchor"), "hot")
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = (distinct.select("anchor", "c1", "c2", "context", "lo", "hi").repartition(shards, "anchor")
-             .sortWithinPartitions("anchor", "lo").mapInArrow(_matched, "anchor long, c1 long, c2 long, least array<long>"))
-    hit = (contexts.select("anchor", "c1", "c2", *key, "start").join(least, ["anchor", "c1", "c2"])
-           .select(*key, F.transform(F.filter(F.transform("least", lambda x, i: F.struct(x.alias("d"), i.alias("i"))),
-                                              lambda s: s["d"] < F.col("doc_id")), lambda s: s["i"] + F.col("start")).alias("s"))
+    least = (distinct.join(F.broadcast(hot), "anchor", "left_anti").repartition(shards, "anchor")
+             .sortWithinPartitions("anchor", "lo").mapInArrow(_matched, "anchor long, c1 long, c2 long, least array<long>")
+             .select("anchor", "c1", "c2", F.transform("least", lambda x, i: F.struct(x.alias("d"), i.cast("long").alias("i"))).alias("least")))
+    windows = stored(distinct.join(F.broadcast(hot), "anchor", "left_semi").mapInArrow(
+        _windows, "anchor long, c1 long, c2 long, lo long, hi long, i long, k1 long, k2 long"), "windows")
+    again = windows.groupBy("k1", "k2").agg(F.min("lo").alias("d"), F.max("hi").alias("top")).where("d < top").drop("top")
+    split = (windows.join(again, ["k1", "k2"]).where("d < hi")
+             .groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct("d", "i")).alias("least")))
+    hit = (contexts.select("anchor", "c1", "c2", *key, "start").join(least.unionByName(split), ["anchor", "c1", "c2"])
+           .select(*key, F.transform(F.filter("least", lambda s: s["d"] < F.col("doc_id")), lambda s: s["i"] + F.col("start")).alias("s"))
            .where(F.size("s") > 0).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     hit = stored(hit, "covered")
     return prints.select(*key, "n_words", "sha", "copy"), texts.select(*key, "text").join(hit, key)

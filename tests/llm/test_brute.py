@@ -215,6 +215,33 @@ def test_substrings_of_planted_passages(spark, tmp_path):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {d: v for (d, _), v in want.items()}
 
 
+def test_substrings_of_a_hot_passage_stay_out_of_one_task(spark, tmp_path, monkeypatch):
+    from tallyfold.llm import substring
+    rnd, matched, limit = random.Random(8), substring._matched, 12
+    word = lambda: "w%d" % rnd.randrange(10 ** 7)
+    hot, short, rare = ([word() for _ in range(n)] for n in (60, 40, 55))  # 40 words: shared anchors without a shared window
+    rows = [(i, " ".join([word() for _ in range(25)] + (hot, short)[i % 2] + [word() for _ in range(25)])) for i in range(120)]
+    rows += [(200 + i, " ".join([word() for _ in range(9)] + rare + [word()])) for i in range(4)]
+
+    def bounded(batches):  # as _matched, but fails if one anchor brings more contexts than a shard
+        n = collections.Counter()
+
+        def counted():
+            for b in batches:
+                n.update(b.column(0).to_pylist())
+                assert max(n.values(), default=0) <= limit
+                yield b
+
+        yield from matched(counted())
+
+    monkeypatch.setattr(substring, "SHARD", limit)
+    monkeypatch.setattr(substring, "_matched", bounded)
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "h")).collect()
+    want = brute.repeats(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {d: v for (d, _), v in want.items()}
+    assert sum(r.n_removed > 0 for r in got) == 59 + 3
+
+
 def test_lm_base_and_mass(spark, docs):
     from tallyfold.llm import lmscore
     tokens = {d: brute.words((t or "").translate(brute.LOWER)) + [None] for d, t in docs.items()}
