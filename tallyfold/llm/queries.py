@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, lmscore, neardup, packing, quality, secret_scan, substring, toxicity
+from . import align, decontam, langid, linededup, lmscore, merkle, mixing, neardup, packing, quality, secret_scan, substring, toxicity
 from .registry import documents, fold, query, scratch
 
 
@@ -112,3 +112,22 @@ def op7(spark, sf_dir):
 def op3(spark, sf_dir):
     """Lines left in every document without repeated multi-line chunks."""
     return linededup.report(documents(spark, sf_dir))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    """Alignment of two tokenizers over every document."""
+    import public_tokenizers as P
+    return align.alignment(documents(spark, sf_dir), scratch(spark, "op11-spans"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+
+
+@query("op12_merkle_manifest", merkle.ORACLE)
+def op12(spark, sf_dir):
+    """Leaf, proof and folded root of every document."""
+    return merkle.op12_report(documents(spark, sf_dir))
+
+
+@query("op13_source_mixing")
+def op13(spark, sf_dir):
+    """Words that a mix of target weights takes from every document."""
+    return mixing.mix(documents(spark, sf_dir), scratch(spark, "op13-mix"))

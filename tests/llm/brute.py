@@ -120,3 +120,82 @@ def leaks(docs, items):
                     out.add((d, j))
                     break
     return out
+
+
+def alignment(text, a, b, a_bytes, b_bytes):
+    """(n_a, n_b, n_groups, n_links, groups digest, links) by comparing byte ranges."""
+    none = (0, 0, 0, 0, "", [])
+    if not text:
+        return none
+    want = (" " + text).encode()
+    a = a.encode(" " + text, add_special_tokens=False).ids
+    b = b.encode(text, return_type=int)
+    sides = []
+    for ids, own in ((a, a_bytes), (b, b_bytes)):
+        if b"".join(own[i] for i in ids) != want:
+            return none
+        at, spans = 0, []
+        for i in ids:
+            spans.append((at, at + len(own[i])))
+            at += len(own[i])
+        sides.append(spans)
+    x, y = sides
+    cuts, before, groups = sorted({e for _, e in x} & {e for _, e in y}), 0, []
+    for c in cuts:
+        groups.append("|".join(",".join(str(i) for i, (_, e) in zip(ids, s) if before < e <= c) for ids, s in ((a, x), (b, y))))
+        before = c
+    links = [(i, j) for i, (s, e) in zip(a, x) for j, (u, v) in zip(b, y) if s < v and u < e]
+    return len(a), len(b), len(groups), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest(), links
+
+
+def merkle(rows, tampered):
+    """Manifest rows of (doc_id, text, lang, source, n_chars), recursively."""
+    def H(s):
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    def leaf(r, text):
+        return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (r[0], r[3], r[2], r[4], text)))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([H("".join(out[-1][i: i + 8])) for i in range(0, len(out[-1]), 8)])
+        return out
+
+    def path(tree, i):
+        for nodes in tree[:-1]:
+            a = i // 8 * 8
+            yield "".join(nodes[a:i]), "".join(nodes[i + 1: a + 8])
+            i //= 8
+
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r[2]].append((r[0] is not None, r[0] or 0, leaf(r, r[1]), r))
+    langs = sorted(by, key=lambda x: (x is not None, (x or "").encode()))
+    for group in by.values():
+        group.sort(key=lambda x: x[:3])
+    trees = [levels([x[2] for x in by[lang]]) for lang in langs]
+    top = levels([t[-1][0] for t in trees])
+    out = []
+    for k, lang in enumerate(langs):
+        for i, (_, _, h, r) in enumerate(by[lang]):
+            sides = [*path(trees[k], i), *path(top, k)]
+            node = leaf(r, r[1].translate(LOWER) if r[1] is not None and tampered(r[0]) else r[1])
+            for left, right in sides:
+                node = H(left + node + right)
+            out.append((r[0], h, trees[k][-1][0], top[-1][0], H("".join(a + b for a, b in sides)), node, node == top[-1][0]))
+    return out
+
+
+def mixing_targets(size):
+    """Target of every source by sharing and resharing, weights 5, 2, 1."""
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    fixed = {}
+    while True:
+        left, w = sum(size.values()) - sum(fixed.values()), sum(weight[s] for s in order if s not in fixed)
+        share = {s: left * weight[s] / w for s in order if s not in fixed}
+        over = [s for s in share if share[s] > 3 * size[s]]
+        if not over:
+            return share | fixed
+        fixed |= {s: 3 * size[s] for s in over}

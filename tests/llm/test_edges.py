@@ -4,6 +4,7 @@ with the names the operators use themselves."""
 
 import sys
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,24 @@ def test_quality(spark, awkward):
     assert len(got) == len(ROWS)
 
 
+def test_alignment(spark, awkward):
+    got = {r.doc_id: r for r in _rows(spark, awkward, "op11_token_alignment")}
+    assert got[1].groups_sha256 == got[2].groups_sha256 == "" and got[2].n_links == 0 and got[6].n_links > 60_000
+    assert got[6].count_sum == got[7].count_sum and got[14].n_groups > 0
+
+
+def test_manifest(spark, awkward):
+    got = [tuple(r) for r in _rows(spark, awkward, "op12_merkle_manifest")]
+    want = brute.merkle(ROWS, lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 0)
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_mixing(spark, awkward):
+    got = _rows(spark, awkward, "op13_source_mixing")
+    assert len(got) == len(ROWS) and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(sum(r.size for r in got))
+
+
 def test_pipeline(spark, awkward):
     import corpus_pipeline as P
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
