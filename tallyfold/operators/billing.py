@@ -214,12 +214,17 @@ def pending_recheck(payments: DataFrame, as_of: int, limit: int | None = None) -
 SNAPSHOT_SUCCESS = {"nowpayments": ("finished", "confirmed"), "cryptocloud": ("paid", "success")}
 
 
-def reconcile_payments(pending: DataFrame, snapshot: DataFrame, as_of: int) -> DataFrame:
-    """Pending payments the provider now reports as completed -> paid."""
+def remote_completed() -> Column:
+    """The provider's endpoint reports the payment as completed."""
     ok = F.lit(False)
     for prov, sts in SNAPSHOT_SUCCESS.items():
         ok = ok | ((F.col("provider") == prov) & F.col("remote_status").isin(*sts))
-    return (pending.join(snapshot, ["id", "provider"], "inner").where(ok)
+    return ok
+
+
+def reconcile_payments(pending: DataFrame, snapshot: DataFrame, as_of: int) -> DataFrame:
+    """Pending payments the provider now reports as completed -> paid."""
+    return (pending.join(snapshot, ["id", "provider"], "inner").where(remote_completed())
             .select("id", "tg_user_id", "provider", "plan", F.lit("paid").alias("status"),
                     F.lit(as_of).cast("long").alias("finalized_at")))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.time import DAY, WEEK, idiv, iso_date, yyyymmdd
 
 
-def _live(users: DataFrame) -> DataFrame:
+def live_users(users: DataFrame) -> DataFrame:
     return users.where((F.col("is_banned") == 0) & (F.col("is_deleted") == 0))
 
 
@@ -22,7 +22,7 @@ def _live(users: DataFrame) -> DataFrame:
 def active_users(users: DataFrame, subs: DataFrame, as_of: int, days: int = 7) -> DataFrame:
     """Users seen in the last ``days`` with their active subscription (fans out
     if several rows are active, as the reference view does)."""
-    u = _live(users).where(F.col("last_seen_at") > as_of - days * DAY)
+    u = live_users(users).where(F.col("last_seen_at") > as_of - days * DAY)
     s = subs.where(F.col("is_active") == 1).select(
         "tg_user_id", F.col("plan").alias("active_plan"), F.col("expires_at").alias("plan_expires_at"))
     cols = [c for c in ("tg_user_id", "username", "first_name", "registered_at", "last_seen_at") if c in u.columns]
@@ -63,7 +63,7 @@ def dau(active: DataFrame) -> DataFrame:
 
 
 def mau(users: DataFrame, as_of: int, days: int = 30) -> DataFrame:
-    return _live(users).where(F.col("last_seen_at") > as_of - days * DAY).agg(F.count(F.lit(1)).alias("mau"))
+    return live_users(users).where(F.col("last_seen_at") > as_of - days * DAY).agg(F.count(F.lit(1)).alias("mau"))
 
 
 def plan_holder_counts(subs: DataFrame, as_of: int) -> list[Column]:
@@ -115,7 +115,7 @@ def error_rate(inv: DataFrame, as_of: int, secs: int = DAY) -> DataFrame:
 # R8 / R9 / R10 -------------------------------------------------------------
 def _registered_between(users: DataFrame, as_of: int, k: int) -> DataFrame:
     lo, hi = as_of - k * DAY - DAY, as_of - k * DAY
-    return _live(users).where(F.col("registered_at").between(lo, hi)).select("tg_user_id", "registered_at")
+    return live_users(users).where(F.col("registered_at").between(lo, hi)).select("tg_user_id", "registered_at")
 
 
 def _capped(df: DataFrame, limit: int | None, order: list[str]) -> DataFrame:
@@ -170,7 +170,7 @@ def sub_expiring(subs: DataFrame, as_of: int, days: int = 3, limit: int | None =
 def silent_payers(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int, days: int = 7,
                   limit: int | None = None) -> DataFrame:
     paid = subs.where((F.col("is_active") == 1) & (F.col("plan") != "free_trial")).select("tg_user_id")
-    u = _live(users).select("tg_user_id", "registered_at").join(paid, "tg_user_id")
+    u = live_users(users).select("tg_user_id", "registered_at").join(paid, "tg_user_id")
     # one row per payer first, then only the payers' invocations are aggregated
     payers = u.groupBy("tg_user_id", "registered_at").agg(F.lit(1).alias("_one")).drop("_one")
     last = (inv.select("tg_user_id", "created_at").join(payers.select("tg_user_id"), "tg_user_id", "left_semi")
@@ -195,6 +195,21 @@ def nudge_plan(segments: list[DataFrame], ledger: DataFrame, as_of: int, ttl_day
         .withColumn("sent_at", F.lit(as_of).cast("long"))
 
 
+def send_once(candidates: DataFrame, sent: DataFrame | None, ttl_days: int = 60) -> DataFrame:
+    """``candidates (slot, tg_user_id, event, params)`` of several runs: the
+    first run of each (user, event) sends it, with the least params, unless
+    ``sent`` (earlier rows) holds it within the TTL.  The runs of one call span
+    less than the TTL (event keys name a day, a date or a week)."""
+    if sent is not None:
+        first = candidates.agg(F.min("slot")).first()[0]
+        if first is not None:
+            fresh = sent.where(F.col("slot") > first - ttl_days * DAY).select("tg_user_id", "event")
+            candidates = candidates.join(fresh, ["tg_user_id", "event"], "left_anti")
+    pick = F.min(F.struct("slot", "params")).alias("_m")
+    return candidates.groupBy("tg_user_id", "event").agg(pick).select(
+        F.col("_m.slot").alias("slot"), "tg_user_id", "event", F.col("_m.params").alias("params"))
+
+
 def nudge_segments(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int) -> list[DataFrame]:
     """The six reference cohorts as ``(tg_user_id, event, params)``."""
     d1 = no_first_request(users, inv, as_of, 1).select(

@@ -50,6 +50,15 @@ MAX_ATTEMPTS = 3
 QUEUE_TTL_S = 3600
 
 
+def parse_retry_items(queue: DataFrame) -> DataFrame:
+    """Queue rows with ``item`` (the JSON of ``raw``) and ``parsed``."""
+    schema = ("user_id long, chat_id long, agent_id string, "
+              "messages array<struct<role:string,content:string>>, attempts int, enqueued_at long, "
+              "original_msg_id long")
+    q = queue.withColumn("item", F.from_json("raw", schema))
+    return q.withColumn("parsed", F.col("item").isNotNull() & F.col("item.user_id").isNotNull())
+
+
 def retry_step(queue: DataFrame, outcomes: DataFrame, as_of: int, batch: int | None = None) -> DataFrame:
     """One drain cycle of the retry queue.
 
@@ -59,11 +68,8 @@ def retry_step(queue: DataFrame, outcomes: DataFrame, as_of: int, batch: int | N
     cycle (key order); the default drains every item.  Output: one row per taken item with ``action`` in
     ``retried_ok / requeue / give_up / drop_malformed`` and the new attempts.
     """
-    schema = ("user_id long, chat_id long, agent_id string, "
-              "messages array<struct<role:string,content:string>>, attempts int, enqueued_at long, "
-              "original_msg_id long")
-    q = queue.withColumn("item", F.from_json("raw", schema))
-    parsed_ok = F.col("item").isNotNull() & F.col("item.user_id").isNotNull()
+    q = parse_retry_items(queue)
+    parsed_ok = F.col("parsed")
     # TTL: keys expire 1 h after their last put
     live = q.where(~parsed_ok | (F.col("item.enqueued_at") > as_of - QUEUE_TTL_S))
     if batch is not None:

@@ -123,20 +123,15 @@ select r.date, r.cutoff, (select count(*) from usage u where u.date < r.cutoff)
        (select count(*) from usage u where u.date >= r.cutoff and u.date < r.date) kept
 from r""")
 def t6(spark, d):
-    """Cron firings arrive with the event stream (one tick per event, floored
-    to the 5-minute cron slot); the daily block reports the quota purge."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    from .q_admission import decisions
+    """Quota purge of the cron cycle; one firing per event, at its own time."""
     from ..operators import admission
+    from ..streaming import cron
+    from .q_admission import decisions
 
     usage = admission.usage_quota_daily(decisions(spark, d))
-    ticks = jobs.stream_table(spark, d, "events").select(
-        (jobs.F.floor(epoch_s("ts") / 300) * 300).cast("long").alias("ts"))
-    ledger = ensure_checkpoint_dir(spark).rstrip("/") + f"/ledgers/cron-{uuid.uuid4().hex[:12]}"
-    jobs.cron_cycle(spark, ticks, usage, ledger)
-    return spark.read.parquet(ledger).select("date", "cutoff", "deleted_total", "kept")
+    fired = jobs.stream_table(spark, d, "events").select(epoch_s("ts").alias("ts"))
+    ledger = cron.run_cycle(spark, fired, [cron.quota_purge(usage)], cron.fresh_root(spark, "quota"))
+    return ledger.rows("quota_purge").select("date", "cutoff", "deleted_total", "kept")
 
 
 @query("t4_stream_daily_revenue", with_fx("fx_payments") + """
@@ -154,3 +149,136 @@ def t4r(spark, d):
                    F.when(F.col("o_orderstatus") != "O", created + (k % 48) * 3600).alias("finalized_at"))
     out = jobs.run_available_now(spark, jobs.stream_daily_revenue(pay), "complete", "t4r")
     return out.drop("unique_payers")
+
+
+# The jobs of the cron cycle.  The firings are the events' times, moved to
+# the month before the fixtures' as-of date.
+TICK_SHIFT = 904_694_400  # 2024-01-31 becomes 1995-06-01
+_TICKS = f"""
+, slots as (select distinct (epoch_us(ts) // 1000000 - {TICK_SHIFT}) // 300 * 300 slot from events),
+daily as (select min(slot) slot from slots where slot % 86400 < 600 group by slot // 86400)"""
+
+
+def ticks(spark, d):
+    return jobs.stream_table(spark, d, "events").select((epoch_s("ts") - TICK_SHIFT).alias("ts"))
+
+
+def cron_sources(spark, d):
+    """Inputs of the jobs, from the fixtures: (job name, Job)."""
+    from ..operators import billing
+    from ..sources.fixtures import Fixtures
+    from ..sources.reference_data import plan_config
+    from ..sources.tables import Tables
+    from ..streaming import cron
+
+    fx = Fixtures(spark, d)
+    e = Tables(spark, d).events.where(F.col("event_type") == "error")
+    k, u = F.col("event_id"), F.col("user_id")
+    put = (epoch_s("ts") - TICK_SHIFT).alias("put_at")
+    item = F.to_json(F.struct(u.alias("user_id"), u.alias("chat_id"), F.col("event_type").alias("agent_id"),
+                              (k % 2).cast("int").alias("attempts"), (epoch_s("ts") - TICK_SHIFT).alias("enqueued_at")))
+    queue = e.select(F.format_string("retry:%d:%d", u, k).alias("key"), F.when(k % 40 == 0, F.lit('{"user_id":')).otherwise(item).alias("raw"), put)
+    tries = e.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    outcomes = tries.select(F.format_string("retry:%d:%d", u, k).alias("key"), "attempt",
+                            ((F.floor(k / 2) + F.col("attempt")) % 4 == 0).alias("ok"))
+    messages = fx.invocations().select(
+        "created_at", F.explode(F.when(F.col("status") == "success", F.array(F.lit("user"), F.lit("assistant"))).otherwise(F.array(F.lit("user")))).alias("role"))
+    subs = billing.activate_subscriptions(fx.subscriptions(), 2 ** 40)  # every row with the start that closes it
+    inv = fx.invocations().select("tg_user_id", "agent_id", "created_at")
+    return [cron.retry_drain(queue, outcomes), cron.payment_recheck(fx.payments(), fx.provider_snapshot(), plan_config(spark)),
+            cron.message_purge(messages), cron.subscription_expiry(subs), cron.nudges(fx.users(), subs, inv)]
+
+
+def cron_rows(spark, d, name):
+    """Rows of one job of the cycle over all firings."""
+    from ..streaming import cron
+
+    job = next(j for j in cron_sources(spark, d) if j.name == name)
+    return cron.run_cycle(spark, ticks(spark, d), [job], cron.fresh_root(spark, name)).rows(name)
+
+
+_TRY = """
+select key, case when bad then null else user_id end user_id, case when bad then null else 'error' end agent_id, put_at, {slot} slot, a + {i} a, bad,
+       case when bad then 'drop_malformed' when (k // 2 + a + {i}) % 4 = 0 then 'retried_ok' when a + {i} + 1 >= 3 then 'give_up' else 'requeue' end action
+from {source} where {slot} - {since} < 3600"""
+
+
+@query("t6_retry_drain", f"""
+with recursive {_TICKS.lstrip().lstrip(',')},
+nx as (select slot, lead(slot) over (order by slot) s2, lead(slot, 2) over (order by slot) s3 from slots),
+q as (select format('retry:{{}}:{{}}', user_id, event_id) key, user_id, event_id k, event_id % 40 = 0 bad, event_id % 2 a,
+             epoch_us(ts) // 1000000 - {TICK_SHIFT} put_at from events where event_type = 'error'),
+s as (select q.*, nx.slot s1, s2, s3 from q asof join nx on q.put_at <= nx.slot),
+t1 as ({_TRY.format(slot='s1', i='0', source='s', since='put_at')}),
+again as (select s.* from s join t1 using (key) where action = 'requeue'),
+t2 as ({_TRY.format(slot='s2', i='1', source='again', since='s1')}),
+last as (select s.* from s join t2 using (key) where action = 'requeue'),
+t3 as ({_TRY.format(slot='s3', i='2', source='last', since='s2')})
+select slot, key, user_id, agent_id, put_at, action,
+       cast(case when bad then null when action = 'retried_ok' then a else a + 1 end as integer) attempts
+from (select * from t1 union all select * from t2 union all select * from t3)""")
+def t6_retry(spark, d):
+    """Queue items taken at each firing, over up to three tries."""
+    return cron_rows(spark, d, "retry_drain").select("slot", "key", "user_id", "agent_id", "put_at", "action", "attempts")
+
+
+@query("t6_payment_recheck", with_fx("fx_payments") + _TICKS + """
+select slot, id, tg_user_id, provider, plan, slot finalized_at, slot started_at, slot + 30 * 86400 expires_at
+from (select * from fx_payments where status = 'pending' and provider <> 'admin_manual' and id % 4 in (1, 2)) p
+asof join slots on p.created_at + 3601 <= slots.slot""")
+def t6_recheck(spark, d):
+    """Pending payments paid at a firing, with the interval they open."""
+    return cron_rows(spark, d, "payment_recheck").select("slot", "id", "tg_user_id", "provider", "plan", "finalized_at",
+                                                         "started_at", "expires_at")
+
+
+@query("t6_message_purge", with_fx("fx_invocations") + _TICKS + """
+, m as (select created_at, unnest(range(case when status = 'success' then 2 else 1 end)) from fx_invocations),
+r as (select slot, lag(slot) over (order by slot) prev from daily)
+select slot, slot - 30 * 86400 cutoff,
+       count(*) filter (where created_at < slot - 30 * 86400 and (prev is null or created_at >= prev - 30 * 86400)) deleted,
+       count(*) filter (where created_at <= slot and created_at >= slot - 30 * 86400) kept
+from r, m group by 1, 2""")
+def t6_messages(spark, d):
+    """Messages deleted and left at each daily run."""
+    return cron_rows(spark, d, "message_purge").select("slot", "cutoff", "deleted", "kept")
+
+
+_SUBS_CLOSED = """
+, subs as (select *, lead(started_at) over (partition by tg_user_id order by started_at, payment_id nulls first) closed_at from fx_subscriptions)"""
+
+
+@query("t6_subscription_expiry", with_fx("fx_subscriptions") + _TICKS + _SUBS_CLOSED + """
+select slot, payment_id, tg_user_id, plan, started_at, expires_at
+from (select *, greatest(expires_at + 1, started_at) ready from subs) s asof join daily on s.ready <= daily.slot
+where closed_at is null or closed_at > slot""")
+def t6_expiry(spark, d):
+    """Subscription rows set inactive, with the daily run that did it."""
+    return cron_rows(spark, d, "subscription_expiry").select("slot", "payment_id", "tg_user_id", "plan", "started_at", "expires_at")
+
+
+@query("t6_nudges", with_fx("fx_users", "fx_subscriptions", "fx_invocations") + _TICKS + _SUBS_CLOSED + """
+, live as (select * from fx_users where is_banned = 0 and is_deleted = 0),
+act as (select s.*, slot from subs s join daily on started_at <= slot and (closed_at is null or closed_at > slot) and expires_at >= slot),
+coh as (select tg_user_id, slot, k from live, daily, (values (1), (2), (4), (6)) t(k)
+        where registered_at between slot - (k + 1) * 86400 and slot - k * 86400),
+used as (select tg_user_id, slot, count(*) calls, count(distinct agent_id) agents
+         from (select distinct tg_user_id, slot from coh) join fx_invocations using (tg_user_id) where created_at <= slot group by 1, 2),
+trial as (select tg_user_id, slot, count(*) n from act where plan = 'free_trial' group by 1, 2),
+c as (select coh.*, calls, coalesce(agents, 0) agents, coalesce(n, 0) n
+      from coh left join used using (tg_user_id, slot) left join trial using (tg_user_id, slot)),
+e as (
+  select slot, tg_user_id, 'd' || k || '_no_first_request' event, '' params from c where k in (1, 2) and calls is null
+  union all select slot, tg_user_id, 'd4_one_agent', '' from c where k = 4 and agents = 1
+  union all select slot, tg_user_id, case when agents >= 3 then 'd7_trial_activated' else 'd7_trial_not_activated' end,
+                   case when agents >= 3 then format('calls={};agents={}', calls * n, agents) else '' end from c where k = 6 and n > 0
+  union all select slot, tg_user_id, 'sub_expiring_' || expires_at,
+                   format('plan={};date={}', plan, strftime(make_timestamp(expires_at * 1000000), '%Y-%m-%d'))
+            from act where plan <> 'free_trial' and expires_at between slot + 2 * 86400 and slot + 3 * 86400
+  union all select slot, tg_user_id, 'silence_7d_' || slot // 604800, ''
+            from (select distinct tg_user_id, slot from act semi join live using (tg_user_id) where plan <> 'free_trial') p
+            where (select max(created_at) from fx_invocations i where i.tg_user_id = p.tg_user_id and i.created_at <= p.slot) < slot - 7 * 86400)
+select min(slot) slot, tg_user_id, event, arg_min(params, (slot, params)) params from e group by tg_user_id, event""")
+def t6_nudge(spark, d):
+    """Nudges sent at the daily runs, each once."""
+    return cron_rows(spark, d, "nudges").select("slot", "tg_user_id", "event", "params")

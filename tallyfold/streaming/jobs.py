@@ -1,4 +1,4 @@
-"""T1–T6 stream forms with Structured Streaming.
+"""T1–T5 stream forms with Structured Streaming.
 
 Sources are file streams (parquet folders here; Kafka in production reads
 the same columns), sinks are parquet folders under the session's shared
@@ -197,52 +197,6 @@ def stream_admission(requests: DataFrame, limits: dict[str, tuple[int, int | Non
         step, ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# T6 -------------------------------------------------------------------------
-def purge_ledger(runs: DataFrame, usage_counts: DataFrame, keep_days: int = 7) -> DataFrame:
-    """For each daily run date ``D`` (yyyymmdd int): the quota purge cutoff
-    (``D - keep_days``), rows deleted so far (date < cutoff) and rows kept
-    (cutoff <= date < D).  Computed as prefix sums on one date timeline
-    (usage counts per date plus two probe rows per run), whose size is
-    bounded by the calendar, not by the data."""
-    d = F.to_date(F.col("date").cast("string"), "yyyyMMdd")
-    r = runs.select(F.col("date").alias("run"),
-                    F.date_format(F.date_sub(d, keep_days), "yyyyMMdd").cast("int").alias("cutoff"))
-    probes = (r.select(F.col("cutoff").alias("date"), "run", F.lit("cut").alias("role"))
-              .unionByName(r.select(F.col("run").alias("date"), "run", F.lit("run").alias("role"))))
-    tl = (probes.select("date", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"), "run", "role")
-          .unionByName(usage_counts.select("date", F.lit(1).alias("kind"), F.col("n").cast("long"),
-                                           F.lit(None).cast("int").alias("run"), F.lit(None).cast("string").alias("role"))))
-    # probes sort before same-date counts, so the running sum at a probe is sum(n | date < probe)
-    w = Window.orderBy("date", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    tl = tl.withColumn("cum", F.sum("n").over(w)).where(F.col("kind") == 0)
-    g = tl.groupBy("run").agg(F.max(F.when(F.col("role") == "cut", F.col("cum"))).alias("deleted_total"),
-                              F.max(F.when(F.col("role") == "run", F.col("cum"))).alias("_upto"),
-                              F.max(F.when(F.col("role") == "cut", F.col("date"))).alias("cutoff"))
-    return g.select(F.col("run").alias("date"), "cutoff", "deleted_total",
-                    (F.col("_upto") - F.col("deleted_total")).alias("kept"))
-
-
-def cron_cycle(spark: SparkSession, ticks: DataFrame, usage: DataFrame, ledger_path: str, name: str = "t6") -> None:
-    """Micro-batch cron: ``ticks (ts)`` are cron firings; a tick inside
-    00:00–00:10 UTC opens the daily block for its date, which runs once per
-    date (left-anti against the ledger, so the two firings of the daily
-    window cannot both run it) and appends its purge report to the ledger."""
-    counts = usage.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    hm = F.timestamp_seconds(F.col("ts"))
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        daily = (batch.where((F.hour(hm) == 0) & (F.minute(hm) < 10))
-                 .select(F.date_format(hm, "yyyyMMdd").cast("int").alias("date")).distinct())
-        if path_exists(spark, ledger_path):  # a read error must not rerun the block
-            daily = daily.join(spark.read.parquet(ledger_path).select("date"), "date", "left_anti")
-        purge_ledger(daily, counts).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(ledger_path)
-
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = (ticks.writeStream.option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True)
-         .foreachBatch(run).start())
-    q.awaitTermination()
-
-
 # Production sources ----------------------------------------------------------
 def kafka_raw(spark: SparkSession, bootstrap: str, topic: str, column: str = "raw",
               starting_offsets: str = "latest") -> DataFrame:

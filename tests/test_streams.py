@@ -60,20 +60,6 @@ def test_flood_session_stream_over_three_batches(spark):
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
 
 
-def test_cron_daily_block_runs_once_per_date(spark):
-    """Running the cron stream again over the same ticks (e.g. both daily
-    firings, or a restart without its checkpoint) adds nothing to the ledger."""
-    fx = Fixtures(spark, SF)
-    usage = admission.usage_quota_daily(
-        admission.admission_decisions(fx.requests(), fx.request_limits(), gap=REQUEST_GAP_S))
-    ledger = ensure_checkpoint_dir(spark).rstrip("/") + f"/test-t6-{uuid.uuid4().hex[:8]}"
-    ticks = lambda: jobs.stream_table(spark, SF, "events").select(epoch_s("ts").alias("ts"))
-    jobs.cron_cycle(spark, ticks(), usage, ledger, name="t6a")
-    first = spark.read.parquet(ledger).count()
-    jobs.cron_cycle(spark, ticks(), usage, ledger, name="t6b")  # new checkpoint: replays every tick
-    assert first > 0 and spark.read.parquet(ledger).count() == first
-
-
 def test_kafka_source_is_gated(spark):
     import pytest
 
