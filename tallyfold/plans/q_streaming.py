@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.time import epoch_s
 from ..sources.fixtures import REQUEST_GAP_S
 from ..streaming import jobs
+from ..streaming.keyed_admission import stream_admission
 from .oracle_fixtures import with_fx
 from .registry import query
 
@@ -82,8 +83,7 @@ def t3(spark, d):
         epoch_s("ts").alias("ts"),
         F.when(u % 4 == 0, "free_trial").when(u % 4 == 1, "starter").when(u % 4 == 2, "pro")
          .otherwise("business").alias("plan"))
-    out = jobs.run_available_now(spark, jobs.stream_admission(req, lim, REQUEST_GAP_S), "append", "t3")
-    return out
+    return jobs.run_available_now(spark, stream_admission(req, lim, REQUEST_GAP_S), "append", "t3")
 
 
 @query("t5_stream_payment_state", with_fx("fx_payment_state") + """

@@ -1,4 +1,4 @@
-"""T1–T5 stream forms with Structured Streaming.
+"""Stream forms (T1, T2, T4, T5; T3 and T6 have modules of their own) with Structured Streaming.
 
 Sources are file streams (parquet folders here; Kafka in production reads
 the same columns), sinks are parquet folders under the session's shared
@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import epoch_s, yyyymmdd
-from ..session import ensure_checkpoint_dir, path_exists
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import TEST_SCHEMAS
 from ..sources.updates import parse_updates
 
@@ -123,80 +123,6 @@ def stream_payment_state(spark: SparkSession, callbacks: DataFrame, table_path:
     q.awaitTermination()
 
 
-# T3 -------------------------------------------------------------------------
-ADMISSION_OUT = ("request_id long, tg_user_id long, agent_id string, ts long, plan string, reason string, "
-                 "remaining long")
-ADMISSION_STATE = ("last_ts long, burst long, day int, day_count long, quota_day int, quota string")
-
-
-def stream_admission(requests: DataFrame, limits: dict[str, tuple[int, int | None, int]], gap_s: int,
-                     watermark: str = "1 hour", idle_s: int = 86400) -> DataFrame:
-    """A2 with keyed state per user (``applyInPandasWithState``): the flood
-    burst (last request time and count), the free-plan day counter and the
-    per-agent counters of the current UTC day.  State stays bounded: the
-    agent counters are reset when the day changes, and a user's whole state
-    is dropped by an event-time timeout ``idle_s`` after their last request
-    (longer than the burst gap and the day, so nothing it holds still
-    matters).  Requests of a user are applied in (ts, request_id) order; a
-    later micro-batch continues from the stored state."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            last_ts, burst, day, day_count, quota_day, quota = state.get
-            quota = json.loads(quota)
-        else:
-            last_ts, burst, day, day_count, quota_day, quota = None, 0, None, 0, None, {}
-        out = []
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "request_id"])
-        for r in pdf.itertuples(index=False):
-            if r.plan is None or r.plan != r.plan:
-                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, None, "no_active_plan", 0))
-                continue
-            if r.plan not in limits or r.agent_id is None or r.agent_id != r.agent_id:
-                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan,
-                            "unknown_plan" if r.plan not in limits else "no_agent", 0))
-                continue
-            flood, day_lim, agent_lim = limits[r.plan]
-            burst = burst + 1 if last_ts is not None and r.ts - last_ts < gap_s else 1
-            last_ts = int(r.ts)
-            free = r.plan == "free_trial"
-            if burst > flood:
-                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan,
-                            "free_minute" if free else "flood", 0))
-                continue
-            d = int(pd.Timestamp(int(r.ts), unit="s").strftime("%Y%m%d"))
-            if free:
-                day_count = day_count + 1 if day == d else 1
-                day = d
-                if day_lim is not None and day_count > day_lim:
-                    out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "free_daily", 0))
-                    continue
-            if quota_day != d:
-                quota_day, quota = d, {}
-            used = quota.get(r.agent_id, 0) + 1
-            if used > agent_lim:
-                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "daily_quota", 0))
-            else:
-                quota[r.agent_id] = used
-                out.append((r.request_id, r.tg_user_id, r.agent_id, r.ts, r.plan, "allowed", agent_lim - used))
-        if last_ts is not None:  # a user without a decided request keeps no state
-            state.update((last_ts, burst, day, day_count, quota_day, json.dumps(quota)))
-            state.setTimeoutTimestamp((last_ts + idle_s) * 1000)
-        yield pd.DataFrame(out, columns=["request_id", "tg_user_id", "agent_id", "ts", "plan", "reason",
-                                         "remaining"])
-
-    r = requests.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", watermark)
-    return r.groupBy("tg_user_id").applyInPandasWithState(
-        step, ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # Production sources ----------------------------------------------------------
 def kafka_raw(spark: SparkSession, bootstrap: str, topic: str, column: str = "raw",
               starting_offsets: str = "latest") -> DataFrame:

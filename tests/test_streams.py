@@ -10,6 +10,7 @@ from tallyfold.operators import admission
 from tallyfold.session import ensure_checkpoint_dir
 from tallyfold.sources.fixtures import REQUEST_GAP_S, REQUEST_LIMITS, Fixtures
 from tallyfold.streaming import jobs
+from tallyfold.streaming.keyed_admission import Carry, fold, stream_admission
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,12 +33,80 @@ def test_admission_stream_over_three_batches_equals_batch(spark):
                         F.when(u % 4 == 0, "free_trial").when(u % 4 == 1, "starter").when(u % 4 == 2, "pro")
                         .otherwise("business").alias("plan"))
     lim = {p: (f, dl, a) for p, f, dl, a in REQUEST_LIMITS}
-    got = jobs.run_available_now(spark, jobs.stream_admission(req, lim, REQUEST_GAP_S), "append", "t3test")
+    got = jobs.run_available_now(spark, stream_admission(req, lim, REQUEST_GAP_S), "append", "t3test")
     want = admission.admission_decisions(fx.requests(), fx.request_limits(), gap=REQUEST_GAP_S)
     cols = ["request_id", "reason", "remaining"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
 
 
+def _naive(rows, limits, gap_s):
+    """Admission request by request, one user; rows in order."""
+    last, burst, free, used, out = None, 0, {}, {}, []
+    for r in rows:
+        if r["plan"] is None:
+            out.append(("no_active_plan", 0))
+            continue
+        if r["plan"] not in limits or r["agent_id"] is None:
+            out.append(("unknown_plan" if r["plan"] not in limits else "no_agent", 0))
+            continue
+        flood, per_day, quota = limits[r["plan"]]
+        burst = burst + 1 if last is not None and r["ts"] - last < gap_s else 1
+        last, d = r["ts"], r["ts"] // 86400
+        if burst > flood:
+            out.append(("free_minute" if r["plan"] == "free_trial" else "flood", 0))
+            continue
+        if r["plan"] == "free_trial":
+            free[d] = free.get(d, 0) + 1
+            if per_day is not None and free[d] > per_day:
+                out.append(("free_daily", 0))
+                continue
+        n = used.get((d, r["agent_id"]), 0) + 1
+        if n > quota:
+            out.append(("daily_quota", 0))
+        else:
+            used[d, r["agent_id"]] = n
+            out.append(("allowed", quota - n))
+    return out
+
+
+def test_chunked_fold_equals_request_by_request():
+    import random
+
+    import pandas as pd
+    limits = {"free_trial": (3, 4, 2), "pro": (5, None, 3), "business": (4, None, 1)}
+    for seed in range(60):
+        rnd = random.Random(seed)
+        t, rows = 86400 * 100, []
+        for i in range(rnd.randrange(1, 120)):
+            t += rnd.choice([0, 1, 20, 60, 61, 400, 9000, 40000])
+            rows.append({"request_id": i, "tg_user_id": 1, "agent_id": rnd.choice(["a", "b", "c", None] if seed % 3 else ["a"]), "ts": t,
+                         "plan": rnd.choice(["free_trial", "pro", "business", "gold", None] if seed % 2 else ["free_trial"])})
+        carry, got = Carry(), []
+        step = rnd.randrange(1, 40)
+        for i in range(0, len(rows), step):
+            out = fold(pd.DataFrame(rows[i: i + step]).astype({"agent_id": object, "plan": object}), limits, 60, carry)
+            got += list(zip(out["reason"], out["remaining"]))
+        assert got == _naive(rows, limits, 60), seed
+
+
+def test_idle_state_is_dropped_by_its_timer(spark):
+    """Users idle for longer than ``idle_s`` behind the watermark leave no
+    state; a user who returns later starts afresh."""
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/test-idle-{uuid.uuid4().hex[:8]}"
+    t0 = 86400 * 100
+    batches = [[(i, i, "a", t0 + i, "pro") for i in range(20)], [(100, 1, "a", t0 + 3 * 86400, "pro")], [(101, 1, "b", t0 + 3 * 86400 + 60, "pro")]]
+    schema = "request_id long, tg_user_id long, agent_id string, ts long, plan string"
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{root}/in/part={i}")
+    stream = spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(f"{root}/in").drop("part")
+    decided = stream_admission(stream, {"pro": (5, None, 3)}, 60, idle_s=86400)
+    q = decided.writeStream.option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).format("parquet").option("path", f"{root}/out").start()
+    q.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows) >= 20 * 3 and rows[-1] < 10  # burst, quota day and a counter each; one user is left
+    assert {r.remaining for r in spark.read.parquet(f"{root}/out").collect()} == {2}
+
+
 def test_flood_session_stream_over_three_batches(spark):
     """Session windows across micro-batches equal the batch bursts that have
     closed before the final watermark (max event time - 1 day)."""
