@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import epoch_s
 from ..sources.fixtures import REQUEST_GAP_S
-from ..streaming import jobs
+from ..streaming import daily, jobs, payments
 from ..streaming.keyed_admission import stream_admission
 from .oracle_fixtures import with_fx
 from .registry import query
@@ -25,16 +25,16 @@ def t2(spark, d):
     whose session has closed before the final watermark (max event time -
     1 day); the still-open ones stay in state until later data arrives."""
     s = jobs.stream_flood_sessions(jobs.requests_stream(spark, d), REQUEST_GAP_S)
-    return jobs.run_available_now(spark, s, "append", "t2").select(
+    return jobs.run_available_now(spark, s, "t2").select(
         "tg_user_id", "start_ts", "last_ts", "requests")
 
 
-@query("t4_stream_daily_usage", with_fx("fx_invocations") + """
-select agent_id, cast(strftime(make_timestamp(cast(created_at as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) invocations,
-       cast(sum(input_tokens) as bigint) total_input_tokens, cast(sum(output_tokens) as bigint) total_output_tokens,
-       count(*) filter (where status = 'success') success_count
-from fx_invocations group by 1, 2""")
-def t4(spark, d):
+_DATE = "cast(strftime(make_timestamp(cast({} as bigint) * 1000000), '%Y%m%d') as integer)"
+# days that end a day or more before the latest event
+_CLOSED = "({0} // 86400 + 2) * 86400 <= (select max({0}) from {1})"
+
+
+def _usage_days(spark, d):
     li = jobs.stream_table(spark, d, "lineitem")
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
     ln, flag = F.col("l_linenumber"), F.concat("l_returnflag", "l_linestatus")
@@ -48,8 +48,28 @@ def t4(spark, d):
         F.when(flag == "AF", "timeout").when(flag == "AO", "rate_limit").when(flag == "RF", "api_error")
          .when(flag == "RO", "retried_ok").otherwise("success").alias("status"),
         (epoch_s("l_shipdate") + F.col("l_partkey") % 86400).alias("created_at"))
-    out = jobs.run_available_now(spark, jobs.stream_daily_usage(inv), "complete", "t4")
-    return out.drop("unique_users")
+    return jobs.run_available_now(spark, daily.daily_usage(inv), "t4")
+
+
+@query("t4_stream_daily_usage", with_fx("fx_invocations") + f"""
+select agent_id, {_DATE.format('created_at')} date, count(*) invocations, count(distinct tg_user_id) unique_users,
+       cast(sum(input_tokens) as bigint) total_input_tokens, cast(sum(output_tokens) as bigint) total_output_tokens,
+       count(*) filter (where status = 'success') success_count
+from fx_invocations where {_CLOSED.format('created_at', 'fx_invocations')} group by 1, 2""")
+def t4(spark, d):
+    """Closed days; their users from the stored sketches (exact at this size)."""
+    out = _usage_days(spark, d)
+    return out.withColumn("unique_users", F.hll_sketch_estimate("users_sketch")).drop("users_sketch")
+
+
+@query("t4_active_users", with_fx("fx_invocations") + f"""
+, u as (select distinct created_at // 86400 as dn, tg_user_id from fx_invocations where {_CLOSED.format('created_at', 'fx_invocations')})
+select {_DATE.format('d.dn * 86400')} date, count(distinct case when d.dn = u.dn then tg_user_id end) users_1d,
+       count(distinct case when d.dn - u.dn < 7 then tg_user_id end) users_7d, count(distinct tg_user_id) users_30d
+from (select distinct dn from u) d join u on u.dn between d.dn - 29 and d.dn group by 1""")
+def t4_active(spark, d):
+    """Users of the last 1, 7 and 30 days, merged from the stored sketches."""
+    return daily.active_users(_usage_days(spark, d))
 
 
 @query("t1_stream_updates", with_fx("fx_upd_dedup") + """
@@ -66,7 +86,7 @@ def t1(spark, d):
     Fixtures(spark, d).updates().write.mode("overwrite").parquet(landing)
     raw = spark.readStream.schema("raw string").parquet(landing)
     s = jobs.stream_updates(raw)
-    out = jobs.run_available_now(spark, s, "append", "t1")
+    out = jobs.run_available_now(spark, s, "t1")
     return out.select("update_id", "kind", "user_id", "chat_id", "ts", "text", "data", "username", "first_name",
                       "last_name", "language_code")
 
@@ -83,14 +103,12 @@ def t3(spark, d):
         epoch_s("ts").alias("ts"),
         F.when(u % 4 == 0, "free_trial").when(u % 4 == 1, "starter").when(u % 4 == 2, "pro")
          .otherwise("business").alias("plan"))
-    return jobs.run_available_now(spark, stream_admission(req, lim, REQUEST_GAP_S), "append", "t3")
+    return jobs.run_available_now(spark, stream_admission(req, lim, REQUEST_GAP_S), "t3")
 
 
-@query("t5_stream_payment_state", with_fx("fx_payment_state") + """
-select id, tg_user_id, provider, amount_rub, plan, created_at, status, finalized_at from fx_payment_state""")
-def t5(spark, d):
-    """Callbacks land as two files (first and second callback of every
-    payment); the stream folds them batch by batch into the payments table."""
+def _transitions(spark, d):
+    """Payments and first callbacks arrive, then the second callbacks: two runs
+    of the stream over the same checkpoint."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -98,18 +116,46 @@ def t5(spark, d):
     from ..sources.reference_data import payment_status_map
 
     fx = Fixtures(spark, d)
-    cols = ["id", "tg_user_id", "provider", "amount_rub", "plan", "created_at", "status", "finalized_at"]
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/t5-{uuid.uuid4().hex[:12]}"
-    fx.payments().select(*cols).withColumn("_v", F.lit(0)).write.partitionBy("provider").parquet(root + "/payments")
-    cb = fx.callbacks()
-    for e in (0, 1):  # arrival order: all first callbacks, then all second ones
-        cb.where(F.col("event_id") % 2 == e).coalesce(1).write.parquet(f"{root}/landing/part={e}")
-    stream = (spark.readStream.schema("event_id long, provider string, body string, received_at long, "
-                                      "signature string, part int")
-              .option("maxFilesPerTrigger", 1).parquet(root + "/landing"))
-    jobs.stream_payment_state(spark, stream.drop("part"), root + "/payments", fx.payments().select("id"),
-                              TEST_SECRET_A, TEST_SECRET_B, payment_status_map(spark))
-    return spark.read.parquet(root + "/payments").select(*cols)
+    raw = "event_id long, provider string, body string, received_at long, signature string"
+    fx.payments().select("id", "status").write.parquet(f"{root}/payments")
+    fx.callbacks().withColumn("part", F.col("event_id") % 2).write.partitionBy("part").parquet(f"{root}/callbacks")
+    out = None
+    for part in (0, 1):
+        spark.read.schema(raw).parquet(f"{root}/callbacks/part={part}").write.parquet(f"{root}/landing/part={part}")
+        callbacks = spark.readStream.schema(raw + ", part int").parquet(f"{root}/landing").drop("part")
+        stream = payments.payment_transitions(spark.readStream.schema("id long, status string").parquet(f"{root}/payments"), callbacks,
+                                              TEST_SECRET_A, TEST_SECRET_B, payment_status_map(spark))
+        out = payments.run_transitions(spark, stream, root)
+    return fx, out
+
+
+@query("t5_stream_payment_state", with_fx("fx_payment_state") + """
+select id, tg_user_id, provider, amount_rub, plan, created_at, status, finalized_at, tx_hash from fx_payment_state""")
+def t5(spark, d):
+    """The payment table after the stream's transitions; equals B3."""
+    fx, out = _transitions(spark, d)
+    return payments.replay(fx.payments(), out)
+
+
+_STEP = """(case when {ev} = 'paid' and {s} <> 'paid' then 'paid'
+                 when {ev} in ('failed', 'expired', 'refunded') and {s} not in ('paid', 'refunded') then {ev} end)"""
+
+
+@query("t5_payment_transitions", with_fx("fx_payments", "fx_norm_events") + f"""
+, e as (select p.id, p.status s0, a.status a, a.ts a_ts, a.tx_hash a_tx, a.event_id a_id, b.status b, b.ts b_ts, b.tx_hash b_tx, b.event_id b_id
+        from fx_payments p left join fx_norm_events a on a.payment_id = p.id and a.event_id % 2 = 0
+        left join fx_norm_events b on b.payment_id = p.id and b.event_id % 2 = 1),
+one as (select *, {_STEP.format(ev='a', s='s0')} t1 from e),
+two as (select *, {_STEP.format(ev='b', s='coalesce(t1, s0)')} t2 from one)
+select id payment_id, t1 status, a_ts finalized_at, case when t1 = 'paid' then a_tx end tx_hash, a_id event_id, 0 step from two where t1 is not null
+union all
+select id, t2, b_ts, case when t2 = 'paid' then b_tx end, b_id, 1 from two where t2 is not null""")
+def t5_transitions(spark, d):
+    """What each run of the stream changed, nothing else."""
+    out = _transitions(spark, d)[1]
+    second = out.agg(F.max("epoch")).first()[0]
+    return out.withColumn("step", (F.col("epoch") == second).cast("int")).drop("epoch")
 
 
 @query("t6_cron_cycle", with_fx("fx_decisions") + """
@@ -134,21 +180,21 @@ def t6(spark, d):
     return ledger.rows("quota_purge").select("date", "cutoff", "deleted_total", "kept")
 
 
-@query("t4_stream_daily_revenue", with_fx("fx_payments") + """
-select cast(strftime(make_timestamp(cast(finalized_at as bigint) * 1000000), '%Y%m%d') as integer) date, count(*) payments_count,
-       cast(sum(amount_rub) as bigint) revenue_rub
-from fx_payments where status = 'paid' and finalized_at is not null group by 1""")
+@query("t4_stream_daily_revenue", with_fx("fx_payments") + f"""
+, p as (select * from fx_payments where status = 'paid' and finalized_at is not null)
+select {_DATE.format('finalized_at')} date, count(*) payments_count, cast(sum(amount_rub) as bigint) revenue_rub,
+       count(distinct tg_user_id) unique_payers
+from p where {_CLOSED.format('finalized_at', 'p')} group by 1""")
 def t4r(spark, d):
-    """R2 on tumbling UTC days over the order stream (unique payers are
-    approximate in the stream and left out of the comparison)."""
+    """R2 on closed UTC days over the order stream; payers from the sketches."""
     o = jobs.stream_table(spark, d, "orders")
     k = F.col("o_orderkey")
     created = epoch_s("o_orderdate")
     pay = o.select(F.col("o_custkey").alias("tg_user_id"), F.floor("o_totalprice").cast("long").alias("amount_rub"),
                    F.when(F.col("o_orderstatus") == "F", "paid").otherwise("other").alias("status"),
                    F.when(F.col("o_orderstatus") != "O", created + (k % 48) * 3600).alias("finalized_at"))
-    out = jobs.run_available_now(spark, jobs.stream_daily_revenue(pay), "complete", "t4r")
-    return out.drop("unique_payers")
+    out = jobs.run_available_now(spark, daily.daily_revenue(pay), "t4r")
+    return out.withColumn("unique_payers", F.hll_sketch_estimate("payers_sketch")).drop("payers_sketch")
 
 
 # The jobs of the cron cycle.  The firings are the events' times, moved to

@@ -1,4 +1,4 @@
-"""Stream forms (T1, T2, T4, T5; T3 and T6 have modules of their own) with Structured Streaming.
+"""Stream forms (T1, T2) and what all streams share, with Structured Streaming.
 
 Sources are file streams (parquet folders here; Kafka in production reads
 the same columns), sinks are parquet folders under the session's shared
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.time import epoch_s, yyyymmdd
+from ..functions.time import epoch_s
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import TEST_SCHEMAS
 from ..sources.updates import parse_updates
@@ -27,22 +27,14 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
 
 
-def run_available_now(spark: SparkSession, df: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run ``df`` to completion (``availableNow``) into a parquet folder in the
-    shared checkpoint dir and return the folder read back as a DataFrame.
-
-    ``mode='complete'`` aggregates are written with ``foreachBatch``
-    (overwrite per epoch: the folder always holds the latest full result)."""
+def run_available_now(spark: SparkSession, df: DataFrame, name: str = "stream") -> DataFrame:
+    """Run ``df`` to completion (append mode, ``availableNow``) into a parquet
+    folder in the shared checkpoint dir and return it read back."""
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
-    out, ckpt = root + "/out", root + "/_checkpoint"
-    w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if mode == "complete":
-        q = w.outputMode("complete").foreachBatch(
-            lambda b, _id: b.write.mode("overwrite").parquet(out)).start()
-    else:
-        q = w.outputMode("append").format("parquet").option("path", out).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    out = root + "/out"
+    (df.writeStream.option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True)
+     .outputMode("append").format("parquet").option("path", out).start().awaitTermination())
+    return spark.read.schema(df.schema).parquet(out)
 
 
 # T1 -------------------------------------------------------------------------
@@ -71,58 +63,6 @@ def requests_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("event_type").alias("agent_id"), epoch_s("ts").alias("ts"))
 
 
-# T4 -------------------------------------------------------------------------
-def stream_daily_usage(inv: DataFrame) -> DataFrame:
-    """L2 on tumbling UTC days; ``approx_count_distinct`` replaces the exact
-    distinct (streaming aggregates cannot hold exact distinct sets)."""
-    i = inv.withColumn("event_time", F.timestamp_seconds("created_at"))
-    return (i.groupBy("agent_id", F.window("event_time", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("invocations"), F.approx_count_distinct("tg_user_id").alias("unique_users"),
-                 F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens"),
-                 F.count(F.when(F.col("status") == "success", 1)).alias("success_count"))
-            .select("agent_id", yyyymmdd(F.unix_seconds(F.col("w.start"))).alias("date"), "invocations",
-                    "unique_users", "total_input_tokens", "total_output_tokens", "success_count"))
-
-
-def stream_daily_revenue(payments: DataFrame) -> DataFrame:
-    p = payments.where((F.col("status") == "paid") & F.col("finalized_at").isNotNull())
-    p = p.withColumn("event_time", F.timestamp_seconds("finalized_at"))
-    return (p.groupBy(F.window("event_time", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("payments_count"), F.sum("amount_rub").alias("revenue_rub"),
-                 F.approx_count_distinct("tg_user_id").alias("unique_payers"))
-            .select(yyyymmdd(F.unix_seconds(F.col("w.start"))).alias("date"), "payments_count", "revenue_rub",
-                    "unique_payers"))
-
-
-# T5 -------------------------------------------------------------------------
-def stream_payment_state(spark: SparkSession, callbacks: DataFrame, table_path: str, payments_key: DataFrame,
-                         secret_a: str, secret_b: str, status_map: DataFrame, name: str = "t5") -> None:
-    """B3 on a stream: every micro-batch of raw callbacks is verified,
-    normalised and folded into the payment table at ``table_path`` (upsert
-    of the changed rows, partitioned by provider).  The closed-form fold is
-    correct from any starting status, so folding batch by batch in arrival
-    order equals folding the whole history."""
-    from ..operators.billing import apply_payment_events, normalize_payment_status
-    from ..sources.callbacks import parse_payment_callbacks
-    from ..sources.logs import upsert_parquet
-
-    cols = ["id", "tg_user_id", "provider", "amount_rub", "plan", "created_at", "status", "finalized_at"]
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        ev = parse_payment_callbacks(batch, payments_key, secret_a, secret_b).where(F.col("outcome") == "ok")
-        ev = normalize_payment_status(ev, status_map)
-        current = spark.read.parquet(table_path).join(
-            ev.select(F.col("payment_id").alias("id")).distinct(), "id", "left_semi")
-        new = apply_payment_events(current.select(*cols), ev).where(F.col("changed"))
-        upsert_parquet(spark, new.select(*cols).withColumn("_v", F.lit(epoch + 1)), table_path, ["id"], ["_v"],
-                       ["provider"])
-
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = (callbacks.writeStream.option("checkpointLocation", root + "/_checkpoint").trigger(availableNow=True)
-         .foreachBatch(fold).start())
-    q.awaitTermination()
-
-
 # Production sources ----------------------------------------------------------
 def kafka_raw(spark: SparkSession, bootstrap: str, topic: str, column: str = "raw",
               starting_offsets: str = "latest") -> DataFrame:

@@ -33,7 +33,7 @@ def test_admission_stream_over_three_batches_equals_batch(spark):
                         F.when(u % 4 == 0, "free_trial").when(u % 4 == 1, "starter").when(u % 4 == 2, "pro")
                         .otherwise("business").alias("plan"))
     lim = {p: (f, dl, a) for p, f, dl, a in REQUEST_LIMITS}
-    got = jobs.run_available_now(spark, stream_admission(req, lim, REQUEST_GAP_S), "append", "t3test")
+    got = jobs.run_available_now(spark, stream_admission(req, lim, REQUEST_GAP_S), "t3test")
     want = admission.admission_decisions(fx.requests(), fx.request_limits(), gap=REQUEST_GAP_S)
     cols = ["request_id", "reason", "remaining"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
@@ -121,7 +121,7 @@ def test_flood_session_stream_over_three_batches(spark):
               .parquet(f"{root}/landing"))
     req = stream.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("tg_user_id"),
                         F.col("event_type").alias("agent_id"), epoch_s("ts").alias("ts"))
-    got = jobs.run_available_now(spark, jobs.stream_flood_sessions(req, REQUEST_GAP_S), "append", "t2test")
+    got = jobs.run_available_now(spark, jobs.stream_flood_sessions(req, REQUEST_GAP_S), "t2test")
     batch = admission.flood_sessions(fx.requests(), gap=REQUEST_GAP_S)
     max_ts = fx.requests().agg(F.max("ts")).first()[0]
     want = batch.where(F.col("last_ts") + REQUEST_GAP_S <= max_ts - 86400)
@@ -134,3 +134,63 @@ def test_kafka_source_is_gated(spark):
 
     with pytest.raises(RuntimeError, match="spark-sql-kafka"):
         jobs.kafka_raw(spark, "localhost:1", "updates")
+
+
+def _payment_batches(spark, batches):
+    """Transitions of (payments, callbacks) batches; a callback is (event_id,
+    payment, raw status, ts)."""
+    import base64
+    import hashlib
+    import hmac
+
+    from tallyfold.sources.reference_data import payment_status_map
+    from tallyfold.streaming import payments
+
+    def signed(e, pid, raw, ts):
+        body = '{"status":"%s","order_id":"%s"}' % (raw, pid)
+        return e, "cryptocloud", body, ts, base64.b64encode(hmac.new(b"s", body.encode(), hashlib.sha256).digest()).decode()
+
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/test-t5-{uuid.uuid4().hex[:8]}"
+    schema = "event_id long, provider string, body string, received_at long, signature string"
+    out = []
+    for i, (own, events) in enumerate(batches):
+        spark.createDataFrame(own, "id long, status string").write.mode("append").parquet(f"{root}/payments")
+        spark.createDataFrame([signed(*e) for e in events], schema).write.mode("append").parquet(f"{root}/callbacks")
+        stream = payments.payment_transitions(spark.readStream.schema("id long, status string").parquet(f"{root}/payments"),
+                                              spark.readStream.schema(schema).parquet(f"{root}/callbacks"), "a", "s", payment_status_map(spark))
+        got = payments.run_transitions(spark, stream, root).collect()
+        seen = {tuple(r) for rows in out for r in rows}
+        out.append(sorted((r for r in got if tuple(r) not in seen), key=lambda r: r.payment_id))
+    return [[(r.payment_id, r.status, r.finalized_at, r.event_id) for r in rows] for rows in out]
+
+
+def test_payment_transitions_hold_only_changes(spark):
+    got = _payment_batches(spark, [
+        ([(1, "pending"), (2, "pending"), (3, "paid"), (4, "refunded"), (5, "pending")],
+         [(10, 1, "expired", 100), (11, 2, "paid", 100), (12, 3, "cancel", 100), (13, 4, "expired", 100), (14, 9, "paid", 100), (15, 5, "created", 100)]),
+        # redelivered and ignored events, a success after a failure, a payment that was unknown until now
+        ([(9, "pending")], [(10, 1, "expired", 100), (20, 1, "paid", 200), (21, 2, "cancel", 200), (22, 4, "success", 200)]),
+        ([], [(20, 1, "paid", 200), (30, 1, "cancel", 300), (31, 5, "fail", 50)]),
+        ([], [(40, 5, "expired", 40)])])  # older than the failure that counts
+    assert got == [[(1, "expired", 100, 10), (2, "paid", 100, 11)], [(1, "paid", 200, 20), (4, "paid", 200, 22), (9, "paid", 100, 14)],
+                   [(5, "failed", 50, 31)], []]
+
+
+def test_sketched_users_lie_within_the_error_bound(spark):
+    from tallyfold.streaming import daily
+    n = 60_000
+    ev = spark.range(n).select(F.col("id").alias("tg_user_id"), F.lit("a").alias("agent_id"), F.lit(1).alias("input_tokens"),
+                               F.lit(1).alias("output_tokens"), F.lit("success").alias("status"),
+                               (F.lit(86400 * 100) + (F.col("id") % 40) * 86400 + F.col("id") % 1000).alias("created_at"))
+    again = ev.where("tg_user_id % 3 = 0").withColumn("created_at", F.col("created_at") + 86400)  # users of two days count once
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/test-hll-{uuid.uuid4().hex[:8]}"
+    ev.unionByName(again).write.parquet(root)
+    days = jobs.run_available_now(spark, daily.daily_usage(spark.readStream.schema(ev.schema).parquet(root)), "hll")
+    got = {r.date: r for r in daily.active_users(days).collect()}
+    exact = ev.unionByName(again).select("tg_user_id", F.floor(F.col("created_at") / 86400).alias("d")).distinct()
+    assert len(got) == 39  # the last day and the one before it are still open
+    for offset in (0, 6, 20, 35):
+        date = int(ev.select(F.date_format(F.timestamp_seconds(F.lit(86400 * (100 + offset))), "yyyyMMdd")).first()[0])
+        for k in (1, 7, 30):
+            true = exact.where(F.col("d").between(100 + offset - k + 1, 100 + offset)).select("tg_user_id").distinct().count()
+            assert abs(got[date][f"users_{k}d"] - true) <= max(2, 4 * daily.RSE * true)
