@@ -306,25 +306,82 @@ def vocabulary(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalized_text(text), " "), lambda w: F.length(w) > 0))
 
 
-def near_copy_series(reviews: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4,
-                     growth: int = 8) -> DataFrame:
+def ordered_words(words: DataFrame) -> DataFrame:
+    """``words (rid, w)``, the distinct words of texts, -> (rid, w, df, n, pos):
+    each text's words from rare to frequent (by the number of texts, then by
+    hash)."""
+    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rid").orderBy("df", "w")  # one text
+    x = words.join(df, "w").withColumns({"pos": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("rid"))})
+    return x.select("rid", "w", "df", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
+
+
+def in_prefix(threshold: float) -> Column:
+    """Two texts with Jaccard >= threshold share a word among the first ``n -
+    ceil(threshold * n) + 1`` of each; words of one text alone cannot be it."""
+    return (F.col("df") > 1) & (F.col("pos") < F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
+
+
+PARITY = 8  # longs of a text's parity bits
+
+
+def parity_bits(words: DataFrame) -> DataFrame:
+    """(rid, bits): every word flips one of 512 bits.  Two texts differ in at
+    least as many words as bits."""
+    at, bit = F.pmod("w", F.lit(PARITY)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("w", 3), F.lit(64)).cast("int"))
+    return words.groupBy("rid").agg(F.array(*(
+        F.coalesce(F.bit_xor(F.when(at == i, bit)), F.lit(0).cast("long")) for i in range(PARITY))).alias("bits"))
+
+
+def may_reach(threshold: float) -> Column:
+    """Bounds on a pair that shares a word at positions (pa, pb) of its (na,
+    nb) words: the sizes, the overlap that can still follow, and the words
+    that differ at least (parity bits ba, bb)."""
+    na, nb = F.col("na"), F.col("nb")
+    least = F.ceil((na + nb) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    here = F.least(F.col("pa"), F.col("pb")) + F.least(na - F.col("pa"), nb - F.col("pb"))
+    differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY)), F.lit(0))
+    return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - 1e-9) & (here >= least) \
+        & (differ <= (na + nb) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def certain_groups(ordered: DataFrame, threshold: float, most: int = 3) -> DataFrame:
+    """(x, y) links without a comparison: texts that have the same words but
+    for up to k of their rarest, with k small enough that any two of them reach
+    the threshold.  Each group is a star on its least text."""
+    sums = [F.bit_xor(F.when(F.col("pos") >= k, F.xxhash64(F.col("w"), F.lit(seed)))).alias(f"_x{k}_{seed}")
+            for k in range(most + 1) for seed in (1, 2)]
+    per = ordered.groupBy("rid").agg(F.max("n").alias("n"), *sums)
+    rest = F.explode(F.array(*(F.struct((F.col("n") - k).alias("r"), F.lit(k).alias("k"), F.col(f"_x{k}_1").alias("a"), F.col(f"_x{k}_2").alias("b"))
+                               for k in range(most + 1)))).alias("_g")
+    g = per.select("rid", rest).where((F.col("_g.r") > 0) & (F.col("_g.k") <= F.col("_g.r") * F.lit((1 - threshold) / (2 * threshold)) + 1e-9))
+    key = ["_g.r", "_g.a", "_g.b"]
+    least = g.groupBy(*key).agg(F.min("rid").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    member = g.select("rid", *key)
+    return member.join(least, ["r", "a", "b"]).where("rid != y").select(F.col("rid").alias("x"), "y").distinct()
+
+
+def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 16) -> DataFrame:
     """Series of reviews whose vocabularies are near-identical (Jaccard >=
-    ``threshold``), found without comparing all pairs:
-
-    1. identical vocabularies collapse to one representative (hash group);
-    2. MinHash signatures (``bands * rows`` JVM hash minima per text) are cut
-       into LSH bands;
-    3. buckets are worked off in rounds.  A round names leaders in every
-       bucket (those that share most buckets first) and verifies each against
-       the members of other series by the exact Jaccard of the vocabularies.
-       The leaders per bucket grow ``growth``-fold a round, and a bucket is
-       done when its members are one series or all have led, so no verified
-       pair of a bucket is lost; a bucket of near copies is done after one
-       leader, without all pairs;
-    4. series are merged after each round by connected components, which
-       raise if they do not converge.
-
-    Intermediate tables go to the shared checkpoint folder."""
+    ``threshold``): a set-similarity join by prefix filtering, without comparing
+    all pairs.
+
+    1. Identical vocabularies collapse to one representative; texts that are
+       equal but for a few of their rarest words are linked as stars
+       (``certain_groups``).
+    2. The entries of every text's prefix (rare words first) put texts into
+       buckets by word.  A pair of a bucket becomes a row only if its sizes and
+       the positions of the word let it reach the threshold, and is verified by
+       the exact Jaccard.
+    3. Buckets are worked off in rounds: leaders meet the members of other
+       series, ``growth`` times as many leaders each round; a bucket is done
+       when its members are one series or all have led.  No pair within the
+       threshold is lost, and a bucket of near copies is done after one round.
+    4. Series are merged by connected components, which raise if they do not
+       converge.
+
+    Words are compared by 64-bit hashes.  Intermediate tables go to the shared
+    checkpoint folder."""
     spark = reviews.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/near-copies-{uuid.uuid4().hex}"
 
@@ -332,53 +389,47 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, bands: int = 16
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    v = reviews.select("review_id", "sku", vocabulary(F.col("text")).alias("_voc"))
-    v = stored(v.withColumn("_vh", F.sha2(F.array_join(F.array_sort("_voc"), " "), 256)), "vocabularies")
-    # 1. one representative per identical vocabulary
+    v = reviews.select("review_id", "sku", F.transform(vocabulary(F.col("text")), lambda w: F.xxhash64(w)).alias("_voc"))
+    same = F.sort_array("_voc")
+    v = stored(v.withColumn("_vh", F.struct(F.xxhash64(F.lit(1), same).alias("a"), F.xxhash64(F.lit(2), same).alias("b"))), "vocabularies")
     reps = stored(v.where(F.size("_voc") > 0).groupBy("_vh")
                   .agg(F.min("review_id").alias("rid"), F.first("_voc").alias("voc")), "reps")
-    # 2. MinHash + banding.  Words are exploded once and hashed to a long; the
-    # bands*rows minima per text are plain aggregates (code-generated, combined
-    # before the shuffle) rather than per-element lambdas over the arrays.
-    n_h = bands * rows
-    words = reps.select("rid", F.explode("voc").alias("_w")).select("rid", F.xxhash64("_w").alias("_hw"))
-    sig = words.groupBy("rid").agg(*[F.min(F.xxhash64("_hw", F.lit(i))).alias(f"_h{i}") for i in range(n_h)])
-    keyed = sig.select("rid", F.array(*[
-        F.xxhash64(F.lit(b), *[F.col(f"_h{i}") for i in range(b * rows, (b + 1) * rows)]) for b in range(bands)]).alias("_bk"))
-    entry = keyed.select("rid", F.explode("_bk").alias("key"))
-    shared = entry.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = entry.join(shared, "key")
-    members = stored(members.join(members.groupBy("rid").agg(F.sum("size").alias("weight")), "rid"), "members")
-    labels = stored(members.select("rid").distinct().select("rid", F.col("rid").alias("label")), "labels-0")
-    # 3. leaders meet members of other series
-    done, upto, step = 0, 1, 0
+    ordered = stored(ordered_words(reps.select("rid", F.explode("voc").alias("w"))), "ordered")
+    labels = reps.select("rid", F.col("rid").alias("label"))
+
+    def merged(labels: DataFrame, links: DataFrame, step: int) -> DataFrame:
+        if links.isEmpty():
+            return labels
+        out = relabel(labels.select(F.col("rid").alias("id"), F.col("label").alias("class")), connected(links, f"{folder}/merge-{step}"))
+        return stored(out.select(F.col("id").alias("rid"), F.col("class").alias("label")), f"labels-{step}")
+
+    labels = merged(labels, stored(certain_groups(ordered, threshold), "stars"), 0)
+    members = ordered.where(in_prefix(threshold)).select("rid", "w", "n", "pos").join(parity_bits(ordered), "rid")
+    done, upto, step = 0, growth, 0
     while True:
         step += 1
         now = members.join(labels, "rid")
-        unsettled = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                           F.count(F.lit(1)).alias("c"))
-        unsettled = unsettled.where((F.col("lo") != F.col("hi")) & (F.col("c") > done)).select("key")
-        now = stored(now.join(unsettled, "key"), f"open-{step}")
-        if now.isEmpty():
+        unsettled = now.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"))
+        unsettled = unsettled.where((F.col("lo") != F.col("hi")) & (F.col("c") > done)).select("w")
+        members = stored(members.join(unsettled, "w", "left_semi"), f"open-{step}")  # a settled bucket stays settled
+        if members.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rid"))
+        now = members.join(labels, "rid")
+        rank = F.row_number().over(Window.partitionBy("w").orderBy("n", "rid"))
         lead = now.withColumn("_r", rank).where(F.col("_r") <= upto).where(F.col("_r") > done)
-        lead = lead.select("key", F.col("rid").alias("a"), F.col("label").alias("la"))
-        pairs = (now.select("key", F.col("rid").alias("b"), F.col("label").alias("lb")).join(lead, "key")
-                 .where("la != lb").select("a", "b", "la", "lb").distinct())
+        lead = lead.select("w", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
+                           F.col("pos").alias("pa"), F.col("bits").alias("ba"))
+        pairs = (now.select("w", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
+                 .join(lead, "w").where((F.col("la") != F.col("lb")) & may_reach(threshold)).select("a", "b", "la", "lb").distinct())
         va = reps.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
         vb = reps.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
         j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
         links = stored(pairs.join(va, "a").join(vb, "b").where(j >= threshold)
                        .select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), f"links-{step}")
         done, upto = upto, upto * growth
-        if links.isEmpty():
-            continue
-        groups = connected(links, f"{folder}/merge-{step}")
-        labels = stored(relabel(labels.select(F.col("rid").alias("id"), F.col("label").alias("class")), groups)
-                        .select(F.col("id").alias("rid"), F.col("class").alias("label")), f"labels-{step}")
-    # 4. expand representatives back to every review with that vocabulary
-    lab = reps.join(labels, "rid", "left").select("_vh", F.coalesce("label", "rid").alias("series_id"))
+        labels = merged(labels, links, step)
+    # expand representatives back to every review with that vocabulary
+    lab = reps.join(labels, "rid").select("_vh", F.col("label").alias("series_id"))
     m = v.join(lab, "_vh")
     g = m.groupBy("series_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("sku").alias("skus"))
     return (m.join(g.where(F.col("size") >= 2), "series_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import admission, assortment, market, users
 from tallyfold.sources.logs import upsert_parquet
-from tallyfold.streaming import jobs
+from tallyfold.streaming.keyed_admission import stream_admission
 
 
 def test_admission_fails_closed(spark):
@@ -115,7 +115,7 @@ def test_stream_state_of_users_without_plan(spark, tmp_path):
     spark.createDataFrame([(1, 1, "a", 1000, None), (2, 2, "a", 1000, "gold"), (3, 3, None, 1000, "pro"), (4, 3, "a", 1001, "pro")],
                           "request_id long, tg_user_id long, agent_id string, ts long, plan string").write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    out = jobs.stream_admission(stream, {"pro": (5, None, 10)}, 60)
+    out = stream_admission(stream, {"pro": (5, None, 10)}, 60)
     q = (out.writeStream.format("memory").queryName("t3_faults").outputMode("append")
          .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
     q.awaitTermination()

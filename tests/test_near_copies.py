@@ -48,3 +48,51 @@ def _brute(threshold=0.8):
 def test_near_copies_equal_brute_force(spark):
     got = {(r.review_id, r.series_id) for r in near_copy_series(reviews(spark, SF)).collect()}
     assert got == _brute()
+
+
+def _texts(spark, texts):
+    return spark.createDataFrame([(i, "s", " ".join(t)) for i, t in enumerate(texts)], "review_id long, sku string, text string")
+
+
+def _pairs(texts, threshold=0.8):
+    sets = [frozenset(t) for t in texts]
+    return {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+
+
+def test_bounds_keep_every_pair_and_little_else(spark):
+    """Candidates of the prefix join hold all true pairs; texts of one
+    template below the threshold make hardly any."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import market as M
+    rnd = random.Random(3)
+    word = lambda n=9: "".join(rnd.choices("ijklmnopq", k=n))
+    base, pool, texts = [word() for _ in range(20)], [word(3) for _ in range(60)], []
+    for _ in range(250):
+        texts.append(base[:rnd.randrange(10, 16)] + rnd.sample(pool, 3) + [word() for _ in range(rnd.randrange(4, 9))])
+    for t in list(texts[:60]):
+        texts.append(t[:-1] + [word()] * rnd.randrange(2))
+    texts += [rnd.sample(pool, rnd.randrange(1, 12)) for _ in range(120)]
+    texts = [sorted(set(t)) for t in texts]
+    texts = [list(t) for t in dict.fromkeys(map(tuple, texts))]
+    words = _texts(spark, texts).select(F.col("review_id").alias("rid"), F.explode(M.vocabulary(F.col("text"))).alias("_w")).select("rid", F.xxhash64("_w").alias("w"))
+    ordered = M.ordered_words(words)
+    m = ordered.where(M.in_prefix(0.8)).join(M.parity_bits(ordered), "rid")
+    side = lambda x: m.select("w", F.col("rid").alias(x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("bits").alias("b" + x))
+    got = {(r.a, r.b) for r in side("a").join(side("b"), "w").where((F.col("a") < F.col("b")) & M.may_reach(0.8)).select("a", "b").distinct().collect()}
+    true = _pairs(texts)
+    assert true <= got and len(got) <= 2 * len(true) + 50
+    sure = {tuple(sorted((r.x, r.y))) for r in M.certain_groups(ordered, 0.8).collect()}
+    assert sure <= true and sure
+
+
+def test_a_template_with_one_own_word_is_one_series_without_pairs(spark):
+    from tallyfold.operators.market import near_copy_series
+    letters = "abcdefghij"
+    base = [c * 4 for c in letters * 2][:10] + [c * 5 for c in letters]
+    own = lambda i: "z" + "".join(letters[int(d)] for d in str(i))
+    texts = [base + [own(i)] for i in range(4000)]  # eight million pairs, all true
+    got = {r.series_id for r in near_copy_series(_texts(spark, texts)).collect()}
+    assert got == {0}
