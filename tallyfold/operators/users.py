@@ -8,7 +8,7 @@ frame (at most ``n`` entries).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_int_prefix
@@ -62,11 +62,34 @@ def classify_command(text: Column) -> Column:
     return out.otherwise(F.lit("free_text"))
 
 
-def handled_messages(updates: DataFrame, users: DataFrame) -> DataFrame:
-    """Messages of users not banned at processing time (banned -> silent drop)."""
-    banned = users.where(F.col("is_banned") == 1).select(F.col("tg_user_id").alias("user_id"))
-    return (messages_of(updates).join(banned, "user_id", "left_anti")
-            .withColumn("command", classify_command(F.col("text"))))
+def ban_intervals(users: DataFrame, cmds: DataFrame) -> DataFrame:
+    """(user_id, from_ts, from_id, to_ts, to_id): when each user is banned, by
+    (time, id) of the commands that begin and end it.  ``cmds`` are parsed
+    administrator commands (``billing.admin_commands``); a user flagged in
+    ``users`` is banned from the start until an unban.  Commands that change
+    nothing are skipped; a last ban has no end."""
+    first = -(2 ** 62)
+    c = cmds.where(F.col("valid") & F.col("sub").isin("ban", "unban")).select(
+        F.col("target").alias("user_id"), "ts", F.col("cmd_id").alias("id"), F.col("sub").alias("act"))
+    flagged = users.where(F.col("is_banned") == 1).select(
+        F.col("tg_user_id").alias("user_id"), F.lit(first).alias("ts"), F.lit(first).alias("id"), F.lit("ban").alias("act"))
+    w = Window.partitionBy("user_id").orderBy("ts", "id")  # the commands about one user
+    turn = c.unionByName(flagged).withColumn("_prev", F.coalesce(F.lag("act").over(w), F.lit("unban"))).where("act != _prev")
+    turn = turn.select("user_id", "act", F.col("ts").alias("from_ts"), F.col("id").alias("from_id"),
+                       F.lead("ts").over(w).alias("to_ts"), F.lead("id").over(w).alias("to_id"))
+    return turn.where("act = 'ban'").drop("act")
+
+
+def handled_messages(updates: DataFrame, bans: DataFrame) -> DataFrame:
+    """Messages whose sender is not banned when they arrive (banned -> silent
+    drop), with their command."""
+    at = F.struct(F.col("ts").alias("t"), F.col("update_id").alias("i"))
+    since = F.struct(F.col("from_ts").alias("t"), F.col("from_id").alias("i"))
+    until = F.struct(F.col("to_ts").alias("t"), F.col("to_id").alias("i"))
+    b = bans.withColumnRenamed("user_id", "_banned")
+    out = messages_of(updates).join(
+        b, (F.col("user_id") == F.col("_banned")) & (at > since) & (F.col("to_ts").isNull() | (at <= until)), "left_anti")
+    return out.withColumn("command", classify_command(F.col("text")))
 
 
 def command_mix(handled: DataFrame) -> DataFrame:

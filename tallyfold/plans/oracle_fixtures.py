@@ -6,6 +6,8 @@ same derived inputs from the raw parquet views that the Spark fixtures build.
 
 from __future__ import annotations
 
+from ..sources.fixtures import ADMIN_IDS
+
 AS_OF = 801964800  # 1995-06-01 00:00:00 UTC
 
 
@@ -246,15 +248,34 @@ FX["fx_users_merged"] = (["fx_base_users", "fx_upd_dedup"], """
                           arg_max(language_code, ts * 1000000000 + update_id) language_code,
                           min(ts) first_ts, max(ts) last_ts
                    from fx_upd_dedup where kind = 'message' group by 1) a on a.user_id = b.tg_user_id""")
-FX["fx_handled"] = (["fx_upd_dedup", "fx_users_merged"], """
+FX["fx_messages"] = (["fx_upd_dedup"], """
         select m.*, case when t like '/start%' then 'start' when t like '/help%' then 'help'
                          when t like '/agents%' then 'agents' when t like '/pay%' then 'pay'
                          when t like '/plans%' then 'pay' when t like '/me%' then 'me'
                          when t like '/profile%' then 'me' when t like '/about%' then 'about'
                          when t like '/cancel%' then 'cancel' when t like '/admin%' then 'admin'
                          else 'free_text' end command
-        from (select * exclude (text), trim(text) t, trim(text) text from fx_upd_dedup where kind = 'message') m
-        where m.user_id not in (select tg_user_id from fx_users_merged where is_banned = 1)""")
+        from (select * exclude (text), trim(text) t, trim(text) text from fx_upd_dedup where kind = 'message') m""")
+# commands of administrators who are not banned from the start
+FX["cmdv"] = (["fx_messages", "fx_users_merged"], """
+        select *, coalesce((sub = 'activate' and target is not null and target <> 0
+                            and plan in ('free_trial', 'starter', 'pro', 'business') and "days" is not null)
+                           or (sub in ('ban', 'unban') and target is not null and target <> 0), false) valid
+        from (select cmd_id, admin_id, ts, coalesce(parts[2], 'help') sub,
+                     try_cast(nullif(regexp_extract(coalesce(parts[3], ''), '^\\s*([+-]?[0-9]+)', 1), '') as bigint) target,
+                     case when coalesce(parts[2], 'help') = 'activate' then parts[4] end plan,
+                     case when coalesce(parts[2], 'help') = 'activate' then
+                          case when parts[5] is null then 30
+                               else try_cast(nullif(regexp_extract(parts[5], '^\\s*([+-]?[0-9]+)', 1), '') as bigint) end end "days"
+              from (select update_id cmd_id, user_id admin_id, ts, string_split_regex(trim(text), '\\s+') parts
+                    from fx_messages where command = 'admin' and user_id in (""" + ", ".join(map(str, ADMIN_IDS)) + """)
+                      and user_id not in (select tg_user_id from fx_users_merged where is_banned = 1)))""")
+# the last ban or unban before a message, else the user's flag, decides
+FX["fx_handled"] = (["fx_messages", "cmdv", "fx_users_merged"], """
+        select * from fx_messages m where coalesce(
+          (select arg_max(sub, ts * 1000000000 + cmd_id) from cmdv c where valid and sub in ('ban', 'unban') and c.target = m.user_id
+             and c.ts * 1000000000 + c.cmd_id < m.ts * 1000000000 + m.update_id),
+          (select case when max(is_banned) = 1 then 'ban' end from fx_users_merged u where u.tg_user_id = m.user_id), 'unban') <> 'ban'""")
 FX["fx_selections"] = (["fx_upd_dedup"], """
         select *, substr(data, 7) agent_id from fx_upd_dedup
         where kind = 'callback' and data like 'agent:%'

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import billing, users
 from ..sources import updates as upd
-from ..sources.fixtures import AS_OF, Fixtures
+from ..sources.fixtures import ADMIN_IDS, AS_OF, Fixtures
 from ..sources.reference_data import AGENTS
 from ..functions.windows import _once
 from ..sources.tables import Tables
@@ -40,9 +40,18 @@ def merged_users(spark, d, dd=None):
     return users.upsert_users(base_users(spark, d), deduped(spark, d) if dd is None else dd)
 
 
+def admin_cmds(spark, d, dd=None):
+    """Commands of administrators who are not banned from the start."""
+    dd = deduped(spark, d) if dd is None else dd
+    flagged = merged_users(spark, d, dd).where("is_banned = 1").select(F.col("tg_user_id").alias("user_id"))
+    sent = users.messages_of(dd).where(F.col("user_id").isin(ADMIN_IDS)).join(flagged, "user_id", "left_anti")
+    return billing.admin_commands(sent.withColumn("command", users.classify_command(F.col("text"))), ADMIN_IDS)
+
+
 def handled(spark, d, dd=None):
+    """Messages handled: not banned when they arrived."""
     dd = deduped(spark, d) if dd is None else dd
-    return users.handled_messages(dd, merged_users(spark, d, dd))
+    return users.handled_messages(dd, users.ban_intervals(merged_users(spark, d, dd), admin_cmds(spark, d, dd)))
 
 
 @query("s3_parse_updates", with_fx("fx_updates") + "select * from fx_updates")
@@ -79,6 +88,22 @@ def u3(spark, d):
     return users.command_mix(handled(spark, d))
 
 
+@query("u3_ban_intervals", with_fx("cmdv", "fx_users_merged") + """
+, act as (select target user_id, ts, cmd_id id, sub from cmdv where valid and sub in ('ban', 'unban')
+          union all select tg_user_id, -(2::bigint ** 62)::bigint, -(2::bigint ** 62)::bigint, 'ban' from fx_users_merged where is_banned = 1),
+o as (select *, row_number() over (partition by user_id order by ts, id) n from act),
+-- a ban counts if the command before it is no ban; it ends with the first unban after it
+b as (select * from o where sub = 'ban' and not exists (select 1 from o p where p.user_id = o.user_id and p.n = o.n - 1 and p.sub = 'ban'))
+select user_id, ts from_ts, id from_id,
+       (select arg_min(ts, n) from o e where e.user_id = b.user_id and e.n > b.n and e.sub = 'unban') to_ts,
+       (select arg_min(id, n) from o e where e.user_id = b.user_id and e.n > b.n and e.sub = 'unban') to_id
+from b""")
+def u3_bans(spark, d):
+    """When each user is banned."""
+    dd = deduped(spark, d)
+    return users.ban_intervals(merged_users(spark, d, dd), admin_cmds(spark, d, dd))
+
+
 @query("u4_session_state", with_fx("fx_selections") + """
 select user_id tg_user_id, arg_max(agent_id, ts * 1000000000 + update_id) active_agent_id,
        max(ts) updated_at, 'awaiting_input' state
@@ -218,30 +243,7 @@ def b8(spark, d):
     return s.select("payment_id", "tg_user_id", "plan", "is_active", "auto_renew", "cancelled_now")
 
 
-from ..sources.fixtures import ADMIN_IDS as _ADMINS  # noqa: E402
-
-ADMIN_SQL = """
-adm as (select update_id cmd_id, user_id admin_id, ts, string_split_regex(trim(text), '\\s+') parts
-        from fx_handled where command = 'admin' and user_id in (""" + ", ".join(map(str, _ADMINS)) + """)),
-cmd as (select cmd_id, admin_id, ts, coalesce(parts[2], 'help') sub,
-               try_cast(nullif(regexp_extract(coalesce(parts[3], ''), '^\\s*([+-]?[0-9]+)', 1), '') as bigint) target,
-               case when coalesce(parts[2], 'help') = 'activate' then parts[4] end plan,
-               case when coalesce(parts[2], 'help') = 'activate' then
-                    case when parts[5] is null then 30
-                         else try_cast(nullif(regexp_extract(parts[5], '^\\s*([+-]?[0-9]+)', 1), '') as bigint) end end "days"
-        from adm),
-cmdv as (select *, coalesce((sub = 'activate' and target is not null and target <> 0
-                             and plan in ('free_trial', 'starter', 'pro', 'business') and "days" is not null)
-                            or (sub in ('ban', 'unban') and target is not null and target <> 0), false) valid
-         from cmd)"""
-
-
-def admin_cmds(spark, d, dd=None):
-    from ..sources.fixtures import ADMIN_IDS
-    return billing.admin_commands(handled(spark, d, dd), ADMIN_IDS)
-
-
-@query("b4_manual_activations", with_fx("fx_handled") + ", " + ADMIN_SQL + """
+@query("b4_manual_activations", with_fx("cmdv") + """
 select cmd_id, target tg_user_id, plan, "days", ts started_at, ts + "days" * 86400 expires_at,
        plan <> 'free_trial' creates_payment, 'admin_manual' source
 from cmdv where valid and sub = 'activate'""")
@@ -249,7 +251,7 @@ def b4m(spark, d):
     return billing.manual_activations(admin_cmds(spark, d))
 
 
-@query("b8_ban_fold", with_fx("fx_handled", "fx_users_merged") + ", " + ADMIN_SQL + """
+@query("b8_ban_fold", with_fx("cmdv", "fx_users_merged") + """
 , last as (select target tg_user_id, arg_max(sub, ts * 1000000000 + cmd_id) last_action
            from cmdv where valid and sub in ('ban', 'unban') group by 1)
 select u.tg_user_id, case when l.last_action = 'ban' then 1 when l.last_action = 'unban' then 0 else u.is_banned end
