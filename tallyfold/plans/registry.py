@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import q_activity, q_billing, q_admission, q_users, q_sources  # noqa: F401
-    from . import q_assortment, q_unit_econ, q_market, q_streaming  # noqa: F401
+    from . import q_assortment, q_unit_econ, q_market, q_listing, q_streaming  # noqa: F401
