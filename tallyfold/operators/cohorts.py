@@ -8,10 +8,11 @@ join into a broadcast of the cohort at run time when it is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import DAY, WEEK, idiv, iso_date, yyyymmdd
+from ..session import drop_folder
 
 
 def live_users(users: DataFrame) -> DataFrame:
@@ -231,6 +232,45 @@ def nudge_segments(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int
 
 
 # R14 ------------------------------------------------------------------------
+def store_by_day(df: DataFrame, path: str, ts_col: str, day_col: str = "day") -> None:
+    """Appends rows as one folder per UTC day (``day_col``, yyyymmdd; rows
+    without a time go to their own), rows of a day side by side in a task."""
+    (df.withColumn(day_col, yyyymmdd(ts_col)).repartition(day_col, F.pmod(F.xxhash64(ts_col), F.lit(DAY_TASKS)))
+     .write.mode("append").partitionBy(day_col).parquet(path))
+
+
+DAY_TASKS = 8  # tasks that a large day is spread over
+
+
+def purge_days(spark: SparkSession, path: str, ts_col: str, cutoff: int, day_col: str = "day") -> DataFrame:
+    """TTL delete on a table of day folders: rows with ``ts_col < cutoff`` go.
+
+    Days that lie wholly before the cutoff are dropped as folders; the one day
+    that the cutoff cuts is rewritten from its own folder; no other file is
+    read or touched.  Returns the deleted rows per day, counted before.  Run
+    again after a crash, it finishes what is left."""
+    last = spark.range(1).select(yyyymmdd(F.lit(cutoff).cast("long")).alias("d")).first()["d"]
+    table = spark.read.option("basePath", path).parquet(path)
+    gone = expired_rows(table, ts_col, cutoff, last, day_col)
+    report = gone.groupBy(F.col(day_col).alias("day")).agg(F.count(F.lit(1)).alias("deleted")).checkpoint(eager=True)  # its files go below
+    days = [r["day"] for r in report.collect()]  # one row per expired day: bounded by the calendar
+    if last in days:
+        rest = table.where(F.col(day_col) == last).where(F.col(ts_col) >= cutoff).checkpoint(eager=True)
+        if rest.isEmpty():
+            drop_folder(spark, f"{path}/{day_col}={last}")
+        else:
+            rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path)
+    for day in days:
+        if day != last:
+            drop_folder(spark, f"{path}/{day_col}={day}")
+    return report
+
+
+def expired_rows(table: DataFrame, ts_col: str, cutoff: int, last: int, day_col: str = "day") -> DataFrame:
+    """The rows a purge deletes; the day filter prunes every later folder."""
+    return table.where(F.col(day_col) <= last).where((F.col(day_col) < last) | (F.col(ts_col) < cutoff))
+
+
 def purge(df: DataFrame, col: str, cutoff: int) -> tuple[DataFrame, DataFrame]:
     """TTL delete: rows with ``col < cutoff`` go; returns (kept, deleted).
 

@@ -120,9 +120,10 @@ WEIGHTS = [("title_length", 3), ("title_stop_words", 2), ("description_length",
 
 
 def _over(v: Column, most: Column | int) -> Column:
-    """10, less one point for every tenth of ``most`` begun beyond it."""
+    """10, less one point for every tenth of ``most`` begun beyond it; null
+    where nothing was measured."""
     most = most if isinstance(most, Column) else F.lit(most)
-    return F.greatest(F.lit(0), 10 - F.ceil(10 * F.greatest(F.lit(0), v - most) / most))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0), 10 - F.ceil(10 * F.greatest(F.lit(0), v - most) / most)))
 
 
 def _band(v: Column, lo: int, hi: int) -> Column:
@@ -132,7 +133,8 @@ def _band(v: Column, lo: int, hi: int) -> Column:
 def graded_scores(cards: DataFrame, seen: DataFrame) -> DataFrame:
     """(card_id, block, score): 0 to 10 points per block, in proportion to how
     far a measure lies off its band or how much of it is there.  Visibility is
-    left out where it was not measured."""
+    left out where it was not measured; no title, description or video is worth
+    0, no price index 10."""
     low = F.lower("title")
     stop = F.lit(False)
     for w in TITLE_STOP_WORDS:
@@ -143,9 +145,9 @@ def graded_scores(cards: DataFrame, seen: DataFrame) -> DataFrame:
     large = F.size(F.filter("photos", lambda p: (p["width"] >= PHOTO_MIN[0]) & (p["height"] >= PHOTO_MIN[1])))
     n_photos = F.size("photos")
     score = {
-        "title_length": _over(F.length("title"), F.when(F.col("mp") == "WB", TITLE_MAX["WB"]).otherwise(TITLE_MAX["Ozon"])),
+        "title_length": F.coalesce(_over(F.length("title"), F.when(F.col("mp") == "WB", TITLE_MAX["WB"]).otherwise(TITLE_MAX["Ozon"])), F.lit(0)),
         "title_stop_words": F.when(stop, 0).otherwise(10),
-        "description_length": _band(F.length("description"), DESC_MIN, DESC_MAX),
+        "description_length": F.coalesce(_band(F.length("description"), DESC_MIN, DESC_MAX), F.lit(0)),
         "attributes_complete": F.floor(10 * (required - missing) / required),
         "attributes_unique": F.greatest(F.lit(0), 10 - 5 * (F.size(names) - F.size(F.array_distinct(names)))),
         "slides": _band(F.col("slides"), *SLIDES),

@@ -114,7 +114,7 @@ def d2i(spark, d):
 
 
 def _over_sql(v: str, most: str) -> str:
-    return f"greatest(0, 10 - ceil(10 * greatest(0, {v} - {most}) / {most}))"
+    return f"(case when {v} is not null then greatest(0, 10 - ceil(10 * greatest(0, {v} - {most}) / {most})) end)"
 
 
 def _band_sql(v: str, lo: int, hi: int) -> str:

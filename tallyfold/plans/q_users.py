@@ -261,3 +261,23 @@ def b8b(spark, d):
     dd = deduped(spark, d)
     return billing.ban_fold(merged_users(spark, d, dd), admin_cmds(spark, d, dd)).select(
         "tg_user_id", "is_banned", "ban_changed")
+
+
+@query("r14_purged_days", _X_SQL + f"""
+, m as (select ts from x where update_id % 3 <> 0 union all select ts from x)
+select cast(strftime(make_timestamp(cast(ts as bigint) * 1000000), '%Y%m%d') as integer) "day",
+       count(*) filter (where ts < {MESSAGE_CUTOFF + 43200}) deleted, count(*) filter (where ts >= {MESSAGE_CUTOFF + 43200}) "left" from m group by 1""")
+def r14d(spark, d):
+    """Messages stored by day, then purged at noon of a day: rows deleted and
+    left per day, the latter read back from the table."""
+    import uuid
+
+    from ..operators import cohorts
+    from ..session import ensure_checkpoint_dir
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/messages-{uuid.uuid4().hex[:12]}"
+    cohorts.store_by_day(exchanges(spark, d)[1], path, "ts")
+    deleted = cohorts.purge_days(spark, path, "ts", MESSAGE_CUTOFF + 43200)
+    left = spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("left"))
+    none = F.lit(0).cast("long")
+    return deleted.join(left, "day", "full").select("day", F.coalesce("deleted", none).alias("deleted"), F.coalesce("left", none).alias("left"))

@@ -64,6 +64,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def size_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 256 << 20,
                    min_partitions: int = 16, max_partitions: int = 200_000) -> int:
     """Size shuffles to the data: about one shuffle partition per

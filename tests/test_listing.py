@@ -73,7 +73,7 @@ def _card(i, **over):
     ({}, "photos", 10), ({"title": "t" * 101}, "title_length", 9), ({"title": "t" * 250}, "title_length", 0), ({"description": "d" * 1499}, "description_length", 9),
     ({"description": "d" * 2750}, "description_length", 9), ({"photos": []}, "photo_size", 0), ({"photos": [(900, 1200, False)] + [(899, 1200, True)] * 5}, "photo_size", 1),
     ({"photos": [(900, 1200, False)] * 3}, "main_photo_white", 0), ({"photos": [(900, 1200, True)] * 3}, "photos", 5), ({"video_sec": None}, "video", 0),
-    ({"video_sec": 33}, "video", 9), ({"price_index": None}, "price_index", 10), ({"price_index": 60}, "price_index", 9), ({"unanswered_negatives": 1}, "unanswered_negatives", 5),
+    ({"description": None}, "description_length", 0), ({"video_sec": 33}, "video", 9), ({"price_index": None}, "price_index", 10), ({"price_index": 60}, "price_index", 9), ({"unanswered_negatives": 1}, "unanswered_negatives", 5),
     ({"attributes": [("brand", "b"), ("brand", "c")]}, "attributes_complete", 2), ({"attributes": [("brand", "b"), ("brand", "c")]}, "attributes_unique", 5)])
 def test_graded_scores(spark, over, block, score):
     seen = spark.createDataFrame([(1, 5, 7)], "card_id long, queries long, points int")
