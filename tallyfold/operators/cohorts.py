@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import DAY, WEEK, idiv, iso_date, yyyymmdd
 from ..session import drop_folder
+from ..sources.reference_data import AGENTS
 
 
 def live_users(users: DataFrame) -> DataFrame:
@@ -231,6 +232,60 @@ def nudge_segments(users: DataFrame, subs: DataFrame, inv: DataFrame, as_of: int
     return [d1, d2, d4, d7, ex, si]
 
 
+def active_at(as_of: int) -> Column:
+    """A subscription row (with ``closed_at``, B4) that is active at a time."""
+    return (F.col("started_at") <= as_of) & (F.col("closed_at").isNull() | (F.col("closed_at") > as_of)) & (F.col("expires_at") >= as_of)
+
+
+def nudge_facts(users: DataFrame, subs: DataFrame, inv: DataFrame, dates: list[int], agents: list[str] = AGENTS) -> DataFrame:
+    """One row per user with all that the six cohorts ask, at each of
+    ``dates``: calls, a bitmap of the agents used, last call; active trials and
+    paid rows, and the paid rows that end in two to three days.  Invocations
+    and subscriptions are each read and shuffled once, whatever the number of
+    dates.  Agents outside ``agents`` share one bit."""
+    bit = F.lit(1 << len(agents))
+    for i, name in enumerate(agents):
+        bit = F.when(F.col("agent_id") == name, 1 << i).otherwise(bit)
+    calls, rows = [], []
+    for k, a in enumerate(dates):
+        by = F.col("created_at") <= a
+        calls += [F.count(F.when(by, 1)).alias(f"calls{k}"), F.coalesce(F.bit_or(F.when(by & F.col("agent_id").isNotNull(), bit)), F.lit(0)).alias(f"agents{k}"),
+                  F.max(F.when(by, F.col("created_at"))).alias(f"last{k}")]
+        on, trial = active_at(a), F.col("plan") == "free_trial"
+        ends = on & ~trial & F.col("expires_at").between(a + 2 * DAY, a + 3 * DAY)
+        rows += [F.count(F.when(on & trial, 1)).alias(f"trials{k}"), F.count(F.when(on & ~trial, 1)).alias(f"paid{k}"),
+                 F.collect_list(F.when(ends, F.struct("plan", "expires_at"))).alias(f"ending{k}")]  # active rows of one user
+    people = users.select("tg_user_id", "registered_at", ((F.col("is_banned") == 0) & (F.col("is_deleted") == 0)).alias("live"))
+    facts = people.join(subs.groupBy("tg_user_id").agg(*rows), "tg_user_id", "full")
+    return facts.join(inv.where(F.col("created_at") <= max(dates)).groupBy("tg_user_id").agg(*calls), "tg_user_id", "left")
+
+
+def nudge_rules(facts: DataFrame, dates: list[int]) -> DataFrame:
+    """(slot, tg_user_id, event, params): every cohort's rule as a struct of
+    the fact row, at each date; what holds is exploded."""
+    out = []
+    for k, a in enumerate(dates):
+        def rule(event, params, when):
+            return F.when(when, F.struct(F.lit(a).cast("long").alias("slot"), event.alias("event"), params.alias("params")))
+
+        def since(day):
+            return F.col("live") & F.col("registered_at").between(a - (day + 1) * DAY, a - day * DAY)
+
+        calls, agents = F.coalesce(f"calls{k}", F.lit(0).cast("long")), F.bit_count(F.coalesce(f"agents{k}", F.lit(0)))
+        trials, none = F.col(f"trials{k}"), F.lit("")
+        out += [F.array(
+            rule(F.lit("d1_no_first_request"), none, since(1) & (calls == 0)), rule(F.lit("d2_no_first_request"), none, since(2) & (calls == 0)),
+            rule(F.lit("d4_one_agent"), none, since(4) & (agents == 1)),
+            rule(F.lit("d7_trial_activated"), F.format_string("calls=%d;agents=%d", calls * trials, agents), since(6) & (trials > 0) & (agents >= 3)),
+            rule(F.lit("d7_trial_not_activated"), none, since(6) & (trials > 0) & (agents < 3)),
+            rule(F.lit(f"silence_7d_{a // WEEK}"), none, F.col("live") & (F.col(f"paid{k}") > 0) & (F.col(f"last{k}") < a - 7 * DAY))),
+            F.transform(F.coalesce(f"ending{k}", F.array().cast("array<struct<plan:string,expires_at:bigint>>")), lambda s: F.struct(
+                F.lit(a).cast("long").alias("slot"), F.format_string("sub_expiring_%d", s["expires_at"]).alias("event"),
+                F.format_string("plan=%s;date=%s", s["plan"], F.date_format(F.timestamp_seconds(s["expires_at"]), "yyyy-MM-dd")).alias("params")))]
+    x = facts.select("tg_user_id", F.explode(F.filter(F.concat(*out), lambda r: r.isNotNull())).alias("r"))
+    return x.select("r.slot", "tg_user_id", "r.event", "r.params")
+
+
 # R14 ------------------------------------------------------------------------
 def store_by_day(df: DataFrame, path: str, ts_col: str, day_col: str = "day") -> None:
     """Appends rows as one folder per UTC day (``day_col``, yyyymmdd; rows

@@ -245,14 +245,13 @@ group by 1, 2"""
 
 @query("r13_nudge_plan", with_fx("fx_users_active", "fx_inv_asof", "fx_subs_state", "fx_subscriptions") + _STATE_PREV)
 def r13(spark, d):
-    """Today's six cohorts minus what yesterday's run already sent."""
-    fx, users, subs_all, inv_all = _ctx(spark, d, shared=True)
-    ledger = cohorts.nudge_plan(
-        cohorts.nudge_segments(users, _once(billing.subscription_state(fx.subscriptions(), A - DAY)),
-                               inv_all.where(F.col("created_at") <= A - DAY), A - DAY),
-        users.limit(0).select("tg_user_id", F.lit("").alias("event"), F.lit(0).cast("long").alias("sent_at")),
-        A - DAY)
-    return cohorts.nudge_plan(cohorts.nudge_segments(users, subs_all, inv_all, A), ledger, A)
+    """Today's six cohorts minus what yesterday's run already sent, both from
+    one fact row per user."""
+    fx, dates = Fixtures(spark, d), [A - DAY, A]
+    subs = billing.activate_subscriptions(fx.subscriptions().where(F.col("started_at") <= A), A)
+    facts = cohorts.nudge_facts(fx.users(), subs, fx.invocations(), dates)
+    sent = cohorts.send_once(cohorts.nudge_rules(facts, dates), None)
+    return sent.where(F.col("slot") == A).select("tg_user_id", "event", "params", F.col("slot").alias("sent_at"))
 
 
 @query("l1_invocation_cost", with_fx("fx_inv_cost") + """

@@ -119,6 +119,11 @@ def test_nudges_equal_the_single_run_cohorts(spark):
         want = cohorts.nudge_plan(cohorts.nudge_segments(users, state, inv.where(F.col("created_at") <= at), at), none, at)
         cols = ["tg_user_id", "event", "params"]
         assert _rows(got.select(*cols)) == _rows(want.select(*cols))
+        facts = cohorts.nudge_facts(users, subs, inv, [at - DAY, at])  # one fact row per user, two dates
+        plan = facts._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [l_orderkey") == 1  # invocations are scanned once
+        rules = cohorts.nudge_rules(facts, [at - DAY, at]).where(F.col("slot") == at)
+        assert _rows(rules.groupBy("tg_user_id", "event").agg(F.min("params").alias("params")).select(*cols)) == _rows(want.select(*cols))
 
 
 def test_send_once_honours_the_ttl(spark):
