@@ -306,31 +306,37 @@ def vocabulary(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalized_text(text), " "), lambda w: F.length(w) > 0))
 
 
-def ordered_words(words: DataFrame) -> DataFrame:
-    """``words (rid, w)``, the distinct words of texts, -> (rid, w, df, n, pos):
-    each text's words from rare to frequent (by the number of texts, then by
-    hash)."""
-    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("rid").orderBy("df", "w")  # one text
-    x = words.join(df, "w").withColumns({"pos": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("rid"))})
-    return x.select("rid", "w", "df", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"))
-
-
-def in_prefix(threshold: float) -> Column:
-    """Two texts with Jaccard >= threshold share a word among the first ``n -
-    ceil(threshold * n) + 1`` of each; words of one text alone cannot be it."""
-    return (F.col("df") > 1) & (F.col("pos") < F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
-
-
 PARITY = 8  # longs of a text's parity bits
+RARE_OFF = 3  # most words that ``certain_groups`` leaves out
+
 
+def described_texts(words: DataFrame, threshold: float) -> DataFrame:
+    """``words (rid, w)``, the distinct words of texts, -> one row per text:
+    its size n, the prefix, parity bits and remainders.
 
-def parity_bits(words: DataFrame) -> DataFrame:
-    """(rid, bits): every word flips one of 512 bits.  Two texts differ in at
-    least as many words as bits."""
+    Words are ordered from rare to frequent (by the number of texts, then by
+    hash).  Two texts with Jaccard >= threshold share a word among the first
+    ``n - ceil(threshold * n) + 1`` of each; words of one text alone cannot be
+    it, so ``prefix`` holds (w, pos) of the others.  Every word flips one of 512
+    ``bits``: two texts differ in at least as many words as bits.  ``rest`` holds
+    two hashes of the text without its 0, 1... rarest words."""
+    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     at, bit = F.pmod("w", F.lit(PARITY)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("w", 3), F.lit(64)).cast("int"))
-    return words.groupBy("rid").agg(F.array(*(
-        F.coalesce(F.bit_xor(F.when(at == i, bit)), F.lit(0).cast("long")) for i in range(PARITY))).alias("bits"))
+    zero = F.lit(0).cast("long")
+    t = words.join(df, "w").groupBy("rid").agg(
+        F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"),  # one text's own words
+        F.array(*(F.coalesce(F.bit_xor(F.when(at == i, bit)), zero) for i in range(PARITY))).alias("bits"),
+        *(F.bit_xor(F.xxhash64("w", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)))
+    n = F.size("ws")
+    first = F.slice("ws", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
+    prefix = F.filter(F.transform(first, lambda x, i: F.struct(x["w"].alias("w"), i.alias("pos"), x["df"].alias("df"))), lambda x: x["df"] > 1)
+    rest, xs = [], [F.col("_x1"), F.col("_x2")]
+    for k in range(RARE_OFF + 1):
+        rest.append(F.struct((n - k).alias("r"), F.lit(k).alias("k"), xs[0].alias("a"), xs[1].alias("b")))
+        gone = F.get("ws", F.lit(k))["w"]
+        xs = [F.coalesce(x.bitwiseXOR(F.xxhash64(gone, F.lit(seed))), zero) for x, seed in zip(xs, (1, 2))]
+    return t.select("rid", n.alias("n"), "bits", F.transform(prefix, lambda x: F.struct(x["w"].alias("w"), x["pos"].alias("pos"))).alias("prefix"),
+                    F.array(*rest).alias("rest"))
 
 
 def may_reach(threshold: float) -> Column:
@@ -345,20 +351,14 @@ def may_reach(threshold: float) -> Column:
         & (differ <= (na + nb) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
-def certain_groups(ordered: DataFrame, threshold: float, most: int = 3) -> DataFrame:
+def certain_groups(texts: DataFrame, threshold: float) -> DataFrame:
     """(x, y) links without a comparison: texts that have the same words but
     for up to k of their rarest, with k small enough that any two of them reach
     the threshold.  Each group is a star on its least text."""
-    sums = [F.bit_xor(F.when(F.col("pos") >= k, F.xxhash64(F.col("w"), F.lit(seed)))).alias(f"_x{k}_{seed}")
-            for k in range(most + 1) for seed in (1, 2)]
-    per = ordered.groupBy("rid").agg(F.max("n").alias("n"), *sums)
-    rest = F.explode(F.array(*(F.struct((F.col("n") - k).alias("r"), F.lit(k).alias("k"), F.col(f"_x{k}_1").alias("a"), F.col(f"_x{k}_2").alias("b"))
-                               for k in range(most + 1)))).alias("_g")
-    g = per.select("rid", rest).where((F.col("_g.r") > 0) & (F.col("_g.k") <= F.col("_g.r") * F.lit((1 - threshold) / (2 * threshold)) + 1e-9))
-    key = ["_g.r", "_g.a", "_g.b"]
-    least = g.groupBy(*key).agg(F.min("rid").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    member = g.select("rid", *key)
-    return member.join(least, ["r", "a", "b"]).where("rid != y").select(F.col("rid").alias("x"), "y").distinct()
+    g = texts.select("rid", F.explode("rest").alias("_g")).select("rid", "_g.*")
+    g = g.where((F.col("r") > 0) & (F.col("k") <= F.col("r") * F.lit((1 - threshold) / (2 * threshold)) + 1e-9))
+    least = g.groupBy("r", "a", "b").agg(F.min("rid").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return g.join(least, ["r", "a", "b"]).where("rid != y").select(F.col("rid").alias("x"), "y").distinct()
 
 
 def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 16) -> DataFrame:
@@ -391,10 +391,13 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
 
     v = reviews.select("review_id", "sku", F.transform(vocabulary(F.col("text")), lambda w: F.xxhash64(w)).alias("_voc"))
     same = F.sort_array("_voc")
-    v = stored(v.withColumn("_vh", F.struct(F.xxhash64(F.lit(1), same).alias("a"), F.xxhash64(F.lit(2), same).alias("b"))), "vocabularies")
-    reps = stored(v.where(F.size("_voc") > 0).groupBy("_vh")
-                  .agg(F.min("review_id").alias("rid"), F.first("_voc").alias("voc")), "reps")
-    ordered = stored(ordered_words(reps.select("rid", F.explode("voc").alias("w"))), "ordered")
+    v = stored(v.withColumn("_vh", F.struct(F.xxhash64(F.lit(1), same).alias("a"), F.xxhash64(F.lit(2), same).alias("b")))
+               .withColumn("_row", F.monotonically_increasing_id()), "vocabularies")
+    reps = stored(v.where(F.size("_voc") > 0).groupBy("_vh").agg(F.min(F.struct(F.col("review_id").alias("rid"), "_row")).alias("_m"))
+                  .select("_vh", "_m.*"), "reps")
+    voc = v.select("_row", F.col("_voc").alias("voc")).join(reps.select("rid", "_row"), "_row").select("rid", "voc")
+    words = voc.select("rid", F.explode("voc").alias("w"))
+    texts = stored(described_texts(words, threshold), "texts")
     labels = reps.select("rid", F.col("rid").alias("label"))
 
     def merged(labels: DataFrame, links: DataFrame, step: int) -> DataFrame:
@@ -403,8 +406,8 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
         out = relabel(labels.select(F.col("rid").alias("id"), F.col("label").alias("class")), connected(links, f"{folder}/merge-{step}"))
         return stored(out.select(F.col("id").alias("rid"), F.col("class").alias("label")), f"labels-{step}")
 
-    labels = merged(labels, stored(certain_groups(ordered, threshold), "stars"), 0)
-    members = ordered.where(in_prefix(threshold)).select("rid", "w", "n", "pos").join(parity_bits(ordered), "rid")
+    labels = merged(labels, stored(certain_groups(texts, threshold), "stars"), 0)
+    members = texts.select("rid", "n", F.explode("prefix").alias("_p")).select("rid", "n", "_p.w", "_p.pos")
     done, upto, step = 0, growth, 0
     while True:
         step += 1
@@ -414,15 +417,15 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
         members = stored(members.join(unsettled, "w", "left_semi"), f"open-{step}")  # a settled bucket stays settled
         if members.isEmpty():
             break
-        now = members.join(labels, "rid")
+        now = members.join(labels.join(texts.select("rid", "bits"), "rid"), "rid")
         rank = F.row_number().over(Window.partitionBy("w").orderBy("n", "rid"))
         lead = now.withColumn("_r", rank).where(F.col("_r") <= upto).where(F.col("_r") > done)
         lead = lead.select("w", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
                            F.col("pos").alias("pa"), F.col("bits").alias("ba"))
         pairs = (now.select("w", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
                  .join(lead, "w").where((F.col("la") != F.col("lb")) & may_reach(threshold)).select("a", "b", "la", "lb").distinct())
-        va = reps.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
-        vb = reps.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
+        va = voc.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
+        vb = voc.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
         j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
         links = stored(pairs.join(va, "a").join(vb, "b").where(j >= threshold)
                        .select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), f"links-{step}")

@@ -8,7 +8,7 @@ all its runs at once, each fact joined to the slot that handles it, so there is
 no loop over runs.
 
 Commits.  ``CommitLedger`` holds one folder per (job, epoch).  A batch first
-commits its slots; then each job writes its rows and commits.  A replayed batch
+commits its slots and daily slots; then each job writes its rows and commits.  A replayed batch
 (same epoch) finds the committed slots, skips the jobs that committed and
 overwrites what an unfinished one has left, so no run of a job is done twice
 and none is lost.  A firing older than the last committed slot is ignored.
@@ -328,17 +328,19 @@ def run_cycle(spark: SparkSession, ticks: DataFrame, jobs: list[Job], root: str,
             seen = ledger.slots("tick")
             last = None if seen is None else seen.where(F.col("epoch") < epoch).agg(F.max("slot")).first()[0]
             ledger.commit("tick", epoch, new if last is None else new.where(F.col("slot") > last))
-        known = ledger.slots("tick").where(F.col("epoch") <= epoch)
+        if not ledger.committed("day", epoch):
+            known = ledger.slots("tick").where(F.col("epoch") <= epoch)
+            ledger.commit("day", epoch, daily_slots(known).join(known.where(F.col("epoch") == epoch), "slot", "left_semi"))
         for job in jobs:
             if ledger.committed(job.name, epoch):
                 continue
-            slots = daily_slots(known.select("slot")) if job.daily else known.select("slot")
-            before = slots.join(known.where(F.col("epoch") < epoch), "slot", "left_semi").agg(F.max("slot")).first()[0]
-            mine = slots.join(known.where(F.col("epoch") == epoch), "slot", "left_semi")
+            known = ledger.slots("day" if job.daily else "tick").where(F.col("epoch") <= epoch)
+            before = known.where(F.col("epoch") < epoch).agg(F.max("slot")).first()[0]
+            mine = known.where(F.col("epoch") == epoch).select("slot")
             if mine.isEmpty():
                 ledger.commit(job.name, epoch, mine)
             else:
-                ledger.commit(job.name, epoch, mine, job.run(Runs(mine, before, slots, ledger.rows(job.name, epoch))))
+                ledger.commit(job.name, epoch, mine, job.run(Runs(mine, before, known.select("slot"), ledger.rows(job.name, epoch))))
 
     q = (ticks.writeStream.option("checkpointLocation", f"{ledger.root}/_checkpoint/{base}").trigger(availableNow=True)
          .foreachBatch(batch).start())
