@@ -310,32 +310,48 @@ PARITY = 8  # longs of a text's parity bits
 RARE_OFF = 3  # most words that ``certain_groups`` leaves out
 
 
-def described_texts(words: DataFrame, threshold: float) -> DataFrame:
+HEAD_WORDS = 1 << 17  # most words whose counts are broadcast
+
+
+def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
+    """The words (w, df) of at least some number of texts, at most ``most``:
+    found on a histogram of counts in steps of 1/16 octave, no sort."""
+    step, n, least = F.floor(F.log2("df") * 16), 0, None
+    for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("s")).collect():
+        n += r["c"]
+        if n > most:
+            break
+        least = r["s"]
+    return counts.where(step >= least if least is not None else F.lit(False))
+
+
+def described_texts(words: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
     """``words (rid, w)``, the distinct words of texts, -> one row per text:
     its size n, the prefix, parity bits and remainders.
 
-    Words are ordered from rare to frequent (by the number of texts, then by
-    hash).  Two texts with Jaccard >= threshold share a word among the first
-    ``n - ceil(threshold * n) + 1`` of each; words of one text alone cannot be
-    it, so ``prefix`` holds (w, pos) of the others.  Every word flips one of 512
-    ``bits``: two texts differ in at least as many words as bits.  ``rest`` holds
-    two hashes of the text without its 0, 1... rarest words."""
-    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    Words are ordered from rare to frequent: those outside ``head`` (w, df) by
+    hash, then the head by the number of texts.  In any one order, two texts
+    with Jaccard >= threshold share a word among the first ``n - ceil(threshold
+    * n) + 1`` of each: ``prefix`` holds them as (w, pos).  Every word flips one
+    of 512 ``bits``: two texts differ in at least as many words as bits.
+    ``rest`` holds two hashes of the text without its 0, 1... rarest words.  The
+    words of a text stay together, so its array is built before the shuffle."""
     at, bit = F.pmod("w", F.lit(PARITY)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("w", 3), F.lit(64)).cast("int"))
     zero = F.lit(0).cast("long")
-    t = words.join(df, "w").groupBy("rid").agg(
-        F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"),  # one text's own words
+    df = F.coalesce("df", zero)
+    t = words.join(F.broadcast(head), "w", "left").groupBy("rid").agg(  # head: at most HEAD_WORDS rows
+        F.sort_array(F.collect_list(F.struct(df.alias("df"), "w"))).alias("ws"),  # one text's own words
         F.array(*(F.coalesce(F.bit_xor(F.when(at == i, bit)), zero) for i in range(PARITY))).alias("bits"),
         *(F.bit_xor(F.xxhash64("w", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)))
     n = F.size("ws")
     first = F.slice("ws", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    prefix = F.filter(F.transform(first, lambda x, i: F.struct(x["w"].alias("w"), i.alias("pos"), x["df"].alias("df"))), lambda x: x["df"] > 1)
+    prefix = F.transform(first, lambda x, i: F.struct(x["w"].alias("w"), i.alias("pos")))
     rest, xs = [], [F.col("_x1"), F.col("_x2")]
     for k in range(RARE_OFF + 1):
         rest.append(F.struct((n - k).alias("r"), F.lit(k).alias("k"), xs[0].alias("a"), xs[1].alias("b")))
         gone = F.get("ws", F.lit(k))["w"]
         xs = [F.coalesce(x.bitwiseXOR(F.xxhash64(gone, F.lit(seed))), zero) for x, seed in zip(xs, (1, 2))]
-    return t.select("rid", n.alias("n"), "bits", F.transform(prefix, lambda x: F.struct(x["w"].alias("w"), x["pos"].alias("pos"))).alias("prefix"),
+    return t.select("rid", n.alias("n"), "bits", prefix.alias("prefix"),
                     F.array(*rest).alias("rest"))
 
 
@@ -397,7 +413,8 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
                   .select("_vh", "_m.*"), "reps")
     voc = v.select("_row", F.col("_voc").alias("voc")).join(reps.select("rid", "_row"), "_row").select("rid", "voc")
     words = voc.select("rid", F.explode("voc").alias("w"))
-    texts = stored(described_texts(words, threshold), "texts")
+    counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    texts = stored(described_texts(words, frequent_words(counts), threshold), "texts")
     labels = reps.select("rid", F.col("rid").alias("label"))
 
     def merged(labels: DataFrame, links: DataFrame, step: int) -> DataFrame:
@@ -408,6 +425,7 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
 
     labels = merged(labels, stored(certain_groups(texts, threshold), "stars"), 0)
     members = texts.select("rid", "n", F.explode("prefix").alias("_p")).select("rid", "n", "_p.w", "_p.pos")
+    members = members.join(counts.select("w"), "w", "left_semi")  # a word of one text makes no pair
     done, upto, step = 0, growth, 0
     while True:
         step += 1

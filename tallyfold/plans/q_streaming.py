@@ -210,7 +210,9 @@ def ticks(spark, d):
 
 
 def cron_sources(spark, d):
-    """Inputs of the jobs, from the fixtures: (job name, Job)."""
+    """The jobs over the fixtures' tables: name -> function that makes it."""
+    import uuid
+
     from ..operators import billing
     from ..sources.fixtures import Fixtures
     from ..sources.reference_data import plan_config
@@ -229,17 +231,28 @@ def cron_sources(spark, d):
                             ((F.floor(k / 2) + F.col("attempt")) % 4 == 0).alias("ok"))
     messages = fx.invocations().select(
         "created_at", F.explode(F.when(F.col("status") == "success", F.array(F.lit("user"), F.lit("assistant"))).otherwise(F.array(F.lit("user")))).alias("role"))
-    subs = billing.activate_subscriptions(fx.subscriptions(), 2 ** 40)  # every row with the start that closes it
-    inv = fx.invocations().select("tg_user_id", "agent_id", "created_at")
-    return [cron.retry_drain(queue, outcomes), cron.payment_recheck(fx.payments(), fx.provider_snapshot(), plan_config(spark)),
-            cron.message_purge(messages), cron.subscription_expiry(subs), cron.nudges(fx.users(), subs, inv)]
+    # tables of the service, not views: users, subscriptions with the start that closes them, calls
+    root = cron.fresh_root(spark, "tables")
+
+    def table(name, df):
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    def subs():
+        return table(f"subscriptions-{uuid.uuid4().hex[:6]}", billing.activate_subscriptions(fx.subscriptions(), 2 ** 40))
+
+    return {"retry_drain": lambda: cron.retry_drain(queue, outcomes),
+            "payment_recheck": lambda: cron.payment_recheck(fx.payments(), fx.provider_snapshot(), plan_config(spark)),
+            "message_purge": lambda: cron.message_purge(messages), "subscription_expiry": lambda: cron.subscription_expiry(subs()),
+            "nudges": lambda: cron.nudges(table("users", fx.users()), subs(),
+                                          table("calls", fx.invocations().select("tg_user_id", "agent_id", "created_at")))}
 
 
 def cron_rows(spark, d, name):
     """Rows of one job of the cycle over all firings."""
     from ..streaming import cron
 
-    job = next(j for j in cron_sources(spark, d) if j.name == name)
+    job = cron_sources(spark, d)[name]()
     return cron.run_cycle(spark, ticks(spark, d), [job], cron.fresh_root(spark, name)).rows(name)
 
 

@@ -37,7 +37,7 @@ def test_a_crash_inside_a_batch_repeats_and_loses_nothing(spark):
     cuts = ev.select(F.percentile_approx("ts", [1 / 3, 2 / 3]).alias("q")).first()["q"]
     t = F.col("ts")
     ticks = _landing(spark, [ev.where(t < cuts[0]), ev.where((t >= cuts[0]) & (t < cuts[1])), ev.where(t >= cuts[1])])
-    sources = cron_sources(spark, SF)
+    sources = [make() for make in cron_sources(spark, SF).values()]
     calls = {}
 
     def counted(job, fail_at=None):
