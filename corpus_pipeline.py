@@ -55,8 +55,9 @@ STAGES = [
     ("packing", pack),
 ]
 
-# The toxicity, near-duplicate and packing stages have no SQL form; the whole
-# run is tested against a brute-force version in tests/llm.
+# The toxicity, near-duplicate and packing stages have no SQL form; the first
+# four stages are tested against brute-force versions in tests/llm, packing by
+# an exact round trip.
 ORACLE_SQL = None
 
 
