@@ -19,6 +19,9 @@ covers it whose word sequence also starts in a document of smaller doc_id.
    contexts (a passage shared by very many documents) is split by a second key:
    the 128-bit digest of each window of its contexts, whose grouped minimum is
    the least document.  That is linear in the contexts and no single task.
+   Anchors in more than 1 / ``HOT`` of all rows, and contexts in more than
+   16 / ``HOT``, are looked up by a broadcast of fewer than ``HOT`` (``HOT``
+   / 16) rows, so none of them is dealt to one task; the rest by a shuffle.
 5. Windows whose least document is smaller are covered, and the words left are
    joined.
 
@@ -46,6 +49,7 @@ from .text import U, Blob, blobs, window_hashes
 WINDOW = 50
 ANCHOR = 30
 SHARD = 4000
+HOT = 1 << 18
 _REACH = WINDOW - ANCHOR  # words a window can reach beyond its anchor
 _SPREAD = _REACH + 1  # anchors in a window
 
@@ -123,27 +127,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def cut_contexts(candidates: DataFrame) -> DataFrame:
-    """(anchor, c1, c2, context, doc_id, t1, t2, start) of every anchor of
-    (doc_id, t1, t2, text, at, anchor)."""
-    out = "anchor long, context string, doc_id long, t1 long, t2 long, start long"
+    """(anchor, c1, c2, context, doc_id, t1, t2, start, split) of every anchor
+    of (doc_id, t1, t2, text, at, anchor, split)."""
+    out = "anchor long, context string, doc_id long, t1 long, t2 long, start long, split boolean"
 
     def run(batches):
         for batch in batches:
-            ats, keys = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            ats, keys, splits = (batch.column(j).to_pylist() for j in (4, 5, 6))
             for a, z, b in blobs(batch.column(3)):
-                rows: list[list] = [[], [], [], []]
+                rows: list[list] = [[], [], [], [], []]
                 for i in range(b.n):
                     words = _words(b, i)
-                    for p, f in zip(ats[a + i], keys[a + i]):
+                    for p, f, split in zip(ats[a + i], keys[a + i], splits[a + i]):
                         s = max(0, p - _REACH)
                         rows[0].append(f)
                         rows[1].append(b" ".join(words[s: p + ANCHOR + _REACH]).decode())
                         rows[2].append(a + i)
                         rows[3].append(s)
+                        rows[4].append(split)
                 take = pa.array(rows[2], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()),
-                     *(batch.column(j).take(take) for j in range(3)), pa.array(rows[3], pa.int64())],
+                     *(batch.column(j).take(take) for j in range(3)), pa.array(rows[3], pa.int64()),
+                     pa.array(rows[4], pa.bool_())],
                     names=[c.split()[0] for c in out.split(", ")])
 
     return candidates.mapInArrow(run, out).withColumns(
@@ -321,26 +327,37 @@ def covered_windows(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     prints = raw.join(first, ["t1", "t2"]).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     single = stored(prints.where("not copy and n_words >= 50 and doc_id is not null")
                     .select(*key, F.explode(F.arrays_zip("at", "anchor")).alias("a")).select(*key, "a.at", "a.anchor"), "anchors")
-    repeated = (single.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                .where("lo < hi").select("anchor"))
-    wanted = (single.join(repeated, "anchor").groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("at", "anchor"))).alias("a"))
-              .select(*key, F.col("a.at").alias("at"), F.col("a.anchor").alias("anchor")))
-    texts = stored(_keyed(docs).join(wanted, key).select(*key, "text", "at", "anchor").dropDuplicates(key), "candidates")
+    total = single.count()
+    repeated = stored(single.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
+                      .where("lo < hi").select("anchor", "n", (F.col("n") > SHARD).alias("split")), "repeated")
+    # More than total / HOT rows: fewer than HOT anchors, which are broadcast; their rows stay where they are.
+    frequent = F.col("n") > max(SHARD, total // HOT)
+    known = single.join(F.broadcast(repeated.where(frequent).select("anchor", "split")), "anchor", "left")
+    rare = known.where("split is null").drop("split").join(repeated.where(~frequent).select("anchor", "split"), "anchor")
+    found = known.where("split is not null").unionByName(rare)
+    wanted = (found.groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("at", "anchor", "split"))).alias("a"))
+              .select(*key, *(F.col(f"a.{c}").alias(c) for c in ("at", "anchor", "split"))))
+    texts = stored(_keyed(docs).join(wanted, key).select(*key, "text", "at", "anchor", "split").dropDuplicates(key), "candidates")
     contexts = stored(cut_contexts(texts), "contexts")
-    distinct = contexts.groupBy("anchor", "c1", "c2", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    distinct = distinct.select("anchor", "c1", "c2", "context", "lo", "hi")
-    # At most one anchor per SHARD contexts is hot; broadcast, so that no hot anchor is dealt to one task.
-    hot = stored(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("anchor"), "hot")
+    distinct = (contexts.groupBy("anchor", "c1", "c2", "context", "split").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                .select("anchor", "c1", "c2", "context", "lo", "hi", "split"))
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = (distinct.join(F.broadcast(hot), "anchor", "left_anti").repartition(shards, "anchor")
+    least = (distinct.where("not split").drop("split").repartition(shards, "anchor")
              .sortWithinPartitions("anchor", "lo").mapInArrow(_matched, "anchor long, c1 long, c2 long, least array<long>")
              .select("anchor", "c1", "c2", F.transform("least", lambda x, i: F.struct(x.alias("d"), i.cast("long").alias("i"))).alias("least")))
-    windows = stored(distinct.join(F.broadcast(hot), "anchor", "left_semi").mapInArrow(
+    windows = stored(distinct.where("split").drop("split").mapInArrow(
         _windows, "anchor long, c1 long, c2 long, lo long, hi long, i long, k1 long, k2 long"), "windows")
     again = windows.groupBy("k1", "k2").agg(F.min("lo").alias("d"), F.max("hi").alias("top")).where("d < top").drop("top")
     split = (windows.join(again, ["k1", "k2"]).where("d < hi")
              .groupBy("anchor", "c1", "c2").agg(F.collect_list(F.struct("d", "i")).alias("least")))
-    hit = (contexts.select("anchor", "c1", "c2", *key, "start").join(least.unionByName(split), ["anchor", "c1", "c2"])
+    one = ["anchor", "c1", "c2"]
+    least = stored(least.unionByName(split), "least")
+    # The same for contexts that very many documents share: fewer than HOT // 16, each with 21 windows at most.
+    often = contexts.groupBy(*one).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(SHARD, total // (HOT // 16)))
+    often = often.join(least, one, "left").select(*one, F.coalesce("least", F.array()).alias("least"))
+    held = contexts.select(*one, *key, "start").join(F.broadcast(often), one, "left")
+    seldom = held.where("least is null").drop("least").join(least, one)
+    hit = (held.where("least is not null").unionByName(seldom)
            .select(*key, F.transform(F.filter("least", lambda s: s["d"] < F.col("doc_id")), lambda s: s["i"] + F.col("start")).alias("s"))
            .where(F.size("s") > 0).groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     hit = stored(hit, "covered")
