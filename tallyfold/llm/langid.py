@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import place, threshold
 from .text import U, binary_parts
 
 ORDER = 4
@@ -81,11 +82,10 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, id_col: str = "do
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "bits": 0}
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(5)), F.lit(1 << 20))
-    share = F.lit(0)
+    share = F.lit(-1).cast("long")
     for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, docs_per_lang / sizes[lang]) * (1 << 20)))).otherwise(share)
-    grams = (known.where(h < share).select("lang", "text").mapInArrow(_count, "lang string, k long, gram long, n long")
+        share = F.when(F.col("lang") == lang, F.lit(threshold(min(1.0, docs_per_lang / sizes[lang])))).otherwise(share)
+    grams = (known.where(place(id_col, 5) <= share).select("lang", "text").mapInArrow(_count, "lang string, k long, gram long, n long")
              .groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).where((F.col("k") < 3) | (F.col("n") > 1)))
     t = grams.toArrow()
     lang, k = np.array(t["lang"].to_pylist(), object), t["k"].to_numpy()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import place, threshold
 from .text import U, Blob, blobs, mix, not_alnum, range_hashes, space_table
 
 MAX_TOXIC, MAX_CLEAN = 2500, 4000
@@ -106,8 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     if not size.get(0) or not size.get(1):
         return {"hash": np.zeros(0, U), "weight": np.zeros(0), "intercept": 20.0 if size.get(1) else -20.0}
     share = {1: min(1.0, max_toxic / size[1]), 0: min(1.0, max_clean / size[0])}
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 20))
-    picked = known.where(h < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20))).otherwise(int(share[0] * (1 << 20))))
+    bound = F.when(F.col("toxic") == 1, F.lit(threshold(share[1]))).otherwise(F.lit(threshold(share[0])))
+    picked = known.where(place("doc_id", 3) <= bound)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded: max_toxic + max_clean rows
     got = (sample.select(F.xxhash64("doc_id", F.lit(9)).alias("key"), F.col("toxic").cast("long").alias("toxic"), "text")
            .mapInArrow(_doc_features, "key long, toxic long, features binary")
