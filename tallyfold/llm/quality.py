@@ -2,7 +2,8 @@
 
 Every rule is a pure test over one document's text.  ``plan_cascade`` runs all
 rules on a bounded sample inside Spark tasks, measures each rule's seconds per
-document and its rejection rate, and orders the rules by rejection per cost.
+document and which rules reject it, and orders the rules by rejection per cost,
+each rule counted on what the rules before it keep.
 ``apply_cascade`` then runs them in that order; a document that a rule rejects
 never reaches the later rules.  The verdict is the conjunction of all rules
 and so does not depend on the measured order.
@@ -14,6 +15,7 @@ judged each on its own.  An empty sample leaves the declared order.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import place, threshold
 from .text import Blob, U, blobs, mix, range_hashes, space_table, window_hashes
 
 REPEAT_WINDOW = 8
@@ -30,13 +33,30 @@ MIN_WORDS = 20
 # Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 SAMPLE_DOCS = 2000
+# Measures with one value per document: those of the base report, and the rest.
+BASE = ("words", "word_chars", "symbols", "dup_lines", "repeat_words")
+PER_DOC = (*BASE, "letters", "n_lines")
 
 
 class Stats:
     """Per-document measures of a blob, each computed when a rule first asks."""
 
-    def __init__(self, blob: Blob):
+    def __init__(self, blob: Blob, known: dict[str, np.ndarray] | None = None):
         self.b = blob
+        self.__dict__.update(known or {})
+
+    def measure(self) -> None:
+        """Compute every measure of the base report."""
+        for name in BASE:
+            getattr(self, name)
+
+    def fresh(self) -> Stats:
+        """The same documents with the measures of the base report alone."""
+        return Stats(self.b, {k: v for k, v in self.__dict__.items() if k in BASE})
+
+    def take(self, alive: np.ndarray, space: np.ndarray) -> Stats:
+        """The documents ``alive`` alone, with what is known of them."""
+        return Stats(_take(self.b, alive, space), {k: v[alive] for k, v in self.__dict__.items() if k in PER_DOC})
 
     @cached_property
     def words(self) -> np.ndarray:
@@ -146,38 +166,65 @@ RULES = (
 )
 
 
-def _sample_costs(rules: tuple[Rule, ...]):
+def _base_failed(s: Stats) -> np.ndarray:
+    return (s.words < MIN_WORDS) | (100 * s.repeat_words > 30 * s.words)
+
+
+def _measure(rules: tuple[Rule, ...], after_base: bool):
+    """Texts -> (mask, rule, docs, seconds): how many documents each set of
+    rules rejects (rule -1), and the seconds of each rule (mask -1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = 0
-        rejected, seconds = [0] * len(rules), [0.0] * len(rules)
+        space = space_table()
+        docs, seconds, masks = 0, [0.0] * len(rules), Counter()
         for batch in batches:
             for _, _, b in blobs(batch.column("text")):
-                docs += b.n
+                base = Stats(b)
+                if after_base:
+                    base.measure()
+                    base = base.take(np.flatnonzero(~_base_failed(base)), space)
+                docs += base.b.n
+                mask = np.zeros(base.b.n, np.int64)
                 for i, r in enumerate(rules):
+                    own = base.fresh()
                     t0 = time.perf_counter()
-                    rejected[i] += int(r.rejects(Stats(b)).sum())
+                    mask |= r.rejects(own).astype(np.int64) << i
                     seconds[i] += time.perf_counter() - t0
-        yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "docs": [docs] * len(rules),
-                                          "rejected": rejected, "seconds": seconds})
+                masks.update(mask.tolist())
+        n = len(rules)
+        yield pa.RecordBatch.from_pydict({"mask": [*masks, *[-1] * n], "rule": [*[-1] * len(masks), *range(n)],
+                                          "docs": [*masks.values(), *[docs] * n], "seconds": [*[0.0] * len(masks), *seconds]})
     return run
 
 
+def greedy(masks: dict[int, int], cost: list[float]) -> list[int]:
+    """Rules by rejection per cost, each counted on what the rules before it
+    keep; ``masks`` counts documents by the set of rules that reject them."""
+    left, order = list(range(len(cost))), []
+    while left:
+        gain = {i: sum(n for m, n in masks.items() if m >> i & 1) for i in left}
+        best = max(left, key=lambda i: (gain[i] / max(cost[i], 1e-12), -i))
+        masks = {m: n for m, n in masks.items() if not m >> best & 1}
+        left.remove(best)
+        order.append(best)
+    return order
+
+
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS,
-                 id_col: str = "doc_id", text_col: str = "text") -> tuple[Rule, ...]:
-    """Order ``rules`` by rejection per cost, measured on about ``sample_docs``
-    documents chosen by a hash of the id.  Only one row per rule and task
-    reaches the driver."""
+                 id_col: str = "doc_id", text_col: str = "text", after_base: bool = False) -> tuple[Rule, ...]:
+    """Order ``rules`` by conditional rejection per cost, measured on about
+    ``sample_docs`` documents chosen by a hash of the id.  With ``after_base``
+    only those that pass the base test count, and what it has measured is free.
+    One row per rule and per set of rejecting rules reaches the driver."""
     n = docs.count()
     if n == 0:
         return rules
-    share = min(1.0, sample_docs / n)
-    picked = (docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = (docs.where(place(id_col, 11) <= threshold(min(1.0, sample_docs / n)))
               .select(F.col(text_col).alias("text")))
-    got = (picked.mapInArrow(_sample_costs(rules), "rule long, docs long, rejected long, seconds double")
-           .groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("docs", "rejected", "seconds"))).collect())
-    worth = {r["rule"]: (r["rejected"] / r["docs"]) / max(r["seconds"] / r["docs"], 1e-12) if r["docs"] else 0.0
-             for r in got}
-    return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: (-worth.get(i, 0.0), i)))
+    got = (picked.mapInArrow(_measure(rules, after_base), "mask long, rule long, docs long, seconds double")
+           .groupBy("mask", "rule").agg(F.sum("docs").alias("docs"), F.sum("seconds").alias("seconds")).collect())
+    cost = {r["rule"]: r["seconds"] / max(r["docs"], 1) for r in got if r["rule"] >= 0}
+    masks = {r["mask"]: r["docs"] for r in got if r["rule"] < 0}
+    return tuple(rules[i] for i in greedy(masks, [cost.get(i, 0.0) for i in range(len(rules))]))
 
 
 def _take(b: Blob, alive: np.ndarray, space: np.ndarray) -> Blob:
@@ -189,19 +236,17 @@ def _take(b: Blob, alive: np.ndarray, space: np.ndarray) -> Blob:
     return Blob(data, np.concatenate([[0], np.cumsum(size[alive])]), space, b.table)
 
 
-def cascade(b: Blob, ordered: tuple[Rule, ...], space: np.ndarray) -> np.ndarray:
+def cascade(stats: Stats, ordered: tuple[Rule, ...], space: np.ndarray) -> np.ndarray:
     """Verdict of each document; later rules see the survivors only."""
-    alive, part = np.arange(b.n), b
-    stats = Stats(part)
+    alive = np.arange(stats.b.n)
+    kept = np.zeros(stats.b.n, bool)
     for r in ordered:
         bad = r.rejects(stats)
         if bad.any():
             alive = alive[~bad]
             if not len(alive):
                 break
-            part = _take(part, np.flatnonzero(~bad), space)
-            stats = Stats(part)
-    kept = np.zeros(b.n, bool)
+            stats = stats.take(np.flatnonzero(~bad), space)
     kept[alive] = True
     return kept
 
@@ -214,7 +259,7 @@ def apply_cascade(docs: DataFrame, ordered: tuple[Rule, ...], id_col: str = "doc
         for batch in batches:
             col, kept = batch.column(1), np.zeros(batch.num_rows, bool)
             for a, z, b in blobs(col):
-                kept[a:z] = cascade(b, ordered, space)
+                kept[a:z] = cascade(Stats(b), ordered, space)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept)], ["id", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -230,7 +275,7 @@ def quality_report(docs: DataFrame, ordered: tuple[Rule, ...] | None = None) ->
 
     base_failed: fewer than 20 words, or over 30 % of the words lie in 8-word
     windows found twice.  Only documents that pass it enter the cascade."""
-    ordered = plan_cascade(docs) if ordered is None else ordered
+    ordered = plan_cascade(docs, after_base=True) if ordered is None else ordered
 
     def run(batches):
         space = space_table()
@@ -241,12 +286,11 @@ def quality_report(docs: DataFrame, ordered: tuple[Rule, ...] | None = None) ->
             for a, z, b in blobs(batch.column(1)):
                 s = Stats(b)
                 ints[:, a:z] = s.words, s.word_chars, s.symbols, s.dup_lines, s.repeat_words
-                bad = (s.words < MIN_WORDS) | (100 * s.repeat_words > 30 * s.words)
+                bad = _base_failed(s)
                 failed[a:z] = bad
                 good = np.flatnonzero(~bad)
                 if len(good):
-                    whole = len(good) == b.n
-                    kept[a + good] = cascade(b if whole else _take(b, good, space), ordered, space)
+                    kept[a + good] = cascade(s if len(good) == b.n else s.take(good, space), ordered, space)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, ints), pa.array(failed), pa.array(kept)],
                                              names=[x.split()[0] for x in OUT.split(", ")])
 
