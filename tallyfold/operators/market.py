@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -306,7 +308,8 @@ def vocabulary(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalized_text(text), " "), lambda w: F.length(w) > 0))
 
 
-PARITY = 8  # longs of a text's parity bits
+PARITY = 4  # longs of a text's parity bits
+WIDE = PARITY * 64 * 8 // 5  # texts of more words than this have more bits in ``wide``
 RARE_OFF = 3  # most words that ``certain_groups`` leaves out
 
 
@@ -326,33 +329,102 @@ def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
 
 
 def described_texts(words: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
-    """``words (rid, w)``, the distinct words of texts, -> one row per text:
-    its size n, the prefix, parity bits and remainders.
+    """``described`` of ``words (rid, w)``, the distinct words of texts."""
+    return described(words.groupBy("rid").agg(F.collect_list("w").alias("voc")), head, threshold)
+
+
+def _mixed(w: np.ndarray, seed: int) -> np.ndarray:
+    w = (w + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    w = (w ^ (w >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    w = (w ^ (w >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return w ^ (w >> np.uint64(31))
+
+
+def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
+    """``texts (rid, voc)`` with one or more distinct words each -> one row per
+    text: its size n, the prefix, parity bits and remainders; no shuffle.
 
     Words are ordered from rare to frequent: those outside ``head`` (w, df) by
     hash, then the head by the number of texts.  In any one order, two texts
     with Jaccard >= threshold share a word among the first ``n - ceil(threshold
     * n) + 1`` of each: ``prefix`` holds them as (w, pos).  Every word flips one
-    of 512 ``bits``: two texts differ in at least as many words as bits.
-    ``rest`` holds two hashes of the text without its 0, 1... rarest words.  The
-    words of a text stay together, so its array is built before the shuffle."""
-    at, bit = F.pmod("w", F.lit(PARITY)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("w", 3), F.lit(64)).cast("int"))
-    zero = F.lit(0).cast("long")
-    df = F.coalesce("df", zero)
-    t = words.join(F.broadcast(head), "w", "left").groupBy("rid").agg(  # head: at most HEAD_WORDS rows
-        F.sort_array(F.collect_list(F.struct(df.alias("df"), "w"))).alias("ws"),  # one text's own words
-        F.array(*(F.coalesce(F.bit_xor(F.when(at == i, bit)), zero) for i in range(PARITY))).alias("bits"),
-        *(F.bit_xor(F.xxhash64("w", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)))
-    n = F.size("ws")
-    first = F.slice("ws", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    prefix = F.transform(first, lambda x, i: F.struct(x["w"].alias("w"), i.alias("pos")))
-    rest, xs = [], [F.col("_x1"), F.col("_x2")]
-    for k in range(RARE_OFF + 1):
-        rest.append(F.struct((n - k).alias("r"), F.lit(k).alias("k"), xs[0].alias("a"), xs[1].alias("b")))
-        gone = F.get("ws", F.lit(k))["w"]
-        xs = [F.coalesce(x.bitwiseXOR(F.xxhash64(gone, F.lit(seed))), zero) for x, seed in zip(xs, (1, 2))]
-    return t.select("rid", n.alias("n"), "bits", prefix.alias("prefix"),
-                    F.array(*rest).alias("rest"))
+    of 256 ``bits``: two texts differ in at least as many words as bits.  They
+    fill up in long texts, so a text of more than WIDE words also has ``wide``
+    bits, a power of two in proportion to its words.  ``rest`` holds two hashes
+    of the text without its 0, 1... rarest words."""
+    top = head.toArrow()  # at most HEAD_WORDS rows
+    hw, hdf = top["w"].to_numpy(), top["df"].to_numpy()
+    o = np.argsort(hw)
+    shared = texts.sparkSession.sparkContext.broadcast((hw[o], hdf[o]))
+
+    def run(batches):
+        hw, hdf = shared.value
+        for batch in batches:
+            w, n = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            if not len(n):
+                continue
+            doc, df = np.repeat(np.arange(len(n)), n), np.zeros(len(w), np.int64)
+            if len(hw):
+                at = np.minimum(np.searchsorted(hw, w), len(hw) - 1)
+                df = np.where(hw[at] == w, hdf[at], 0)
+            w = w[np.lexsort((w, df, doc))]
+            start = np.cumsum(n) - n
+            pos = np.arange(len(w)) - start[doc]
+            keep = (n - np.ceil(n * threshold - 1e-9) + 1).astype(np.int64)
+            first = pos < keep[doc]
+            prefix = pa.StructArray.from_arrays([pa.array(w[first]), pa.array(pos[first].astype(np.int32))], names=["w", "pos"])
+            u = w.view(np.uint64)
+            flip, slot = np.uint64(1) << (u & np.uint64(63)), u >> np.uint64(6)
+
+            def parity(size, mine):
+                """Bits in ``size`` longs per text, of the texts ``mine``."""
+                edge = np.concatenate([[0], np.cumsum(size)])
+                out, some = np.zeros(edge[-1], np.uint64), mine[doc]
+                d = doc[some]
+                np.bitwise_xor.at(out, edge[d] + (slot[some] & (size[d] - 1).astype(np.uint64)).astype(np.int64), flip[some])
+                return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(out.view(np.int64)))
+
+            long = n > WIDE
+            longs = np.where(long, PARITY << np.ceil(np.log2(np.maximum(n, WIDE) / WIDE)).astype(np.int64), 0)
+            xs = [np.bitwise_xor.reduceat(_mixed(u, seed), start) for seed in (1, 2)]
+            rest = []
+            for k in range(RARE_OFF + 1):
+                rest.append([n - k, np.full(len(n), k), *xs])
+                gone = u[np.minimum(start + k, len(u) - 1)]
+                xs = [x ^ np.where(k < n, _mixed(gone, seed), 0).astype(np.uint64) for x, seed in zip(xs, (1, 2))]
+            r, k, a, b = (np.stack([x[i] for x in rest], 1).ravel() for i in range(4))
+            rest = pa.StructArray.from_arrays([pa.array(r.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(a.view(np.int64)),
+                                               pa.array(b.view(np.int64))], names=["r", "k", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n.astype(np.int32)), parity(np.full(len(n), PARITY), np.ones(len(n), bool)), parity(longs, long),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), prefix),
+                 pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * (RARE_OFF + 1)).astype(np.int32)), rest)],
+                names=["rid", "n", "bits", "wide", "prefix", "rest"])
+
+    rid = texts.schema["rid"].dataType.simpleString()
+    return texts.select("rid", "voc").mapInArrow(run, f"rid {rid}, n int, bits array<long>, wide array<long>, prefix array<struct<w:long,pos:int>>, "
+                                                      "rest array<struct<r:int,k:int,a:long,b:long>>")
+
+
+def _few(differ: Column, threshold: float) -> Column:
+    """Two texts of (na, nb) words may differ in that many and reach the threshold."""
+    return differ <= (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def near_by_wide_bits(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``pairs (a, b, na, nb, ...)`` that may reach the threshold by their wide
+    bits.  Sizes are powers of two: the longer one is folded onto the shorter."""
+    def fold(x, y):
+        h = F.greatest((F.size(x) / 2).cast("int"), F.lit(1))
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), h), F.slice(x, h + 1, h), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    both = F.least("na", "nb") > WIDE
+    wide = texts.where(F.col("n") > WIDE)
+    x = pairs.where(both).join(wide.select(F.col("rid").alias("a"), F.col("wide").alias("_wa")), "a") \
+        .join(wide.select(F.col("rid").alias("b"), F.col("wide").alias("_wb")), "b")
+    bits = F.zip_with(fold("_wa", "_wb"), fold("_wb", "_wa"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    x = x.where(_few(F.aggregate(bits, F.lit(0), lambda s, c: s + c), threshold))
+    return pairs.where(~both).unionByName(x.select(*pairs.columns))
 
 
 def may_reach(threshold: float) -> Column:
@@ -364,7 +436,7 @@ def may_reach(threshold: float) -> Column:
     here = F.least(F.col("pa"), F.col("pb")) + F.least(na - F.col("pa"), nb - F.col("pb"))
     differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY)), F.lit(0))
     return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - 1e-9) & (here >= least) \
-        & (differ <= (na + nb) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+        & _few(differ, threshold)
 
 
 def certain_groups(texts: DataFrame, threshold: float) -> DataFrame:
@@ -387,8 +459,8 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
        (``certain_groups``).
     2. The entries of every text's prefix (rare words first) put texts into
        buckets by word.  A pair of a bucket becomes a row only if its sizes and
-       the positions of the word let it reach the threshold, and is verified by
-       the exact Jaccard.
+       the positions of the word and some parity bits let it reach the threshold;
+       long texts have more bits.  What is left is verified by the exact Jaccard.
     3. Buckets are worked off in rounds: leaders meet the members of other
        series, ``growth`` times as many leaders each round; a bucket is done
        when its members are one series or all have led.  No pair within the
@@ -412,9 +484,9 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
     reps = stored(v.where(F.size("_voc") > 0).groupBy("_vh").agg(F.min(F.struct(F.col("review_id").alias("rid"), "_row")).alias("_m"))
                   .select("_vh", "_m.*"), "reps")
     voc = v.select("_row", F.col("_voc").alias("voc")).join(reps.select("rid", "_row"), "_row").select("rid", "voc")
-    words = voc.select("rid", F.explode("voc").alias("w"))
+    words = voc.select(F.explode("voc").alias("w"))
     counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    texts = stored(described_texts(words, frequent_words(counts), threshold), "texts")
+    texts = stored(described(voc, frequent_words(counts), threshold), "texts")
     labels = reps.select("rid", F.col("rid").alias("label"))
 
     def merged(labels: DataFrame, links: DataFrame, step: int) -> DataFrame:
@@ -435,15 +507,20 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
         members = stored(members.join(unsettled, "w", "left_semi"), f"open-{step}")  # a settled bucket stays settled
         if members.isEmpty():
             break
-        now = members.join(labels.join(texts.select("rid", "bits"), "rid"), "rid")
+        # one shuffle by word for leaders and members alike
+        now = members.join(labels.join(texts.select("rid", "bits"), "rid"), "rid").repartition("w")
         rank = F.row_number().over(Window.partitionBy("w").orderBy("n", "rid"))
         lead = now.withColumn("_r", rank).where(F.col("_r") <= upto).where(F.col("_r") > done)
         lead = lead.select("w", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
                            F.col("pos").alias("pa"), F.col("bits").alias("ba"))
         pairs = (now.select("w", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
-                 .join(lead, "w").where((F.col("la") != F.col("lb")) & may_reach(threshold)).select("a", "b", "la", "lb").distinct())
-        va = voc.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
-        vb = voc.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
+                 .join(lead, "w").where((F.col("la") != F.col("lb")) & may_reach(threshold)).select("a", "b", "la", "lb", "na", "nb").distinct())
+        pairs = stored(near_by_wide_bits(stored(pairs, f"pairs-{step}"), texts, threshold).select("a", "b", "la", "lb"), f"near-{step}")
+        # only the vocabularies of these pairs are moved
+        need = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), f"need-{step}")
+        some = voc.join(need, "rid", "left_semi")
+        va = some.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
+        vb = some.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
         j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
         links = stored(pairs.join(va, "a").join(vb, "b").where(j >= threshold)
                        .select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), f"links-{step}")

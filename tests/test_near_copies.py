@@ -99,3 +99,28 @@ def test_a_template_with_one_own_word_is_one_series_without_pairs(spark):
     texts = [base + [own(i)] for i in range(4000)]  # eight million pairs, all true
     got = {r.series_id for r in near_copy_series(_texts(spark, texts)).collect()}
     assert got == {0}
+
+
+def test_unrelated_long_texts_are_dropped_before_their_words_are_compared(spark):
+    """256 or 512 parity bits fill up in texts of thousands of words, which
+    all passed; wide bits of both sizes drop them and keep every true pair."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import market as M
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=9))
+    shared, texts = [word() for _ in range(300)], []
+    for n in (500, 810, 830, 1600, 1650, 3300):
+        t = shared + [word() for _ in range(n)]
+        texts += [t, t[:-n // 12] + [word() for _ in range(n // 12)], t[:-n // 12]]
+        texts += [shared + [word() for _ in range(n)] for _ in range(2)]
+    texts = [sorted(set(t)) for t in texts]
+    voc = _texts(spark, texts).select(F.col("review_id").alias("rid"), F.transform(M.vocabulary(F.col("text")), lambda w: F.xxhash64(w)).alias("voc"))
+    described = M.described(voc, spark.createDataFrame([], "w long, df long"), 0.8)
+    side = lambda x: described.select(F.col("rid").alias(x), F.col("n").alias("n" + x))
+    near = side("a").crossJoin(side("b")).where("a < b and least(na, nb) >= 0.8 * greatest(na, nb)")
+    got = {(r.a, r.b) for r in M.near_by_wide_bits(near, described, 0.8).where(f"least(na, nb) > {M.WIDE}").collect()}
+    true = _pairs(texts)
+    assert len(true) >= 18 and got == true
