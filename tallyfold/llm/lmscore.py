@@ -8,16 +8,19 @@ document.  All counts cover all training documents:
   for every other word, and the end token.
 
 Exchange clustering on those bigrams moves each word to the class that raises
-the class-bigram likelihood most, sweep by sweep.  All other words form one
-class, the end token another.  The model is
+the class-bigram likelihood most, sweep by sweep.  Every other word of the
+training documents, however rare, then goes to the class in which it is most
+likely given the classes beside all its occurrences (``place``; a shared symbol
+stands for neighbours beyond the clustered ones).  Transitions are counted over
+all training tokens with these classes.  The end token is a class of its own,
+tokens unseen in training another.  The model is
 P(token | before) = P(class | class before) * P(token | class): transitions
-are smoothed by adding 0.5, a clustered word's emission is its share of its
-class, and the open class emits a word seen c times with
-(c + 0.5) / (N_open + 0.5 * (V_open + 1)), which leaves mass for unseen words.
+are smoothed by adding 0.5, and a token's emission is its share of its class.
 
 Only bounded data is broadcast: at most ``HEAD`` of the most frequent tokens
-with their counts.  Every other token of a document is looked up by a join with the full
-counts, so no count is approximated however large the vocabulary grows.
+with their counts and classes.  Every other token of a document is looked up by
+a join with the full vocabulary, so no count or class is approximated however
+large the vocabulary grows.
 
 Null text is empty: one end token.  Repeated rows are scored each.  Without
 any training row every token is unseen (N = 0, V = 0).  Tokens are told apart
@@ -36,9 +39,10 @@ from .text import U, Blob, blobs, process_cache
 CLUSTERED = 1000
 CLASSES = 48
 SWEEPS = 6
-HEAD = 1 << 19
+HEAD = 1 << 18
 END = np.int64(0x5EED0FE7D)  # the end token's own id
-FLUSH = 3_000_000
+FLUSH = 2_000_000
+SLICE = 1 << 20  # most tokens (or one document) worked on at once
 
 
 def tokens(b: Blob) -> tuple[np.ndarray, np.ndarray]:
@@ -176,127 +180,229 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return cls
 
 
+def count_contexts(docs: DataFrame, words: np.ndarray, cls: np.ndarray) -> DataFrame:
+    """(w, slot, n) of all tokens but ``words`` and END: how often a token of
+    class ``slot`` follows, and one of class ``slot - k`` stands before."""
+    m, k = len(words), int(cls.max()) + 1
+    shared = docs.sparkSession.sparkContext.broadcast((words, cls))
+
+    def run(batches):
+        words, cls = shared.value
+        find = Lookup(words)
+        for batch in batches:
+            for _, _, b in blobs(batch.column(0), lower=True, limit=1 << 21):
+                t, _ = tokens(b)
+                s = find(t)
+                s[s < 0] = m
+                s[t == END] = m + 1
+                c = cls[s]
+                before, after = np.concatenate([cls[-1:], c[:-1]]), np.concatenate([c[1:], cls[-1:]])
+                other = s == m
+                w, i = np.unique(t[other], return_inverse=True)
+                at, n = np.unique(np.concatenate([i * (2 * k) + after[other], i * (2 * k) + k + before[other]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w[at // (2 * k)]), pa.array((at % (2 * k)).astype(np.int32)), pa.array(n)],
+                                                 names=["w", "slot", "n"])
+
+    return (docs.select("text").mapInArrow(run, "w long, slot int, n long")
+            .groupBy("w", "slot").agg(F.sum("n").alias("n")))
+
+
+def place(contexts: DataFrame, gain: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(w, n, c): every token's count and the class of the greatest likelihood.
+    ``gain`` (slot, class): log probability of a class beside one neighbour."""
+    k = len(gain) // 2
+    lone = np.log10(np.maximum(size, 1))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                lists = part.column(1)
+                at, x = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
+                slot, n = x.field("slot").to_numpy(), x.field("n").to_numpy()
+                seen = np.bincount(at, np.where(slot < k, n, 0), part.num_rows)  # every token has one that follows
+                like = np.zeros((part.num_rows, gain.shape[1]))
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                like[at[first]] = np.add.reduceat(n[:, None] * gain[slot], first)
+                best = np.argmax(like - seen[:, None] * lone[None, :], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seen.astype(np.int64)), pa.array(best.astype(np.int16))], names=["w", "n", "c"])
+
+    by_word = contexts.groupBy("w").agg(F.collect_list(F.struct("slot", "n")).alias("s"))  # at most 2 k entries
+    return by_word.mapInArrow(run, "w long, n long, c short")
+
+
+def _transitions(pair: np.ndarray) -> np.ndarray:
+    return np.log10((pair + 0.5) / (pair.sum(1, keepdims=True) + 0.5 * len(pair)))
+
+
 def train(docs: DataFrame, folder: str, clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> dict:
-    """Counts (stored under ``folder``), the head and the class model."""
+    """Counts and classes (stored under ``folder``), the head and the class model."""
     spark = docs.sparkSession
-    count_tokens(docs).write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    vocabulary = spark.read.parquet(f"{folder}/vocabulary")
-    total, distinct = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
+    count_tokens(docs).write.mode("overwrite").parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     # The head by a count threshold: a histogram over steps of 1/16 octave (a few
     # hundred rows), then the tokens above it.  No task sorts the vocabulary.
     step = F.floor(F.log2("n") * 16)
-    below, least = 0, None
-    for row in vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("s")).collect():
-        below += row["c"]
-        if below > head:
-            break
-        least = row["s"]
-    chosen = F.col("w") == END.item()  # END is always known
-    if least is not None:
-        chosen = chosen | (step >= least)
-    top = vocabulary.where(chosen).toArrow()  # bounded by ``head`` and END
+    hist = counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("s")).collect()
+
+    def most_frequent(of: DataFrame, most: int):
+        below, least = 0, None
+        for row in hist:
+            below += row["c"]
+            if below > most:
+                break
+            least = row["s"]
+        chosen = F.col("w") == END.item()  # END is always known
+        if least is not None:
+            chosen = chosen | (step >= least)
+        return of.where(chosen).toArrow()  # bounded by ``most`` and END
+
+    top = most_frequent(counts, head)
     w, n = top["w"].to_numpy(), top["n"].to_numpy()
     o = np.lexsort((w, -n))
     w, n = w[o], n[o]
-    words = np.sort(w[w != END][:clustered])
+    few = w != END
+    words, sizes = w[few][:clustered], n[few][:clustered]
+    o = np.argsort(words)
+    words, sizes = words[o], sizes[o]
     rows = count_bigrams(docs, words).toArrow()  # bounded by (clustered + 2) ** 2
     m = len(words)
     big = np.zeros((m + 2, m + 2))
     big[rows["a"].to_numpy(), rows["b"].to_numpy()] = rows["n"].to_numpy()
     cls = exchange(big, classes)
-    k = int(cls.max()) + 1
+    k, last = int(cls.max()) + 1, int(cls[m])  # classes below ``last`` take words
     one = np.eye(k)[cls]
-    pair = one.T @ big @ one
-    transition = np.log10((pair + 0.5) / (pair.sum(1, keepdims=True) + 0.5 * k))
+    move = _transitions(one.T @ big @ one)
+    gain = np.concatenate([move[:last].T, move[:, :last]])  # what follows, what stands before
+    placed = place(count_contexts(docs, words, cls), gain, np.bincount(cls[:m], sizes, last))
+    known = [(int(a), int(b), int(c)) for a, b, c in zip(words, sizes, cls)]  # at most ``clustered`` rows
+    known += [(int(END), int(x), int(cls[m + 1])) for x in n[~few]]
+    (placed.unionByName(spark.createDataFrame(known, "w long, n long, c short"))
+     .write.mode("overwrite").parquet(f"{folder}/vocabulary"))
+    vocabulary = spark.read.parquet(f"{folder}/vocabulary")
+    size = np.ones(k)
+    for row in vocabulary.groupBy("c").agg(F.sum("n").alias("n")).collect():
+        size[row["c"]] = row["n"]
+    top = most_frequent(vocabulary, head)
+    w, n, c = (top[x].to_numpy() for x in ("w", "n", "c"))
     o = np.argsort(w)
-    w, n = w[o], n[o]
-    symbol = np.full(len(w), m)
-    if m:
-        at = np.minimum(np.searchsorted(words, w), m - 1)
-        symbol[words[at] == w] = at[words[at] == w]
-    symbol[w == END] = m + 1
-    is_open = symbol == m
-    size = np.bincount(cls[symbol[~is_open]], n[~is_open], k)
-    emission = np.zeros(len(w))
-    emission[~is_open] = np.log10(n[~is_open] / size[cls[symbol[~is_open]]])
     total = int(total or 0)
-    n_open = total - int(n[~is_open].sum())
-    v_open = int(distinct) - int((~is_open).sum())
-    return {"w": w, "n": n, "cls": cls[symbol].astype(np.int16), "emission": emission, "transition": transition,
-            "open": int(cls[m]), "end": int(cls[m + 1]), "open_log": float(np.log10(n_open + 0.5 * (v_open + 1))),
-            "base_log": float(np.log10(total + 0.5 * (distinct + 1))), "train_tokens": total,
-            "vocabulary": f"{folder}/vocabulary"}
+    model = {"w": w[o], "n": n[o], "cls": c[o], "size": np.log10(size), "transition": move, "open": last, "end": int(cls[m + 1]),
+             "base_log": float(np.log10(total + 0.5 * (distinct + 1))), "train_tokens": total, "vocabulary": f"{folder}/vocabulary"}
+    pair = np.zeros((k, k))
+    found = _resolved(docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), model, f"{folder}/train")
+    for row in count_classes(found, k).collect():  # at most k * k rows
+        pair[row["a"], row["b"]] = row["n"]
+    return model | {"transition": _transitions(pair)}
 
 
-OUT = ("doc_id long, held_out boolean, n_tokens long, n_known long, n_open long, logs double, steps double, "
-       "w array<long>, tf array<long>")
+OUT = ("doc_id long, held_out boolean, n_tokens long, n_known long, logs double, names double, "
+       "seq array<short>, w array<long>")
 
 
 def _partial(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: everything the head decides, and the tokens beyond it.
 
-    logs: sum of log10(c + 0.5) over head tokens; steps: transitions and
-    clustered emissions, with log10(c + 0.5) of open head tokens."""
+    logs, names: sums of log10(c + 0.5) and log10(c) over head tokens; seq: the
+    class of every token, -1 for those beyond the head, which ``w`` holds in
+    their order."""
     token = model["vocabulary"]
-    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "vocabulary"})
+    shared = docs.sparkSession.sparkContext.broadcast({k: model[k] for k in ("w", "n", "cls")})
 
     def run(batches):
         m, c = shared.value, process_cache()
         if c.get("lm", (None,))[0] != (token, len(m["w"])):
             c["lm"] = ((token, len(m["w"])), Lookup(m["w"]))
         find = c["lm"][1]
-        known = np.log10(m["n"] + 0.5) if len(m["n"]) else np.zeros(0)
-        is_open = m["cls"] == m["open"]
-        step = np.where(is_open, known, m["emission"])
+        # one more entry, for what is not found (-1)
+        known, names = np.append(np.log10(m["n"] + 0.5), 0), np.append(np.log10(m["n"]), 0)
+        cls = np.append(m["cls"], -1).astype(np.int16)
         for batch in batches:
-            cols = [np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, np.int64, float, float)]
-            rare_w, rare_n, cut = [], [], [0]
+            cols = [np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, float, float)]
+            seq, rare, size = [], [], np.zeros(batch.num_rows, np.int64)
             for a, z, b in blobs(batch.column(2), lower=True):
                 t, doc = tokens(b)
                 i = find(t)
-                hit = i >= 0
-                j = np.maximum(i, 0)
-                cls = np.where(hit, np.take(m["cls"], j) if len(m["cls"]) else 0, m["open"])
-                cls[t == END] = m["end"]
-                prev = np.concatenate([[m["end"]], cls[:-1]])
-                move = m["transition"][prev, cls]
+                miss = i < 0
                 cols[0][a:z] = b.n_words + 1
-                cols[1][a:z] = np.bincount(doc[hit], minlength=b.n)
-                cols[2][a:z] = np.bincount(doc[cls == m["open"]], minlength=b.n)
-                cols[3][a:z] = np.bincount(doc[hit], np.take(known, i[hit]), b.n)
-                cols[4][a:z] = np.bincount(doc, move, b.n) + np.bincount(doc[hit], np.take(step, i[hit]), b.n)
-                d, r = doc[~hit], t[~hit]
-                o = np.lexsort((r, d))
-                d, r = d[o], r[o]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
-                first = np.flatnonzero(new)
-                rare_w.append(r[first])
-                rare_n.append(np.diff(np.append(first, len(r))))
-                cut += (cut[-1] + np.cumsum(np.bincount(d[first], minlength=b.n))).tolist()
-            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64()))
-                     for x in (rare_w, rare_n)]
+                cols[1][a:z] = np.bincount(doc[~miss], minlength=b.n)
+                cols[2][a:z] = np.bincount(doc, known[i], b.n)
+                cols[3][a:z] = np.bincount(doc, names[i], b.n)
+                size[a:z] = np.bincount(doc[miss], minlength=b.n)
+                seq.append(cls[i])
+                rare.append(t[miss])
+            edge = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge(x), pa.array(np.concatenate(y) if y else [], z))
+                     for x, y, z in ((cols[0], seq, pa.int16()), (size, rare, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols), *lists],
                                              names=[x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, OUT)
 
 
-def score(docs: DataFrame, model: dict, folder: str) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    perplexity) of every row of (doc_id, held_out, text)."""
+def _resolved(docs: DataFrame, model: dict, folder: str) -> DataFrame:
+    """Rows of ``_partial`` with what the full vocabulary says of the tokens
+    beyond the head: sums ``more``, ``also`` and ``rest``, and ``late``, their
+    classes in order."""
     spark = docs.sparkSession
     _partial(docs, model).withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/partial")
     part = spark.read.parquet(f"{folder}/partial")
     vocabulary = spark.read.parquet(model["vocabulary"])
-    rare = part.select("row", F.explode(F.arrays_zip("w", "tf")).alias("t")).select("row", "t.w", "t.tf")
+    rare = part.select("row", F.posexplode("w").alias("i", "w"))
+    late = F.sort_array(F.collect_list(F.struct("i", F.coalesce("c", F.lit(model["open"]).cast("short")).alias("c"))))  # one document's own tokens
     found = rare.join(vocabulary, "w", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.5))).alias("more"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("also"))
+        F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.5))).alias("more"), F.count("n").alias("also"),
+        F.coalesce(F.sum(F.log10("n")), F.lit(0.0)).alias("rest"), F.transform(late, lambda x: x["c"]).alias("late"))
+    return part.drop("w").join(found, "row", "left").drop("row")
+
+
+def _sequences(seq: pa.Array, late: pa.Array):
+    """(first row, end row, classes, document) in slices of whole documents."""
+    n = seq.value_lengths().to_numpy().astype(np.int64)
+    full = seq.flatten().to_numpy().copy()
+    full[full < 0] = late.flatten().to_numpy()
+    edge = np.concatenate([[0], np.cumsum(n)])
+    a = 0
+    while a < len(n):
+        z = max(a + 1, int(np.searchsorted(edge, edge[a] + SLICE, "right")) - 1)
+        yield a, z, full[edge[a]:edge[z]].astype(np.int64), np.repeat(np.arange(z - a), n[a:z])
+        a = z
+
+
+def count_classes(found: DataFrame, k: int) -> DataFrame:
+    """(a, b, n): how often class b follows class a in the rows of ``_resolved``."""
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for _, _, c, _ in _sequences(batch.column(0), batch.column(1)):
+                before = np.concatenate([c[-1:], c[:-1]])  # every document ends with END
+                total += np.bincount(before * k + c, minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at // k), pa.array(at % k), pa.array(total[at])], names=["a", "b", "n"])
+
+    return found.select("seq", "late").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def score(docs: DataFrame, model: dict, folder: str) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    perplexity) of every row of (doc_id, held_out, text)."""
+    move, size = model["transition"], model["size"]
+
+    def run(batches):
+        for batch in batches:
+            steps = np.zeros(batch.num_rows)
+            for a, z, c, doc in _sequences(batch.column(0), batch.column(1)):
+                before = np.concatenate([c[-1:], c[:-1]])
+                steps[a:z] = np.bincount(doc, move[before, c] - size[c], z - a)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(steps)], names=[*batch.schema.names[2:], "steps"])
+
     more = F.coalesce("more", F.lit(0.0))
-    value = F.col("steps") + more - F.col("n_open") * F.lit(model["open_log"])
-    return part.drop("w", "tf").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model["train_tokens"]).cast("long").alias("train_tokens"),
+    part = _resolved(docs, model, folder).select(
+        "seq", "late", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
         (F.col("logs") + more - F.col("n_tokens") * F.lit(model["base_log"])).alias("base_score"),
-        value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"))
+        (F.col("names") + F.coalesce("rest", F.lit(0.0))).alias("names"))
+    part = part.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, names double, steps double")
+    value = F.col("names") + F.col("steps")
+    return part.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["train_tokens"]).cast("long").alias("train_tokens"), "base_score",
+                       value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"))

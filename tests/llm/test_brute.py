@@ -9,6 +9,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,33 @@ def test_lm_head_size_does_not_change_the_counts(spark, tmp_path):
         assert len(m["w"]) <= head + 1
         out.append({r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lmscore.score(q, m, folder).collect()})
     assert out[0] == out[1] == out[2]
+
+
+def test_lm_gives_every_word_a_class(spark, tmp_path):
+    """Words beyond the clustered ones had one class together; a score was
+    their counts alone.  Scores against the model's formula in plain Python."""
+    from tallyfold.llm import lmscore
+    texts = [f"the {a} runs fast . a {b} is {c} ." for i in range(40) for a, b, c in [(f"dog{i}", f"cat{i % 7}", f"red{i}")]] + [None, "", "the dog1 unseen red2 ."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q, out = df.select("doc_id", F.lit(False).alias("held_out"), "text"), []
+    for head in (lmscore.HEAD, 8, 0):
+        folder = str(tmp_path / str(head))
+        m = lmscore.train(df.where("doc_id < 42"), folder, clustered=6, classes=3, head=head)
+        voc = {r.w: (r.n, r.c) for r in spark.read.parquet(m["vocabulary"]).collect()}
+        words = collections.Counter(w for t in texts[:42] for w in brute.words(t or ""))
+        assert sorted(n for n, _ in voc.values()) == sorted([*words.values(), 42])
+        assert m["open"] not in {c for _, c in voc.values()}  # no word is left over
+        seq = [[voc.get(int(w), (0, m["open"])) for w in lmscore.tokens(next(lmscore.blobs(pa.array([t], pa.string()), lower=True))[2])[0]] for t in texts]
+        k = m["end"] + 1
+        pair, size = np.zeros((k, k)), collections.Counter()
+        for s in seq[:42]:
+            for (_, a), (_, b) in zip([(0, m["end"]), *s], s):
+                pair[a, b] += 1
+        for n, c in voc.values():
+            size[c] += n
+        p = (pair + 0.5) / (pair.sum(1, keepdims=True) + 0.5 * k)
+        got = {r.doc_id: r.score for r in lmscore.score(q, m, folder).collect()}
+        for i, s in enumerate(seq):
+            want = sum(math.log10(p[a, b] * (n / size[b] if n else 1)) for (_, a), (n, b) in zip([(0, m["end"]), *s], s))
+            assert got[i] == pytest.approx(want, rel=1e-9)
+        out.append(got)
