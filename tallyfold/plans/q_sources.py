@@ -180,6 +180,8 @@ def s7(spark, d):
     base = Fixtures(spark, d).payments().select(*cols).withColumn("_v", F.lit(0))
     base.write.partitionBy("provider").parquet(path)
     changed = payment_state(spark, d).where(F.col("changed")).select(*cols).withColumn("_v", F.lit(1))
+    changed.write.parquet(f"{path}-changed")  # computed once, delivered twice
+    changed = spark.read.schema(changed.schema).parquet(f"{path}-changed")
     for _ in range(2):
         L.upsert_parquet(spark, changed, path, ["id"], ["_v"], ["provider"])
     return spark.read.parquet(path).select(*cols)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_int_prefix
-from ..session import path_exists
+from ..session import ensure_checkpoint_dir, path_exists
 
 # ---- S5 -----------------------------------------------------------------------
 # allow-list: the only log keys that leave the parser (names, usernames and
@@ -99,11 +101,19 @@ def upsert_parquet(spark: SparkSession, updates: DataFrame, path: str, keys: lis
     """Idempotent latest-state sink (no table format assumed).
 
     Only the partitions that receive updates, and those that hold an older row
-    of an updated key, are rewritten: their current rows are unioned with the updates, the latest version per key survives,
-    lineage is cut with a reliable ``checkpoint()`` (the rows are read from
+    of an updated key, are rewritten: their current rows are unioned with the updates, the latest version per key survives
+    and is stored under the checkpoint folder (the rows are read from
     the same folder they are written to), and the partitions are replaced
-    with dynamic partition overwrite.  Replaying the same updates yields the
+    with dynamic partition overwrite.  The updates are computed once and stored
+    there too, as several steps read them.  Replaying the same updates yields the
     same table."""
+    stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{stage}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{stage}/{name}")
+
+    updates = stored(updates, "updates")
     if not set(partition_by) <= set(keys):
         # a key could move: the partition that holds its old row is rewritten too
         moved = updates.select(*keys).distinct()
@@ -123,11 +133,10 @@ def upsert_parquet(spark: SparkSession, updates: DataFrame, path: str, keys: lis
     cols = merged.columns
     latest = (merged.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*version)).alias("_r"))
               .select("_r.*").select(*cols))
-    latest = latest.checkpoint(eager=True)
+    latest = stored(latest, "latest")
     emptied = None
     if exists and moved is not None:  # known before the write, removed after it
-        emptied = (touched.distinct().join(latest.select(*partition_by).distinct(), partition_by, "left_anti")
-                   .checkpoint(eager=True))
+        emptied = stored(touched.distinct().join(latest.select(*partition_by).distinct(), partition_by, "left_anti"), "emptied")
     (latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
     if emptied is not None:  # a replay after a crash here finds and drops them again
