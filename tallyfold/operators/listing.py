@@ -62,21 +62,26 @@ def _words(c: str) -> Column:
 
 
 def token_index(cards: DataFrame) -> DataFrame:
-    """Positional index of the descriptions: (card_id, token, n, positions)."""
-    at = cards.select("card_id", F.posexplode(_words("description")).alias("pos", "token"))
+    """Positional index of the descriptions: (card_id, token, n, positions).
+    Whole descriptions are shuffled by card, never single words."""
+    at = cards.select("card_id", "description").repartition("card_id").select("card_id", F.posexplode(_words("description")).alias("pos", "token"))
     return at.groupBy("card_id", "token").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def key_stats(cards: DataFrame, index: DataFrame) -> DataFrame:
     """Each title key (words of four letters or more) in its card's index: uses,
-    first position, share of the words, whether used 8 to 12 times, spam."""
+    first position, share of the words, whether used 8 to 12 times, spam.  The
+    index is met by card, where it lies; only entries of keys move on."""
     keys = F.array_distinct(F.filter(_words("title"), lambda w: F.length(w) >= 4))
     k = cards.select("card_id", F.explode(keys).alias("token"))
+    mine = k.groupBy("card_id").agg(F.collect_set("token").alias("_keys"))
     words = index.groupBy("card_id").agg(F.sum("n").alias("words"))
-    x = k.join(index, ["card_id", "token"], "left").join(words, "card_id", "left")
+    used = index.join(mine, "card_id").where(F.array_contains("_keys", F.col("token"))).select(
+        "card_id", "token", "n", F.get("positions", F.lit(0)).alias("first_pos"))
+    x = k.join(used, ["card_id", "token"], "left").join(words, "card_id", "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     share = F.when(F.col("words") > 0, n / F.col("words"))
-    return x.select("card_id", F.col("token").alias("key"), n.alias("n"), F.get("positions", F.lit(0)).alias("first_pos"),
+    return x.select("card_id", F.col("token").alias("key"), n.alias("n"), "first_pos",
                     F.round(share, 4).alias("density"), n.between(*KEY_COUNT).alias("in_band"), F.coalesce(share > KEY_DENSITY_SPAM, F.lit(False)).alias("spam"))
 
 
