@@ -70,23 +70,26 @@ def comparison_guard(offers: DataFrame, min_competitors: int = MIN_COMPETITORS)
 # C1 / C2 / C5 ------------------------------------------------------------------
 def axis_matrix(scores: DataFrame) -> DataFrame:
     """Per (sku, axis): own score, best competitor score, gap = own - best.  A
-    SKU without competitors stays, with null best and gap."""
-    own = scores.where(F.col("is_own")).select("sku", "axis", F.col("score").alias("own"))
-    best = scores.where(~F.col("is_own")).groupBy("sku", "axis").agg(F.max("score").alias("best_competitor"))
-    return own.join(best, ["sku", "axis"], "left").withColumn("gap", F.col("own") - F.col("best_competitor"))
+    SKU without competitors stays, with null best and gap.  A window on one
+    axis of a SKU (one row per offer): no join, and no shuffle if the scores
+    are already together by SKU."""
+    axis = Window.partitionBy("sku", "axis")
+    best = F.max(F.when(~F.col("is_own"), F.col("score"))).over(axis)
+    m = scores.withColumn("best_competitor", best).where(F.col("is_own")).select("sku", "axis", F.col("score").alias("own"), "best_competitor")
+    return m.withColumn("gap", F.col("own") - F.col("best_competitor"))
 
 
 def competitor_columns(scores: DataFrame, k: int = 5) -> DataFrame:
     """Per (sku, axis): own score and one column per competitor, numbered by
-    competitor id; ``k`` columns and the count say whether there are more."""
-    rivals = scores.where(~F.col("is_own"))
-    place = rivals.select("sku", "competitor").distinct().withColumn(
-        "place", F.row_number().over(Window.partitionBy("sku").orderBy("competitor")))
-    g = rivals.join(place, ["sku", "competitor"]).groupBy("sku", "axis").agg(
-        F.count(F.lit(1)).alias("competitors"),
-        *[F.max(F.when(F.col("place") == i, F.col("score"))).alias(f"competitor_{i}") for i in range(1, k + 1)])
-    own = scores.where(F.col("is_own")).select("sku", "axis", F.col("score").alias("own"))
-    return own.join(g, ["sku", "axis"], "left").withColumn("competitors", F.coalesce("competitors", F.lit(0).cast("long")))
+    competitor id; ``k`` columns and the count say whether there are more.  A
+    rank and a window, both within the SKU: no join, and no shuffle if the
+    scores are already together by SKU."""
+    place = F.dense_rank().over(Window.partitionBy("sku", "is_own").orderBy("competitor"))
+    axis, rival = Window.partitionBy("sku", "axis"), ~F.col("is_own")
+    return scores.withColumn("place", place).withColumns(
+        {"competitors": F.count(F.when(rival, 1)).over(axis)}
+        | {f"competitor_{i}": F.max(F.when(rival & (F.col("place") == i), F.col("score"))).over(axis) for i in range(1, k + 1)},
+    ).where(F.col("is_own")).select("sku", "axis", F.col("score").alias("own"), "competitors", *[f"competitor_{i}" for i in range(1, k + 1)])
 
 
 def axis_extremes(matrix: DataFrame, k_lag: int = 3, k_win: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import market as M
@@ -25,10 +26,12 @@ def offers(spark, d):
 
 
 def axis_scores(spark, d):
-    """fx_axis_scores: 12 axes per offer; the lowest supplier key is 'own'."""
-    o = offers(spark, d)
-    own = o.groupBy("sku").agg(F.min("competitor").alias("_own"))
-    x = o.join(own, "sku").withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(M.N_AXES - 1))))
+    """fx_axis_scores: 12 axes per offer; the lowest supplier key is 'own'.  Offers
+    are shuffled by SKU before they become 12 rows each; the partitions are not
+    merged by their small size, as what follows sorts twelve times as much."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = offers(spark, d).select("sku", "competitor").where(F.col("sku").isNotNull()).repartition(n, "sku")
+    x = o.withColumn("_own", F.min("competitor").over(Window.partitionBy("sku"))).withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(M.N_AXES - 1))))
     return x.select("sku", "competitor", "axis", (F.col("competitor") == F.col("_own")).alias("is_own"),
                     ((F.col("sku").cast("long") * 7 + F.col("competitor") * 3 + F.col("axis") * 5) % 11)
                     .cast("int").alias("score"))

@@ -121,3 +121,53 @@ def test_stream_state_of_users_without_plan(spark, tmp_path):
     q.awaitTermination()
     got = {r.request_id: r.reason for r in spark.table("t3_faults").collect()}
     assert got == {1: "no_active_plan", 2: "unknown_plan", 3: "no_agent", 4: "allowed"}
+
+
+def _shuffles_above_explode(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[:plan.index("Generate ")].count("Exchange ")
+
+
+def test_scores_are_shuffled_before_they_become_twelve_rows(spark):
+    from tallyfold.operators import market as M
+    from tallyfold.plans import q_market
+
+    scores = q_market.axis_scores(spark, "/root/testdata/sf0.001")
+    for df in (M.competitor_columns(scores), M.axis_matrix(scores)):
+        assert _shuffles_above_explode(df) == 0
+    rows = [("a", 5, 0, True, 3), ("a", 5, 1, True, 4), ("a", 7, 0, False, 9), ("a", 9, 0, False, 2), ("a", 9, 1, False, 6), ("b", 1, 0, True, 1),
+            ("c", 2, 0, False, 8)]
+    df = spark.createDataFrame(rows, "sku string, competitor long, axis int, is_own boolean, score int")
+    got = {tuple(r) for r in M.competitor_columns(df, 2).collect()}
+    assert got == {("a", 0, 3, 2, 9, 2), ("a", 1, 4, 1, None, 6), ("b", 0, 1, 0, None, None)}
+    assert {tuple(r) for r in M.axis_matrix(df).collect()} == {("a", 0, 3, 9, -6), ("a", 1, 4, 6, -2), ("b", 0, 1, None, None)}
+
+
+def test_descriptions_are_shuffled_whole_and_the_index_is_met_by_card(spark):
+    from tallyfold.operators import listing as L
+
+    cards = spark.createDataFrame([(1, "Good good shoe lamp", "shoe good, shoe Good."), (2, "lamp", None), (2, "lamp rope", "rope lamp"), (None, "rope", "rope")],
+                                  "card_id long, title string, description string")
+    assert _shuffles_above_explode(L.token_index(cards)) == 0
+    got = sorted(((r.card_id or -1, r.key, r.n, r.first_pos, r.density) for r in L.key_stats(cards, L.token_index(cards)).collect()), key=str)
+    assert got == sorted([(1, "good", 2, 1, 0.5), (1, "shoe", 2, 0, 0.5), (1, "lamp", 0, None, 0.0), (2, "lamp", 1, 1, 0.5), (2, "lamp", 1, 1, 0.5),
+                          (2, "rope", 1, 0, 0.5), (-1, "rope", 0, None, None)], key=str)
+
+
+def test_upsert_computes_its_updates_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 0) for i in range(20)], "id long, p string, v int")
+    rows.write.partitionBy("p").parquet(path)
+    updates = rows.where("id < 10").withColumn("p", F.lit("c")).withColumn("v", F.lit(1)).mapInPandas(count, rows.schema)
+    upsert_parquet(spark, updates, path, ["id"], ["v"], ["p"])
+    assert seen.value == 10
+    assert {(r.id, r.p, r.v) for r in spark.read.parquet(path).collect()} == {(i, "c", 1) if i < 10 else (i, "ab"[i % 2], 0) for i in range(20)}
