@@ -63,8 +63,10 @@ def _words(c: str) -> Column:
 
 def token_index(cards: DataFrame) -> DataFrame:
     """Positional index of the descriptions: (card_id, token, n, positions).
-    Whole descriptions are shuffled by card, never single words."""
-    at = cards.select("card_id", "description").repartition("card_id").select("card_id", F.posexplode(_words("description")).alias("pos", "token"))
+    Whole descriptions are shuffled by card, never single words; the partitions
+    are not merged by their size, as their words take more."""
+    n = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = cards.select("card_id", "description").repartition(n, "card_id").select("card_id", F.posexplode(_words("description")).alias("pos", "token"))
     return at.groupBy("card_id", "token").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
