@@ -118,11 +118,14 @@ class Fixtures:
                                           "plan string, flood_limit int, day_limit int, agent_limit int")
 
 
-    def callbacks(self) -> DataFrame:
-        """fx_callbacks: two provider callbacks per non-manual payment."""
-        p = self.payments().where(F.col("provider") != "admin_manual")
+    def callbacks(self, deliveries: tuple[int, ...] = (0, 1)) -> DataFrame:
+        """fx_callbacks: two provider callbacks per non-manual payment; one
+        delivery alone holds the first or the second of each."""
+        p = self.payments().where(F.col("provider") != "admin_manual").select("id", "provider", "created_at")
         k = F.col("id")
-        x = p.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(1))))  # two callbacks per payment
+        # the signer is Python: spread it over all cores even when the source is one small file
+        p = p.repartition(self.spark.sparkContext.defaultParallelism)
+        x = p.withColumn("e", F.explode(F.array(*map(F.lit, deliveries))))  # two callbacks per payment
         oid = (F.when((k % 23 == 0) & (F.col("e") == 1), F.lit("abc"))
                .when((k % 29 == 0) & (F.col("e") == 0), (k + 1000000000).cast("string"))
                .otherwise(k.cast("string")))
@@ -136,10 +139,8 @@ class Fixtures:
         x = x.select((k * 2 + F.col("e")).alias("event_id"), "provider",
                      F.when(F.col("provider") == "nowpayments", a_body).otherwise(b_body).alias("body"),
                      (F.col("created_at") + 600 + F.col("e") * 3600).alias("received_at"), k.alias("k"))
-        # the signer is Python: spread it over all cores even when the source is one small file
-        x = x.repartition(self.spark.sparkContext.defaultParallelism)
-        return x.mapInPandas(_sign_bodies, "event_id long, provider string, body string, received_at long, "
-                                           "signature string")
+        return x.mapInArrow(_sign_bodies, "event_id long, provider string, body string, received_at long, "
+                                          "signature string")
 
     def provider_snapshot(self) -> DataFrame:
         """fx_provider_snapshot: what each provider reports for pending payments."""
@@ -287,26 +288,30 @@ def _pick(values: list, idx) -> F.Column:
 def _sign_bodies(it):
     """Sign fixture bodies with Python's hmac module (independent of the
     Catalyst implementation the parser uses)."""
-    import hashlib
+    import base64
     import hmac
     import json
 
-    for pdf in it:
+    import pyarrow as pa
+
+    canonical = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+    key_a, key_b = TEST_SECRET_A.encode(), TEST_SECRET_B.encode()
+    for batch in it:
         sigs = []
-        for prov, body, k in zip(pdf["provider"], pdf["body"], pdf["k"]):
-            if prov == "nowpayments":
+        for prov, body, k in zip(*(batch.column(c).to_pylist() for c in ("provider", "body", "k"))):
+            if k is not None and k % 17 == 0:
+                s = "deadbeef"
+            elif prov == "nowpayments":
                 try:
-                    canon = json.dumps(json.loads(body), sort_keys=True, separators=(",", ":"))
+                    canon = canonical(json.loads(body))
                 except ValueError:
                     canon = body
-                s = hmac.new(TEST_SECRET_A.encode(), canon.encode(), hashlib.sha512).hexdigest()
+                s = hmac.digest(key_a, canon.encode(), "sha512").hex()
             else:
-                import base64
-                s = base64.b64encode(hmac.new(TEST_SECRET_B.encode(), body.encode(), hashlib.sha256).digest()).decode()
-            sigs.append("deadbeef" if k % 17 == 0 else s)
-        out = pdf.drop(columns=["k"])
-        out["signature"] = sigs
-        yield out
+                s = base64.b64encode(hmac.digest(key_b, body.encode(), "sha256")).decode()
+            sigs.append(s)
+        kept = "event_id", "provider", "body", "received_at"
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sigs, pa.string())], [*kept, "signature"])
 
 
 # ---- fixed fixture values (chat updates) --------------------------------------

@@ -14,39 +14,53 @@ in the state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.billing import FAILURES, PAID, normalize_payment_status
 from ..sources.callbacks import verify_callbacks
 
+# The state holds every payment: on local disk, with bounded memory beside the heap; counting its rows would read each
+# key once more.
+_STORE = "spark.sql.streaming.stateStore."
+STATE_STORE = {_STORE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               _STORE + "rocksdb.boundedMemoryUsage": "true", _STORE + "rocksdb.trackTotalNumberOfRows": "false"}
 TRANSITION = "payment_id", "status", "finalized_at", "tx_hash", "event_id"
 
 
+def first_of(e: Column) -> tuple[Column, ...]:
+    return e["ts"].alias("ts"), e["event_id"].alias("event_id"), e["at"].alias("at")
+
+
 def payment_transitions(payments: DataFrame, callbacks: DataFrame, secret_a: str, secret_b: str, status_map: DataFrame) -> DataFrame:
     """Streams ``payments (id, status)`` and raw ``callbacks`` -> transitions
     (payment_id, status, finalized_at, tx_hash, event_id), update mode."""
     now = F.unix_micros(F.current_timestamp())
     event = "struct<status:string,ts:bigint,tx_hash:string,event_id:bigint,at:bigint>"
     ev = normalize_payment_status(verify_callbacks(callbacks, secret_a, secret_b).where(F.col("outcome") == "ok"), status_map)
-    ev = ev.select("payment_id", F.lit(None).cast("struct<status:string,at:bigint>").alias("own"),
+    ev = ev.select("payment_id", F.lit(None).cast("struct<at:bigint,status:string>").alias("own"),
                    F.struct("status", "ts", "tx_hash", "event_id", now.alias("at")).cast(event).alias("ev"))
-    own = payments.select(F.col("id").alias("payment_id"), F.struct("status", now.alias("at")).alias("own"), F.lit(None).cast(event).alias("ev"))
-    # a redelivered event keeps the batch that brought it first
-    first, last = F.struct("ev.ts", "ev.event_id", "ev.at"), F.struct("ev.ts", "ev.event_id", -F.col("ev.at"))
+    own = payments.select(F.col("id").alias("payment_id"), F.struct(now.alias("at"), "status").alias("own"), F.lit(None).cast(event).alias("ev"))
+    # A redelivered event keeps the batch that brought it first.  Each struct begins with what orders it and goes on
+    # with what is returned, so the state holds nothing twice.
+    first, last = ("ev.ts", "ev.event_id", "ev.at"), ("ev.ts", "ev.event_id", (-F.col("ev.at")).alias("neg"))
     paid, refund, failed = F.col("ev.status") == PAID, F.col("ev.status") == "refunded", F.col("ev.status").isin(*FAILURES)
     state = own.unionByName(ev).groupBy("payment_id").agg(
-        F.min_by("own", F.when(F.col("own").isNotNull(), F.col("own.at"))).alias("own"),
-        F.min_by(F.when(paid, F.col("ev")), F.when(paid, first)).alias("paid"),
-        F.coalesce(F.min_by(F.when(refund, F.col("ev")), F.when(refund, first)),
-                   F.max_by(F.when(failed, F.col("ev")), F.when(failed, last))).alias("fail"))
+        F.min("own").alias("own"), F.min(F.when(paid, F.struct(*first, "ev.tx_hash"))).alias("paid"),
+        F.min(F.when(refund, F.struct(*first))).alias("refund"), F.max(F.when(failed, F.struct(*last, "ev.status"))).alias("failed"))
+    refund, failed = F.col("refund"), F.col("failed")
+    nothing = F.lit(None).cast("string").alias("tx_hash")
+    fail = F.when(refund.isNotNull(), F.struct(F.lit("refunded").alias("status"), *first_of(refund), nothing)).when(
+        failed.isNotNull(), F.struct("failed.status", "failed.ts", "failed.event_id", (-failed.neg).alias("at"), nothing))
+    paid = F.when(F.col("paid").isNotNull(), F.struct(F.lit(PAID).alias("status"), *first_of(F.col("paid")), "paid.tx_hash"))
+    state = state.select("payment_id", "own", paid.alias("paid"), fail.alias("fail"))
     s0 = F.col("own.status")
     new = F.when(F.col("paid").isNotNull() & (s0 != PAID), F.col("paid")).when(
         F.col("paid").isNull() & F.col("fail").isNotNull() & ~s0.isin(PAID, "refunded"), F.col("fail"))
     state = state.select("payment_id", "own", new.alias("new")).where(F.col("new").isNotNull() & F.col("own").isNotNull())
     state = state.where((F.col("new.at") == now) | (F.col("own.at") == now))
     return state.select("payment_id", "new.status", F.col("new.ts").alias("finalized_at"),
-                        F.when(F.col("new.status") == PAID, F.col("new.tx_hash")).alias("tx_hash"), "new.event_id")
+                        "new.tx_hash", "new.event_id")
 
 
 def run_transitions(spark: SparkSession, transitions: DataFrame, root: str) -> DataFrame:
@@ -55,8 +69,15 @@ def run_transitions(spark: SparkSession, transitions: DataFrame, root: str) -> D
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/transitions/epoch={epoch}")
 
-    (transitions.writeStream.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True)
-     .outputMode("update").foreachBatch(write).start().awaitTermination())
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        (transitions.writeStream.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True)
+         .outputMode("update").foreachBatch(write).start().awaitTermination())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(transitions.schema.add("epoch", "integer")).parquet(f"{root}/transitions")
 
 

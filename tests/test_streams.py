@@ -194,3 +194,36 @@ def test_sketched_users_lie_within_the_error_bound(spark):
         for k in (1, 7, 30):
             true = exact.where(F.col("d").between(100 + offset - k + 1, 100 + offset)).select("tg_user_id").distinct().count()
             assert abs(got[date][f"users_{k}d"] - true) <= max(2, 4 * daily.RSE * true)
+
+
+def test_payment_state_lies_on_disk_and_bodies_are_parsed_once(spark):
+    import pathlib
+
+    from tallyfold.operators.billing import normalize_payment_status
+    from tallyfold.sources.callbacks import verify_callbacks
+    from tallyfold.sources.reference_data import payment_status_map
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    was, at = spark.conf.get(store), pathlib.Path(ensure_checkpoint_dir(spark))
+    old = set(at.glob("test-t5-*"))
+    assert _payment_batches(spark, [([(1, "pending")], [(10, 1, "paid", 100)])]) == [[(1, "paid", 100, 10)]]
+    (root,) = set(at.glob("test-t5-*")) - old
+    files = {p.suffix for p in (root / "_checkpoint/state").rglob("1[._]*")}
+    assert ".zip" in files and ".delta" not in files  # RocksDB, not maps on the heap
+    assert spark.conf.get(store) == was
+    raw = spark.createDataFrame([], "event_id long, provider string, body string, received_at long, signature string")
+    ok = verify_callbacks(raw.repartition(2), "a", "b").where("outcome = 'ok'")
+    plan = normalize_payment_status(ok, payment_status_map(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_one_delivery_holds_its_half_of_the_callbacks(spark, tmp_path):
+    from tallyfold.sources.fixtures import Fixtures
+
+    rows = [(k, k % 7, "OFP"[k % 3], 10.5, None, "1-URGENT") for k in (*range(1, 70), 70, 70)]  # a key that repeats
+    (spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+     .write.parquet(f"{tmp_path}/orders.parquet"))
+    fx = Fixtures(spark, str(tmp_path))
+    both, halves = fx.callbacks().collect(), [fx.callbacks((e,)).collect() for e in (0, 1)]
+    assert sorted(map(str, both)) == sorted(map(str, halves[0] + halves[1])) and len(both) == 2 * len([r for r in rows if r[0] % 10])
+    assert all(r.event_id % 2 == e for e in (0, 1) for r in halves[e])
