@@ -17,28 +17,49 @@ documents.  An empty table gives no piece.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import process_cache
+from .text import binary_parts, process_cache
 
 WINDOW = 1024
-CACHE_WORDS = 300_000
+CHUNK_BYTES = 1 << 23
 ROWS_PER_BUCKET = 100_000
-# A space between two non-spaces always starts a new pre-token, so the text
-# may be split there and each part encoded alone with its leading space.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_RISK = re.compile(r"\s\s|\A\s|\s\Z")
+# White space of any Unicode version, and Python's \x1c-\x1f.
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200C))) +
+                  "\u2028\u2029\u202f\u205f\u3000"])
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of spaces between two non-spaces of one document.  A pre-token
+    always starts there, so a text may be cut before such a space and each
+    part encoded alone."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(data == 0x20)
+    at = at[~(edge[at] | edge[at + 1])]
+    left, right = data[at - 1], data[at + 1]
+    ok = ~(_BLANK[left] | _BLANK[right])
+    last = len(data) - 1
+    for side, places in ((left, (-3, -2, -1)), (right, (1, 2, 3))):
+        i = np.flatnonzero(side >= 0x80)
+        a, b, c = (data[np.minimum(at[i] + d, last)].astype(np.int64) for d in places)
+        two = b << 8 | c if places[0] < 0 else a << 8 | b
+        ok[i[np.isin(two, _WIDE) | np.isin(a << 16 | b << 8 | c, _WIDE)]] = False
+    return at[ok]
 
 
 class Encoder:
-    """Token ids as little-endian uint32 bytes; parts are cached per worker.
+    """Token ids of many texts at once: texts are cut into parts (``cuts``),
+    and every distinct part is encoded once.
 
     The ids are those of the ``tokenizers`` file.  Parts without a special
     token's text go through the same vocabulary as ranks, which is faster and
@@ -54,35 +75,72 @@ class Encoder:
         c = process_cache()
         if ("encoder", name) not in c:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(f"{name}.tiktoken"), "rb"))}
-            c["encoder", name] = (Tokenizer.from_file(P.path(f"{name}.json")),
-                                  tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), {})
-        self.exact, self.fast, self.known = c["encoder", name]
-
-    def part(self, s: str) -> bytes:
-        ids = self.exact.encode(s, add_special_tokens=False).ids if "<|" in s else self.fast.encode_ordinary(s)
-        return np.array(ids, "<u4").tobytes()
+            exact = Tokenizer.from_file(P.path(f"{name}.json"))
+            sizes = {b: len(a) for a, b in ranks.items()} | {i: len(t.content.encode()) for i, t in exact.get_added_tokens_decoder().items()}
+            size = np.zeros(max(sizes) + 1, np.int64)
+            size[list(sizes)] = list(sizes.values())
+            c["encoder", name] = (exact, tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), size)
+        self.exact, self.fast, self.size = c["encoder", name]
+
+    def part(self, s: str) -> list[int]:
+        return self.exact.encode(s, add_special_tokens=False).ids if "<|" in s else self.fast.encode_ordinary(s)
+
+    def distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and where each part's ids start.  Parts
+        that may follow each other in a text are encoded in one call."""
+        data, off = binary_parts(parts)
+        alone = pc.match_substring(parts, "<|").to_numpy(zero_copy_only=False)
+        joined = np.zeros(len(data) + 1, bool)
+        joined[cuts(data, off[[0, -1]])] = True
+        joined = joined[off]
+        joined[:-1] &= ~alone
+        joined[1:] &= ~alone
+        joined &= np.diff(off >> 20, prepend=0) == 0  # at most a megabyte and a part per call
+        stops, raw = off[~joined].tolist(), data.tobytes()
+        ids = np.concatenate([np.zeros(0, "<u4")] + [np.array(self.part(raw[a:b].decode()), "<u4") for a, b in zip(stops, stops[1:])])
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        first = np.searchsorted(ends, off)
+        if not np.array_equal(ends[first], off):
+            raise ValueError("a part does not start at a token")
+        return ids, first
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts ``data[offsets[i]: offsets[i + 1]]`` in a row, and
+        where each text's ids start."""
+        start = np.zeros(len(data) + 1, bool)
+        start[offsets] = True
+        start[cuts(data, offsets)] = True
+        bounds = np.flatnonzero(start)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        ids, first = self.distinct(coded.dictionary)
+        which = coded.indices.to_numpy()
+        n = np.diff(first)[which]
+        at = np.concatenate([[0], np.cumsum(n)])
+        take = np.repeat(first[which] - at[:-1], n)
+        take += np.arange(at[-1])
+        return ids[take], at[np.searchsorted(bounds, offsets)]
 
     def __call__(self, text: str) -> bytes:
-        parts = _SAFE.split(text) if _RISK.search(text) else text.split(" ")
-        known = self.known
-        got = list(map(known.get, parts))
-        if parts[0]:  # the first part has no leading space
-            got[0] = self.part(parts[0])
-        elif len(parts) > 1 or not text:
-            got[0] = b""
-        if None in got:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for i, v in enumerate(got):
-                if v is None:
-                    p = parts[i]
-                    v = known.get(p)
-                    if v is None:
-                        v = self.part(" " + p)
-                        if len(p) < 64:
-                            known[p] = v
-                    got[i] = v
-        return b"".join(got)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.ids(raw, np.array([0, len(raw)]))[0].tobytes()
+
+    def column(self, texts: pa.Array):
+        """Ids of every text as little-endian uint32 bytes; null is empty."""
+        data, off = binary_parts(texts)
+        a, n = 0, len(off) - 1
+        while a < n:  # whole texts, at least one
+            b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, "right")) - 1)
+            raw = data[off[a]: off[b]]
+            if len(raw) > CHUNK_BYTES:  # one long text, in pieces
+                at = cuts(raw, np.array([0, len(raw)]))
+                stops = [0, *at[np.diff(at // CHUNK_BYTES, prepend=0) > 0].tolist(), len(raw)]
+                yield b"".join(self.ids(raw[i:j], np.array([0, j - i]))[0].tobytes() for i, j in zip(stops, stops[1:]))
+            else:
+                ids, at = self.ids(raw, off[a: b + 1] - off[a])
+                for i, j in zip(at, at[1:]):
+                    yield ids[i:j].tobytes()
+            a = b
 
 
 def tokenize(docs: DataFrame, window: int = WINDOW, keep_ids: bool = False, tokenizer: str = "byte_bpe_50k",
@@ -95,8 +153,8 @@ def tokenize(docs: DataFrame, window: int = WINDOW, keep_ids: bool = False, toke
         enc, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             n, crcs, ids = [], [], []
-            for t in batch.column(1).to_pylist():
-                b = (enc(t) if t else b"") + end
+            for b in enc.column(batch.column(1)):
+                b += end
                 n.append(len(b) // 4)
                 crcs.append([zlib.crc32(b[i: i + 4 * window]) for i in range(0, len(b), 4 * window)])
                 if keep_ids:

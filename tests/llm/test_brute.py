@@ -147,6 +147,34 @@ def test_token_parts_equal_the_tokenizer():
         assert enc(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_tokens_of_a_batch_equal_the_tokenizer(monkeypatch):
+    """Texts of one batch, in chunks of any size, with white space of every kind around the cuts."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tallyfold.llm import packing
+    tok, enc, rnd = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.Encoder(), random.Random(3)
+    bits = ["a", "the", " ", " ", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000",
+            "\u200b", "é", "\u2014", "thế", "日本", "😀", "'s", "12", "!!", "<|", "<|endoftext|>", "\0"]
+    texts = [None, "", " ", "\u3000", "a", " a", "a "] + ["".join(rnd.choices(bits, k=rnd.randrange(1, 30))) for _ in range(1500)]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    col = pa.array(["not", None] + texts).slice(2)
+    for size in (1, 500, 1 << 23):
+        monkeypatch.setattr(packing, "CHUNK_BYTES", size)
+        assert list(enc.column(col)) == want
+
+
+def test_distinct_parts_are_encoded_together(monkeypatch):
+    """No call of the tokenizer per word, and no word is encoded twice."""
+    from tallyfold.llm.packing import Encoder
+    calls, part = [], Encoder.part
+    monkeypatch.setattr(Encoder, "part", lambda self, s: calls.append(len(s)) or part(self, s))
+    text = "start " + " ".join(f"one{i}two" for i in range(3000))
+    Encoder()(" ".join([text] * 4))
+    assert len(calls) < 10 and sum(calls) < 1.1 * len(text)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
