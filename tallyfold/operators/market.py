@@ -4,6 +4,7 @@ as deterministic table jobs."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -317,6 +318,9 @@ RARE_OFF = 3  # most words that ``certain_groups`` leaves out
 
 
 HEAD_WORDS = 1 << 17  # most words whose counts are broadcast
+FEWEST_PARTS = 16
+MARKS = 1 << 18  # most longs of a broadcast bitmap
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
@@ -343,14 +347,76 @@ def _mixed(w: np.ndarray, seed: int) -> np.ndarray:
     return w ^ (w >> np.uint64(31))
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by ``keys`` (not negative, the first one leads): sorted as
+    one long if they fit."""
+    bits = [int(k.max(initial=0)).bit_length() for k in keys]
+    at = len(keys[0]).bit_length()
+    if sum(bits) + at > 63:
+        return np.lexsort(keys[::-1])
+    x = np.zeros(len(keys[0]), np.int64)
+    for k, b in zip(keys, bits):
+        x = (x << b) | k
+    x = (x << at) | np.arange(len(x))
+    x.sort()
+    return x & ((1 << at) - 1)
+
+
+def _parts(n: np.ndarray, doc: np.ndarray, u: np.ndarray, weight: np.ndarray, pos: np.ndarray,
+           threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of ``n`` words ``u`` -> (doc, key, pos) of the parts that bring two
+    texts together.
+
+    All words are dealt to m parts by hash.  Two texts that differ in at most d
+    words have at least m - d parts with the same words, so they share one among
+    the first d + 1 parts of each in any one order of parts: here the heaviest
+    first, then by number; a part's weight is that of its words (the rarer, the
+    heavier), so words in many texts come in company or not at all.  m follows from the
+    class (power of two) of the longer text, so a text near the end of its class
+    has parts for the next one also.  ``pos`` is the place of the part's first
+    word in its text; 0 for an empty part."""
+    r = (1 - threshold) / (1 + threshold)
+    own = np.frexp(n.astype(float))[1]
+    last = np.frexp(np.floor(n / threshold + 1e-9))[1]  # class of the longest text within the threshold
+    where, content, out = _mixed(u, 3), _mixed(u, 4), []
+    name = lambda k, part, x: _mixed(x ^ _mixed(part + (k << np.uint64(32)), 5), 6)
+    for step in range(int((last - own).max()) + 1):
+        mine, top = own + step <= last, (1 << (own + step).astype(np.int64)) - 1
+        cap = np.floor(2 * top * r + 1e-9).astype(np.int64)
+        m = np.maximum(cap + cap // 2 + 1, FEWEST_PARTS)
+        keep = np.floor(np.minimum(n * (1 - threshold) / threshold, (n + top) * r) + 1e-9).astype(np.int64) + 1
+        some = np.flatnonzero(mine[doc])
+        if not len(some):
+            continue
+        d = doc[some]
+        part = (where[some] % m[d].astype(np.uint64)).astype(np.int64)
+        o = _order(d, part)  # the first word of a part is its rarest
+        some, d, part = some[o], d[o], part[o]
+        edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])])
+        d, part, first = d[edge], part[edge], pos[some][edge]
+        k = (own + step).astype(np.uint64)
+        key = name(k[d], part.astype(np.uint64), np.bitwise_xor.reduceat(content[some], edge))
+        light = np.add.reduceat(weight[some], edge)
+        o = _order(d, light.max() - light)
+        have = np.bincount(d, minlength=len(n))
+        kept = o[np.arange(len(o)) - (np.cumsum(have) - have)[d[o]] < keep[d[o]]]
+        out.append((d[kept], key[kept], first[kept]))
+        for i in np.flatnonzero(mine & (have < keep)):  # empty parts come last, by number; seldom reached
+            none = np.setdiff1d(np.arange(m[i]), part[d == i])[:keep[i] - have[i]].astype(np.uint64)
+            out.append((np.full(len(none), i), name(k[i], none, np.zeros(len(none), np.uint64)), np.zeros(len(none), np.int64)))
+    d, key, first = (np.concatenate(x) for x in zip(*out))
+    o = np.argsort(d, kind="stable")
+    return d[o], key[o], first[o]
+
+
 def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
     """``texts (rid, voc)`` with one or more distinct words each -> one row per
     text: its size n, the prefix, parity bits and remainders; no shuffle.
 
     Words are ordered from rare to frequent: those outside ``head`` (w, df) by
-    hash, then the head by the number of texts.  In any one order, two texts
-    with Jaccard >= threshold share a word among the first ``n - ceil(threshold
-    * n) + 1`` of each: ``prefix`` holds them as (w, pos).  Every word flips one
+    hash, then the head by the number of texts.  ``prefix`` holds the parts of
+    a text (``_parts``) of which two texts with Jaccard >= threshold share one,
+    as (w, pos): the part's hash and its rarest word's place.  Every word flips one
     of 256 ``bits``: two texts differ in at least as many words as bits.  They
     fill up in long texts, so a text of more than WIDE words also has ``wide``
     bits, a power of two in proportion to its words.  ``rest`` holds two hashes
@@ -358,25 +424,27 @@ def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
     top = head.toArrow()  # at most HEAD_WORDS rows
     hw, hdf = top["w"].to_numpy(), top["df"].to_numpy()
     o = np.argsort(hw)
-    shared = texts.sparkSession.sparkContext.broadcast((hw[o], hdf[o]))
+    most = 2 * max(hdf, default=1)
+    weights = np.round(256 * np.log2(most / np.maximum(hdf[o], 1))).astype(np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast((hw[o], hdf[o], weights, round(256 * math.log2(most))))
 
     def run(batches):
-        hw, hdf = shared.value
+        hw, hdf, weights, heaviest = shared.value
         for batch in batches:
             w, n = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
             if not len(n):
                 continue
-            doc, df = np.repeat(np.arange(len(n)), n), np.zeros(len(w), np.int64)
+            doc, df, weight = np.repeat(np.arange(len(n)), n), np.zeros(len(w), np.int64), np.full(len(w), heaviest)
             if len(hw):
                 at = np.minimum(np.searchsorted(hw, w), len(hw) - 1)
-                df = np.where(hw[at] == w, hdf[at], 0)
-            w = w[np.lexsort((w, df, doc))]
+                df, weight = np.where(hw[at] == w, hdf[at], 0), np.where(hw[at] == w, weights[at], heaviest)
+            order = _order(doc, df)  # words come sorted
+            w = w[order]
             start = np.cumsum(n) - n
-            pos = np.arange(len(w)) - start[doc]
-            keep = (n - np.ceil(n * threshold - 1e-9) + 1).astype(np.int64)
-            first = pos < keep[doc]
-            prefix = pa.StructArray.from_arrays([pa.array(w[first]), pa.array(pos[first].astype(np.int32))], names=["w", "pos"])
             u = w.view(np.uint64)
+            of, key, pos = _parts(n, doc, u, weight[order], np.arange(len(w)) - start[doc], threshold)
+            prefix = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32))], names=["w", "pos"])
+            keep = np.bincount(of, minlength=len(n))
             flip, slot = np.uint64(1) << (u & np.uint64(63)), u >> np.uint64(6)
 
             def parity(size, mine):
@@ -405,7 +473,7 @@ def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
                 names=["rid", "n", "bits", "wide", "prefix", "rest"])
 
     rid = texts.schema["rid"].dataType.simpleString()
-    return texts.select("rid", "voc").mapInArrow(run, f"rid {rid}, n int, bits array<long>, wide array<long>, prefix array<struct<w:long,pos:int>>, "
+    return texts.select("rid", F.sort_array("voc")).mapInArrow(run, f"rid {rid}, n int, bits array<long>, wide array<long>, prefix array<struct<w:long,pos:int>>, "
                                                       "rest array<struct<r:int,k:int,a:long,b:long>>")
 
 
@@ -452,6 +520,16 @@ def certain_groups(texts: DataFrame, threshold: float) -> DataFrame:
     return g.join(least, ["r", "a", "b"]).where("rid != y").select(F.col("rid").alias("x"), "y").distinct()
 
 
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``.  A bitmap of hashed keys is
+    broadcast first (MARKS longs at most), so that few other rows are shuffled."""
+    slot = F.expr(f"cast(shiftrightunsigned(xxhash64({key}), 6) % {MARKS} as int)")
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))")
+    marks = keys.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_marks"))
+    some = rows.withColumn("_slot", slot).join(F.broadcast(marks), "_slot").where(F.col("_marks").bitwiseAND(bit) != 0)
+    return some.drop("_slot", "_marks").join(keys, key, "left_semi")
+
+
 def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 16) -> DataFrame:
     """Series of reviews whose vocabularies are near-identical (Jaccard >=
     ``threshold``): a set-similarity join by prefix filtering, without comparing
@@ -460,10 +538,12 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
     1. Identical vocabularies collapse to one representative; texts that are
        equal but for a few of their rarest words are linked as stars
        (``certain_groups``).
-    2. The entries of every text's prefix (rare words first) put texts into
-       buckets by word.  A pair of a bucket becomes a row only if its sizes and
-       the positions of the word and some parity bits let it reach the threshold;
-       long texts have more bits.  What is left is verified by the exact Jaccard.
+    2. The words are dealt to parts, and the rarest parts of every text put
+       texts into buckets (``_parts``): texts that share frequent words only
+       seldom meet.  A pair of a bucket becomes a row only if its sizes, the
+       positions of the part's rarest word and some parity bits let it reach the
+       threshold; long texts have more bits.  What is left is verified by the
+       exact Jaccard.
     3. Buckets are worked off in rounds: leaders meet the members of other
        series, ``growth`` times as many leaders each round; a bucket is done
        when its members are one series or all have led.  No pair within the
@@ -472,7 +552,18 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
        converge.
 
     Words are compared by 64-bit hashes.  Intermediate tables go to the shared
-    checkpoint folder."""
+    checkpoint folder.  Vocabularies are written once and only those of pairs
+    to verify are moved; shuffle files go as soon as their table is written."""
+    spark = reviews.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return _near_copy_series(reviews, threshold, growth)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def _near_copy_series(reviews: DataFrame, threshold: float, growth: int) -> DataFrame:
     spark = reviews.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/near-copies-{uuid.uuid4().hex}"
 
@@ -481,15 +572,17 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
         return spark.read.parquet(f"{folder}/{name}")
 
     v = reviews.select("review_id", "sku", F.transform(vocabulary(F.col("text")), lambda w: F.xxhash64(w)).alias("_voc"))
-    same = F.sort_array("_voc")
-    v = stored(v.withColumn("_vh", F.struct(F.xxhash64(F.lit(1), same).alias("a"), F.xxhash64(F.lit(2), same).alias("b")))
+    v = v.withColumn("_voc", F.sort_array("_voc"))
+    v = stored(v.withColumn("_vh", F.struct(F.xxhash64(F.lit(1), "_voc").alias("a"), F.xxhash64(F.lit(2), "_voc").alias("b")))
                .withColumn("_row", F.monotonically_increasing_id()), "vocabularies")
     reps = stored(v.where(F.size("_voc") > 0).groupBy("_vh").agg(F.min(F.struct(F.col("review_id").alias("rid"), "_row")).alias("_m"))
                   .select("_vh", "_m.*"), "reps")
-    voc = v.select("_row", F.col("_voc").alias("voc")).join(reps.select("rid", "_row"), "_row").select("rid", "voc")
+    voc = v.where(F.size("_voc") > 0).select("_row", F.col("_voc").alias("voc"))
     words = voc.select(F.explode("voc").alias("w"))
     counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    texts = stored(described(voc, frequent_words(counts), threshold), "texts")
+    # every review is described where it lies; only then are representatives picked
+    texts_of_all = stored(described(voc.withColumnRenamed("_row", "rid"), frequent_words(counts), threshold).withColumnRenamed("rid", "_row"), "texts")
+    texts = texts_of_all.join(reps.select("_row", "rid"), "_row")
     labels = reps.select("rid", F.col("rid").alias("label"))
 
     def merged(labels: DataFrame, links: DataFrame, step: int) -> DataFrame:
@@ -499,29 +592,34 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
         return stored(out.select(F.col("id").alias("rid"), F.col("class").alias("label")), f"labels-{step}")
 
     labels = merged(labels, stored(certain_groups(texts, threshold), "stars"), 0)
-    members = texts.select("rid", "n", F.explode("prefix").alias("_p")).select("rid", "n", "_p.w", "_p.pos")
-    members = members.join(counts.select("w"), "w", "left_semi")  # a word of one text makes no pair
+    bucket = Window.partitionBy("w")
+    entries = texts_of_all.select("_row", F.explode("prefix").alias("_p")).select("_row", "_p.*")
+    entries = stored(entries.withColumn("_c", F.count(F.lit(1)).over(bucket)).where("_c > 1").drop("_c"), "shared")  # a part of one text makes no pair
+    entries = entries.join(labels.join(reps.select("_row", "rid"), "rid"), "_row").select("rid", "label", "w", "pos")
     done, upto, step = 0, growth, 0
     while True:
         step += 1
-        now = members.join(labels, "rid")
-        unsettled = now.groupBy("w").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"))
-        unsettled = unsettled.where((F.col("lo") != F.col("hi")) & (F.col("c") > done)).select("w")
-        members = stored(members.join(unsettled, "w", "left_semi"), f"open-{step}")  # a settled bucket stays settled
+        open_ = entries.withColumns({"_lo": F.min("label").over(bucket), "_hi": F.max("label").over(bucket), "_c": F.count(F.lit(1)).over(bucket)})
+        open_ = open_.where((F.col("_lo") != F.col("_hi")) & (F.col("_c") > done))
+        members = stored(open_.select("w", "rid", "pos"), f"open-{step}")  # a settled bucket stays settled
         if members.isEmpty():
             break
         # one shuffle by word for leaders and members alike
-        now = members.join(labels.join(texts.select("rid", "bits"), "rid"), "rid").repartition("w")
+        now = members.join(labels.join(texts.select("rid", "n", "bits"), "rid"), "rid").repartition("w")
         rank = F.row_number().over(Window.partitionBy("w").orderBy("n", "rid"))
         lead = now.withColumn("_r", rank).where(F.col("_r") <= upto).where(F.col("_r") > done)
         lead = lead.select("w", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
                            F.col("pos").alias("pa"), F.col("bits").alias("ba"))
+        # a member that ranks before the leader has met it as a leader itself
+        after = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
         pairs = (now.select("w", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
-                 .join(lead, "w").where((F.col("la") != F.col("lb")) & may_reach(threshold)).select("a", "b", "la", "lb", "na", "nb").distinct())
+                 .join(lead, "w").where((F.col("la") != F.col("lb")) & after & may_reach(threshold)).select("a", "b", "la", "lb", "na", "nb").distinct())
         pairs = stored(near_by_wide_bits(stored(pairs, f"pairs-{step}"), texts, threshold).select("a", "b", "la", "lb"), f"near-{step}")
         # only the vocabularies of these pairs are moved
-        need = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), f"need-{step}")
-        some = voc.join(need, "rid", "left_semi")
+        need = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+        need = stored(need.join(reps.select("rid", "_row"), "rid"), f"need-{step}")
+        some = marked(voc, need.select("_row"), "_row").join(need, "_row")
+        some = stored(some.select("rid", "voc"), f"verified-{step}")
         va = some.select(F.col("rid").alias("a"), F.col("voc").alias("va"))
         vb = some.select(F.col("rid").alias("b"), F.col("voc").alias("vb"))
         j = F.size(F.array_intersect("va", "vb")) / F.size(F.array_union("va", "vb"))
@@ -529,6 +627,7 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
                        .select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), f"links-{step}")
         done, upto = upto, upto * growth
         labels = merged(labels, links, step)
+        entries = members.join(labels, "rid")
     # expand representatives back to every review with that vocabulary
     lab = reps.join(labels, "rid").select("_vh", F.col("label").alias("series_id"))
     m = v.join(lab, "_vh")

@@ -124,3 +124,35 @@ def test_unrelated_long_texts_are_dropped_before_their_words_are_compared(spark)
     got = {(r.a, r.b) for r in M.near_by_wide_bits(near, described, 0.8).where(f"least(na, nb) > {M.WIDE}").collect()}
     true = _pairs(texts)
     assert len(true) >= 18 and got == true
+
+
+def test_texts_of_common_words_seldom_meet(spark):
+    """Words that many texts have bring two texts together only in company: with
+    buckets of single words nearly all pairs met."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import market as M
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=9))
+    pool, texts = [word() for _ in range(3000)], []
+    for _ in range(120):
+        t = rnd.sample(pool, rnd.randrange(100, 300))
+        texts += [t, t[:-len(t) // 12], t[:-len(t) // 16] + [word() for _ in range(len(t) // 16)]]
+    texts += [rnd.sample(pool, n) for n in range(1, 40) for _ in range(2)]
+    texts = [sorted(t) for t in texts]
+    words = _texts(spark, texts).select(F.col("review_id").alias("rid"), F.explode(M.vocabulary(F.col("text"))).alias("_w")).select("rid", F.xxhash64("_w").alias("w"))
+    described = M.described_texts(words, words.groupBy("w").agg(F.count(F.lit(1)).alias("df")), 0.8)
+    m = described.select("rid", F.explode("prefix").alias("p")).select("rid", "p.w")
+    got = {(r.a, r.b) for r in m.toDF("a", "w").join(m.toDF("b", "w"), "w").where("a < b").select("a", "b").distinct().collect()}
+    true = _pairs(texts)
+    assert len(true) >= 360 and true <= got and len(got) <= 0.2 * len(texts) ** 2 / 2
+
+
+def test_marked_rows_are_those_of_the_keys(spark):
+    from tallyfold.operators import market as M
+    rows = spark.range(20000).withColumnRenamed("id", "k").selectExpr("k", "k % 7 v")
+    keys = rows.where("k % 37 = 5 or k > 19990").select("k")
+    assert {r.k for r in M.marked(rows, keys, "k").collect()} == {k for k in range(20000) if k % 37 == 5 or k > 19990}
+    assert M.marked(rows, keys.where("k < 0"), "k").count() == 0
