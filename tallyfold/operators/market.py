@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.components import connected, relabel
 from ..functions.windows import _once
-from ..session import ensure_checkpoint_dir
+from ..session import drop_folder, ensure_checkpoint_dir
 from ..sources.reference_data import AGENTS
 
 # ---- fixed values -------------------------------------------------------------
@@ -318,7 +318,8 @@ RARE_OFF = 3  # most words that ``certain_groups`` leaves out
 
 
 HEAD_WORDS = 1 << 17  # most words whose counts are broadcast
-FEWEST_PARTS = 16
+FEWEST_PARTS = 16  # of a group of words
+GROUP = 48  # words of a group in the longest text of its class
 MARKS = 1 << 18  # most longs of a broadcast bitmap
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -363,50 +364,72 @@ def _order(*keys: np.ndarray) -> np.ndarray:
 
 
 def _parts(n: np.ndarray, doc: np.ndarray, u: np.ndarray, weight: np.ndarray, pos: np.ndarray,
-           threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of ``n`` words ``u`` -> (doc, key, pos) of the parts that bring two
-    texts together.
-
-    All words are dealt to m parts by hash.  Two texts that differ in at most d
-    words have at least m - d parts with the same words, so they share one among
-    the first d + 1 parts of each in any one order of parts: here the heaviest
-    first, then by number; a part's weight is that of its words (the rarer, the
-    heavier), so words in many texts come in company or not at all.  m follows from the
-    class (power of two) of the longer text, so a text near the end of its class
-    has parts for the next one also.  ``pos`` is the place of the part's first
-    word in its text; 0 for an empty part."""
+           threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of ``n`` words ``u`` -> (doc, key, pos, some) of the parts that bring
+    two texts together.
+
+    All words are dealt to groups, and those of a group to m parts, by hash.  Of
+    s groups, two texts that differ in at most d words differ in at most d / s in
+    one; there they have at least m - d / s parts with the same words, so they
+    share one among the first d / s + 1 parts of each in any one order of parts:
+    here the heaviest first, then by number; a part's weight is that of its words
+    (the rarer, the heavier), so words in many texts come in company or not at
+    all.  s and m follow from the class (power of two) of the longer text, so a
+    text near the end of its class has parts for the next one also.  ``pos`` is
+    the place of the part's first word in its text, 0 for an empty part;
+    ``some`` are 64 parity bits of its group's words (``few_in_group``)."""
     r = (1 - threshold) / (1 + threshold)
     own = np.frexp(n.astype(float))[1]
     last = np.frexp(np.floor(n / threshold + 1e-9))[1]  # class of the longest text within the threshold
     where, content, out = _mixed(u, 3), _mixed(u, 4), []
+    flip = np.uint64(1) << (_mixed(u, 7) & np.uint64(63))
     name = lambda k, part, x: _mixed(x ^ _mixed(part + (k << np.uint64(32)), 5), 6)
     for step in range(int((last - own).max()) + 1):
         mine, top = own + step <= last, (1 << (own + step).astype(np.int64)) - 1
-        cap = np.floor(2 * top * r + 1e-9).astype(np.int64)
+        s = np.maximum(top // GROUP, 1)
+        cap = (np.floor(2 * top * r + 1e-9) // s).astype(np.int64)
         m = np.maximum(cap + cap // 2 + 1, FEWEST_PARTS)
-        keep = np.floor(np.minimum(n * (1 - threshold) / threshold, (n + top) * r) + 1e-9).astype(np.int64) + 1
-        some = np.flatnonzero(mine[doc])
-        if not len(some):
+        keep = (np.floor(np.minimum(n * (1 - threshold) / threshold, (n + top) * r) + 1e-9) // s).astype(np.int64) + 1
+        at = np.flatnonzero(mine[doc])
+        if not len(at):
             continue
-        d = doc[some]
-        part = (where[some] % m[d].astype(np.uint64)).astype(np.int64)
+        d = doc[at]
+        part = (where[at] % (m * s)[d].astype(np.uint64)).astype(np.int64)
         o = _order(d, part)  # the first word of a part is its rarest
-        some, d, part = some[o], d[o], part[o]
+        at, d, part = at[o], d[o], part[o]
+        k, groups = (own + step).astype(np.uint64), np.where(mine, s, 0)
+        begin = np.cumsum(groups) - groups  # groups are numbered through the batch
+        group = begin[d] + part // m[d]
+        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        bits = np.zeros(int(groups.sum()), np.uint64)
+        bits[group[edge]] = np.bitwise_xor.reduceat(flip[at], edge)
         edge = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (part[1:] != part[:-1])])
-        d, part, first = d[edge], part[edge], pos[some][edge]
-        k = (own + step).astype(np.uint64)
-        key = name(k[d], part.astype(np.uint64), np.bitwise_xor.reduceat(content[some], edge))
-        light = np.add.reduceat(weight[some], edge)
-        o = _order(d, light.max() - light)
-        have = np.bincount(d, minlength=len(n))
-        kept = o[np.arange(len(o)) - (np.cumsum(have) - have)[d[o]] < keep[d[o]]]
-        out.append((d[kept], key[kept], first[kept]))
-        for i in np.flatnonzero(mine & (have < keep)):  # empty parts come last, by number; seldom reached
-            none = np.setdiff1d(np.arange(m[i]), part[d == i])[:keep[i] - have[i]].astype(np.uint64)
-            out.append((np.full(len(none), i), name(k[i], none, np.zeros(len(none), np.uint64)), np.zeros(len(none), np.int64)))
-    d, key, first = (np.concatenate(x) for x in zip(*out))
+        d, part, group, first = d[edge], part[edge], group[edge], pos[at][edge]
+        key = name(k[d], part.astype(np.uint64), np.bitwise_xor.reduceat(content[at], edge))
+        light = np.add.reduceat(weight[at], edge)
+        o = _order(group, light.max() - light)
+        have = np.bincount(group, minlength=len(bits))
+        ends = np.cumsum(have)
+        kept = o[np.arange(len(o)) - (ends - have)[group[o]] < keep[d[o]]]
+        out.append((d[kept], key[kept], first[kept], bits[group[kept]]))
+        of = np.repeat(np.arange(len(n)), groups)
+        for g in np.flatnonzero(have < keep[of]):  # empty parts come last, by number; seldom reached
+            i = of[g]
+            none = np.arange(m[i]) + (g - begin[i]) * m[i]
+            none = np.setdiff1d(none, part[ends[g] - have[g]:ends[g]])[:keep[i] - have[g]].astype(np.uint64)
+            zero = np.zeros(len(none), np.uint64)
+            out.append((np.full(len(none), i), name(k[i], none, zero), np.zeros(len(none), np.int64), zero + bits[g]))
+    d, key, first, some = (np.concatenate(x) for x in zip(*out))
     o = np.argsort(d, kind="stable")
-    return d[o], key[o], first[o]
+    return d[o], key[o], first[o], some[o]
+
+
+def few_in_group(threshold: float) -> Column:
+    """Two texts of (na, nb) words that share a part may reach the threshold by
+    the parity bits (sa, sb) of its group."""
+    longer = F.pow(F.lit(2.0), F.length(F.bin(F.greatest("na", "nb")))) - 1
+    most = F.floor((F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
+    return F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= most / F.greatest(F.floor(longer / GROUP), F.lit(1))
 
 
 def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
@@ -416,7 +439,8 @@ def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
     Words are ordered from rare to frequent: those outside ``head`` (w, df) by
     hash, then the head by the number of texts.  ``prefix`` holds the parts of
     a text (``_parts``) of which two texts with Jaccard >= threshold share one,
-    as (w, pos): the part's hash and its rarest word's place.  Every word flips one
+    as (w, pos, some): the part's hash, its rarest word's place and bits of its
+    group.  Every word flips one
     of 256 ``bits``: two texts differ in at least as many words as bits.  They
     fill up in long texts, so a text of more than WIDE words also has ``wide``
     bits, a power of two in proportion to its words.  ``rest`` holds two hashes
@@ -442,8 +466,9 @@ def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
             w = w[order]
             start = np.cumsum(n) - n
             u = w.view(np.uint64)
-            of, key, pos = _parts(n, doc, u, weight[order], np.arange(len(w)) - start[doc], threshold)
-            prefix = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32))], names=["w", "pos"])
+            of, key, pos, some = _parts(n, doc, u, weight[order], np.arange(len(w)) - start[doc], threshold)
+            prefix = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(some.view(np.int64))],
+                                                    names=["w", "pos", "some"])
             keep = np.bincount(of, minlength=len(n))
             flip, slot = np.uint64(1) << (u & np.uint64(63)), u >> np.uint64(6)
 
@@ -473,7 +498,7 @@ def described(texts: DataFrame, head: DataFrame, threshold: float) -> DataFrame:
                 names=["rid", "n", "bits", "wide", "prefix", "rest"])
 
     rid = texts.schema["rid"].dataType.simpleString()
-    return texts.select("rid", F.sort_array("voc")).mapInArrow(run, f"rid {rid}, n int, bits array<long>, wide array<long>, prefix array<struct<w:long,pos:int>>, "
+    return texts.select("rid", F.sort_array("voc")).mapInArrow(run, f"rid {rid}, n int, bits array<long>, wide array<long>, prefix array<struct<w:long,pos:int,some:long>>, "
                                                       "rest array<struct<r:int,k:int,a:long,b:long>>")
 
 
@@ -500,14 +525,18 @@ def near_by_wide_bits(pairs: DataFrame, texts: DataFrame, threshold: float) -> D
 
 def may_reach(threshold: float) -> Column:
     """Bounds on a pair that shares a word at positions (pa, pb) of its (na,
-    nb) words: the sizes, the overlap that can still follow, and the words
-    that differ at least (parity bits ba, bb)."""
+    nb) words: ``by_place``, and the words that differ at least (parity bits
+    ba, bb)."""
+    differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY)), F.lit(0))
+    return by_place(threshold) & _few(differ, threshold)
+
+
+def by_place(threshold: float) -> Column:
+    """The sizes, and the overlap that can still follow."""
     na, nb = F.col("na"), F.col("nb")
     least = F.ceil((na + nb) * F.lit(threshold / (1 + threshold)) - 1e-9)
     here = F.least(F.col("pa"), F.col("pb")) + F.least(na - F.col("pa"), nb - F.col("pb"))
-    differ = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY)), F.lit(0))
-    return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - 1e-9) & (here >= least) \
-        & _few(differ, threshold)
+    return (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - 1e-9) & (here >= least)
 
 
 def certain_groups(texts: DataFrame, threshold: float) -> DataFrame:
@@ -541,9 +570,9 @@ def near_copy_series(reviews: DataFrame, threshold: float = 0.8, growth: int = 1
     2. The words are dealt to parts, and the rarest parts of every text put
        texts into buckets (``_parts``): texts that share frequent words only
        seldom meet.  A pair of a bucket becomes a row only if its sizes, the
-       positions of the part's rarest word and some parity bits let it reach the
-       threshold; long texts have more bits.  What is left is verified by the
-       exact Jaccard.
+       positions of the part's rarest word and some of its bits let it reach the
+       threshold; then all its bits count, of which long texts have more.  What is
+       left is verified by the exact Jaccard.
     3. Buckets are worked off in rounds: leaders meet the members of other
        series, ``growth`` times as many leaders each round; a bucket is done
        when its members are one series or all have led.  No pair within the
@@ -595,26 +624,33 @@ def _near_copy_series(reviews: DataFrame, threshold: float, growth: int) -> Data
     bucket = Window.partitionBy("w")
     entries = texts_of_all.select("_row", F.explode("prefix").alias("_p")).select("_row", "_p.*")
     entries = stored(entries.withColumn("_c", F.count(F.lit(1)).over(bucket)).where("_c > 1").drop("_c"), "shared")  # a part of one text makes no pair
-    entries = entries.join(labels.join(reps.select("_row", "rid"), "rid"), "_row").select("rid", "label", "w", "pos")
+    named = labels.join(texts.select("_row", "rid", "n"), "rid")
+    entries, last = entries.join(named, "_row").select("rid", "label", "n", "w", "pos", "some"), "shared"
     done, upto, step = 0, growth, 0
     while True:
         step += 1
         open_ = entries.withColumns({"_lo": F.min("label").over(bucket), "_hi": F.max("label").over(bucket), "_c": F.count(F.lit(1)).over(bucket)})
         open_ = open_.where((F.col("_lo") != F.col("_hi")) & (F.col("_c") > done))
-        members = stored(open_.select("w", "rid", "pos"), f"open-{step}")  # a settled bucket stays settled
+        members = stored(open_.drop("_lo", "_hi", "_c"), f"open-{step}")  # a settled bucket stays settled
+        drop_folder(spark, f"{folder}/{last}")
+        last = f"open-{step}"
         if members.isEmpty():
             break
-        # one shuffle by word for leaders and members alike
-        now = members.join(labels.join(texts.select("rid", "n", "bits"), "rid"), "rid").repartition("w")
+        # one shuffle by part for leaders and members alike: the same filter on both sides, or it is not reused
+        now = members.dropna().repartition("w")
         rank = F.row_number().over(Window.partitionBy("w").orderBy("n", "rid"))
         lead = now.withColumn("_r", rank).where(F.col("_r") <= upto).where(F.col("_r") > done)
         lead = lead.select("w", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"),
-                           F.col("pos").alias("pa"), F.col("bits").alias("ba"))
+                           F.col("pos").alias("pa"), F.col("some").alias("sa"))
         # a member that ranks before the leader has met it as a leader itself
         after = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a")))
-        pairs = (now.select("w", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
-                 .join(lead, "w").where((F.col("la") != F.col("lb")) & after & may_reach(threshold)).select("a", "b", "la", "lb", "na", "nb").distinct())
-        pairs = stored(near_by_wide_bits(stored(pairs, f"pairs-{step}"), texts, threshold).select("a", "b", "la", "lb"), f"near-{step}")
+        pairs = (now.select("w", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("some").alias("sb"))
+                 .join(lead, "w").where((F.col("la") != F.col("lb")) & after & by_place(threshold) & few_in_group(threshold))
+                 .groupBy("a", "b", "la", "lb", "na", "nb").agg(F.min(F.struct("pa", "pb")).alias("_p")).select("a", "b", "la", "lb", "na", "nb", "_p.*"))
+        bits = texts.select("rid", "bits")
+        pairs = stored(pairs, f"pairs-{step}").join(bits.toDF("a", "ba"), "a").join(bits.toDF("b", "bb"), "b").where(may_reach(threshold))
+        pairs = pairs.select("a", "b", "la", "lb", "na", "nb").distinct()
+        pairs = stored(near_by_wide_bits(pairs, texts, threshold).select("a", "b", "la", "lb"), f"near-{step}")
         # only the vocabularies of these pairs are moved
         need = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
         need = stored(need.join(reps.select("rid", "_row"), "rid"), f"need-{step}")
@@ -627,7 +663,7 @@ def _near_copy_series(reviews: DataFrame, threshold: float, growth: int) -> Data
                        .select(F.col("la").alias("x"), F.col("lb").alias("y")).distinct(), f"links-{step}")
         done, upto = upto, upto * growth
         labels = merged(labels, links, step)
-        entries = members.join(labels, "rid")
+        entries = members.drop("label").join(labels, "rid")
     # expand representatives back to every review with that vocabulary
     lab = reps.join(labels, "rid").select("_vh", F.col("label").alias("series_id"))
     m = v.join(lab, "_vh")

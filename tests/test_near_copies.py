@@ -156,3 +156,28 @@ def test_marked_rows_are_those_of_the_keys(spark):
     keys = rows.where("k % 37 = 5 or k > 19990").select("k")
     assert {r.k for r in M.marked(rows, keys, "k").collect()} == {k for k in range(20000) if k % 37 == 5 or k > 19990}
     assert M.marked(rows, keys.where("k < 0"), "k").count() == 0
+
+
+def test_bits_of_a_group_drop_unrelated_long_texts(spark):
+    """Texts of a thousand words fill 256 bits, and all that shared a part were
+    stored as pairs; the bits of a part's group are few words'."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyfold.operators import market as M
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=9))
+    pool, texts = [word() for _ in range(3000)], []
+    for n in (260, 500, 515, 900, 1020, 1030, 1100):
+        for _ in range(4):
+            t = rnd.sample(pool, n)
+            texts += [t, t[:-n // 10] + [word() for _ in range(n // 12)], t[:-n // 6]]
+    texts = [sorted(set(t)) for t in texts]
+    words = _texts(spark, texts).select(F.col("review_id").alias("rid"), F.explode(M.vocabulary(F.col("text"))).alias("_w")).select("rid", F.xxhash64("_w").alias("w"))
+    described = M.described_texts(words, words.groupBy("w").agg(F.count(F.lit(1)).alias("df")), 0.8)
+    m = described.select("rid", "n", F.explode("prefix").alias("p")).select("p.w", "rid", "n", "p.some")
+    both = m.toDF("w", "a", "na", "sa").join(m.toDF("w", "b", "nb", "sb"), "w").where("a < b")
+    got = {(r.a, r.b) for r in both.where(M.few_in_group(0.8)).select("a", "b").distinct().collect()}
+    true = _pairs(texts)
+    assert len(true) >= 50 and true <= got and len(got) <= 2 * len(true)
